@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import packing
-from tarifa.llm.common import table
+from tarifa.llm import packing, simple8b, token_counts
+from tarifa.llm.common import new_path, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "simple8b")
+    simple8b.write_ids(table(spark, sf_dir, "documents"), path)
+    return simple8b.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +27,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
 }
 
