@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import packing, simple8b, token_counts
+from tarifa.llm import packing, quality_rules, simple8b, token_counts
 from tarifa.llm.common import new_path, table
 
 
@@ -15,6 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "simple8b")
     simple8b.write_ids(table(spark, sf_dir, "documents"), path)
@@ -28,6 +33,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op5_quality_rules": op5_quality_rules,
     "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
 }
