@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import lm_scoring, packing, quality_rules, simhash, simple8b, token_counts
+from tarifa.llm import html_density, lm_scoring, packing, quality_rules, simhash, simple8b, token_counts
 from tarifa.llm.common import new_path, table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "simple8b")
     simple8b.write_ids(table(spark, sf_dir, "documents"), path)
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scores": op2_lm_scores,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_density": op6_html_density,
     "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
 }
