@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import html_density, lm_scoring, packing, quality_rules, simhash, simple8b, token_counts
+from tarifa.llm import decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts
 from tarifa.llm.common import new_path, table
 
 
@@ -32,6 +32,10 @@ def op6_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key", "check")
+
+
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "simple8b")
     simple8b.write_ids(table(spark, sf_dir, "documents"), path)
@@ -49,8 +53,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_density": op6_html_density,
+    "op7_decontamination": op7_decontamination,
     "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination": sql.LEAKS.replace("DOCS", "documents"),
+}
