@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts
+from tarifa.llm import decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, url_reputation
 from tarifa.llm.common import new_path, table
 
 
@@ -19,6 +19,23 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    url_reputation.Rule("net", "/", "block"),
+    url_reputation.Rule("example.net", "/en/", "allow"),
+    url_reputation.Rule("example.com", "/de/", "block"),
+    url_reputation.Rule("org", "/fr/", "allow"),
+]
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the quality of the document whose number its path has in second place."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").dropna(subset=["quality"]).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
+    shown = F.regexp_extract(url_reputation.url_path(F.col("url")), "^/[^/]*/([0-9]{1,18})", 1).try_cast("long")
+    outcomes = pages.select("url", shown.alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return url_reputation.judge_urls(pages, outcomes, URL_RULES)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -50,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
+    "op3_url_reputation": op3_url_reputation,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_html_density": op6_html_density,
@@ -59,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_reputation": sql.URLS,
     "op7_decontamination": sql.LEAKS.replace("DOCS", "documents"),
 }

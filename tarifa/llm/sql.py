@@ -21,3 +21,37 @@ ok AS (
 SELECT doc_id, item_id, start, overlap, n_matches FROM ok
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC, start, overlap) = 1
 """
+
+URLS = r"""
+WITH p AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (
+  SELECT p.host, l.bad FROM p JOIN (SELECT doc_id, CASE WHEN min(quality) = 0 THEN 1 ELSE 0 END AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l
+  ON l.doc_id = try_cast(regexp_extract(p.path, '^/[^/]*/([0-9]{1,18})', 1) AS BIGINT)),
+h AS (
+  SELECT host, count(*) AS n, sum(bad) AS bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix
+  FROM o GROUP BY host),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d0 GROUP BY suffix),
+g AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS mean FROM s0),
+s1 AS (SELECT s0.*, g.mean FROM s0, g),
+ks AS (SELECT 1 / coalesce(least(greatest(sum(n * power(bad / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0), 0.001), 0.5), 0.5) - 1 AS k FROM s1),
+s AS (SELECT suffix, (bad + k * mean) / (n + k) AS share FROM s1, ks),
+d1 AS (SELECT d0.*, s.share AS mean FROM d0 JOIN s USING (suffix)),
+kd AS (SELECT 1 / coalesce(least(greatest(sum(n * power(bad / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0), 0.001), 0.5), 0.5) - 1 AS k FROM d1),
+d AS (SELECT domain, suffix, (bad + k * mean) / (n + k) AS share FROM d1, kd),
+h1 AS (SELECT h.*, d.share AS mean FROM h JOIN d USING (domain, suffix)),
+kh AS (SELECT 1 / coalesce(least(greatest(sum(n * power(bad / n - mean, 2) / (mean * (1 - mean)) - 1) / nullif(sum(n - 1), 0), 0.001), 0.5), 0.5) - 1 AS k FROM h1),
+q AS (
+  SELECT p.page_id, p.host, p.path, coalesce(h.n, 0) AS n_labelled, coalesce(h.n, 0) + k AS total,
+         (coalesce(h.bad, 0) + k * coalesce(d.share, s.share, g.mean)) / (coalesce(h.n, 0) + k) AS share
+  FROM p CROSS JOIN kh CROSS JOIN g LEFT JOIN h ON h.host = p.host
+  LEFT JOIN d ON d.domain = array_to_string(list_slice(string_split(p.host, '.'), -2, -1), '.')
+  LEFT JOIN s ON s.suffix = list_extract(string_split(p.host, '.'), -1)),
+r(rule, rule_host, rule_path, said) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+m AS (
+  SELECT page_id, host, path, n_labelled, total, share, (SELECT arg_max(struct_pack(rule, said), length(rule)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS fits
+  FROM q)
+SELECT page_id, host, path, fits.rule AS rule, coalesce(fits.said, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled FROM m
+"""
