@@ -33,7 +33,7 @@ def tokenizer_path(name: str) -> str:
 class ChunkEncoder:
     """Ids of texts; it keeps the ids of at most about max_chunks distinct chunks, of the more used ones first."""
 
-    def __init__(self, path: str, spaced: bool, max_chunks: int = 700_000, group_chars: int = 1_000_000, join: int = 100):
+    def __init__(self, path: str, spaced: bool, max_chunks: int = 1_200_000, group_chars: int = 1_000_000, join: int = 100):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
