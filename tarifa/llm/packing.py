@@ -5,7 +5,7 @@ window) goes to the fill level h that makes the sum over levels of (windows open
 smallest, the fuller level on ties. A level array holds the counts, so a placement looks at no window.
 When the stream ends, or when more than ``max_open`` windows are open, the emptiest open windows are
 dissolved into the gaps of the fullest ones (their pieces are cut as needed), so one window a stream at
-most stays partly filled.
+most stays partly filled. Its tokens become sequences whose lengths are powers of two, which need no padding.
 
 No shuffle is needed: windows never span streams, and a lost task packs its own partition again.
 """
@@ -43,6 +43,21 @@ class SquaresPacker:
             offset += len(ids)
         self.next_id += 1
 
+    def _emit_powers(self, left: int, pieces: list[tuple]) -> None:
+        """What is left of a stream, as sequences of the powers of two in its length, the largest first."""
+        waiting = pieces[::-1]
+        while left:
+            size = 1 << left.bit_length() - 1
+            left -= size
+            taken = []
+            while size:
+                doc_id, start, n, ids = waiting.pop()
+                taken.append((doc_id, start, n, ids[:size]))
+                if len(ids) > size:
+                    waiting.append((doc_id, start + size, n, ids[size:]))
+                size -= min(size, len(ids))
+            self._emit(taken)
+
     def level(self, size: int) -> int:
         """The fill level for a piece of this size; 0 opens a window."""
         counts, last = self.counts, self.window - size
@@ -94,7 +109,7 @@ class SquaresPacker:
         if i == j:
             h, pieces = opened[i]
             if end:
-                self._emit(pieces)
+                self._emit_powers(h, pieces)
             else:
                 self.levels[h].append(pieces)
                 self.counts[h] += 1
@@ -108,7 +123,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, spaced: bool = True, end
     """Packs all rows of docs (doc_id, text) into windows of ``window`` tokens; a row of PIECES for each piece.
 
     A document's tokens are the ids of its whole text and then end_id. Each id lies in exactly one piece;
-    the pieces of a sequence_id lie gapless from offset 0. A sequence is full but for at most one a partition.
+    the pieces of a sequence_id lie gapless from offset 0. A sequence is full, but for a partition's last ones, which have
+    a power of two of tokens.
     A null text counts as empty (one token); a null doc_id is kept; repeated rows are packed each; an empty
     table gives no rows. Other columns are ignored. tokenizer is a file every machine has.
     """
