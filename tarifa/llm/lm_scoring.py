@@ -22,6 +22,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,7 +113,9 @@ def _counts(blocks: DataFrame, ranges: int) -> DataFrame:
             out[f"{name}s"] = pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
             out[f"{name}_counts"] = _lists(counts, cuts)
         own = rows.column("block")[0].as_py()
-        return pa.table({"range": pa.array(range(ranges), pa.int64()), "block": pa.array([own] * ranges, pa.int64()), **out})
+        table = pa.table({"range": pa.array(range(ranges), pa.int64()), "block": pa.array([own] * ranges, pa.int64()), **out})
+        # Ranges without a key of this block are left out, so a block gives no more rows than it has keys.
+        return table.filter(pc.greater(pc.add(pc.list_value_length(table.column("word_counts")), pc.list_value_length(table.column("pair_counts"))), 0))
 
     def total(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_numpy()
