@@ -27,22 +27,26 @@ from tarifa.llm.common import checkpointed, written
 SEED = 42
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of a text: A-Z lower-cased, word shingles, repeats included; no words: zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text in order, A-Z lower-cased; of the whole sequence for fewer words; none for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
-    begins = (ends - [len(w) + 1 for w in words])[:n].tolist()
+    begins = (ends - [len(w) + 1 for w in words])[: max(1, len(words) - shingle + 1)].tolist()
     ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(begins, ends, strict=True)], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in zip(begins, ends, strict=True)], "<u8")
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of a text: word shingles, repeats included; no words: zero."""
+    hashes = shingle_hashes(text, shingle)
     set_in = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
+    for at in range(0, len(hashes), 65536):
         set_in += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
@@ -203,35 +207,51 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """rid of the pairs (rid, text, leader) whose shingle sets have a Jaccard similarity of at least ``least``."""
+def _least_hashes(texts: DataFrame, shingle: int, draws: int) -> DataFrame:
+    """rid, draw and value of texts (rid, text): the smallest shingle under each of ``draws`` hash functions."""
+    odd = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(draws)], np.uint64)
 
-    def shingles(text: str | None) -> set:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.zeros((batch.num_rows, draws), np.uint64)
+            for row, text in enumerate(batch.column(1)):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                if len(hashes):
+                    hashes ^= hashes >> np.uint64(29)
+                    found[row] = [(hashes * m).min() for m in odd]
+            rid = np.repeat(batch.column(0).to_numpy(), draws)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.tile(np.arange(draws), batch.num_rows)), pa.array(found.ravel().view(np.int64))], ["rid", "draw", "value"])
+
+    return texts.mapInArrow(draw, "rid long, draw long, value long")
+
+
+def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """a, b of the pairs (a, b, text, leader) whose shingle sets have a Jaccard similarity of at least ``least``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader = object(), None
         for batch in batches:
-            rids, last, leader = [], object(), set()
-            for rid, a, b in zip(*(batch.column(i) for i in range(3)), strict=True):
+            kept = []
+            for text, b in zip(batch.column(2), batch.column(3), strict=True):
                 if (b := b.as_py()) != last:
-                    last, leader = b, shingles(b)
-                own = shingles(a.as_py())
-                both = len(own & leader)
-                if both >= least * (len(own) + len(leader) - both):
-                    rids.append(rid.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64())], ["rid"])
+                    last, leader = b, np.unique(shingle_hashes(b, shingle))
+                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                both = len(np.intersect1d(own, leader, assume_unique=True))
+                kept.append(both >= least * (len(own) + len(leader) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.select("rid", "text", "leader").mapInArrow(check, "rid long")
+    return pairs.select("a", "b", "text", "leader").mapInArrow(check, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, draws: int = 12) -> DataFrame:
     """The rows of docs (doc_id, text and any others, all returned as they are) without near copies.
 
-    Rows are grouped by linked fingerprints. Of equal texts the first by doc_id stays (null last). In each
-    group the first that is left leads, and the others go whose set of five-word shingles has a similarity of at least
-    0.8 with the leader's; those that haven't choose a new leader, ``rounds`` times, after which what is left
-    stays. Null texts count as empty: one of the texts without words stays.
+    Of equal texts the first by doc_id stays (null last). Texts whose fingerprints are linked are candidates.
+    Those of them that share the smallest of their five-word shingles, under any of ``draws`` hash functions, are
+    compared with the first of them: a similarity of the shingle sets of at least 0.8 is a link. Of texts that links
+    connect, the first stays. Two alike miss each other with a chance of 0.2 to the power of draws, or where
+    nothing connects them to the firsts they were compared with. Null texts count as empty: one of the texts
+    without words stays.
     """
     columns = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -240,21 +260,19 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shi
     narrow = settled.select("rid", "doc_id", "digest", "fingerprint")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     texts = checkpointed(narrow.groupBy("fingerprint", "digest").agg(F.min(order).alias("place")))
-    found = groups(narrow, max_distance).select("fingerprint", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).alias("group"))
-    member = texts.join(found, "fingerprint").select("group", "place")
+    found = groups(narrow, max_distance).select("fingerprint", F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).alias("group"))
+    member = texts.join(found, "fingerprint").select("group", "place", F.col("place.rid").alias("rid"))
     several = member.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    waiting = checkpointed(member.join(several, "group"))
-    text_of = written(settled.join(waiting.select("place.rid"), "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
-    gone = None
-    for _ in range(rounds):
-        leads = waiting.groupBy("group").agg(F.min("place").alias("lead"))
-        pairs = waiting.join(leads, "group").filter("place <> lead").select(F.col("place.rid").alias("rid"), F.col("lead.rid").alias("lead"))
-        leaders = text_of.select(F.col("rid").alias("lead"), F.col("text").alias("leader"))
-        near = checkpointed(_similar(pairs.join(text_of, "rid").join(leaders, "lead"), shingle, least))
-        gone = near if gone is None else gone.union(near)
-        followers = waiting.join(leads, "group").filter("place <> lead").select("group", "place", F.col("place.rid").alias("rid"))
-        waiting = checkpointed(followers.join(near, "rid", "left_anti").select("group", "place"))
-        if waiting.isEmpty():
-            break
+    member = checkpointed(member.join(several, "group", "left_semi"))
+    text_of = written(settled.join(member.select("rid"), "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
+
+    cells = checkpointed(_least_hashes(text_of, shingle, draws).join(member, "rid").select("group", "draw", "value", "place"))
+    leads = cells.groupBy("group", "draw", "value").agg(F.min("place").alias("lead"))
+    pairs = cells.join(leads, ["group", "draw", "value"]).filter("place <> lead").select(F.col("place.rid").alias("a"), F.col("lead.rid").alias("b")).distinct()
+    texts_a, texts_b = text_of.withColumnRenamed("rid", "a"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
+    near = _similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least)
+    linked = checkpointed(components(near).withColumnRenamed("node", "rid").join(member.select("rid", "place"), "rid"))
+    firsts = linked.groupBy("root").agg(F.min("place").alias("lead"))
+    gone = linked.join(firsts, "root").filter("place <> lead").select("rid")
     kept = texts.select("place.rid").join(gone, "rid", "left_anti")
     return settled.join(kept, "rid", "left_semi").select("row.*").select(*columns)
