@@ -119,7 +119,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, spaced: bool = True, end_id: int = 0, window: int = 1024, max_open: int = 4096, slice_rows: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, spaced: bool = True, end_id: int = 0, window: int = 1024, max_open: int = 4096, slice_rows: int = 256, max_chunks: int = 500_000) -> DataFrame:
     """Packs all rows of docs (doc_id, text) into windows of ``window`` tokens; a row of PIECES for each piece.
 
     A document's tokens are the ids of its whole text and then end_id. Each id lies in exactly one piece;
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, spaced: bool = True, end
     path = tokenizer or tokenizer_path(BYTE_BPE)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(path, spaced), np.array([end_id], np.uint32)
+        coder, end = encoder(path, spaced, max_chunks), np.array([end_id], np.uint32)
         packer = SquaresPacker(window, TaskContext.get().partitionId() << 40, max_open)
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):

@@ -134,8 +134,9 @@ class ChunkEncoder:
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> ChunkEncoder:
+def encoder(path: str, spaced: bool, max_chunks: int = 1_200_000) -> ChunkEncoder:
     """The worker's encoder; Spark reuses Python workers, so what one task has learnt helps the next."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = ChunkEncoder(path, spaced)
-    return _encoders[path, spaced]
+    key = (path, spaced, max_chunks)
+    if key not in _encoders:
+        _encoders[key] = ChunkEncoder(*key)
+    return _encoders[key]
