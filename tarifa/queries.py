@@ -12,6 +12,7 @@ from tarifa.functions import text as T
 from tarifa.operators import latest as L
 from tarifa.plans import catalog as C
 from tarifa.plans import compare as P
+from tarifa.plans import publish as U
 from tarifa.plans import reports as R
 from tarifa.plans.mapping import AS_OF, HERE, load, price_cents, sql, tables
 
@@ -460,3 +461,13 @@ def cheapest_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.current_catalog(tables(spark, sf_dir), AS_OF, WIDE).filter(F.col("available") & S.matches_search("e", F.col("normalized_name")))
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("normalized_name").orderBy("price"))).filter("r = 1")
     return price_cents(ranked.groupBy("product_name").agg(F.count("*").alias("offers"), F.min("price").alias("best_price")))
+
+
+@query(
+    """SELECT event_id, CASE WHEN seen IS NOT NULL AND ts > seen AND event_type = last THEN 'unchanged' WHEN seen IS NULL OR ts > seen THEN 'insert' WHEN ts < seen THEN 'late' WHEN event_type = last THEN 'replay' ELSE 'conflict' END AS action
+FROM (SELECT *, max(ts) OVER w AS seen, arg_max(event_type, ts) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    mapped=False,
+)
+def publish_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations of their user in order of arrival: what the publisher does with each."""
+    return U.decided(load(spark, sf_dir, "events"), key="user_id", order="event_id", time="ts", state=("event_type",)).select("event_id", "action")
