@@ -15,6 +15,7 @@ from tarifa.plans import compare as P
 from tarifa.plans import publish as U
 from tarifa.plans import reports as R
 from tarifa.plans.mapping import AS_OF, HERE, load, price_cents, sql, tables
+from tarifa.sources import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,3 +472,48 @@ FROM (SELECT *, max(ts) OVER w AS seen, arg_max(event_type, ts) OVER w AS last F
 def publish_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as observations of their user in order of arrival: what the publisher does with each."""
     return U.decided(load(spark, sf_dir, "events"), key="user_id", order="event_id", time="ts", state=("event_type",)).select("event_id", "action")
+
+
+def _part_replies(spark: SparkSession, sf_dir: str, *products: Column) -> DataFrame:
+    """A store's reply for each part: a JSON array with the products given."""
+    body = F.to_json(F.array(*products), {"ignoreNullFields": "false"})
+    return load(spark, sf_dir, "part").select(F.concat(F.lit("https://parts.mx/api/"), "p_partkey").alias("url"), F.lit(AS_OF).alias("observed_at"), body.alias("body"))
+
+
+def _feed_outcome(found: DataFrame) -> DataFrame:
+    """Good products with their price in cents; of the others the reason alone."""
+    good = F.col("reject_reason").isNull()
+    return found.select(F.col("external_reference").try_cast("long").alias("part"), F.when(good, F.col("presentation")).alias("presentation"), F.when(good, S.cents(F.col("price"))).alias("price_cents"), F.when(good, F.col("available")).alias("available"), "reject_reason")
+
+
+@query(
+    """SELECT p_partkey AS part, CASE WHEN r IS NULL THEN p_size || ' kg' END AS presentation, CASE WHEN r IS NULL THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents, CASE WHEN r IS NULL THEN p_size % 3 <> 0 END AS available, r AS reject_reason
+FROM (SELECT *, CASE WHEN p_type = 'PROMO' THEN 'combined_pack' WHEN p_size % 5 = 0 THEN 'weighted_or_multiplied_unit' WHEN p_partkey % 7 = 0 THEN 'promotion' WHEN p_partkey % 11 = 0 THEN 'availability_contradicts_quantity' END AS r FROM part)""",
+    mapped=False,
+)
+def search_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as search replies: promotions, weighted units and contradicting quantities are rejected."""
+    price, quantity = F.round("p_retailprice", 2), F.col("p_size") % 3
+    offer = F.struct(price.alias("Price"), F.when(F.col("p_partkey") % 7 == 0, price + 5).otherwise(price).alias("ListPrice"), quantity.alias("AvailableQuantity"), ((quantity > 0) != (F.col("p_partkey") % 11 == 0)).alias("IsAvailable"))
+    item = F.struct(F.col("p_partkey").cast("string").alias("itemId"), F.when(F.col("p_size") % 5 == 0, "kg").otherwise("un").alias("measurementUnit"), F.array(F.struct(F.lit("1").alias("sellerId"), offer.alias("commertialOffer"))).alias("sellers"))
+    name = F.concat("p_name", F.lit(" "), "p_size", F.lit(" kg"), F.when(F.col("p_type") == "PROMO", " + regalo").otherwise(""))
+    product = F.struct(name.alias("productName"), F.concat(F.lit("https://parts.mx/p/"), "p_partkey").alias("link"), F.array(F.concat(F.lit("/"), "p_brand", F.lit("/"))).alias("categories"), F.array(item).alias("items"))
+    return _feed_outcome(feeds.search_results(_part_replies(spark, sf_dir, product), "parts.mx", AS_OF, "MXN"))
+
+
+@query(
+    """SELECT p_partkey AS part, CASE WHEN r IS NULL THEN p_size || ' kg' END AS presentation, CASE WHEN r IS NULL THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents, CASE WHEN r IS NULL THEN p_size % 3 <> 0 END AS available, r AS reject_reason
+FROM (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'currency_not_declared' WHEN p_type = 'STANDARD' THEN 'variable_unit' WHEN p_partkey % 7 = 0 THEN 'promotion' WHEN p_brand = 'Brand#5' THEN 'weighted_unit' END AS r FROM part)""",
+    mapped=False,
+)
+def store_api_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as replies of a store API: other minor units, variable products, promotions and fresh goods are rejected."""
+    no, minor = F.lit(False), S.cents(F.col("p_retailprice")).cast("string")
+    prices = F.struct(F.lit("MXN").alias("currency_code"), F.when(F.col("p_partkey") % 13 == 0, 3).otherwise(2).alias("currency_minor_unit"), minor.alias("price"), F.when(F.col("p_partkey") % 7 == 0, F.concat(minor, F.lit("9"))).otherwise(minor).alias("regular_price"))
+    category = F.when(F.col("p_brand") == "Brand#5", "Frutas").otherwise(F.col("p_brand"))
+    product = F.struct(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" "), "p_size", F.lit(" kilogramos")).alias("name"), F.when(F.col("p_type") == "STANDARD", "variable").otherwise("simple").alias("type"),
+        no.alias("has_options"), no.alias("is_password_protected"), (F.col("p_size") % 3 != 0).alias("is_in_stock"), no.alias("is_on_backorder"), no.alias("on_sale"),
+        F.concat(F.lit("https://parts.mx/p/"), "p_partkey").alias("permalink"), F.array(F.struct(category.alias("name"))).alias("categories"), prices.alias("prices"),
+    )
+    return _feed_outcome(feeds.store_api_products(_part_replies(spark, sf_dir, product), "parts.mx", AS_OF))
