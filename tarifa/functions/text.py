@@ -121,25 +121,35 @@ def _amount(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("decimal(18,6)")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: nested patterns would outgrow generated code."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def parse_presentation(text: Column) -> Column:
     """quantity, unit and pack_count of a presentation, in g, ml, rollo or unit; null if there is no measure.
 
     A multipack ``6 x 355 ml`` wins over a single measure; a pack without a count, or a count over 10,000, gives null.
     """
-    t = fold_marks(text)
     packed = rf"(?<![0-9a-z.,])([0-9]{{1,5}})\s*(?:x|pack de|piezas? de|pzas? de)\s*{NUMBER}\s*({_UNIT})(?![a-z0-9])"
     single = rf"(?<![0-9a-z.,]){NUMBER}\s*({_UNIT})(?![a-z0-9])"
-    part = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
-    count = part(packed, 1).try_cast("int")
-    amount = F.coalesce(_amount(part(packed, 2)), _amount(part(single, 1)))
-    spelled = F.coalesce(part(packed, 3), part(single, 2))
-    unit, factor = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for spelling, base, times in reversed(BASE_UNITS):
-        is_it = spelled.rlike(f"^({spelling})$")
-        unit, factor = F.when(is_it, F.lit(base)).otherwise(unit), F.when(is_it, F.lit(times)).otherwise(factor)
-    pack = F.coalesce(count, F.lit(1))
-    good = (amount > 0) & unit.isNotNull() & pack.between(1, 10_000) & (count.isNotNull() | ~t.rlike(r"\b(pack|paquete|multipack)\b"))
-    return F.when(good, F.struct((amount * factor).cast("decimal(18,6)").alias("quantity"), unit.alias("unit"), pack.alias("pack_count")))
+
+    def parts(t: Column) -> Column:
+        part = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
+        amount = F.coalesce(_amount(part(packed, 2)), _amount(part(single, 1)))
+        vague = t.rlike(r"\b(pack|paquete|multipack)\b")
+        return F.struct(part(packed, 1).try_cast("int").alias("count"), amount.alias("amount"), F.coalesce(part(packed, 3), part(single, 2)).alias("spelled"), vague.alias("vague"))
+
+    def measure(p: Column) -> Column:
+        unit, factor = F.lit(None).cast("string"), F.lit(None).cast("int")
+        for spelling, base, times in reversed(BASE_UNITS):
+            is_it = p["spelled"].rlike(f"^({spelling})$")
+            unit, factor = F.when(is_it, F.lit(base)).otherwise(unit), F.when(is_it, F.lit(times)).otherwise(factor)
+        pack = F.coalesce(p["count"], F.lit(1))
+        good = (p["amount"] > 0) & p["spelled"].isNotNull() & pack.between(1, 10_000) & (p["count"].isNotNull() | ~p["vague"])
+        return F.when(good, F.struct((p["amount"] * factor).cast("decimal(18,6)").alias("quantity"), unit.alias("unit"), pack.alias("pack_count")))
+
+    return _once(_once(fold_marks(text), parts), measure)
 
 
 def plain_number(value: Column) -> Column:

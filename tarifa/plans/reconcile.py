@@ -12,9 +12,9 @@ from tarifa.functions import text as T
 LISTING = ["source", "store_product_url"]
 
 
-def pack_key(presentation: Column) -> Column:
-    """What a presentation is compared by: its measure, or its words where it states none."""
-    return F.coalesce(T.presentation_key(T.parse_presentation(presentation)), F.lower(presentation))
+def _measured(df: DataFrame) -> DataFrame:
+    """df with _measure, the key of the presentation's measure if it states one. Parsed once: the parts of the key refer to a column."""
+    return df.withColumn("_parsed", T.parse_presentation(F.col("presentation"))).withColumn("_measure", T.presentation_key(F.col("_parsed"))).drop("_parsed")
 
 
 def reconciled(batch: DataFrame, known: DataFrame, shared: tuple[str, ...] = (), comparable: Callable[[Column], Column] = T.comparable_name) -> DataFrame:
@@ -33,14 +33,14 @@ def reconciled(batch: DataFrame, known: DataFrame, shared: tuple[str, ...] = (),
     Known listings are aggregated before they are joined: by URL, by URL and name, and by name. The windows are by identity, source and
     name, and name, over minima and maxima, so a frequent name costs a sort and no set of its values.
     """
-    old = known.withColumn("_name", comparable(F.col("product_name")))
+    old = _measured(known).withColumn("_name", comparable(F.col("product_name")))
     urls = old.groupBy(*LISTING).agg(F.count("*").alias("_at_url"))
-    kept_fields = F.struct("store_slug", "normalized_name", "presentation", "image_url")
+    kept_fields = F.struct("store_slug", "normalized_name", "_measure", "image_url")
     names = old.groupBy(*LISTING, "_name").agg(F.count("*").alias("_matches"), F.first(kept_fields).alias("_old"))
-    rows = batch.withColumn("_name", comparable(F.col("product_name"))).join(urls, LISTING, "left").join(names, [*LISTING, "_name"], "left")
+    rows = _measured(batch).withColumn("_name", comparable(F.col("product_name"))).join(urls, LISTING, "left").join(names, [*LISTING, "_name"], "left")
     is_shared = F.col("source").isin(*shared) if shared else F.lit(False)
     matched = F.col("_matches") == 1
-    same = (pack_key(F.col("presentation")) == pack_key(F.col("_old.presentation"))) & T.parse_presentation(F.col("presentation")).isNotNull() & (F.col("store_slug") == F.col("_old.store_slug"))
+    same = (F.col("_measure") == F.col("_old._measure")) & (F.col("store_slug") == F.col("_old.store_slug"))
     own = (
         F.when(F.coalesce("weighted", F.lit(False)), "weighted_unit")
         .when(F.col("_at_url").isNotNull() & ~F.coalesce(matched, F.lit(False)) & ~(is_shared & F.col("_matches").isNull()), "ambiguous_known_url")
@@ -49,7 +49,7 @@ def reconciled(batch: DataFrame, known: DataFrame, shared: tuple[str, ...] = (),
     rows = rows.withColumn("_own", own).withColumn("captured_normalized_name", F.col("normalized_name"))
     rows = rows.withColumn("normalized_name", F.coalesce(F.when(matched, F.col("_old.normalized_name")), "normalized_name"))
     rows = rows.withColumn("image_url", F.coalesce(F.nullif("image_url", F.lit("")), F.when(matched, F.col("_old.image_url"))))
-    rows = rows.withColumn("_pack", pack_key(F.col("presentation")))
+    rows = rows.withColumn("_pack", F.coalesce("_measure", F.lower("presentation")))
 
     def several(column: str, counts: Column, *keys: str) -> Column:
         """Whether the rows of the keys that count have more than one value."""
@@ -62,8 +62,7 @@ def reconciled(batch: DataFrame, known: DataFrame, shared: tuple[str, ...] = (),
     newest = Window.partitionBy(*identity, open_).orderBy(F.col("captured_at").desc_nulls_last(), "position")
     rows = rows.withColumn("_rank", F.row_number().over(newest))
     live = open_ & ~F.col("_refs") & (F.col("_rank") == 1)
-    packs = known.withColumn("_p", pack_key(F.col("presentation"))).filter(T.parse_presentation(F.col("presentation")).isNotNull())
-    packs = packs.groupBy("normalized_name").agg(F.min("_p").alias("_least"), F.max("_p").alias("_most"))
+    packs = _measured(known).filter("_measure IS NOT NULL").groupBy("normalized_name").agg(F.min("_measure").alias("_least"), F.max("_measure").alias("_most"))
     rows = rows.withColumn("_names", several("external_reference", live, "source", "normalized_name")).join(packs, "normalized_name", "left")
     w, pack = Window.partitionBy("normalized_name"), F.when(live, F.col("_pack"))
     clash = F.coalesce(F.least(F.min(pack).over(w), "_least") != F.greatest(F.max(pack).over(w), "_most"), F.lit(False))

@@ -13,6 +13,7 @@ from tarifa.operators import latest as L
 from tarifa.plans import catalog as C
 from tarifa.plans import compare as P
 from tarifa.plans import publish as U
+from tarifa.plans import reconcile
 from tarifa.plans import reports as R
 from tarifa.plans.mapping import AS_OF, HERE, load, price_cents, sql, tables
 from tarifa.sources import feeds
@@ -517,3 +518,29 @@ def store_api_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://parts.mx/p/"), "p_partkey").alias("permalink"), F.array(F.struct(category.alias("name"))).alias("categories"), prices.alias("prices"),
     )
     return _feed_outcome(feeds.store_api_products(_part_replies(spark, sf_dir, product), "parts.mx", AS_OF))
+
+
+@query(
+    """WITH b AS (SELECT p_partkey * 2 + k AS position, p_partkey, k, p_partkey || CASE WHEN k = 1 AND p_partkey % 5 = 0 THEN 'x' ELSE '' END AS ref,
+  CASE WHEN k = 0 AND p_size % 7 = 0 THEN 'weighted_unit' WHEN k = 1 AND p_partkey % 4 = 0 THEN 'presentation_or_store_changed' END AS own FROM part CROSS JOIN (VALUES (0), (1)) t(k)),
+w AS (SELECT *, coalesce(min(ref) FILTER (own IS NULL) OVER (PARTITION BY p_partkey) <> max(ref) FILTER (own IS NULL) OVER (PARTITION BY p_partkey), false) AS refs, row_number() OVER (PARTITION BY p_partkey, own IS NULL ORDER BY k DESC) AS r FROM b),
+h AS (SELECT *, coalesce(own, CASE WHEN refs THEN 'several_references_of_identity' WHEN r = 1 AND p_partkey % 6 = 0 THEN 'conflicting_presentations' END) AS hold_reason FROM w)
+SELECT position, hold_reason, CASE WHEN hold_reason IS NOT NULL THEN 'held' WHEN r = 1 THEN 'kept' ELSE 'superseded' END AS outcome FROM h""",
+    mapped=False,
+)
+def batch_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two records of each part against known listings of the even ones, some of which have a namesake in another size."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_name", "p_partkey").alias("product_name"))
+    key, k, size = F.col("p_partkey"), F.col("k"), F.col("p_size").cast("string")
+    shop = (F.lit("s").alias("source"), F.lit("parts").alias("store_slug"))
+    listed = part.filter("p_partkey % 2 = 0").select(*shop, "product_name", F.col("product_name").alias("normalized_name"), F.lit(None).cast("string").alias("image_url"), F.inline(F.array(
+        F.struct(F.concat(F.lit("u/"), key).alias("store_product_url"), F.concat(size, F.lit(" kg")).alias("presentation"), F.lit(True).alias("_there")),
+        F.struct(F.concat(F.lit("v/"), key).alias("store_product_url"), F.lit("9999 kg").alias("presentation"), (key % 6 == 0).alias("_there")),
+    ))).filter("_there").drop("_there")
+    twice = part.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    other = (F.col("p_size") + F.when((k == 1) & (key % 4 == 0), 1).otherwise(0)).cast("string")
+    batch = twice.select(
+        (key * 2 + k).alias("position"), *shop, F.concat(F.lit("u/"), key).alias("store_product_url"), "product_name", F.col("product_name").alias("normalized_name"), F.concat(other, F.lit(" kilos")).alias("presentation"),
+        F.concat(key.cast("string"), F.when((k == 1) & (key % 5 == 0), "x").otherwise("")).alias("external_reference"), F.lit(None).cast("string").alias("image_url"), k.alias("captured_at"), ((k == 0) & (F.col("p_size") % 7 == 0)).alias("weighted"),
+    )
+    return reconcile.reconciled(batch, listed).select("position", "outcome", "hold_reason")

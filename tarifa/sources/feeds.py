@@ -22,7 +22,7 @@ from tarifa.sources.products import stated_presentation
 
 
 def at(value: Column, path: str) -> Column:
-    return F.try_variant_get(value, f"$.{path}", "variant")
+    return F.try_variant_get(value, f"${path}" if path.startswith("[") else f"$.{path}", "variant")
 
 
 def kind(value: Column) -> Column:
@@ -275,3 +275,34 @@ def store_api_products(responses: DataFrame, host: str, as_of: datetime, by_summ
         (~flag(at(p, "on_sale")) & (text(price) == text(regular)), "promotion"),
         (~f["name"].rlike(CASE_OR_WEIGHT) if wholesale else ~f["category"].rlike(FRESH), "weighted_unit"),
     ])
+
+
+def located_branches(responses: DataFrame, source: str, brand: str) -> DataFrame:
+    """Branches out of store-locator replies {PhysicalStore: [...]}, with reject_reason; a reply without the list is a row of its own.
+
+    A branch needs its number, id, city, state and coordinates (numbers or texts of numbers) inside Mexico.
+    """
+    filled = lambda v: F.nullif(F.trim(scalar(v)), F.lit(""))
+    read = responses.select("url", "observed_at", at(F.try_parse_json("body"), "PhysicalStore").alias("_list"))
+    found = read.select("url", "observed_at", kind(F.col("_list")).startswith("ARRAY").alias("_listed"), F.explode_outer(items(F.col("_list"))).alias("s"))
+    found = found.filter(~F.col("_listed") | F.col("s").isNotNull())
+    s = F.col("s")
+    of = {"store_number": "storeName", "unique_id": "uniqueID", "branch_municipality": "city", "branch_state": "stateOrProvinceName"}
+    described = at(s, "Description")
+    shown = F.coalesce(filled(at(described, "displayStoreName")), filled(at(described, "[0].displayStoreName")), filled(at(s, "storeName")), F.lit("Sucursal"))
+    lines = F.filter(F.transform(items(at(s, "addressLine")), filled), lambda x: x.isNotNull())
+    market = F.get(F.filter(items(at(s, "Attribute")), lambda a: F.coalesce(text(at(a, "name")) == "MarketId", F.lit(False))), F.lit(0))
+    out = found.select(
+        "url", "observed_at", "_listed", kind(s).startswith("OBJECT").alias("_object"), *[filled(at(s, field)).alias(name) for name, field in of.items()], F.concat(F.lit(f"{brand} "), shown).alias("branch_name"),
+        F.array_join(lines, ", ").alias("branch_address"), filled(at(s, "postalCode")).alias("postal_code"), *[filled(at(s, x)).try_cast("double").alias(x) for x in ("latitude", "longitude")], filled(at(market, "value")).alias("market_id"),
+    )
+    rules = [(F.col("_listed"), "missing_branch_list"), (F.col("_object"), "invalid_branch_object")]
+    rules += [(F.col(name).isNotNull(), f"missing_{name}") for name in (*of, "latitude", "longitude")]
+    rules.append((S.in_mexico(F.col("latitude"), F.col("longitude")), "unconfirmed_location"))
+    out = out.withColumn("reject_reason", _first(rules)).withColumn("branch_external_key", F.concat(F.lit(f"{source}:"), "store_number"))
+    return out.drop("_listed", "_object")
+
+
+def rejections(found: DataFrame) -> DataFrame:
+    """How often each reason was given."""
+    return found.filter("reject_reason IS NOT NULL").groupBy("reject_reason").agg(F.count("*").alias("n"))

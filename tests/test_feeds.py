@@ -97,3 +97,12 @@ def test_store_api_products(spark):
 def test_observed_presentation(spark, name, shown):
     df = spark.createDataFrame([(name,)], "name string")
     assert df.select(feeds.observed_presentation(F.col("name")).alias("v")).first().v == shown
+
+
+def test_located_branches(spark):
+    good = {"storeName": "8701", "uniqueID": 12, "city": "Tepic", "stateOrProvinceName": "Nayarit", "latitude": "21.5", "longitude": -104.9, "Description": [{"displayStoreName": "Centro"}], "addressLine": ["Calle 1 ", "", None], "Attribute": [{"name": "MarketId", "value": "9"}]}
+    stores = [good, changed(good, city=" "), changed(good, latitude="north"), changed(good, longitude=2), "text"]
+    out = feeds.located_branches(replies(spark, [{"PhysicalStore": stores}, {"PhysicalStore": []}, {}, None]), "shop", "Shop")
+    assert {r.reject_reason: r.n for r in feeds.rejections(out).collect()} == {"missing_branch_municipality": 1, "missing_latitude": 1, "unconfirmed_location": 1, "invalid_branch_object": 1, "missing_branch_list": 2}
+    r = out.filter("reject_reason IS NULL").collect()
+    assert [(x.branch_external_key, x.branch_name, x.branch_address, x.latitude, x.market_id, x.unique_id) for x in r] == [("shop:8701", "Shop Centro", "Calle 1", 21.5, "9", "12")]
