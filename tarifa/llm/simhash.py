@@ -243,15 +243,104 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.select("a", "b", "text", "leader").mapInArrow(check, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, draws: int = 12) -> DataFrame:
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """rid, n and shingles (the distinct shingles, sorted, as bytes) of texts (rid, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n", "shingles"])
+
+    return texts.select("rid", "text").mapInArrow(cut, "rid long, n long, shingles binary")
+
+
+def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
+    """Links a, b that connect all parts whose members in a common bucket are similar: members (key, rid, part, n, shingles).
+
+    Members of one part are connected already. Buckets are split into cells of about ``cell`` shingles, and each
+    pair of cells is a group of its own. In it each member is held against all others at once, unless one part
+    is left. Gives a spanning forest of the links of a task, between parts.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.sum("n") / cell).cast("int").alias("cells")).filter("cells > 1")
+    own = F.coalesce(F.pmod(F.xxhash64("rid"), F.col("cells")).cast("int"), F.lit(0))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))
+    split = members.join(sizes, "key", "left").select("key", "part", "shingles", own.alias("own"), other.alias("other"))
+    grouped = split.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "part", "shingles")
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Forest()
+
+        def compare(parts: list[int], sets: list[bytes]) -> None:
+            roots = np.array([found.root(p) for p in parts])
+            if (roots == roots[0]).all():
+                return
+            words, at = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+            sizes = np.array([len(x) // 8 for x in sets])
+            ends = np.cumsum(sizes)
+            has = np.flatnonzero(sizes)
+            mark = np.zeros(len(words), np.int64)
+            for i in range(len(parts) - 1):
+                if (roots[i + 1 :] == roots[i]).all():
+                    continue
+                own = at[ends[i] - sizes[i] : ends[i]]
+                mark[own] = 1
+                both = np.zeros(len(parts), np.int64)
+                both[has] = np.add.reduceat(mark[at], (ends - sizes)[has]) if len(has) else 0
+                mark[own] = 0
+                for k in np.flatnonzero((both >= least * (sizes + sizes[i] - both)) & (roots != roots[i])).tolist():
+                    found.link(parts[i], parts[k])
+                    roots[(roots == roots[i]) | (roots == roots[k])] = found.root(parts[i])
+
+        run, parts, sets = None, [], []
+        for batch in batches:
+            key, low, high, part, shingles = batch.columns
+            for now in zip(key.to_pylist(), low.to_pylist(), high.to_pylist(), part.to_pylist(), shingles.to_pylist(), strict=True):
+                if now[:3] != run:
+                    if len(parts) > 1:
+                        compare(parts, sets)
+                    run, parts, sets = now[:3], [], []
+                parts.append(now[3])
+                sets.append(now[4])
+        if len(parts) > 1:
+            compare(parts, sets)
+        rows = np.array([(k, found.root(k)) for k in list(found)], np.int64).reshape(-1, 2)
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000, 0]), pa.array(rows[at : at + 10_000, 1])], ["a", "b"])
+
+    order = ["key", "low", "high"]
+    return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
+
+
+def _connected(cells: DataFrame, text_of: DataFrame, shingle: int, least: float, cell: int) -> DataFrame:
+    """rid and root of the texts in cells (key, rid, place) that similar texts with a common key connect.
+
+    First each is compared with the first of its bucket. What that leaves in several parts is then compared within the
+    buckets, all pairs but those of one part and those with the first.
+    """
+    leads = cells.groupBy("key").agg(F.min("place").alias("lead"))
+    rest = checkpointed(cells.join(leads, "key").filter("place <> lead").select("key", "rid", F.col("lead.rid").alias("lead")))
+    pairs = rest.select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct()
+    texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
+    near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least))
+    linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
+    parts = checkpointed(rest.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")))
+    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key")
+    parts = checkpointed(parts.join(several, "key", "left_semi"))
+    if parts.isEmpty():
+        return linked
+    sets = checkpointed(_shingle_sets(text_of.join(parts.select("rid").distinct(), "rid", "left_semi"), shingle))
+    more = checkpointed(_similar_within(parts.join(sets, "rid"), least, cell))
+    return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
+
+
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, draws: int = 12, cell: int = 1 << 17) -> DataFrame:
     """The rows of docs (doc_id, text and any others, all returned as they are) without near copies.
 
     Of equal texts the first by doc_id stays (null last). Texts whose fingerprints are linked are candidates.
     Those of them that share the smallest of their five-word shingles, under any of ``draws`` hash functions, are
-    compared with the first of them: a similarity of the shingle sets of at least 0.8 is a link. Of texts that links
-    connect, the first stays. Two alike miss each other with a chance of 0.2 to the power of draws, or where
-    nothing connects them to the firsts they were compared with. Null texts count as empty: one of the texts
-    without words stays.
+    compared, all pairs of them that nothing connects yet: a similarity of the shingle sets of at least 0.8 is a
+    link. Of texts that links connect, the first stays. Two alike miss each other with a chance of 0.2 to the power of
+    draws. Null texts count as empty: one of the texts without words stays. ``cell`` bounds the shingles compared at once.
     """
     columns = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -266,12 +355,9 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shi
     member = checkpointed(member.join(several, "group", "left_semi"))
     text_of = written(settled.join(member.select("rid"), "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
 
-    cells = checkpointed(_least_hashes(text_of, shingle, draws).join(member, "rid").select("group", "draw", "value", "place"))
-    leads = cells.groupBy("group", "draw", "value").agg(F.min("place").alias("lead"))
-    pairs = cells.join(leads, ["group", "draw", "value"]).filter("place <> lead").select(F.col("place.rid").alias("a"), F.col("lead.rid").alias("b")).distinct()
-    texts_a, texts_b = text_of.withColumnRenamed("rid", "a"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
-    near = _similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least)
-    linked = checkpointed(components(near).withColumnRenamed("node", "rid").join(member.select("rid", "place"), "rid"))
+    key = F.xxhash64("group", "draw", "value").alias("key")
+    cells = checkpointed(_least_hashes(text_of, shingle, draws).join(member, "rid").select(key, "rid", "place"))
+    linked = checkpointed(_connected(cells, text_of, shingle, least, cell).join(member.select("rid", "place"), "rid"))
     firsts = linked.groupBy("root").agg(F.min("place").alias("lead"))
     gone = linked.join(firsts, "root").filter("place <> lead").select("rid")
     kept = texts.select("place.rid").join(gone, "rid", "left_anti")

@@ -245,6 +245,35 @@ def test_near_copies_go_and_others_stay(spark, docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def all_pairs_keep(texts):
+    """Places of the texts that stay when every pair at 0.8 or more is a link."""
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    first = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if first[a] != first[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((first[a], first[b]))
+                first = [low if f == high else f for f in first]
+    return set(first)
+
+
+def edited(base, r, edits):
+    words = list(base)
+    for at in r.choice(len(words), edits, replace=False):
+        words[at] = f"e{r.integers(10**9)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("cell", [1 << 17, 6000])
+def test_a_family_of_edited_copies_is_as_all_pairs_connect_it(spark, cell):
+    r = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = [edited(base, r, 1 + k % 4) for k in range(200)][::-1]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cell=cell)
+    assert {x.doc_id for x in out.collect()} == all_pairs_keep(texts)
+
+
 # 5
 
 
