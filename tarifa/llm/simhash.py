@@ -207,22 +207,31 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _least_hashes(texts: DataFrame, shingle: int, draws: int) -> DataFrame:
-    """rid, draw and value of texts (rid, text): the smallest shingle under each of ``draws`` hash functions."""
-    odd = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(draws)], np.uint64)
+def _bands(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """A key for each band of hash functions (odd: bands by functions): of the smallest shingle under each of them."""
+    least = np.full(odd.size, np.iinfo(np.uint64).max)
+    hashes = np.unique(hashes)
+    hashes ^= hashes >> np.uint64(29)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, np.multiply.outer(odd.ravel(), hashes[at : at + 4096]).min(axis=1), out=least)
+    least ^= least >> np.uint64(32)
+    return (least.reshape(odd.shape) * odd).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _sketched(rows: DataFrame, fingerprint_shingle: int, shingle: int, bands: int, per_band: int) -> DataFrame:
+    """rows, whose last column is a text, with fingerprint and bands (a key for each) in its place."""
+    text = rows.columns[-1]
+    odd = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(bands * per_band)], np.uint64).reshape(bands, per_band)
+    schema = rows.drop(text).withColumns({"fingerprint": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long"))}).schema
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((batch.num_rows, draws), np.uint64)
-            for row, text in enumerate(batch.column(1)):
-                hashes = shingle_hashes(text.as_py(), shingle)
-                if len(hashes):
-                    hashes ^= hashes >> np.uint64(29)
-                    found[row] = [(hashes * m).min() for m in odd]
-            rid = np.repeat(batch.column(0).to_numpy(), draws)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.tile(np.arange(draws), batch.num_rows)), pa.array(found.ravel().view(np.int64))], ["rid", "draw", "value"])
+            texts = batch.column(batch.num_columns - 1)
+            found = np.array([simhash(t.as_py(), fingerprint_shingle) for t in texts], np.uint64)
+            keys = [_bands(shingle_hashes(t.as_py(), shingle), odd) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "fingerprint", "bands"])
 
-    return texts.mapInArrow(draw, "rid long, draw long, value long")
+    return rows.mapInArrow(add, schema)
 
 
 def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -311,15 +320,15 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
     return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
 
 
-def _connected(cells: DataFrame, text_of: DataFrame, shingle: int, least: float, cell: int) -> DataFrame:
+def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: int, least: float, cell: int) -> DataFrame:
     """rid and root of the texts in cells (key, rid, place) that similar texts with a common key connect.
 
-    First each is compared with the first of its bucket. What that leaves in several parts is then compared within the
+    First each is compared with the first of its bucket, and the pairs ``also`` (a, b). What that leaves in several parts is then compared within the
     buckets, all pairs but those of one part and those with the first.
     """
     leads = cells.groupBy("key").agg(F.min("place").alias("lead"))
     rest = checkpointed(cells.join(leads, "key").filter("place <> lead").select("key", "rid", F.col("lead.rid").alias("lead")))
-    pairs = rest.select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = rest.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
     texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
     near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least))
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
@@ -333,31 +342,36 @@ def _connected(cells: DataFrame, text_of: DataFrame, shingle: int, least: float,
     return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, draws: int = 12, cell: int = 1 << 17) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, bands: int = 30, per_band: int = 3, cell: int = 1 << 17) -> DataFrame:
     """The rows of docs (doc_id, text and any others, all returned as they are) without near copies.
 
-    Of equal texts the first by doc_id stays (null last). Texts whose fingerprints are linked are candidates.
-    Those of them that share the smallest of their five-word shingles, under any of ``draws`` hash functions, are
-    compared, all pairs of them that nothing connects yet: a similarity of the shingle sets of at least 0.8 is a
-    link. Of texts that links connect, the first stays. Two alike miss each other with a chance of 0.2 to the power of
-    draws. Null texts count as empty: one of the texts without words stays. ``cell`` bounds the shingles compared at once.
+    Of equal texts the first by doc_id stays (null last). Texts whose fingerprints are linked are compared with the first of
+    them. Fingerprints can't find all that are alike: at a similarity of 0.8 they differ in 7 to 10 of 64 bits on
+    average. So all texts whose smallest five-word shingles are the same under each of the ``per_band`` hash functions of one of
+    ``bands`` bands are candidates too, and compared, all pairs of them that nothing connects yet. A similarity of the
+    shingle sets of at least 0.8 is a link; of texts that links connect, the first stays. Two texts at similarity s miss each
+    other with a chance of (1 - s ** per_band) ** bands: 4.5e-10 at 0.8, less above. Null texts count as empty: one of the texts
+    without words stays. ``cell`` bounds the shingles compared at once.
     """
     columns = docs.columns
     row = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # rid must not change between uses, so the rows are written once.
-    settled = written(fingerprints(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), fingerprint_shingle), "simhash")
+    settled = written(_sketched(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), fingerprint_shingle, shingle, bands, per_band), "simhash")
     narrow = settled.select("rid", "doc_id", "digest", "fingerprint")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     texts = checkpointed(narrow.groupBy("fingerprint", "digest").agg(F.min(order).alias("place")))
     found = groups(narrow, max_distance).select("fingerprint", F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).alias("group"))
-    member = texts.join(found, "fingerprint").select("group", "place", F.col("place.rid").alias("rid"))
-    several = member.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    member = checkpointed(member.join(several, "group", "left_semi"))
-    text_of = written(settled.join(member.select("rid"), "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
-
-    key = F.xxhash64("group", "draw", "value").alias("key")
-    cells = checkpointed(_least_hashes(text_of, shingle, draws).join(member, "rid").select(key, "rid", "place"))
-    linked = checkpointed(_connected(cells, text_of, shingle, least, cell).join(member.select("rid", "place"), "rid"))
+    member = texts.join(found, "fingerprint").select("group", "place")
+    firsts = member.groupBy("group").agg(F.min("place").alias("lead"))
+    linked_prints = checkpointed(member.join(firsts, "group").filter("place <> lead").select(F.col("place.rid").alias("a"), F.col("lead.rid").alias("b")))
+
+    place = texts.select(F.col("place.rid").alias("rid"), "place")
+    keyed = settled.select("rid", F.posexplode("bands").alias("band", "value")).join(place, "rid").select(F.xxhash64("band", "value").alias("key"), "rid", "place")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    cells = checkpointed(keyed.join(several, "key", "left_semi"))
+    compared = cells.select("rid").union(linked_prints.select("a")).union(linked_prints.select("b")).distinct()
+    text_of = written(settled.join(compared, "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
+    linked = checkpointed(_connected(cells, linked_prints, text_of, shingle, least, cell).join(place, "rid"))
     firsts = linked.groupBy("root").agg(F.min("place").alias("lead"))
     gone = linked.join(firsts, "root").filter("place <> lead").select("rid")
     kept = texts.select("place.rid").join(gone, "rid", "left_anti")

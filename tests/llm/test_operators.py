@@ -274,6 +274,24 @@ def test_a_family_of_edited_copies_is_as_all_pairs_connect_it(spark, cell):
     assert {x.doc_id for x in out.collect()} == all_pairs_keep(texts)
 
 
+def test_pairs_at_least_alike_are_found_whatever_their_fingerprints(spark):
+    r = np.random.default_rng(6)
+    texts, bands = [], {}
+    for k in range(400):
+        n = (50, 100, 300)[k % 3]
+        base = [f"p{k}x{j}" for j in range(n)]
+        other = edited(base, r, max(1, n // (50 + 5 * (k % 7)))) if k % 2 else " ".join(base + [f"q{k}x{j}" for j in range(n * (5 + k % 20) // 100)])
+        texts += [" ".join(base), other]
+    kept = {x.doc_id for x in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k in range(400):
+        alike = all_pairs_keep(texts[2 * k : 2 * k + 2]) == {0}
+        bits = (simhash.simhash(texts[2 * k]) ^ simhash.simhash(texts[2 * k + 1])).bit_count()
+        bands.setdefault((alike, bits > 7), []).append(2 * k + 1 in kept)
+        assert 2 * k in kept
+    assert len(bands[True, True]) > 20 and not any(bands[True, True]) and not any(bands[True, False])
+    assert all(x for (alike, _), stays in bands.items() if not alike for x in stays)
+
+
 # 5
 
 
