@@ -8,7 +8,8 @@ from the body down that reaches it, the subtree with the largest sum is content.
 around the core bounds the content, and is then taken whole.
 
 Scripts, menus, page headers and footers, sidebars, notices, adverts, forms and comments are cut first, by
-their elements, roles and class names.
+their elements, roles and class names. What is cut by a class name or as a form is only cut if it holds neither a
+main element, a headline (h1) nor the longest article; on a page without these, nor most of the text.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-CUT_TAGS = frozenset("head script style textarea title iframe noembed noframes noscript template svg math canvas object audio video map nav footer aside menu form fieldset button select datalist dialog dir search".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
+CUT_TAGS = frozenset("head script style textarea title iframe noembed noframes noscript template svg canvas object audio video map nav footer aside menu fieldset button select datalist dialog dir search".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 CUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion promoted sidebar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation footer masthead topbar toolbar pagination pager skip".split()
 )
+#: Words that may stand beside those in a class name or id that is cut.
+NEUTRAL = frozenset("site main page post article entry content left right top bottom upper lower primary secondary global inner outer box area list section container wrapper wrap widget block bar panel slot unit buttons button links link items item form row column col header mobile desktop".split())
 #: What an element closes that is still open, and what bounds the search for it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
@@ -45,6 +48,21 @@ _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _is_cut_name(token: str) -> bool:
+    """Whether a class name or id is a word of CUT_NAMES, or some of them with neutral words."""
+    words = {x.lower() for x in _NAME.findall(token)}
+    return token.lower() in CUT_NAMES or not CUT_NAMES.isdisjoint(words) and words <= CUT_NAMES | NEUTRAL
+
+
+def _is_named_cut(tag: str, attrs: str) -> bool:
+    if tag == "form":
+        return True
+    if not attrs.strip() or tag in WHOLE:
+        return False
+    found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
+    return found.get("role", "").lower() == "form" or any(map(_is_cut_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
+
+
 def _is_cut(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in CUT_TAGS or tag == "header" and not in_article:
         return True
@@ -53,10 +71,7 @@ def _is_cut(tag: str, attrs: str, in_article: bool) -> bool:
     found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
         return True
-    if found.get("role", "").lower() in CUT_ROLES:
-        return True
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    return not CUT_NAMES.isdisjoint(x.lower() for x in _NAME.findall(names))
+    return found.get("role", "").lower() in CUT_ROLES
 
 
 class Page:
@@ -64,6 +79,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.cut, self.within = ["#page"], [0], [False], [False]
+        self.named = [False]  # elements to cut by name unless they hold the content
         self.opened: Counter = Counter()  # open elements by name
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         stack, at, text_at = [0], 0, 0
@@ -93,7 +109,8 @@ class Page:
             self.tags.append(tag)
             self.parents.append(up)
             self.cut.append(self.cut[up] or _is_cut(tag, m["attrs"] or "", self.within[up]))
-            self.within.append(self.within[up] or tag == "article")
+            self.named.append(not self.cut[node] and _is_named_cut(tag, m["attrs"] or ""))
+            self.within.append(self.within[up] or tag in ("article", "main"))
             if tag in BLOCK:
                 self.events.append((node, None))
             elif tag == "br":
@@ -105,6 +122,27 @@ class Page:
                 stack.append(node)
                 self.opened[tag] += 1
 
+        if any(self.named):
+            self._cut_named()
+
+    def _cut_named(self) -> None:
+        n = len(self.tags)
+        chars = [0] * n
+        for node, text in self.events:
+            if text:
+                chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            chars[self.parents[i]] += chars[i]
+        articles = [i for i in range(n) if self.tags[i] == "article" and not self.cut[i]]
+        holds = [not self.cut[i] and chars[i] > 0 and self.tags[i] in ("main", "h1") for i in range(n)]
+        if articles:
+            holds[max(articles, key=lambda i: (chars[i], -i))] = True
+        for i in range(n - 1, 0, -1):
+            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
+        for i in range(1, n):
+            spared = holds[i] if holds[0] else 2 * chars[i] > chars[0]
+            self.cut[i] = self.cut[i] or self.cut[self.parents[i]] or self.named[i] and not spared
+
     def _text(self, node: int, text: str) -> None:
         if text and not self.cut[node]:
             self.events.append((node, entities.unescape(text)))
@@ -132,7 +170,7 @@ def _content(page: Page) -> list[bool]:
     n = len(page.tags)
     chars, tags, link_chars, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in page.events:
-        if text:
+        if text and not page.cut[node]:
             chars[node] += len("".join(text.split()))
     for i in range(n - 1, 0, -1):
         if page.cut[i]:

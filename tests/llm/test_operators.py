@@ -353,6 +353,17 @@ def test_main_text_of_pages(spark):
 # 7
 
 
+@pytest.mark.parametrize("wrap", ['<div class="has-sidebar">%s</div>', '<div class="content-with-ads">%s</div>', '<div class="no-comments nav-open">%s</div>', '<div class="post promoted">%s</div>', "<form>%s</form>"])
+def test_wrappers_by_name_keep_the_article(wrap):
+    body = "".join(f"<p>Paragraph {k} with enough of text in it to count as content of a page.</p>" for k in range(4))
+    side = '<div class="sidebar">Side <a href=1>link</a></div><div id="comments"><article class="comment">A comment.</article></div>'
+    got = html_density.main_text(f"<body>{wrap % f'<article><h1>Head</h1>{body}</article>{side}'}</body>")
+    assert got.startswith("Head\nParagraph 0") and "Paragraph 3" in got and "Side" not in got and "comment" not in got
+    assert "Paragraph 3" in html_density.main_text(f"<body>{wrap % body}</body>")
+    assert html_density.main_text(f"<body><main><header><h1>Head</h1></header>{body}<p>so <math><mi>x</mi></math> is</p></main></body>").startswith("Head\n")
+    assert "so x is" in html_density.main_text(f"<body><main>{body}<p>so <math><mi>x</mi></math> is</p></main></body>")
+
+
 def test_leaks_survive_substitutions_and_clean_documents_stay(spark, docs, none):
     item = [f"q{k}" for k in range(40)]
     swapped = [w if k % 11 else "other" for k, w in enumerate(item)]
