@@ -67,20 +67,21 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead:
     ).withColumn("span", F.expr(f"(upto - cost) div {budget} + greatest(upto - 1, 0) div {budget}"))
     placed = written(placed, "spans")
 
-    # Where each span begins, and what came before it: the history of a span reaches back from there.
+    # Where each span begins: its history reaches back from there, over as many spans as it takes. Turns and
+    # spans meet in stretches of ``history`` tokens; a turn that fits is in reach of the starts in two at most.
     spans = placed.groupBy("conv_id", "span").agg(F.min(F.col("upto") - F.col("cost")).alias("begins"))
-    following = Window.partitionBy("conv_id").orderBy("span")
-    spans = spans.withColumn("following", F.lead("span").over(following)).withColumn("ends", F.lead("begins").over(following))
+    stretch = max(history, 1)
     system = placed.filter("number = 1 AND role = 'system'").select("conv_id", F.struct("number", "turn", "role", "text", F.lit(True).alias("repeated")).alias("item"), "cost")
     turn = F.struct("number", "turn", "role", "text", F.lit(False).alias("repeated")).alias("item")
     again = F.struct("number", "turn", "role", "text", F.lit(True).alias("repeated")).alias("item")
-    ended = spans.filter("following IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "following", "ends")
+    starts = spans.filter("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "begins", F.expr(f"begins div {stretch}").alias("near"))
     is_system = (F.col("number") == 1) & (F.col("role") == "system")
-    repeated = placed.join(ended, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("span") == F.col("s"))).filter((F.col("ends") - F.col("upto") + F.col("cost") <= history) & ~is_system)
+    reach = placed.filter((F.col("cost") <= history) & ~is_system).withColumn("reach", F.explode(F.expr(f"sequence(upto div {stretch}, (upto - cost + {history}) div {stretch})")))
+    repeated = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("reach") == F.col("near"))).filter("s > span AND begins >= upto AND begins - upto + cost <= %d" % history)
     later = spans.filter("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"))
     all_items = (
         placed.select("conv_id", F.col("span").alias("window"), turn, "cost")
-        .union(repeated.select("conv_id", F.col("following").alias("window"), again, "cost"))
+        .union(repeated.select("conv_id", F.col("s").alias("window"), again, "cost"))
         .union(later.join(system, F.col("c").eqNullSafe(F.col("conv_id"))).select("conv_id", F.col("s").alias("window"), "item", "cost"))
     )
     grouped = all_items.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("item")).alias("items"), F.sum("cost").alias("n_tokens"))

@@ -415,6 +415,17 @@ def test_chat_windows_give_back_every_turn_once(spark):
     assert chat_windows.windows(turns.limit(0)).count() == 0
 
 
+def test_history_is_all_turns_before_the_span_that_fit(spark):
+    r = np.random.default_rng(4)
+    cost = [int(x) for x in r.integers(10, 60, 600)]
+    rows = [(1, k, "user", " ".join(["w"] * (c - 4))) for k, c in enumerate(cost)]
+    out = chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for w in out:
+        first = min(s.turn for s in w.segments if not s.repeated)
+        fits = [k for k in range(first) if sum(cost[k:first]) <= 256]
+        assert [s.turn for s in w.segments if s.repeated] == fits
+
+
 def test_digest_of_conversations(spark, tmp_path):
     from tarifa.llm.queries import op8_chat_windows
 
