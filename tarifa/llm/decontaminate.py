@@ -5,6 +5,9 @@ the windows where it stands at a selected position. The hashes under fixed masks
 benchmark and of the documents are joined. A hit aligns an item with a document; there the words are held
 against each other one by one, substitutions allowed, insertions not (the parts around one align by themselves).
 
+Items shorter than the compared window have contiguous seeds too: as many parts as substitutions are allowed, and
+one, so that one part has none. The documents are seeded by the lengths of these parts, where there are any.
+
 The benchmark's seeds are broadcast while they are few (max_broadcast, by count), as are candidates;
 beyond that they are joined by a shuffle.
 """
@@ -36,6 +39,18 @@ def seeds(hashes: Column) -> Column:
     return F.when(F.size(hashes) < SPAN, F.array().cast("array<bigint>")).otherwise(F.flatten(each))
 
 
+def run_seeds(hashes: Column, n: int) -> Column:
+    """The hashes of all runs of n words in order; none for fewer words."""
+    at = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    return F.when(F.size(hashes) < n, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(F.lit(-n), *[F.get(hashes, i + k) for k in range(n)])))
+
+
+def parts(n: int, least: int) -> list[tuple[int, int]]:
+    """Begin and end of the parts of an item of n words, one more than the substitutions that ``least`` per cent allow."""
+    count = min(n - -(-n * least // 100) + 1, n)
+    return [(n * i // count, n * (i + 1) // count) for i in range(count)]
+
+
 def _limited(df: DataFrame, max_broadcast: int) -> DataFrame:
     """df, for broadcasting if its rows, counted, are few enough."""
     return F.broadcast(df) if df.count() <= max_broadcast else df
@@ -47,17 +62,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int =
     An item is in a document if, aligned by a seed, at least ``least`` per cent of the words agree in some ``window``
     neighbouring words of the item (in all of a shorter item). Gives key, check (hashes of the document's row), doc_id,
     item_id, start (the document's word where the overlap begins), overlap and n_matches, of the alignment with
-    most matches, the first of those. Items of fewer than eight words have no seed and aren't found.
+    most matches, the first of those. Items shorter than ``window`` are found under any substitutions allowed.
     Null texts have no words; null ids are kept as null; repeated rows count once; empty tables give no rows.
     """
     items = checkpointed(benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), word_hashes(benchmark["text"]).alias("item")).distinct())
     item_seeds = items.select("item_id", "item", F.posexplode(seeds(F.col("item"))).alias("at", "seed"))
-    item_seeds = checkpointed(item_seeds.select("seed", "item_id", (F.col("at") / len(MASKS)).cast("int").alias("item_at"), F.xxhash64("item").alias("item_key")).distinct())
+    item_seeds = item_seeds.select("seed", "item_id", (F.col("at") / len(MASKS)).cast("int").alias("item_at"), F.xxhash64("item").alias("item_key"))
+    short = sorted(r.n for r in items.select(F.size("item").alias("n")).filter((F.col("n") > 0) & (F.col("n") < window)).distinct().collect())
+    for n in short:
+        runs = [F.struct(F.xxhash64(F.lit(a - b), *[F.get("item", F.lit(k)) for k in range(a, b)]).alias("seed"), F.lit(a).alias("at")) for a, b in parts(n, least)]
+        item_seeds = item_seeds.union(items.filter(F.size("item") == n).select("item_id", F.xxhash64("item").alias("item_key"), F.explode(F.array(*runs)).alias("r")).select("r.seed", "item_id", F.col("r.at").alias("item_at"), "item_key"))
+    item_seeds = checkpointed(item_seeds.distinct())
     row = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     keyed = row.select(*row_key(F.col("doc_id"), F.col("text")), "doc_id", word_hashes(F.col("text")).alias("words"))
-    found = keyed.select("key", "check", "doc_id", F.posexplode(seeds(F.col("words"))).alias("at", "seed"))
+    found = keyed.select("key", "check", "doc_id", F.posexplode(seeds(F.col("words"))).alias("at", "seed")).withColumn("at", (F.col("at") / len(MASKS)).cast("int"))
+    for n in sorted({b - a for m in short for a, b in parts(m, least)}):
+        found = found.union(keyed.select("key", "check", "doc_id", F.posexplode(run_seeds(F.col("words"), n)).alias("at", "seed")))
     hits = found.join(_limited(item_seeds, max_broadcast), "seed")
-    aligned = hits.select("key", "check", "doc_id", "item_id", "item_key", ((F.col("at") / len(MASKS)).cast("int") - F.col("item_at")).alias("shift")).distinct()
+    aligned = hits.select("key", "check", "doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     aligned = _limited(checkpointed(aligned), max_broadcast)
     words = keyed.drop("doc_id").join(aligned, ["key", "check"])
     own = items.select(F.xxhash64("item").alias("item_key"), F.col("item_id").alias("own_id"), "item")

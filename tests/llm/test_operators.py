@@ -364,6 +364,21 @@ def test_wrappers_by_name_keep_the_article(wrap):
     assert "so x is" in html_density.main_text(f"<body><main>{body}<p>so <math><mi>x</mi></math> is</p></main></body>")
 
 
+def test_short_items_are_found_under_all_substitutions_allowed(spark):
+    import itertools
+
+    items, found = [], []
+    for n in range(1, 13):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for m in range(n // 5 + 2):
+            for places in itertools.combinations(range(n), m):
+                found.append((n, m, " ".join(["before", *("sub" if k in places else w for k, w in enumerate(words)), "after"])))
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(found)], "doc_id long, text string")
+    out = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert out == {(k, n) for k, (n, m, _) in enumerate(found) if 100 * (n - m) >= 80 * n}
+
+
 def test_leaks_survive_substitutions_and_clean_documents_stay(spark, docs, none):
     item = [f"q{k}" for k in range(40)]
     swapped = [w if k % 11 else "other" for k, w in enumerate(item)]
