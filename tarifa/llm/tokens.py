@@ -4,9 +4,11 @@ A chunk is what the tokenizer's own pre-splitting never joins to its neighbours,
 the ids of its chunks in order:
 
 * ``spaced`` (byte-level BPE; a space belongs to the word after it): chunks are words with the space before
-  them, and single newlines. Texts with any other white space, or with two white-space characters in a row,
-  are encoded whole.
+  them, and single newlines. Where a text has other white space, or more of it in a row, they are words with
+  the one character of white space before them, and what white space is left.
 * ``bare`` (white space is dropped): chunks are runs without ASCII white space.
+
+Texts that hold one of the tokenizer's special strings are encoded whole, as these are cut out first.
 """
 
 from __future__ import annotations
@@ -22,8 +24,13 @@ import public_tokenizers
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Control characters and uncommon white space: a text with any of them is encoded whole.
-_ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2060\u3000\ufeff]")
+# The characters with the Unicode property White_Space.
+_SPACES = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: What the simple split can't do: the mark it uses, other white space, and white space in a row.
+_RARE = ("\0", "  ", "\n\n", " \n", "\n ", *[c for c in _SPACES if c not in " \n"])
+_SPACE = re.escape("".join(_SPACES))
+_ANY_CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
+_WHITE = re.compile(f"[{_SPACE}]")
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,6 +46,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.max_chunks, self.group_chars, self.join = spaced, max_chunks, group_chars, join
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # What stands between new chunks that are encoded together: its one id marks the cuts.
         self.mark = "\n" if spaced else "\x01"
         self.between = "\n" if spaced else "\n\x01\n"
@@ -52,13 +60,13 @@ class ChunkEncoder:
         self.known = defaultdict(None, zip(chunks, range(len(chunks)), strict=True))
         self.known.default_factory = self.known.__len__
         self.flat, self.lens, self.starts = flat, lens, np.cumsum(lens) - lens
-        self.used, self.odd = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), bool)
+        self.used = np.zeros(len(chunks), np.int64)
 
     def _forget(self) -> None:
         least = 2
         while np.count_nonzero(self.used >= least) > self.max_chunks // 2:
             least *= 2
-        old = np.flatnonzero((self.used >= least) & ~self.odd)
+        old = np.flatnonzero(self.used >= least)
         chunks = list(self.known)
         self._keep([chunks[i] for i in old.tolist()], old)
 
@@ -71,17 +79,18 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _chunks(self, text: str) -> list | None:
+        if any(x in text for x in self.special):
+            return None
         if not self.spaced:
             return text.encode("utf-8", "surrogatepass").split()
-        if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\0")):
-            return None
+        if any(x in text for x in _RARE):
+            return _ANY_CHUNK.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _learn(self, new: list) -> None:
-        """Ids of new chunks: encoded joined, cut apart at the marks; chunks that are or hold a mark by themselves."""
+        """Ids of new chunks: encoded joined, cut apart at the marks; by themselves chunks that hold a mark, or white space but a space at the start."""
         texts = new if self.spaced else [x.decode("utf-8", "surrogatepass") for x in new]
-        self.odd = np.concatenate([self.odd, [self.spaced and _ODD.search(x) is not None for x in texts]])
-        alone = [i for i, x in enumerate(texts) if self.mark in x or not x.strip(" ")]
+        alone = [i for i, x in enumerate(texts) if self.mark in x or not x.strip(" ") or self.spaced and _WHITE.search(x, x[0] == " ")]
         single = set(alone)
         most = [i for i in range(len(texts)) if i not in single]
         joined = [self.between.join([texts[i] for i in most[a : a + self.join]]) for a in range(0, len(most), self.join)]
@@ -109,7 +118,7 @@ class ChunkEncoder:
             self._learn(list(islice(known, before, None)))
         out = []
         for at, text in zip(places, texts, strict=True):
-            out.append(self._whole(text) if at is None or self.odd[at].any() else self._gather(at))
+            out.append(self._whole(text) if at is None else self._gather(at))
         if every := [at for at in places if at is not None]:
             self.used += np.bincount(np.concatenate(every), minlength=len(self.used))
         if len(known) > self.max_chunks:
