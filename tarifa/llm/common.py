@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: White space of the word rule: words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def whole_row(df: DataFrame, name: str = "row") -> Column:
+    """All columns of df as one struct, whatever their names; select("row.*") gives them back."""
+    return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns]).alias(name)

@@ -14,7 +14,9 @@ spanning forest of its links, not the links, so groups of near copies give about
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import checkpointed, written
+from tarifa.llm.common import checkpointed, whole_row, written
 
 SEED = 42
 
@@ -73,10 +75,18 @@ class _Forest(dict):
             self[x], x = top, self[x]
         return top
 
-    def link(self, a: int, b: int) -> None:
+    def link(self, a: int, b: int) -> bool:
+        """Whether that connects what wasn't connected."""
         a, b = self.root(a), self.root(b)
         if a != b:
             self[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _edges(pairs: list[tuple[int, int]], kind: type) -> Iterator[pa.RecordBatch]:
+    rows = np.array(pairs, kind).reshape(-1, 2).view(np.int64)
+    for at in range(0, len(rows), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000, 0]), pa.array(rows[at : at + 10_000, 1])], ["a", "b"])
 
 
 def _linked(start: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
@@ -115,7 +125,7 @@ def links(distinct: DataFrame, max_distance: int = 3, cell: int = 4096, pairs: i
     grouped = split.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fingerprint")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Forest()
+        found, kept = _Forest(), []
 
         def compare(run: np.ndarray, start: np.ndarray, f: np.ndarray) -> None:
             # Each row against the rows after it in its run, so many pairs at a time.
@@ -129,7 +139,9 @@ def links(distinct: DataFrame, max_distance: int = 3, cell: int = 4096, pairs: i
                 first = np.repeat(np.arange(at, to), n)
                 second = first + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for k in _linked(start[first], f[first], f[second], width).tolist():
-                    found.link(int(f[first[k]]), int(f[second[k]]))
+                    pair = int(f[first[k]]), int(f[second[k]])
+                    if found.link(*pair):
+                        kept.append(pair)
                 at = to
 
         held: list[pa.RecordBatch] = []
@@ -152,9 +164,7 @@ def links(distinct: DataFrame, max_distance: int = 3, cell: int = 4096, pairs: i
                 flush(False)
         if held:
             flush(True)
-        rows = np.array([(k, found.root(k)) for k in list(found)], np.uint64).reshape(-1, 2).view(np.int64)
-        for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000, 0]), pa.array(rows[at : at + 10_000, 1])], ["a", "b"])
+        yield from _edges(kept, np.uint64)
 
     order = ["key", "low", "high"]
     return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
@@ -203,37 +213,128 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     Repeated rows give a row each; an empty table gives none; other columns are ignored.
     """
     prints = checkpointed(fingerprints(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), shingle))
-    found = prints.join(groups(prints, max_distance), "fingerprint")
+    # Both sides of the last join come anew from shuffles, so a fingerprint that very many share is split.
+    found = prints.join(written(groups(prints, max_distance), "components"), "fingerprint")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _bands(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """A key for each band of hash functions (odd: bands by functions): of the smallest shingle under each of them."""
-    least = np.full(odd.size, np.iinfo(np.uint64).max)
-    hashes = np.unique(hashes)
-    hashes ^= hashes >> np.uint64(29)
-    for at in range(0, len(hashes), 4096):
-        np.minimum(least, np.multiply.outer(odd.ravel(), hashes[at : at + 4096]).min(axis=1), out=least)
-    least ^= least >> np.uint64(32)
-    return (least.reshape(odd.shape) * odd).sum(axis=1, dtype=np.uint64).view(np.int64)
+#: Multipliers of the words in a shingle, and what is added for the words a short text lacks.
+_ODD = np.array([xxhash.xxh64_intdigest(f"word {k}", SEED) | 1 for k in range(64)], np.uint64)
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
 
-def _sketched(rows: DataFrame, fingerprint_shingle: int, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """rows, whose last column is a text, with fingerprint and bands (a key for each) in its place."""
+
+def shingle_keys(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the word shingles of the texts one after the other, and how many each has. A-Z are lower-cased;
+    a text of fewer words has the whole sequence, one without words none."""
+    number: defaultdict = defaultdict()
+    number.default_factory = number.__len__
+    parts = [[number[w] for w in (t or "").encode("utf-8", "surrogatepass").lower().split()] for t in texts]
+    n = np.array([len(p) for p in parts], np.int64)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, SEED) for w in number], np.uint64)
+    words = hashes[np.fromiter(chain.from_iterable(parts), np.int64, int(n.sum()))]
+    begins = np.cumsum(n) - n
+    left = np.repeat(begins + n, n) - np.arange(len(words))  # words from here to the end of the text
+    whole = left >= shingle
+    whole[begins[n > 0]] = True
+    at, left = np.flatnonzero(whole), left[whole]
+    padded = np.concatenate([words, np.zeros(shingle, np.uint64)])
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(shingle):
+        keys += np.where(left > k, padded[at + k], np.uint64(k)) * _ODD[k]
+    return _mix(keys), np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+
+
+def _fingerprints(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text: bits set in over half of its keys."""
+    has = np.flatnonzero(counts)
+    ends = np.cumsum(counts[has])
+    sums = np.zeros((len(counts), 64), np.int64)
+    for at in range(0, len(keys), 65536):
+        bits = np.unpackbits(keys[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        first, last = np.searchsorted(ends, [at, at + len(bits) - 1], side="right")
+        cuts = np.concatenate([[0], ends[first:last] - at])
+        sums[has[first : last + 1]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _band_keys(keys: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """A key for each text and band of hash functions (odd: bands by functions): of the smallest shingle under each of them."""
+    has = np.flatnonzero(counts)
+    starts = (np.cumsum(counts) - counts)[has]
+    out = np.zeros((len(counts), len(odd)), np.uint64)
+    for band, functions in enumerate(odd):
+        for k, f in enumerate(functions):
+            least = np.full(len(counts), np.iinfo(np.uint64).max)
+            if len(has):
+                least[has] = np.minimum.reduceat(keys * f, starts)
+            out[:, band] += _mix(least) * _ODD[k]
+        out[:, band] = _mix(out[:, band] + np.uint64(band))
+    return out
+
+
+def _sketched(rows: DataFrame, shingle: int, bands: int, per_band: int, slice_chars: int = 2_000_000) -> DataFrame:
+    """rows, whose last column is a text, with fingerprint and keys in its place: those of the bands, and the fingerprint as one more."""
     text = rows.columns[-1]
     odd = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(bands * per_band)], np.uint64).reshape(bands, per_band)
-    schema = rows.drop(text).withColumns({"fingerprint": F.lit(0).cast("long"), "bands": F.array(F.lit(0).cast("long"))}).schema
+    schema = rows.drop(text).withColumns({"fingerprint": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long"))}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found = np.array([simhash(t.as_py(), fingerprint_shingle) for t in texts], np.uint64)
-            keys = [_bands(shingle_hashes(t.as_py(), shingle), odd) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "fingerprint", "bands"])
+            texts, begin = batch.column(batch.num_columns - 1).to_pylist(), 0
+            while begin < len(texts):
+                end, size = begin, 0
+                while end < len(texts) and (end == begin or size + len(texts[end] or "") <= slice_chars):
+                    size, end = size + len(texts[end] or ""), end + 1
+                keys, counts = shingle_keys(texts[begin:end], shingle)
+                prints = _fingerprints(keys, counts)
+                every = np.concatenate([_band_keys(keys, counts, odd), _mix(prints ^ np.uint64(1))[:, None]], axis=1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - begin + 1) * every.shape[1], pa.int32()), pa.array(every.ravel()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), pa.array(prints.view(np.int64)), lists], [*batch.schema.names[:-1], "fingerprint", "keys"])
+                begin = end
 
     return rows.mapInArrow(add, schema)
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """key, rid and lead of the rows of keyed (key, rid) that share their key with a smaller rid; lead is the smallest.
+
+    Rows are dealt by ranges of (key, rid), so a key that very many share lies in many tasks. A task gives each
+    row the first of its key there; the firsts of keys at the ends of tasks, two a task, are put in order after.
+    """
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_lead, begun = None, None, False
+        names = ["key", "rid", "lead", "at_end"]
+        give = lambda k, r, x, e: pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(x), pa.array(np.full(len(k), e))], names)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rid = (batch.column(i).to_numpy() for i in range(2))
+            new = np.concatenate([[key[0] != last_key or not begun], key[1:] != key[:-1]])
+            if not begun:
+                begun = True
+                yield give(key[:1], rid[:1], rid[:1], True)
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            leads = np.where(at >= 0, rid[at], last_lead if last_lead is not None else 0)
+            yield give(key[~new], rid[~new], leads[~new], False)
+            last_key, last_lead = key[-1], leads[-1]
+        if begun:
+            one = np.array([last_key], np.int64), np.array([last_lead], np.int64)
+            yield give(one[0], one[1], one[1], True)
+
+    order = ["key", "rid"]
+    found = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lead, "key long, rid long, lead long, at_end boolean"), "buckets")
+    # Two rows for each task at most.
+    ends = F.broadcast(found.filter("at_end").groupBy("key").agg(F.min("lead").alias("top")))
+    return found.join(ends, "key", "left").select("key", "rid", F.coalesce("top", "lead").alias("lead")).filter("rid <> lead")
+
+
 def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     """a, b of the pairs (a, b, text, leader) whose shingle sets have a Jaccard similarity of at least ``least``."""
 
@@ -243,8 +344,8 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
             kept = []
             for text, b in zip(batch.column(2), batch.column(3), strict=True):
                 if (b := b.as_py()) != last:
-                    last, leader = b, np.unique(shingle_hashes(b, shingle))
-                own = np.unique(shingle_hashes(text.as_py(), shingle))
+                    last, leader = b, np.unique(shingle_keys([b], shingle)[0])
+                own = np.unique(shingle_keys([text.as_py()], shingle)[0])
                 both = len(np.intersect1d(own, leader, assume_unique=True))
                 kept.append(both >= least * (len(own) + len(leader) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
@@ -257,7 +358,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            sets = [np.unique(shingle_keys([t.as_py()], shingle)[0]) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n", "shingles"])
 
     return texts.select("rid", "text").mapInArrow(cut, "rid long, n long, shingles binary")
@@ -270,14 +371,16 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
     pair of cells is a group of its own. In it each member is held against all others at once, unless one part
     is left. Gives a spanning forest of the links of a task, between parts.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.sum("n") / cell).cast("int").alias("cells")).filter("cells > 1")
+    # Both come anew from a table, so a bucket of very many is split by the join too.
+    members = written(members, "members")
+    sizes = written(members.groupBy("key").agg(F.ceil(F.sum("n") / cell).cast("int").alias("cells")).filter("cells > 1"), "cells")
     own = F.coalesce(F.pmod(F.xxhash64("rid"), F.col("cells")).cast("int"), F.lit(0))
     other = F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))
     split = members.join(sizes, "key", "left").select("key", "part", "shingles", own.alias("own"), other.alias("other"))
     grouped = split.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "part", "shingles")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Forest()
+        found, kept = _Forest(), []
 
         def compare(parts: list[int], sets: list[bytes]) -> None:
             roots = np.array([found.root(p) for p in parts])
@@ -297,7 +400,8 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
                 both[has] = np.add.reduceat(mark[at], (ends - sizes)[has]) if len(has) else 0
                 mark[own] = 0
                 for k in np.flatnonzero((both >= least * (sizes + sizes[i] - both)) & (roots != roots[i])).tolist():
-                    found.link(parts[i], parts[k])
+                    if found.link(parts[i], parts[k]):
+                        kept.append((parts[i], parts[k]))
                     roots[(roots == roots[i]) | (roots == roots[k])] = found.root(parts[i])
 
         run, parts, sets = None, [], []
@@ -312,28 +416,24 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
                 sets.append(now[4])
         if len(parts) > 1:
             compare(parts, sets)
-        rows = np.array([(k, found.root(k)) for k in list(found)], np.int64).reshape(-1, 2)
-        for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000, 0]), pa.array(rows[at : at + 10_000, 1])], ["a", "b"])
+        yield from _edges(kept, np.int64)
 
     order = ["key", "low", "high"]
     return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
 
 
 def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: int, least: float, cell: int) -> DataFrame:
-    """rid and root of the texts in cells (key, rid, place) that similar texts with a common key connect.
+    """rid and root of the texts in cells (key, rid, lead) that similar texts with a common key connect.
 
-    First each is compared with the first of its bucket, and the pairs ``also`` (a, b). What that leaves in several parts is then compared within the
-    buckets, all pairs but those of one part and those with the first.
+    First each is compared with the lead of its bucket, and the pairs ``also`` (a, b). What that leaves in several parts is
+    then compared within the buckets, all pairs but those of one part and those with the lead.
     """
-    leads = cells.groupBy("key").agg(F.min("place").alias("lead"))
-    rest = checkpointed(cells.join(leads, "key").filter("place <> lead").select("key", "rid", F.col("lead.rid").alias("lead")))
-    pairs = rest.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
+    pairs = cells.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
     texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
     near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least))
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
-    parts = checkpointed(rest.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")))
-    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key")
+    parts = written(cells.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")), "parts")
+    several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key"), "several")
     parts = checkpointed(parts.join(several, "key", "left_semi"))
     if parts.isEmpty():
         return linked
@@ -342,37 +442,33 @@ def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: i
     return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 7, fingerprint_shingle: int = 3, shingle: int = 5, least: float = 0.8, bands: int = 30, per_band: int = 3, cell: int = 1 << 17) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 5, least: float = 0.8, bands: int = 30, per_band: int = 5, cell: int = 1 << 17) -> DataFrame:
     """The rows of docs (doc_id, text and any others, all returned as they are) without near copies.
 
-    Of equal texts the first by doc_id stays (null last). Texts whose fingerprints are linked are compared with the first of
-    them. Fingerprints can't find all that are alike: at a similarity of 0.8 they differ in 7 to 10 of 64 bits on
-    average. So all texts whose smallest five-word shingles are the same under each of the ``per_band`` hash functions of one of
+    Of equal texts the first by doc_id stays (null last). Texts whose fingerprints (of five-word shingles) are linked
+    within ``max_distance`` bits are compared. Fingerprints can't find all that are alike: at a similarity of 0.8 they differ in
+    about 10 of 64 bits. So texts whose smallest shingles are the same under each of the ``per_band`` hash functions of one of
     ``bands`` bands are candidates too, and compared, all pairs of them that nothing connects yet. A similarity of the
     shingle sets of at least 0.8 is a link; of texts that links connect, the first stays. Two texts at similarity s miss each
-    other with a chance of (1 - s ** per_band) ** bands: 4.5e-10 at 0.8, less above. Null texts count as empty: one of the texts
+    other with a chance of (1 - s ** per_band) ** bands: 7e-6 at 0.8, 3e-8 at 0.85. Null texts count as empty: one of the texts
     without words stays. ``cell`` bounds the shingles compared at once.
     """
-    columns = docs.columns
-    row = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    row = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # rid must not change between uses, so the rows are written once.
-    settled = written(_sketched(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), fingerprint_shingle, shingle, bands, per_band), "simhash")
-    narrow = settled.select("rid", "doc_id", "digest", "fingerprint")
+    settled = written(_sketched(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), shingle, bands, per_band), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    texts = checkpointed(narrow.groupBy("fingerprint", "digest").agg(F.min(order).alias("place")))
-    found = groups(narrow, max_distance).select("fingerprint", F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).alias("group"))
-    member = texts.join(found, "fingerprint").select("group", "place")
-    firsts = member.groupBy("group").agg(F.min("place").alias("lead"))
-    linked_prints = checkpointed(member.join(firsts, "group").filter("place <> lead").select(F.col("place.rid").alias("a"), F.col("lead.rid").alias("b")))
-
-    place = texts.select(F.col("place.rid").alias("rid"), "place")
-    keyed = settled.select("rid", F.posexplode("bands").alias("band", "value")).join(place, "rid").select(F.xxhash64("band", "value").alias("key"), "rid", "place")
-    several = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    cells = checkpointed(keyed.join(several, "key", "left_semi"))
-    compared = cells.select("rid").union(linked_prints.select("a")).union(linked_prints.select("b")).distinct()
+    place = checkpointed(settled.groupBy("fingerprint", "digest").agg(F.min(order).alias("place")).select("fingerprint", F.col("place.rid").alias("rid"), "place"))
+    prints = checkpointed(place.groupBy("fingerprint").agg(F.min("rid").alias("rid")))
+    between = checkpointed(links(prints.select("fingerprint"), max_distance))
+    rid_of = lambda c, name: prints.select(F.col("fingerprint").alias(c), F.col("rid").alias(name))
+    also = checkpointed(between.join(rid_of("a", "x"), "a").join(rid_of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    keyed = settled.select("rid", "keys").join(place.select("rid"), "rid", "left_semi").select(F.explode("keys").alias("key"), "rid")
+    cells = written(_buckets(keyed), "candidates")
+    compared = cells.select("rid").union(cells.select("lead")).union(also.select("a")).union(also.select("b")).distinct()
     text_of = written(settled.join(compared, "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
-    linked = checkpointed(_connected(cells, linked_prints, text_of, shingle, least, cell).join(place, "rid"))
+    linked = checkpointed(_connected(cells, also, text_of, shingle, least, cell).join(place.drop("fingerprint"), "rid"))
     firsts = linked.groupBy("root").agg(F.min("place").alias("lead"))
     gone = linked.join(firsts, "root").filter("place <> lead").select("rid")
-    kept = texts.select("place.rid").join(gone, "rid", "left_anti")
-    return settled.join(kept, "rid", "left_semi").select("row.*").select(*columns)
+    kept = place.select("rid").join(gone, "rid", "left_anti")
+    return settled.join(kept, "rid", "left_semi").select("row.*")
