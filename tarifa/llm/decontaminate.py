@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import GAP, checkpointed
+from tarifa.llm.common import GAP, checkpointed, whole_row
 
 #: Selected positions of each mask; both span eight words.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 7))
@@ -105,5 +105,5 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 80) -> DataFrame:
     """The rows of docs that hold no item of the benchmark, with all columns of docs as they are."""
     found = checkpointed(leaks(docs, benchmark, window, least).select("key", "check").distinct())
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    row = docs.select(whole_row(docs), *row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
     return row.join(_limited(found, 400_000), ["key", "check"], "left_anti").select("row.*")

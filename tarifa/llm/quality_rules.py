@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import GAP
+from tarifa.llm.common import GAP, whole_row
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -64,13 +64,15 @@ def statistics(text: Column) -> Column:
 
 #: What the list may test: ratios of the counts, so that no rule hangs on a text's length alone.
 FEATURES = {
-    "n_words": "n_words",
     "mean_word_chars": "word_chars / greatest(n_words, 1)",
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "dup_lines_per_word": "n_dup_lines / greatest(n_words, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
 }
 
+#: Columns that judge() gives.
+GIVEN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 
@@ -183,7 +185,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     docs has text; its own columns of these names are replaced. A null text has no words, so the base rule
     fails it. Without rules the base rule decides alone.
     """
-    out = with_statistics(docs).withColumn("base_failed", F.expr(BASE_FAILED))
+    out = with_statistics(docs.drop(*GIVEN)).withColumn("base_failed", F.expr(BASE_FAILED))
     listed = F.lit(None).cast("int")
     for k in range(len(rules) - 1, -1, -1):
         listed = F.when(rules[k].condition(), F.lit(k + 1)).otherwise(listed)
@@ -203,5 +205,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000
 def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
     """The rows of docs that the rules keep, with all columns of docs as they are."""
     rules = learn_rules(labelled_rows(docs, labels, max_labelled))
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
-    return judge(row, rules).filter("kept").select("row.*")
+    return judge(docs.select(whole_row(docs), docs["text"].alias("text")), rules).filter("kept").select("row.*")
