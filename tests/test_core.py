@@ -210,3 +210,18 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "online_prices_page" in e.queries()
+
+
+def test_entry_without_the_training_data_package(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tarifa", tmp_path / "tarifa", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / f).exists():
+            shutil.copy(root / f, tmp_path / f)
+    said = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and 'current_catalog' in q and set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}).returncode == 0
