@@ -1,6 +1,7 @@
 """The catalog's own rules on small fixtures with a fixed clock."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
