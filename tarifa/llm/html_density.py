@@ -3,13 +3,14 @@
 For every element, with C characters of text in T tags, of which LC characters are in LT links, the density is
 C / T times the logarithm of (C / LC) (T / LT), to the base ln(C LC / (C - LC) + C LCb / Cb + e), where b is
 the body: many links make it small. An element's density sum is that of its children. The element with the
-largest sum is the core; the smallest density on its path to the body is the threshold, and of each element
-from the body down that reaches it, the subtree with the largest sum is content. An article or main element
-around the core bounds the content, and is then taken whole.
-
-Scripts, menus, page headers and footers, sidebars, notices, adverts, forms and comments are cut first, by
-their elements, roles and class names. What is cut by a class name or as a form is only cut if it holds neither a
-main element, a headline (h1) nor the longest article; on a page without these, nor most of the text.
+largest sum is the core; the smallest density on its path to the body is the threshold. The core is content, and of
+each other element that reaches the threshold the subtree with the largest sum.
+
+Scripts, menus, page headers and footers, sidebars, hidden and form controls aren't counted, by the element or role that says so. Other
+signs are weights on the densities: a class name or id that speaks of adverts, comments or the like, and a form, weigh
+their subtree down, so a wrapper of that name around everything changes nothing; an article or main
+element weighs it up, and if the core lies in one, the path ends there: its headline and its short paragraphs are
+content too, and nothing outside. In what is content, a block below the threshold that is weighed down or made of links is not.
 """
 
 from __future__ import annotations
@@ -40,9 +41,12 @@ NEUTRAL = frozenset("site main page post article entry content left right top bo
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 WHOLE = frozenset({"html", "body", "main", "article"})
+#: Weights on densities: of what names or forms mark, and of the article or main element.
+MARKED, ARTICLE = 0.01, 10.0
 
+# Only a quote after an equals sign opens a value; one that never closes is an ordinary character. Nothing is tried twice.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]{0,8192}"|'[^']{0,8192}'|[^'">])*|[^>]*)(?:>|\Z)""", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>=\s*"[^"]*"|=\s*'[^']*'|[^>=]+|=)*+)(?:>|\Z)""", re.DOTALL
 )
 _ATTR = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -54,7 +58,7 @@ def _is_cut_name(token: str) -> bool:
     return token.lower() in CUT_NAMES or not CUT_NAMES.isdisjoint(words) and words <= CUT_NAMES | NEUTRAL
 
 
-def _is_named_cut(tag: str, attrs: str) -> bool:
+def _is_marked(tag: str, attrs: str) -> bool:
     if tag == "form":
         return True
     if not attrs.strip() or tag in WHOLE:
@@ -79,7 +83,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.cut, self.within = ["#page"], [0], [False], [False]
-        self.named = [False]  # elements to cut by name unless they hold the content
+        self.weight = [1.0]
         self.opened: Counter = Counter()  # open elements by name
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         stack, at, text_at = [0], 0, 0
@@ -109,7 +113,8 @@ class Page:
             self.tags.append(tag)
             self.parents.append(up)
             self.cut.append(self.cut[up] or _is_cut(tag, m["attrs"] or "", self.within[up]))
-            self.named.append(not self.cut[node] and _is_named_cut(tag, m["attrs"] or ""))
+            is_article = tag in ("article", "main") and not self.within[up] and self.weight[up] == 1.0
+            self.weight.append(self.weight[up] * (MARKED if _is_marked(tag, m["attrs"] or "") else ARTICLE if is_article else 1.0))
             self.within.append(self.within[up] or tag in ("article", "main"))
             if tag in BLOCK:
                 self.events.append((node, None))
@@ -122,27 +127,6 @@ class Page:
                 stack.append(node)
                 self.opened[tag] += 1
 
-        if any(self.named):
-            self._cut_named()
-
-    def _cut_named(self) -> None:
-        n = len(self.tags)
-        chars = [0] * n
-        for node, text in self.events:
-            if text:
-                chars[node] += len("".join(text.split()))
-        for i in range(n - 1, 0, -1):
-            chars[self.parents[i]] += chars[i]
-        articles = [i for i in range(n) if self.tags[i] == "article" and not self.cut[i]]
-        holds = [not self.cut[i] and chars[i] > 0 and self.tags[i] in ("main", "h1") for i in range(n)]
-        if articles:
-            holds[max(articles, key=lambda i: (chars[i], -i))] = True
-        for i in range(n - 1, 0, -1):
-            holds[self.parents[i]] = holds[self.parents[i]] or holds[i]
-        for i in range(1, n):
-            spared = holds[i] if holds[0] else 2 * chars[i] > chars[0]
-            self.cut[i] = self.cut[i] or self.cut[self.parents[i]] or self.named[i] and not spared
-
     def _text(self, node: int, text: str) -> None:
         if text and not self.cut[node]:
             self.events.append((node, entities.unescape(text)))
@@ -165,8 +149,8 @@ class Page:
         return False
 
 
-def _content(page: Page) -> list[bool]:
-    """Which elements are content."""
+def densities(page: Page) -> tuple[int, list[float], list[int], list[int], list[int]]:
+    """The body, and of every element the weighted density, characters, characters in links, and links."""
     n = len(page.tags)
     chars, tags, link_chars, links = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in page.events:
@@ -194,7 +178,13 @@ def _content(page: Page) -> list[bool]:
         base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + share * c + math.e)
         return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base + 1e-9) if base > 1.0 + 1e-6 else c / t * math.log(max(c / lc * t / lt, 1.0))
 
-    dense = [0.0 if page.cut[i] else density(i) for i in range(n)]
+    return body, [0.0 if page.cut[i] else page.weight[i] * density(i) for i in range(n)], chars, link_chars, links
+
+
+def _content(page: Page) -> list[bool]:
+    """Which elements are content."""
+    n = len(page.tags)
+    body, dense, chars, link_chars, links = densities(page)
     sums = [0.0] * n
     for i in range(1, n):
         sums[page.parents[i]] += dense[i]
@@ -208,22 +198,27 @@ def _content(page: Page) -> list[bool]:
     path = [core]
     while path[-1] != body:
         path.append(page.parents[path[-1]])
-    bound = [i for i in path if page.tags[i] in ("article", "main")]
-    if bound:
-        chosen[bound[-1]] = True
-    else:
-        threshold = min(dense[i] for i in path)
-        best = list(range(n))  # the element with the largest sum in each subtree
-        for i in range(n - 1, 0, -1):
-            up = page.parents[i]
-            if not page.cut[i] and sums[best[i]] > sums[best[up]]:
-                best[up] = best[i]
-        chosen[core] = True
+    articles = [k for k, i in enumerate(path) if page.tags[i] in ("article", "main")]
+    if articles:
+        path = path[: articles[-1] + 1]
+    threshold = min(dense[i] for i in path)
+    chosen[path[-1] if articles else core] = True
+    best = list(range(n))  # the element with the largest sum in each subtree
+    for i in range(n - 1, 0, -1):
+        up = page.parents[i]
+        if not page.cut[i] and sums[best[i]] > sums[best[up]]:
+            best[up] = best[i]
+    if not articles:
         for i in range(n):
-            if inside[i] and not page.cut[i] and chars[i] and i != body and i not in path and dense[i] >= threshold:
+            if inside[i] and not page.cut[i] and chars[i] and i not in path and dense[i] >= threshold:
                 chosen[best[i] if sums[best[i]] else i] = True
+    on_path = set(path)
     for i in range(1, n):
         chosen[i] = (chosen[i] or chosen[page.parents[i]]) and not page.cut[i]
+        if chosen[i] and i not in on_path and dense[i] < threshold:
+            marked = page.weight[i] < page.weight[page.parents[i]]
+            listed = page.tags[i] in BLOCK and links[i] > 2 and 2 * link_chars[i] > chars[i]
+            chosen[i] = not (marked or listed)
     return chosen
 
 
