@@ -1,13 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Turns get the running sum of their tokens within the conversation. That sum, by the window's budget, says in
-which span a turn lies, so spans are turn-aligned and every turn has one. A window is a span with the
-conversation's system turn before it and as many of the turns just before the span as fit into the history
-budget; what is repeated is masked, and so each assistant turn is a target once.
+Turns get the running sum of their tokens within the conversation. That sum, by the room that the budget leaves beside
+the history and the system turn, says in which span a turn lies, so spans are turn-aligned and every turn has one.
+A window is a span with the conversation's system turn before it and as many of the turns just before the span as
+fit into the history budget; what is repeated is masked, and so each assistant turn is a target once.
 
 Turns are dealt by ranges of (conversation, turn), so one long conversation lies in many tasks; its running
 sum is that within a task plus the sums of the tasks before, a row for each task and conversation that
-it shares with another. A window is bounded by its budgets or its one long turn, whatever the conversation.
+it shares with another. A window is bounded by its budget or its one long turn, whatever the conversation.
 """
 
 from __future__ import annotations
@@ -36,16 +36,21 @@ def _order(conv: str = "conv_id") -> list[Column]:
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead: int = 4, tokens: Column | None = None) -> DataFrame:
     """A row for each window of the conversations in turns (conv_id, turn, role, text).
 
-    Gives conv_id, window (number in the conversation), formatted (the template's text), n_tokens, and segments: for each turn
+    Gives conv_id, window (rises in the conversation), formatted (the template's text), n_tokens, and segments: for each turn
     in it role, turn, begin and length (of the escaped text in formatted), repeated, and target (under the loss mask: assistant turns
-    that aren't repeated). tokens is a column that counts a turn's tokens (default: its words); each turn costs
-    ``overhead`` more. The running sum is cut at the multiples of ``budget``: turns between two cuts make a span, and a turn
-    across a cut makes one of its own, so a span costs at most ``budget`` unless it is a single turn. A system turn that opens a conversation is repeated in each later window; history are the turns just before
-    the span, latest first, while their sum is at most ``history``.
+    that aren't repeated). tokens is a column that counts a turn's tokens (default: its words); each turn costs ``overhead`` more.
+
+    No window has more than ``budget`` tokens but one that holds a single longer turn and nothing else. A system turn that
+    opens a conversation is repeated in each later window that has room for it, unless it takes more than half
+    of what the history leaves. The room of a span is the budget less history and system turn. A turn of more than a quarter of
+    that is a span by itself; the others are dealt by where they begin in steps of three quarters of the room. History are
+    the turns just before the span, latest first, while their sum is at most ``history`` and what a long turn leaves of the budget.
 
     Null texts and roles count as empty, null conversations and turns come first and are kept; equal turns are ordered by
     role and text and each kept; an empty table gives no rows; other columns are ignored.
     """
+    if not 0 <= history < budget:
+        raise ValueError("history must be less than budget")
     count = tokens if tokens is not None else F.regexp_count("text", F.lit(WORD))
     row = turns.select(
         turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), F.coalesce(turns["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text")
@@ -54,31 +59,50 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead:
     # The bounds of ranges are drawn anew by each run, so they are settled by writing.
     dealt = written(dealt, "turns")
     own = Window.partitionBy("part", "conv_id").orderBy(*_order())
-    running = dealt.withColumn("upto", F.sum("cost").over(own)).withColumn("number", F.row_number().over(own))
+    is_system = F.col("role") == "system"
+    # A system turn counts if it is the first of its conversation; the first of a task may be another's.
+    opening = F.when(is_system, F.col("cost")).otherwise(0)
+    running = dealt.withColumn("upto", F.sum("cost").over(own)).withColumn("number", F.row_number().over(own)).withColumn("opening", F.first(opening).over(own))
     # Conversations in more than one part: two a part at most.
-    parts = dealt.groupBy("conv_id", "part").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn", F.col("role"), F.xxhash64("text").alias("text"), opening.alias("opening")))
+    parts = dealt.groupBy("conv_id", "part").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"), first.alias("first"))
     of_conv = Window.partitionBy("conv_id")
     before = parts.withColumn("parts", F.count("*").over(of_conv)).filter("parts > 1")
     earlier = of_conv.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("cost").over(earlier), F.lit(0)).alias("cost_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"))
+    before = before.select(
+        F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("cost").over(earlier), F.lit(0)).alias("cost_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"),
+        F.first("first.opening").over(of_conv.orderBy("part")).alias("opening_before"),
+    )
     placed = running.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left")
+    opening = F.coalesce("opening_before", "opening")
+    system_cost = F.when(2 * opening <= budget - history, opening).otherwise(0)
     placed = placed.select(
-        "conv_id", "turn", "role", "text", "cost", (F.col("upto") + F.coalesce("cost_before", F.lit(0))).alias("upto"), (F.col("number") + F.coalesce("n_before", F.lit(0))).alias("number")
-    ).withColumn("span", F.expr(f"(upto - cost) div {budget} + greatest(upto - 1, 0) div {budget}"))
+        "conv_id", "part", "turn", "role", "text", "cost", (F.col("upto") + F.coalesce("cost_before", F.lit(0))).alias("upto"), (F.col("number") + F.coalesce("n_before", F.lit(0))).alias("number"), system_cost.cast("long").alias("system"),
+        (budget - history - system_cost).cast("long").alias("room"),
+    ).withColumn("long", (F.col("cost") > F.expr("room div 4")).cast("long"))
+    # Steps and long turns so far: together they rise wherever a span begins.
+    placed = placed.withColumn("longs", F.sum("long").over(own) - F.col("long"))
+    longs = placed.groupBy("conv_id", "part").agg(F.sum("long").alias("longs")).join(before.select("c", "p"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
+    longs = longs.select("c", "p", F.coalesce(F.sum("longs").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("longs_before"))
+    placed = placed.join(longs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select(
+        "conv_id", "turn", "role", "text", "cost", "upto", "number", "system", "room", F.expr("(upto - cost) div (room - room div 4) + 2 * (longs + coalesce(longs_before, 0)) + long").alias("span")
+    )
     placed = written(placed, "spans")
 
     # Where each span begins: its history reaches back from there, over as many spans as it takes. Turns and
     # spans meet in stretches of ``history`` tokens; a turn that fits is in reach of the starts in two at most.
-    spans = placed.groupBy("conv_id", "span").agg(F.min(F.col("upto") - F.col("cost")).alias("begins"))
+    spans = placed.groupBy("conv_id", "span").agg(F.min(F.col("upto") - F.col("cost")).alias("begins"), F.min("number").alias("from"), F.sum("cost").alias("size"), F.max("system").alias("system"))
+    spans = spans.withColumn("system", F.when(F.col("size") + F.col("system") <= budget, F.col("system")).otherwise(0))
+    spans = spans.withColumn("allowed", F.greatest(F.lit(0), F.least(F.lit(history), budget - F.col("system") - F.col("size"))))
     stretch = max(history, 1)
-    system = placed.filter("number = 1 AND role = 'system'").select("conv_id", F.struct("number", "turn", "role", "text", F.lit(True).alias("repeated")).alias("item"), "cost")
+    system = placed.filter("number = 1 AND role = 'system' AND system > 0").select("conv_id", F.struct("number", "turn", "role", "text", F.lit(True).alias("repeated")).alias("item"), "cost")
     turn = F.struct("number", "turn", "role", "text", F.lit(False).alias("repeated")).alias("item")
     again = F.struct("number", "turn", "role", "text", F.lit(True).alias("repeated")).alias("item")
-    starts = spans.filter("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "begins", F.expr(f"begins div {stretch}").alias("near"))
-    is_system = (F.col("number") == 1) & (F.col("role") == "system")
-    reach = placed.filter((F.col("cost") <= history) & ~is_system).withColumn("reach", F.explode(F.expr(f"sequence(upto div {stretch}, (upto - cost + {history}) div {stretch})")))
-    repeated = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("reach") == F.col("near"))).filter("s > span AND begins >= upto AND begins - upto + cost <= %d" % history)
-    later = spans.filter("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"))
+    starts = spans.filter("from > 1 AND allowed > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"), "begins", "allowed", F.expr(f"begins div {stretch}").alias("near"))
+    # An opening system turn is no history where it is repeated anyway.
+    reach = placed.filter((F.col("cost") <= history) & ~((F.col("number") == 1) & (F.col("system") > 0))).withColumn("reach", F.explode(F.expr(f"sequence(upto div {stretch}, (upto - cost + {history}) div {stretch})")))
+    repeated = reach.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("reach") == F.col("near"))).filter("s > span AND begins >= upto AND begins - upto + cost <= allowed")
+    later = spans.filter("from > 1 AND system > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("s"))
     all_items = (
         placed.select("conv_id", F.col("span").alias("window"), turn, "cost")
         .union(repeated.select("conv_id", F.col("s").alias("window"), again, "cost"))

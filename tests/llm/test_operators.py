@@ -412,7 +412,7 @@ def test_chat_windows_give_back_every_turn_once(spark):
     turns = spark.createDataFrame([(*r, "w", 5) for r in rows], "conv_id long, turn long, role string, text string, window string, cost int").repartition(5)
     made = chat_windows.windows(turns, budget=200, history=80)
     out = made.collect()
-    assert all(r.n_tokens <= 200 + 80 + 6 + 10 or len([s for s in r.segments if not s.repeated]) == 1 for r in out)
+    assert all(r.n_tokens <= 200 or len(r.segments) == 1 for r in out)
     read = chat_windows.read_back(made).orderBy("conv_id", "window", "position").collect()
     got, targets = {}, {}
     for r in read:
@@ -439,6 +439,28 @@ def test_history_is_all_turns_before_the_span_that_fit(spark):
         first = min(s.turn for s in w.segments if not s.repeated)
         fits = [k for k in range(first) if sum(cost[k:first]) <= 256]
         assert [s.turn for s in w.segments if s.repeated] == fits
+    # Windows fill up: the room is 768 tokens.
+    assert sum(cost) / len(out) > 500
+
+
+@pytest.mark.parametrize("system", [0, 20, 150, 700, 3000])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_windows_keep_their_budget_and_repeat_what_fits(spark, system, parts):
+    r = np.random.default_rng(system + parts)
+    cost = [system] * (system > 0) + [int(x) for x in np.where(r.random(400) < 0.05, r.integers(200, 2500, 400), r.integers(5, 120, 400))]
+    rows = [(1, k, "system" if system and k == 0 else "user", " ".join(["w"] * (c - 4))) for k, c in enumerate(cost)]
+    out = chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts)).collect()
+    repeats = 0 < system <= (1024 - 256) // 2
+    assert sorted(s.turn for w in out for s in w.segments if not s.repeated) == list(range(len(cost)))
+    for w in sorted(out, key=lambda w: w.window):
+        own = [s.turn for s in w.segments if not s.repeated]
+        assert own == list(range(own[0], own[-1] + 1)) and w.n_tokens == sum(cost[s.turn] for s in w.segments)
+        assert w.n_tokens <= 1024 or len(w.segments) == 1
+        size, first = sum(cost[k] for k in own), own[0]
+        with_system = repeats and first > 0 and size + system <= 1024
+        allowed = max(0, min(256, 1024 - size - (system if with_system else 0)))
+        fits = [k for k in range(int(repeats), first) if sum(cost[k:first]) <= allowed] if first else []
+        assert [s.turn for s in w.segments if s.repeated] == [0] * with_system + fits
 
 
 def test_digest_of_conversations(spark, tmp_path):
