@@ -22,7 +22,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,22 +99,21 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def _counts(blocks: DataFrame, ranges: int) -> DataFrame:
-    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    bits = ranges.bit_length() - 1
+    range_of = lambda keys: (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
     def count(rows: pa.Table) -> pa.Table:
         block = Block(rows.column("text"))
         learned = np.repeat(rows.column("learned").to_numpy(), block.lens).astype(np.float64)
-        out = {}
-        bounds = np.arange(1, ranges, dtype=np.uint64) << shift if ranges > 1 else np.zeros(0, np.uint64)
+        # Only ranges with a key of this block, so a block gives no more rows than it has keys.
+        of = {"word": range_of(block.words), "pair": range_of(block.pairs)}
+        have = np.union1d(of["word"], of["pair"])
+        out = {"range": pa.array(have, pa.int64()), "block": pa.array(np.full(len(have), rows.column("block")[0].as_py(), np.int64))}
         for name, keys, place in (("word", block.words, block.word), ("pair", block.pairs, block.pair)):
-            counts = np.bincount(place, learned, len(keys))
-            cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+            cuts = np.append(np.searchsorted(of[name], have), len(keys))
             out[f"{name}s"] = pa.array([_packed(keys[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
-            out[f"{name}_counts"] = _lists(counts, cuts)
-        own = rows.column("block")[0].as_py()
-        table = pa.table({"range": pa.array(range(ranges), pa.int64()), "block": pa.array([own] * ranges, pa.int64()), **out})
-        # Ranges without a key of this block are left out, so a block gives no more rows than it has keys.
-        return table.filter(pc.greater(pc.add(pc.list_value_length(table.column("word_counts")), pc.list_value_length(table.column("pair_counts"))), 0))
+            out[f"{name}_counts"] = _lists(np.bincount(place, learned, len(keys)), cuts)
+        return pa.table(out)
 
     def total(rows: pa.Table) -> pa.Table:
         blocks = rows.column("block").to_numpy()

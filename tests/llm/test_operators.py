@@ -110,6 +110,64 @@ def test_scores_follow_the_base_formula_and_a_plain_model(spark):
     assert {r.train_tokens for r in lm_scoring.lm_scores(docs).collect()} == {n}
 
 
+def plain_scores(rows, block_of):
+    """doc_id and score of each row by a plain model: dictionaries, one token after the other, weights learned token by token."""
+    tokens = [[*split(lowered(t)), None] for _, t in rows]
+    learned = [not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1) for i, _ in rows]
+
+    def model(use):
+        words, pairs = Counter(), Counter()
+        for t, u in zip(tokens, use, strict=True):
+            if u:
+                words.update(t)
+                pairs.update(zip([None, *t], t, strict=False))
+        return words, pairs, sum(words.values()), len(words)
+
+    held = [block_of[k] % lm_scoring.FOLD == 0 for k in range(len(rows))]
+    words, pairs, n, v = model([x and not h for x, h in zip(learned, held, strict=True)])
+    seen = []
+    step = lambda p: round(lm_scoring.STEPS * math.log2(p * (v + 1))) if p else None
+    for t, x, h in zip(tokens, learned, held, strict=True):
+        if x and h:
+            for c, w in zip([None, *t], t, strict=False):
+                r = (step(pairs[c, w] / words[c] if words[c] else 0), step(words[w] / n if n else 0))
+                seen.append((words[c].bit_length(), *(0.0 if y is None else 2.0 ** (y / lm_scoring.STEPS) for y in r)))
+
+    def em(rows, start, strength):
+        now = start
+        for _ in range(60):
+            total = [s * strength for s in start]
+            for _, r2, r1 in rows:
+                share = now[0] * r2, now[1] * r1, now[2]
+                total = [a + b / sum(share) for a, b in zip(total, share, strict=True)]
+            now = [x / (len(rows) + strength) for x in total]
+        return now
+
+    pooled = em(seen, [1 / 3] * 3, 3.0)
+    weights = {b: em([r for r in seen if r[0] == b], pooled, 20.0) for b in range(20)}
+    weights[0] = [0, *(x / sum(weights[0][1:]) for x in weights[0][1:])]
+    words, pairs, n, v = model(learned)
+    out = []
+    for (i, _), t in zip(rows, tokens, strict=True):
+        score = 0.0
+        for c, w in zip([None, *t], t, strict=False):
+            l2, l1, l0 = weights[words[c].bit_length()]
+            score += math.log10(l2 * pairs[c, w] / max(words[c], 1) + l1 * words[w] / n + l0 / (v + 1))
+        out.append((i, round(score, 4)))
+    return out
+
+
+def test_scores_are_those_of_a_plain_model(spark):
+    rows = [(i, text(5 + i % 40, i) + (" RARE%d" % i if i % 3 == 0 else "")) for i in range(150)] + [(500, None), (501, "x" * 70_000), (None, "no id"), (502, text(3000, 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = sum(len((t or "").encode()) for _, t in rows)
+    n_blocks = max(lm_scoring.FOLD, math.ceil(size / 3000))
+    blocks = {(r.doc_id, r.text): r.b for r in docs.select("*", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("b")).collect()}
+    out = [(r.doc_id, round(r.score, 4)) for r in lm_scoring.lm_scores(docs, block_bytes=3000, range_bytes=2000).collect()]
+    expected = dict(plain_scores(rows, [blocks[r] for r in rows]))
+    assert len(out) == len(rows) and all(abs(s - expected[i]) <= 2e-4 for i, s in out)
+
+
 def test_mixture_is_a_distribution_and_beats_the_base_on_held_out_texts(spark):
     chain = {w: [WORDS[(k * 7 + j) % 20] for j in range(3)] for k, w in enumerate(WORDS)}
 
