@@ -120,6 +120,11 @@ def _sort(sort: str | None, distance: bool) -> list[Column]:
     return lead.get(sort or "", []) + tail + ([F.col("branch_id").asc_nulls_last()] if distance else [])
 
 
+def _of_listings(snapshots: DataFrame, listings: DataFrame | None) -> DataFrame:
+    """Snapshots of the listings asked for (None: of all), before any of them is ranked."""
+    return snapshots if listings is None else snapshots.join(listings.select("store_product_id").distinct(), "store_product_id", "left_semi")
+
+
 def online_offers(t: Tables, as_of: datetime, search: str | None = None, category: str | None = None, only_available: bool | None = True, days: int = K.FRESH_DAYS) -> DataFrame:
     """All online offers that fit, not yet ordered. A null only_available lets through available rows only."""
     products = _named_products(t).filter("normalized_name IS NOT NULL")
@@ -128,7 +133,9 @@ def online_offers(t: Tables, as_of: datetime, search: str | None = None, categor
     if (found := S.matches_search(search, F.col("product_name"), F.col("normalized_name"))) is not None:
         products = products.filter(found)
     listings = _listings(t).join(products, "product_id").join(_named_stores(t), "store_id")
-    latest = _current(latest_by(t.snapshots.filter("branch_id IS NULL"), ["store_product_id"]), as_of, days).filter("price_scope = 'online'")
+    # The listing is what the latest row is chosen by, so histories of other listings needn't be ranked.
+    history = _of_listings(t.snapshots.filter("branch_id IS NULL"), listings if search or category else None)
+    latest = _current(latest_by(history, ["store_product_id"]), as_of, days).filter("price_scope = 'online'")
     rows = latest.filter(~F.lit(only_available).cast("boolean") | F.col("available"))
     rows = _urls(evidence(rows, as_of).join(listings, "store_product_id"))
     empty = {c: F.lit(None).cast("string") for c in ("branch_name", "branch_address", "branch_municipality")}
@@ -149,32 +156,63 @@ def online_prices_v3(t: Tables, as_of: datetime, **asked) -> DataFrame:
 
 
 def online_prices_v2(t: Tables, as_of: datetime, search: str | None = None, limit: int = 100, page: int = 1, only_available: bool = False) -> DataFrame:
-    """Offers up to 21 days old; the latest *among rows that fit*, so an older row may stand in for a newest one that doesn't."""
+    """Offers up to 21 days old; the latest *among rows that fit*, so an older row may stand in for a newest one that doesn't.
+
+    The search looks at the name that the source gave the product too, where snapshots have source_product_name.
+    """
     limit, page = clamped(limit, page)
     listings = _listings(t).join(_named_products(t, False), "product_id").join(_named_stores(t), "store_id")
     days = S.days_old_calendar(F.col("captured_at"), as_of)
     fits = (F.col("price_scope") == "online") & F.col("branch_id").isNull() & (days <= K.STALE_DAYS) & (F.col("price") > 0)
     rows = t.snapshots.filter(fits & (F.col("available") if only_available else F.lit(True)))
-    rows = latest_by(rows, ["store_product_id"]).join(listings, "store_product_id")
-    if (found := S.matches_search(search, F.col("product_name"), F.col("normalized_name"))) is not None:
+    named = [F.col("source_product_name")] if "source_product_name" in t.snapshots.columns else []
+    rows = rows.join(listings, "store_product_id")
+    if (found := S.matches_search(search, F.col("product_name"), F.col("normalized_name"), *named)) is not None:
         rows = rows.filter(found)
+    rows = latest_by(rows, ["store_product_id"])
     rows = rows.withColumn("days_old", days).withColumn("freshness", S.freshness(F.col("days_old")))
     return paged(rows, [F.col(c).asc_nulls_last() for c in ("price", "product_name", "store_slug", "store_product_id")], limit, page).select("product_name", "normalized_name", "category", "store_name", "store_slug", "price", "currency", "available", "source", "captured_at", "freshness", "days_old")
 
 
+def nearby_prices_v2(t: Tables, as_of: datetime, lat: float, lon: float, radius: float = 10, search: str | None = None, source: str | None = None, store: str | None = None, only_available: bool | None = True, limit: int = 100) -> DataFrame:
+    """Latest prices of geocoded branches within the radius, up to 21 days old: the nearest first, then the cheapest."""
+    check_place(lat, lon, radius)
+    near = S.distance_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    stores = t.stores.filter(F.col("country") == K.COUNTRY)
+    if store is not None:
+        stores = stores.filter(F.col("slug") == store)
+    branches = t.branches.filter(~S.blank(F.col("name")) & S.in_mexico(F.col("latitude"), F.col("longitude")) & (near <= radius))
+    history = t.snapshots.join(branches.select(F.col("id").alias("branch_id")).distinct(), "branch_id", "left_semi")
+    rows = latest_prices(Tables(stores, t.products, t.listings, branches, history), as_of)
+    soon = S.instant(as_of) + F.make_dt_interval(mins=F.lit(K.FUTURE_MINUTES))
+    rows = rows.filter((F.col("price") > 0) & ~S.blank(F.col("source")) & (F.col("captured_at") <= soon) & (F.col("freshness") != "old") & (~F.lit(only_available).cast("boolean") | F.col("available")))
+    if source is not None:
+        rows = rows.filter(F.col("source") == source)
+    if (found := S.matches_search(search, F.col("normalized_name"), F.col("product_name"))) is not None:
+        rows = rows.filter(found)
+    rows = rows.withColumn("distance_km", near)
+    return rows.orderBy("distance_km", "price", "store_product_id", "branch_id").limit(limit)
+
+
 def nearby_offers(t: Tables, as_of: datetime, lat: float, lon: float, radius: float = 10, search: str | None = None, category: str | None = None, only_available: bool | None = True, days: int = K.FRESH_DAYS) -> DataFrame:
     """All offers of branches within the radius."""
     check_place(lat, lon, radius)
     near = S.distance_km(F.lit(float(lat)), F.lit(float(lon)), F.col("latitude").cast("double"), F.col("longitude").cast("double"))
-    # Branches are few: those in reach are chosen before any history is looked at.
-    rows = current_catalog(Tables(t.stores, t.products, t.listings, t.branches, t.snapshots, t.images), as_of, days).filter("branch_id IS NOT NULL")
-    rows = rows.withColumn("distance_km", near).filter((F.col("distance_km") <= radius) & (~F.lit(only_available).cast("boolean") | F.col("available")))
+    # Listing and branch are what the latest row is chosen by: only histories in reach, and of products asked for, are ranked.
+    reach = t.branches.filter(F.col("geocoding_status").isin(*K.GEOCODED) & (near <= radius)).select(F.col("id").alias("branch_id")).distinct()
+    history = t.snapshots.filter("branch_id IS NOT NULL").join(reach, "branch_id", "left_semi")
+    products = t.products
     if category is not None:
-        rows = rows.filter(F.col("category") == category)
-    if (found := S.matches_search(search, F.col("product_name"), F.col("normalized_name"))) is not None:
-        rows = rows.filter(found)
-    products = t.listings.select(F.col("id").alias("store_product_id"), "product_id").join(t.products.select(F.col("id").alias("product_id"), *PRODUCT_DETAILS), "product_id").drop("product_id")
-    return _with_image_count(rows.join(products, "store_product_id"), t).select("store_product_id", *OFFER, *PRODUCT_DETAILS, "image_count")
+        products = products.filter(F.col("category") == category)
+    if (found := S.matches_search(search, F.col("name"), F.col("normalized_name"))) is not None:
+        products = products.filter(found)
+    asked = None
+    if search or category:
+        asked = _listings(t).join(products.select(F.col("id").alias("product_id")), "product_id")
+    rows = current_catalog(Tables(t.stores, products, t.listings, t.branches, _of_listings(history, asked), t.images), as_of, days)
+    rows = rows.withColumn("distance_km", near).filter((F.col("distance_km") <= radius) & (~F.lit(only_available).cast("boolean") | F.col("available")))
+    details = t.listings.select(F.col("id").alias("store_product_id"), "product_id").join(t.products.select(F.col("id").alias("product_id"), *PRODUCT_DETAILS), "product_id").drop("product_id")
+    return _with_image_count(rows.join(details, "store_product_id"), t).select("store_product_id", *OFFER, *PRODUCT_DETAILS, "image_count")
 
 
 def nearby_prices(t: Tables, as_of: datetime, lat: float, lon: float, radius: float = 10, search: str | None = None, limit: int = 100, page: int = 1, category: str | None = None, only_available: bool | None = True, sort: str | None = "price_asc", days: int = K.FRESH_DAYS) -> DataFrame:

@@ -26,9 +26,12 @@ def decided(batch: DataFrame, known: DataFrame | None = None, key: str = "store_
     rows = batch.select("*", facts, F.lit(1).alias("_side"))
     if known is not None:
         rows = rows.unionByName(known.select(key, time, facts, F.lit(0).alias("_side")), allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("_side", order).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(key).orderBy("_side", order)
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    # What is known is the first state that was seen at the latest instant: later ones at the same instant replay it or conflict.
+    rows = rows.withColumn("_first", F.struct(F.col(time), -F.row_number().over(own)))
     seen = F.max(time).over(before)
-    last = F.max_by("_state", time).over(before)
+    last = F.max_by("_state", F.when(F.col(time).isNotNull(), F.col("_first"))).over(before)
     marked = rows.withColumn("_seen", seen).withColumn("_last", last)
     newer = F.col("_seen").isNull() | (F.col(time) > F.col("_seen"))
     same = F.col("_state").eqNullSafe(F.col("_last"))
@@ -40,7 +43,7 @@ def decided(batch: DataFrame, known: DataFrame | None = None, key: str = "store_
         .when(same, "replay")
         .otherwise("conflict")
     )
-    return marked.withColumn("action", action).filter("_side = 1").drop("_state", "_side", "_seen", "_last")
+    return marked.withColumn("action", action).filter("_side = 1").drop("_state", "_side", "_first", "_seen", "_last")
 
 
 def publish(history: DataFrame, batch: DataFrame, strict: bool = True, key: str = "store_product_id", state: tuple[str, ...] = STATE) -> tuple[DataFrame, DataFrame]:

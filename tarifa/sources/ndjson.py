@@ -5,29 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarifa.functions.scalars import json_kind, row_fingerprint
 
 
-def numbered(lines: DataFrame, file: Column) -> DataFrame:
-    """lines with line, the number (from 1) of each row in its file, counted without moving any row.
+def numbered(lines: DataFrame) -> DataFrame:
+    """lines of a text scan with file and line, the number (from 1) of each row in its file.
 
-    A row's place in its task is known; where tasks and files begin are tables with a row for each task and file.
+    A scan reads files in blocks, each whole in one task but in no order of the files. So a row's place is
+    counted within its block, and the lines of the blocks before it are added: a table with a row for each block.
     """
-    place = lines.withColumn("file", file).withColumn("_task", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    tasks = place.groupBy("_task").agg(F.count("*").alias("_n"))
-    # A row for each task of the scan.
-    before = tasks.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
-    placed = place.join(before, "_task").withColumn("_at", F.col("_before") + F.col("_place"))
-    begins = placed.groupBy("file").agg(F.min("_at").alias("_begin"))
-    return placed.join(begins, "file").withColumn("line", F.col("_at") - F.col("_begin") + 1).drop("_task", "_place", "_before", "_at", "_begin")
+    place = lines.withColumn("file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start")).withColumn("_at", F.monotonically_increasing_id())
+    blocks = place.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_begin"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block")) - F.col("_n")
+    blocks = blocks.select("file", "_block", "_begin", before.alias("_before"))
+    return place.join(blocks, ["file", "_block"]).withColumn("line", F.col("_at") - F.col("_begin") + F.col("_before") + 1).drop("_block", "_at", "_begin", "_before")
 
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """file, line, raw and error (null, invalid_json or not_json_object) of the lines that aren't blank."""
-    lines = numbered(spark.read.text(path), F.col("_metadata.file_path")).filter(F.trim("value") != "")
+    lines = numbered(spark.read.text(path)).filter(F.trim("value") != "")
     kind = json_kind(F.col("value"))
     error = F.when(kind.isNull(), "invalid_json").when(kind != "object", "not_json_object")
     return lines.select("file", "line", F.col("value").alias("raw"), error.alias("error"))

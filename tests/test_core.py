@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -14,7 +15,7 @@ from tarifa.plans import catalog as C
 from tarifa.plans import compare as P
 from tarifa.plans import ingest, publish
 from tarifa.sources import ndjson, products, web
-from tarifa.streaming.observations import decided_stream
+from tarifa.streaming import observations
 
 NOW = datetime(2026, 6, 28, 12)
 
@@ -158,14 +159,40 @@ def test_publishing(spark):
     assert not found.filter("action = 'insert'").count() and sorted(tuple(r)[:4] for r in again.collect()) == rows
 
 
+def test_ties_keep_the_first_state(spark):
+    rows = [(1, k, day(1), price, True, "s") for k, price in enumerate((10, 11, 10, 11))] + [(1, 4, day(2), 11, True, "s"), (1, 5, day(2), 10, True, "s"), (1, 6, day(3), 11, True, "s")]
+    got = {r.position: r.action for r in publish.decided(spark.createDataFrame(rows, BATCH), state=STATE).collect()}
+    assert got == {0: "insert", 1: "conflict", 2: "replay", 3: "conflict", 4: "insert", 5: "conflict", 6: "unchanged"}
+
+
 def test_stream_decides_like_the_batch(spark, tmp_path):
-    source, name = str(tmp_path / "in"), "decided"
-    for k, part in enumerate((ROWS[:3], ROWS[3:])):
+    r, source, path = random.Random(3), str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(r.randrange(4), k, day(1 + k // 8 + r.randrange(3)) if r.random() < 0.95 else None, r.choice([10, 11]), True, r.choice(["s", "t"])) for k in range(60)]
+    for part in (rows[:20], rows[20:35], rows[35:]):
         spark.createDataFrame(part, BATCH).coalesce(1).write.mode("append").parquet(source)
-        q = decided_stream(spark.readStream.schema(BATCH).parquet(source)).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = observations.publishing(spark.readStream.schema(BATCH).parquet(source), path, state=STATE).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
-    got = {r.position: r.action for r in spark.read.parquet(str(tmp_path / name)).collect()}
-    assert got == {r.position: r.action for r in publish.decided(spark.createDataFrame(ROWS, BATCH), state=STATE).collect()}
+    got = {r.position: r.action for r in observations.decisions(spark, path).collect()}
+    assert got == {r.position: r.action for r in publish.decided(spark.createDataFrame(rows, BATCH), state=STATE).collect()}
+    assert {r.position for r in spark.read.parquet(f"{path}/rejected").collect()} == {k for k, a in got.items() if a == "conflict"}
+
+
+def test_lines_are_numbered_in_files_of_many_blocks(spark, tmp_path):
+    from pathlib import Path
+
+    wanted = {}
+    for name, n in (("a.json", 400), ("b.json", 90), ("c.json", 3)):
+        lines = ["" if k % 17 == 3 else json.dumps({"f": name, "n": k + 1, "x": "y" * (k % 50)}) for k in range(n)]
+        Path(tmp_path / name).write_text("\n".join(lines) + "\n")
+        wanted[name] = {k + 1 for k in range(n) if k % 17 != 3}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        got = ndjson.read_ndjson(spark, str(tmp_path)).select("line", "file", F.get_json_object("raw", "$.n").cast("int").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert all(r.line == r.n for r in got)
+    assert {name: {r.line for r in got if r.file.endswith(name)} for name in wanted} == wanted
 
 
 def test_product_identity(spark):
