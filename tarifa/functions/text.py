@@ -183,9 +183,32 @@ def parse_variant(name: Column) -> Column:
     return F.struct(label.alias("label"), quantity.alias("quantity"), unit.alias("unit"), pack.alias("pack_count"), key.alias("key"))
 
 
+# Spellings of units in names and what they are written as; pieces go by their number.
+SHOWN_UNITS = (("kilos?|kg", "kg"), ("gramos?|gr|g", "g"), ("litros?|lt|l", "l"), ("ml", "ml"), ("piezas?|pzas|pz", "piezas"))
+
+
+def infer_presentation(name: Column) -> Column:
+    """A presentation out of a name: its first number with a unit, else ``1`` and a unit that stands alone, else ``1 pieza``."""
+    spelled = "kg|kilos?|gramos?|gr|g|litros?|lt|l|ml|piezas|pieza|pzas|pz"
+    alone = "kg|kilos?|litros?|lt|l|piezas|pieza|pzas|pz"
+    with_number = rf"(?i)([0-9]+(?:[.,][0-9]+)?)\s*({spelled})\b"
+    found = lambda pattern, k: F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
+    number = F.replace(found(with_number, 1), F.lit(","), F.lit("."))
+
+    def shown(unit: Column, number: Column) -> Column:
+        out = F.lower(unit)
+        for spelling, short in SHOWN_UNITS:
+            one = F.when(number.try_cast("double") == 1, "pieza").otherwise("piezas") if short == "piezas" else F.lit(short)
+            out = F.when(F.lower(unit).rlike(f"^({spelling})$"), one).otherwise(out)
+        return F.concat_ws(" ", number, out)
+
+    lone = found(rf"(?i)\b({alone})\b", 1)
+    return F.when(number.isNotNull(), shown(found(with_number, 2), number)).when(lone.isNotNull(), shown(lone, F.lit("1"))).otherwise("1 pieza")
+
+
 def third_parts(text: Column) -> Column:
     """What follows the second comma, parts trimmed and joined again; null if nothing does."""
-    parts = F.transform(F.split(text, ","), F.trim)
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
     return F.nullif(F.array_join(F.slice(parts, 3, 1000), ", "), F.lit(""))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,15 @@ MIN_HASH = r"^[A-Za-z0-9:_-]{8,128}$"
 
 
 class Record:
-    """Fields of a JSON object column: their kinds, texts and numbers."""
+    """Fields of a JSON object (a variant): their kinds, texts and numbers."""
 
-    def __init__(self, raw: Column):
-        self.value = F.try_parse_json(raw)
+    def __init__(self, value: Column):
+        self.value = value
+
+    @staticmethod
+    def read(raw: Column, use: Callable[[Record], Column]) -> Column:
+        """What ``use`` makes of the record in a JSON text, which is parsed once however many fields it looks at."""
+        return F.get(F.transform(F.array(F.try_parse_json(raw)), lambda v: use(Record(v))), F.lit(0))
 
     def kind(self, name: str) -> Column:
         """The variant type of a field; null where it is missing."""
@@ -52,7 +58,10 @@ def _is_http(url: Column) -> Column:
 
 def record_issues(raw: Column, as_of: datetime) -> Column:
     """Codes of what is wrong with a staged record, in the order of the rules; empty if it may be staged."""
-    r = Record(raw)
+    return Record.read(raw, lambda r: _issues(r, as_of))
+
+
+def _issues(r: Record, as_of: datetime) -> Column:
     yes = lambda c: F.coalesce(c, F.lit(False))
     tests: list[tuple[Column, str]] = [(~r.filled(f), f"missing_{f}") for f in REQUIRED]
     price, confidence = r.number("price"), r.number("confidence_score")

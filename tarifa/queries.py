@@ -419,11 +419,24 @@ def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(load(spark, sf_dir, "pages"), r'<a href="(/[^"]*)"')
 
 
-@query("SELECT p_name AS left_name, count(*) AS pairs FROM (SELECT a.p_partkey, b.p_partkey, a.p_name FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size = b.p_size) GROUP BY 1", mapped=False)
+@query(
+    """WITH o AS (SELECT p_partkey AS id, p_brand, p_name, p_size, CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_size % 10 AS VARCHAR), 7, '0') END AS gtin, CASE WHEN p_partkey % 5 = 0 THEN p_brand || p_type END AS reviewed FROM part),
+p AS (SELECT a.id AS l, b.id AS r, 1 AS rule FROM o a JOIN o b ON a.gtin = b.gtin AND a.id < b.id WHERE a.gtin <> '0000000' UNION ALL SELECT a.id, b.id, 2 FROM o a JOIN o b ON a.reviewed = b.reviewed AND a.id < b.id
+UNION ALL SELECT a.id, b.id, 3 FROM o a JOIN o b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id)
+SELECT rule, count(*) AS pairs, CAST(sum(l) AS BIGINT) AS lefts, CAST(sum(r) AS BIGINT) AS rights FROM (SELECT l, r, CASE min(rule) WHEN 1 THEN 'gtin' WHEN 2 THEN 'reviewed_key' ELSE 'brand_name_presentation' END AS rule FROM p GROUP BY l, r) GROUP BY 1""",
+    mapped=False,
+)
 def matched_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("offer_id"), F.lit(None).cast("string").alias("gtin"), F.lit(None).cast("string").alias("reviewed_key"), F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" kg")).alias("presentation"))
+    """Pairs of parts by each of the rules: every third part has a GTIN of its size's last digit, every fifth a reviewed key."""
+    c, key = F.col, F.col("p_partkey")
+    digits = F.lpad((c("p_size") % 10).cast("string"), 7, "0")
+    check = (10 - (c("p_size") % 10) * 3 % 10) % 10
+    p = load(spark, sf_dir, "part").select(
+        key.alias("offer_id"), F.when(key % 3 == 0, F.concat(digits, check.cast("string"))).alias("gtin"), F.when(key % 5 == 0, F.concat(F.lit("reviewed:"), "p_brand", "p_type")).alias("reviewed_key"),
+        c("p_brand").alias("brand"), c("p_name").alias("name"), F.concat(c("p_size").cast("string"), F.lit(" kg")).alias("presentation"),
+    )
     pairs = P.match_offers(p, p).filter("left_id < right_id")
-    return pairs.join(p.select(F.col("offer_id").alias("left_id"), F.col("name").alias("left_name")), "left_id").groupBy("left_name").agg(F.count("*").alias("pairs"))
+    return pairs.groupBy("rule").agg(F.count("*").alias("pairs"), F.sum("left_id").alias("lefts"), F.sum("right_id").alias("rights"))
 
 
 @query(
