@@ -760,3 +760,139 @@ def groups_by_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def groups_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best offer is the nearest, not the cheapest."""
     return _groups(spark, sf_dir, "distance")
+
+
+# Answers by endpoint
+
+
+def _answer(answer, *columns: str | Column) -> DataFrame:
+    """The rows of an answer with its totals beside each."""
+    return answer.rows.select(*columns, F.lit(answer.total).cast("long").alias("total"), F.lit(answer.total_pages).cast("long").alias("total_pages"))
+
+
+def _cents() -> Column:
+    return (F.col("price") * 100).cast("long").alias("price_cents")
+
+
+@query("SELECT id, slug, (SELECT count(*) FROM stores WHERE enabled AND name ILIKE '%00%') AS total, CAST(ceil((SELECT count(*) FROM stores WHERE enabled AND name ILIKE '%00%') / 5.0) AS BIGINT) AS total_pages FROM stores WHERE enabled AND name ILIKE '%00%' ORDER BY name, id LIMIT 5 OFFSET 5")
+def api_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.plans import api
+
+    return _answer(api.stores(tables(spark, sf_dir), {"query": "00", "limit": "5", "page": "2"}), "id", "slug")
+
+
+@query("SELECT id, name, n AS total, CAST(ceil(n / 20.0) AS BIGINT) AS total_pages FROM products, (SELECT count(*) AS n FROM products WHERE category = 'ECONOMY') WHERE category = 'ECONOMY' ORDER BY name, id LIMIT 20")
+def api_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.plans import api
+
+    return _answer(api.products(tables(spark, sf_dir), {"category": "ECONOMY"}), "id", "name")
+
+
+@query("SELECT id, store_id, name, n AS total, CAST(ceil(n / 50.0) AS BIGINT) AS total_pages FROM branches, (SELECT count(*) AS n FROM branches WHERE city_code = 2) WHERE city_code = 2 ORDER BY name, id, store_id LIMIT 50")
+def api_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.plans import api
+
+    return _answer(api.branches(tables(spark, sf_dir), {"city_code": "2", "limit": "50"}), "id", "store_id", "name")
+
+
+@query("SELECT store_product_id, branch_id, price_cents, n AS total, CAST(ceil(n / 20.0) AS BIGINT) AS total_pages FROM latest_prices, (SELECT count(*) AS n FROM latest_prices WHERE source = 'src1' AND available AND normalized_name ILIKE '%e%') WHERE source = 'src1' AND available AND normalized_name ILIKE '%e%' ORDER BY price_cents, store_product_id, branch_id LIMIT 20 OFFSET 20")
+def api_prices_of_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table read: the total counts all rows."""
+    from tarifa.plans import api
+
+    return _answer(api.prices(tables(spark, sf_dir), AS_OF, {"source": "src1", "available": "true", "query": " e ", "page": "2"}), "store_product_id", "branch_id", _cents())
+
+
+@query(
+    """, page AS (SELECT * FROM (SELECT *, 6371 * 2 * asin(sqrt(power(sin(radians(latitude - 19.43) / 2), 2) + cos(radians(19.43)) * cos(radians(latitude)) * power(sin(radians(longitude + 99.13) / 2), 2))) AS km FROM latest_prices)
+  WHERE km <= 60 AND freshness <> 'old' AND price_cents > 0 AND available AND source = 'src1' ORDER BY km, price_cents, store_product_id, branch_id LIMIT 100),
+p AS (SELECT * FROM page ORDER BY price_cents, store_product_id, branch_id LIMIT 20)
+SELECT store_product_id, branch_id, price_cents, dense_rank() OVER (PARTITION BY normalized_name ORDER BY price_cents) AS price_rank, (SELECT count(*) FROM p) AS total, 1 AS total_pages FROM p"""
+)
+def api_compare_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks over the page alone; the total is the page's length."""
+    from tarifa.plans import api
+
+    asked = {"source": "src1", "lat": "19.43", "lng": "-99.13", "radius_km": "60"}
+    return _answer(api.compare(tables(spark, sf_dir), AS_OF, asked), "store_product_id", "branch_id", _cents(), F.col("price_rank").cast("long").alias("price_rank"))
+
+
+@query("SELECT source, max(captured_at) AS latest_snapshot_at, CASE WHEN date_diff('day', max(captured_at), TIMESTAMP '2001-11-05') < 7 THEN 'healthy' WHEN date_diff('day', max(captured_at), TIMESTAMP '2001-11-05') <= 21 THEN 'stale' ELSE 'old' END AS health FROM snapshots GROUP BY 1")
+def api_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.plans import api
+
+    return api.health(tables(spark, sf_dir), AS_OF)
+
+
+@query(
+    """, reg(source, status) AS (VALUES ('src0', 'validated'), ('src9', 'blocked')) SELECT reg.source, status, CAST(count(s.id) AS INTEGER) AS total_snapshots, CASE WHEN max(captured_at) IS NULL THEN 'no_data' WHEN date_diff('day', max(captured_at), TIMESTAMP '2001-11-05') < 7 THEN 'healthy' ELSE 'stale' END AS health
+FROM reg LEFT JOIN snapshots s USING (source) GROUP BY 1, 2"""
+)
+def api_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.plans import api
+
+    catalog = spark.createDataFrame([("src0", "branch", "validated"), ("src9", "online", "blocked")], "source string, capture_scope string, status string")
+    return api.sources(tables(spark, sf_dir), catalog, AS_OF).select("source", "status", "total_snapshots", "health")
+
+
+# Files of records: written into the session's shared folder and read back
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tarifa-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part", mapped=False)
+def archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, of which those that a table lacks come back from a verified archive."""
+    from tarifa.sources import ndjson
+
+    path, rows = _folder(spark, "archive"), _part(spark, sf_dir).select("p_partkey", "p_name", "p_size")
+    ndjson.write_archive(rows.filter("p_partkey % 3 > 0"), path)
+    return ndjson.restore_archive(rows.filter("p_partkey % 2 = 0 OR p_partkey % 3 = 0"), path, "p_partkey")
+
+
+@query("SELECT p_partkey, p_name, CASE WHEN p_partkey % 10 = 0 THEN 'not_json_object' WHEN p_partkey % 10 = 1 THEN 'invalid_json' END AS error FROM part", mapped=False)
+def lines_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as JSON lines; tenths of them no objects or no JSON. Lines are matched by number to what was written."""
+    from tarifa.sources import ndjson
+
+    path, k = _folder(spark, "lines"), KEY % 10
+    text = F.when(k == 0, F.concat(F.lit("["), KEY, F.lit("]"))).when(k == 1, F.concat(F.lit("{"), KEY)).otherwise(F.to_json(F.struct("p_partkey", "p_name")))
+    _part(spark, sf_dir).orderBy("p_partkey").select(text.alias("value")).coalesce(1).write.text(path)
+    read = ndjson.read_ndjson(spark, path)
+    # One file in order of the keys, so a line's number is the key and one.
+    return read.select((F.col("line") - 1).alias("p_partkey"), "error").join(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_partkey")
+
+
+@query("SELECT s_suppkey, p_partkey, p_name FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10 AND p_partkey < 100", mapped=False)
+def recordset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as base64 arrays of JSON, one for each last digit, read back as rows."""
+    from tarifa.sources import ndjson
+
+    arrays = _part(spark, sf_dir).filter("p_partkey < 100").groupBy((KEY % 10).alias("d")).agg(F.base64(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).cast("binary")).alias("body"))
+    rows = ndjson.recordset(arrays, "body", "p_partkey bigint, p_name string", base64=True)
+    return load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("d")).join(rows.withColumn("d", KEY % 10), "d").drop("d")
+
+
+@query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids, true AS within FROM part", mapped=False)
+def chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of at most 40 rows and 3,000 bytes hold each record once."""
+    from tarifa.sources import ndjson
+
+    rows = ndjson.chunked(_part(spark, sf_dir).select("p_partkey", "p_name"), 40, 3000)
+    size = F.sum(F.octet_length(F.to_json(F.struct("p_partkey", "p_name"))))
+    return rows.groupBy("part", "chunk").agg(F.count("*").alias("n"), F.sum("p_partkey").alias("ids"), size.alias("size")).agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.bool_and((F.col("n") <= 40) & (F.col("size") <= 3000)).alias("within"))
+
+
+@query("SELECT 'parts' AS source_name, p_name AS name, CAST(CASE WHEN p_name LIKE '%red widget%' THEN 7 ELSE 50 END AS DOUBLE) AS price FROM part UNION ALL SELECT 'suppliers', s_name, 50 FROM supplier", mapped=False)
+def sources_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up prices of two sources and a third that fails."""
+    named = lambda table, column: lambda: official.mock_prices(load(spark, sf_dir, table).select(F.col(column).alias("name")), {"red widget": 7.0}, 50, AS_OF)
+    rows, failed = official.from_sources(spark, {"parts": named("part", "p_name"), "broken": named("part", "no_such_column"), "suppliers": named("supplier", "s_name")}, "name string, price double, currency string, captured_at timestamp, is_synthetic boolean")
+    assert [r.source for r in failed.collect()] == ["broken"]
+    return rows.select("source_name", "name", "price")
