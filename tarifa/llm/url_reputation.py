@@ -112,7 +112,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], thresho
     seen = outcomes.select(url_host(outcomes["url"]).alias("host"), outcomes["bad"].alias("bad"))
     reputation = host_reputation(placed.select("host").distinct(), seen, z)
     rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.text)):
+    for r in sorted(reversed(rules), key=lambda r: len(r.text)):  # what comes last decides
         fits = ((F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")) & F.startswith(F.col("path"), F.lit(r.path))
         rule, by_rule = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(by_rule)
     by_host = F.when(F.col("bad_at_least") > threshold, F.lit("block")).otherwise(F.lit("allow"))
