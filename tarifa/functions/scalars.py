@@ -186,6 +186,27 @@ def json_text(payload: Column, key: str) -> Column:
     return F.get_json_object(payload, f"$.{key}")
 
 
+def has_key(payload: Column, key: str) -> Column:
+    """Whether a JSON object has the key, be its value null; null for other JSON."""
+    return F.array_contains(F.json_object_keys(payload), key)
+
+
+def canonical_json(payload: Column) -> Column:
+    """A JSON text with the keys of its objects in order and no spaces; null for what isn't JSON."""
+    return F.to_json(F.try_parse_json(payload))
+
+
+def canonical_hash(payload: Column) -> Column:
+    """sha-256 of the canonical form: the same for objects that differ in the order of keys alone."""
+    return F.sha2(canonical_json(payload), 256)
+
+
+def merged_json(left: Column, right: Column) -> Column:
+    """Two JSON objects as one; where both have a key, the right one's value holds."""
+    a, b = (F.from_json(x, "map<string,variant>") for x in (left, right))
+    return F.to_json(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b))
+
+
 def json_flag_is(payload: Column, key: str, value: str) -> Column:
     """Whether the key has this text; also where the key is missing."""
     return F.coalesce(json_text(payload, key), F.lit(value)) == value

@@ -16,6 +16,7 @@ from tarifa import constants as K
 from tarifa.functions import scalars as S
 from tarifa.operators.latest import first_by, insert_new, merge_by
 from tarifa.plans.ingest import BRANCH_FIELDS, BRANCH_TEXTS
+from tarifa.plans.validators import bound_to_known
 
 # Fields of a staged record as they are read.
 RECORD = (
@@ -143,6 +144,26 @@ def run_report(rows: DataFrame, new_staging: DataFrame, fit: DataFrame, candidat
     return out.select("input_records", "new_staging_rows", reused, "publishable", "inserted_snapshots", skipped, "by_source_branch_category")
 
 
+def refreshed(state: State, records: DataFrame, known: DataFrame, source: str, as_of: datetime) -> tuple[State, DataFrame, DataFrame]:
+    """A batch in which only known listings are observed anew: the state after it, the report, and what was rejected and why.
+
+    records: raw, a JSON object each; known: as of validators.bound_to_known(). No listing is added and none changes.
+    """
+    fields = ("source", "store_product_url", "source_url", "normalized_name", "source_product_name", "presentation", "store_slug", "captured_at", "category")
+    rows = records.select("raw", *[S.json_text(F.col("raw"), f).alias(f) for f in fields])
+    bound = _settled(bound_to_known(rows, known, source))
+    kept = bound.filter("reject_reason IS NULL").select(S.merged_json(F.col("raw"), F.to_json(F.struct("category"))).alias("raw"))
+    after, report = publish_batch(state, kept, as_of)
+    return after, report, bound.filter("reject_reason IS NOT NULL").select("store_product_url", "reject_reason")
+
+
+def registered_sources(catalog: DataFrame, entries: DataFrame) -> DataFrame:
+    """The catalog of sources with entries (source, capture_scope, status, ...) put in: a new scope holds, a blocked source stays blocked."""
+    out = merge_by(catalog, entries, ["source"], {c: "new" for c in entries.columns if c not in ("source", "status")} | {"status": "new"})
+    blocked = catalog.filter("status = 'blocked'").select("source", F.lit(True).alias("_blocked"))
+    return out.join(blocked, "source", "left").withColumn("status", F.when(F.col("_blocked"), "blocked").otherwise(F.col("status"))).select(*catalog.columns)
+
+
 def saved_products(state: State, batch: DataFrame, as_of: datetime) -> State:
     """The state with captured products of branches saved: the earlier path, in which an observation is always kept once per listing, branch and instant.
 

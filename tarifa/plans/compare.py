@@ -13,10 +13,20 @@ from tarifa.functions import text as T
 from tarifa.operators.latest import first_by
 
 
+#: Millilitres of a gallon.
+GALLON_ML = 3785.41
+
+
+def _gallons(presentation: Column) -> Column:
+    """The key of a presentation in gallons, in whole millilitres; the units of parse_presentation() have none."""
+    number = F.nullif(F.regexp_extract(presentation, r"(?i)([0-9]+(?:[.,][0-9]+)?)\s*(?:gal|galones|gal[oó]n)\b", 1), F.lit(""))
+    return F.concat(F.lit("1x"), F.round(F.replace(number, F.lit(","), F.lit(".")).try_cast("double") * GALLON_ML).cast("long").cast("string"), F.lit("ml"))
+
+
 def comparison_key(offers: DataFrame) -> Column:
     """Reviewed keys group by themselves; other offers by name and presentation in base units, each with the currency."""
     p = T.parse_presentation(F.col("presentation"))
-    automatic = F.concat_ws("|", T.normalize_name(F.col("product_name")), F.coalesce(T.presentation_key(p), T.normalize_name(F.col("presentation"))))
+    automatic = F.concat_ws("|", T.normalize_name(F.col("product_name")), F.coalesce(T.presentation_key(p), _gallons(F.col("presentation")), T.normalize_name(F.col("presentation"))))
     reviewed = F.col("canonical_variant_key").startswith("reviewed:") if "canonical_variant_key" in offers.columns else F.lit(False)
     key = F.when(reviewed, F.col("canonical_variant_key")).otherwise(automatic) if "canonical_variant_key" in offers.columns else automatic
     return F.concat_ws("|", key, F.col("currency"))

@@ -245,6 +245,22 @@ def basket_issues(manifest: DataFrame, sources: tuple[str, str]) -> DataFrame:
     return of_items.union(shared.select("canonical_variant_key", F.lit("listing_of_several_items").alias("reason")))
 
 
+def prepared_basket(manifest: DataFrame, rows: DataFrame, sources: tuple[str, str], reviewed_at: str) -> DataFrame:
+    """rows of a reviewed basket with the category of their item and the review in their evidence; what isn't ready, or not one listing of each source, fails the whole basket.
+
+    manifest: as of reviewed_listings(), with category and match_basis.
+    """
+    wrong = basket_issues(manifest, sources).select(F.concat_ws(" ", "canonical_variant_key", "reason").alias("said"))
+    wrong = wrong.union(reviewed_listings(manifest, rows).filter("status <> 'ready'").select(F.concat_ws(" ", "source", "url", F.array_join("reasons", ","))))
+    said = [r.said for r in wrong.orderBy("said").limit(20).collect()]
+    if said:
+        raise ValueError("Review required: " + "; ".join(said))
+    item = manifest.select("source", F.col("url").alias("store_product_url"), "canonical_variant_key", F.col("category").alias("_category"), "match_basis")
+    review = F.to_json(F.struct(F.struct("canonical_variant_key", F.col("match_basis").alias("basis"), F.lit(reviewed_at).alias("reviewed_at")).alias("reviewed_comparison")))
+    out = rows.drop("category").join(item, ["source", "store_product_url"])
+    return out.withColumn("raw_payload", S.merged_json(F.col("raw_payload"), review)).withColumnRenamed("_category", "category").drop("match_basis")
+
+
 def bound_products(products: DataFrame, listings: DataFrame, mappings: DataFrame) -> DataFrame:
     """products with the reviewed identity of mappings (source, url, name, canonical_variant_key, brand, variant_label, net_quantity, unit, pack_count) bound by listings (source, store_product_url, external_name, product_id)."""
     facts = ["canonical_variant_key", "brand", "variant_label", "net_quantity", "unit", "pack_count"]

@@ -896,3 +896,55 @@ def sources_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, failed = official.from_sources(spark, {"parts": named("part", "p_name"), "broken": named("part", "no_such_column"), "suppliers": named("supplier", "s_name")}, "name string, price double, currency string, captured_at timestamp, is_synthetic boolean")
     assert [r.source for r in failed.collect()] == ["broken"]
     return rows.select("source_name", "name", "price")
+
+
+@query(
+    """SELECT p_partkey, sha256('{"a":' || p_size || ',"b":{"c":"' || p_name || '","d":null}}') AS hash, p_partkey % 2 = 0 AS has_b, '{"a":' || p_size || ',"x":1}' AS merged, CASE WHEN p_partkey % 3 = 0 THEN 'paint|1x' || CAST(round(p_size * 3785.41) AS BIGINT) || 'ml|MXN' ELSE 'paint|1x' || p_size || 'ml|MXN' END AS compared FROM part""",
+    mapped=False,
+)
+def json_and_gallon_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes that don't hang on the order of keys, keys with null values, merged objects, and presentations in gallons."""
+    size, name = F.col("p_size").cast("string"), F.col("p_name")
+    body = F.concat(F.lit('{ "b": {"d": null, "c": "'), name, F.lit('"}, "a": '), size, F.lit("}"))
+    maybe = F.when(KEY % 2 == 0, '{"b": null}').otherwise('{"c": 1}')
+    merged = S.canonical_json(S.merged_json(F.lit('{"x": 1, "a": "old"}'), F.concat(F.lit('{"a": '), size, F.lit("}"))))
+    rows = _part(spark, sf_dir).withColumns({"product_name": F.lit("Paint"), "presentation": F.concat(size, F.when(KEY % 3 == 0, " galones").otherwise(" ml")), "currency": F.lit("MXN")})
+    return rows.select("p_partkey", S.canonical_hash(body).alias("hash"), S.has_key(maybe, "b").alias("has_b"), merged.alias("merged"), P.comparison_key(rows).alias("compared"))
+
+
+@query("SELECT 'u/' || s_suppkey AS store_product_url, 'c' || s_suppkey // 2 AS category, '{\"a\":1,\"reviewed_comparison\":{\"basis\":\"size\",\"canonical_variant_key\":\"reviewed:' || s_suppkey // 2 || '\",\"reviewed_at\":\"2001-11-05\"}}' AS raw_payload FROM supplier WHERE s_suppkey < 10", mapped=False)
+def reviewed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of suppliers as the two listings of an item, all ready."""
+    s, k = load(spark, sf_dir, "supplier").filter("s_suppkey < 10"), F.col("s_suppkey")
+    item, url, source = F.expr("s_suppkey div 2"), F.concat(F.lit("u/"), k), F.when(k % 2 == 0, "a").otherwise("b")
+    manifest = s.select(F.concat(F.lit("reviewed:"), item).alias("canonical_variant_key"), F.lit("x").alias("label"), source.alias("source"), url.alias("url"), F.col("s_name").alias("observed_name"), F.lit("1 kg").alias("observed_presentation"), F.concat(F.lit("c"), item).alias("category"), F.lit("size").alias("match_basis"))
+    rows = s.select(
+        source.alias("source"), url.alias("store_product_url"), F.col("s_name").alias("source_product_name"), F.lit("1 kg").alias("presentation"), F.lit("online").alias("price_scope"), F.lit(True).alias("available"), F.lit(False).alias("is_synthetic"), F.lit("accepted").alias("review_status"),
+        F.lit('{"a": 1}').alias("raw_payload"), F.lit("old").alias("category"),
+    )
+    out = validators.prepared_basket(manifest, rows, ("a", "b"), "2001-11-05")
+    return out.select("store_product_url", "category", S.canonical_json(F.col("raw_payload")).alias("raw_payload"))
+
+
+@query("SELECT source, scope AS capture_scope, CASE WHEN source = 's0' THEN 'blocked' ELSE 'validated' END AS status FROM (SELECT 's' || p_size AS source, 'online' AS scope FROM part UNION SELECT 's0', 'branch')", mapped=False)
+def registered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = spark.createDataFrame([("s0", "online", "blocked"), ("s1", "branch", "candidate")], "source string, capture_scope string, status string")
+    sizes = _part(spark, sf_dir).select(F.concat(F.lit("s"), "p_size").alias("source"), F.lit("online").alias("capture_scope"), F.lit("validated").alias("status")).distinct()
+    return B.registered_sources(catalog, sizes.union(spark.createDataFrame([("s0", "branch", "validated")], "source string, capture_scope string, status string")))
+
+
+@query(
+    f"""SELECT 'https://parts.mx/' || p_partkey AS store_product_url, CASE WHEN p_partkey % 2 = 1 THEN 'unknown_listing' WHEN p_partkey % 4 = 2 THEN 'changed_presentation' END AS outcome FROM part WHERE {_ACCEPTED} AND (p_partkey % 2 = 1 OR p_partkey % 4 = 2)
+UNION ALL SELECT 'inserted ' || count(*), NULL FROM part WHERE {_ACCEPTED} AND p_partkey % 4 = 0""",
+    mapped=False,
+)
+def refreshed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A refresh in which only the even parts are known, half of them with another presentation."""
+    records = ingest.unique_records(ingest.validated(_lines(spark, sf_dir), AS_OF)).select("raw")
+    c = F.col
+    known = _part(spark, sf_dir).filter("p_partkey % 2 = 0").select(
+        F.concat(F.lit("https://parts.mx/"), KEY).alias("store_product_url"), c("p_name").alias("normalized_name"), F.initcap("p_name").alias("external_name"), F.when(KEY % 4 == 0, "1 pieza").otherwise("2 piezas").alias("presentation"),
+        F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("store_slug"), F.lit("kept").alias("category"), F.lit(None).cast("timestamp").alias("latest_capture"),
+    )
+    _, report, rejected = B.refreshed(B.empty_state(spark), records, known, "parts", AS_OF)
+    return rejected.withColumnRenamed("reject_reason", "outcome").union(report.select(F.concat(F.lit("inserted "), "inserted_snapshots"), F.lit(None).cast("string")))
