@@ -68,21 +68,23 @@ class Block:
         parts = []
         for text in texts:
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-            parts.append(np.array([*[number[w] for w in words], end], np.int64))
+            parts.append(np.fromiter((*map(number.__getitem__, words), end), np.int32, len(words) + 1))
         self.lens = np.array([len(x) for x in parts], np.int64)
-        words = np.concatenate([np.zeros(0, np.int64), *parts])
+        words = np.concatenate([np.zeros(0, np.int32), *parts])
+        del parts
         digest = xxhash.xxh64_intdigest
         hashes = np.array([END if w is None else digest(w, SEED) for w in number], np.uint64)
+        del number
         self.words, place = np.unique(hashes, return_inverse=True)
-        self.word = place[words]
+        self.word = place.astype(np.int32)[words]
         # A document's first token stands after the end of the one before.
         self.context = np.roll(self.word, 1)
-        codes, pair = np.unique(self.context * len(self.words) + self.word, return_inverse=True)
+        codes, pair = np.unique(self.context.astype(np.int64) * len(self.words) + self.word, return_inverse=True)
         keys = _mixed(self.words[codes // len(self.words)], self.words[codes % len(self.words)])
         order = np.argsort(keys)
         self.pairs = keys[order]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.pair = place[pair]
 
     def by_doc(self, values: np.ndarray) -> np.ndarray:
@@ -193,7 +195,7 @@ def learn_weights(bins: list[tuple[int, int, int, int]], rounds: int = 60, prior
     return out
 
 
-def lm_scores(docs: DataFrame, block_bytes: int = 12_000_000, range_bytes: int = 8_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, block_bytes: int = 8_000_000, range_bytes: int = 8_000_000) -> DataFrame:
     """Scores every whole text of docs (doc_id, text) with a model of those that held_out() leaves.
 
     A-Z lower-cased; tokens: runs without ASCII white space, then an end token. Gives doc_id, held_out, n_tokens,
