@@ -948,3 +948,150 @@ def refreshed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _, report, rejected = B.refreshed(B.empty_state(spark), records, known, "parts", AS_OF)
     return rejected.withColumnRenamed("reject_reason", "outcome").union(report.select(F.concat(F.lit("inserted "), "inserted_snapshots"), F.lit(None).cast("string")))
+
+
+# Retailers' pages and branch replies
+
+
+def _ld(value: Column) -> Column:
+    return F.concat(F.lit('<script type="application/ld+json">'), F.to_json(value), F.lit("</script>"))
+
+
+_PAGE = "SELECT p_partkey AS part, CASE WHEN r IS NULL THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents, CASE WHEN r IS NULL THEN p_size % 2 = 0 END AS available, r AS reject_reason FROM (SELECT *, {} AS r FROM part)"
+
+
+def _page_outcome(found: DataFrame) -> DataFrame:
+    good = F.col("reject_reason").isNull()
+    part = F.regexp_extract("url", "-([0-9]+)(?:/p)?$", 1).cast("long")
+    return found.select(part.alias("part"), F.when(good, S.cents(F.col("price"))).alias("price_cents"), F.when(good, F.col("available")).alias("available"), "reject_reason")
+
+
+def _ld_offer(k: Column, **more: Column) -> Column:
+    stock = F.when(F.col("p_size") % 2 == 0, "https://schema.org/InStock").otherwise("http://schema.org/OutOfStock")
+    fields = {"@type": F.lit("Offer"), "price": F.round("p_retailprice", 2), "priceCurrency": F.lit("MXN"), "availability": stock} | more
+    return F.struct(*[v.alias(n) for n, v in fields.items()])
+
+
+@query(_PAGE.format("CASE p_partkey % 12 WHEN 1 THEN 'url_and_sku_differ' WHEN 2 THEN 'ambiguous_pack' WHEN 3 THEN 'combined_presentation' WHEN 4 THEN 'missing_category' WHEN 5 THEN 'availability_not_confirmed' WHEN 6 THEN 'expired_offer' END"), mapped=False)
+def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.sources import retail
+
+    k, url = KEY % 12, F.concat(F.lit("https://m.mx/p-"), KEY)
+    name = F.concat("p_name", F.when(k == 2, " paquete 500 Grs.").when(k == 3, " 1 kg 2 l").when(k == 7, " 6 x 355 ml").otherwise(" 2 Lts."))
+    offer = _ld_offer(k, availability=F.when(k == 5, "PreOrder").when(F.col("p_size") % 2 == 0, "InStock").otherwise("https://schema.org/OutOfStock"), priceValidUntil=F.when(k == 6, "2001-11-01"))
+    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.when(k == 1, F.lit("0x")).otherwise(KEY.cast("string")).alias("sku"), url.alias("url"), offer.alias("offers"))
+    step = lambda item, shown: F.struct(item.alias("item"), shown.alias("name"))
+    crumbs = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(step(F.lit("https://m.mx/"), F.lit("Home")), step(F.when(k == 4, "https://m.mx/x").otherwise("https://m.mx/c/food"), F.col("p_type"))).alias("itemListElement"))
+    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _ld(crumbs)).alias("html"))
+    return _page_outcome(retail.catalog_pages(pages, "https://m.mx", AS_OF))
+
+
+def _next(value: Column) -> Column:
+    return F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(value), F.lit("</script>"))
+
+
+@query(_PAGE.format("CASE p_partkey % 12 WHEN 1 THEN 'identity_conflict' WHEN 2 THEN 'price_conflict' WHEN 3 THEN 'availability_conflict' WHEN 4 THEN 'promotion' WHEN 5 THEN 'weighted_or_ambiguous_unit' WHEN 6 THEN 'missing_or_ambiguous_state' WHEN 7 THEN 'stock_conflict' WHEN 8 THEN 'url_conflict' END"), mapped=False)
+def corroborated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured data against the storefront's own product."""
+    from tarifa.sources import retail
+
+    k, url, stock = KEY % 12, F.concat(F.lit("https://j.mx/p-"), KEY), F.col("p_size") % 2 == 0
+    name, price = F.concat("p_name", F.lit(" 1 kg")), F.round("p_retailprice", 2)
+    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), KEY.cast("string").alias("sku"), F.when(k == 8, "https://j.mx/other").otherwise(url).alias("url"), _ld_offer(k).alias("offers"))
+    state = F.struct(
+        F.when(k == 6, "none").otherwise(KEY.cast("string")).alias("id"), F.when(k == 1, "other").otherwise(name).alias("name"), F.when(k == 2, price + 1).otherwise(price).alias("price"), F.when(k == 3, ~stock).otherwise(stock).alias("isAvailable"), (k == 4).alias("onSale"),
+        F.array(F.struct((k != 5).alias("isPiece"))).alias("variants"),
+    )
+    rendered = F.struct(state.alias("own"), stock.alias("availability"), F.when(k == 7, F.when(stock, 0).otherwise(5)).when(stock, 3).otherwise(0).alias("stockLevel"))
+    data = F.struct(F.struct(F.struct(rendered.alias("product")).alias("pageProps")).alias("props"))
+    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
+    return _page_outcome(retail.corroborated_pages(pages, AS_OF, "piece"))
+
+
+@query(_PAGE.format("CASE p_partkey % 12 WHEN 1 THEN 'wrong_storefront' WHEN 2 THEN 'tax_inclusion_unknown' WHEN 3 THEN 'promotion' WHEN 4 THEN 'price_conflict' WHEN 5 THEN 'stock_conflict' END"), mapped=False)
+def corroborated_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarifa.sources import retail
+
+    k, url, stock = KEY % 12, F.concat(F.lit("https://r.mx/p-"), KEY), F.col("p_size") % 2 == 0
+    price = F.round("p_retailprice", 2)
+    product = F.struct(F.lit("Product").alias("@type"), F.concat("p_name", F.lit(" 1 kg")).alias("name"), KEY.cast("string").alias("sku"), _ld_offer(k).alias("offers"))
+    pricing = F.struct((k != 2).alias("isTaxExempt"), F.when(k == 3, "99").otherwise("").alias("oldPrice"), F.when(k == 4, price + 1).otherwise(price).alias("price"))
+    state = F.struct(F.lit("Product").alias("__typename"), KEY.cast("string").alias("sku"), F.when((k == 5) != stock, 4).otherwise(0).alias("stock"), pricing.alias("pricing"))
+    data = F.struct(F.struct(F.struct(F.when(k == 1, "other").otherwise("own").alias("slug")).alias("vendor"), F.array(state, state).alias("list")).alias("props"))
+    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
+    return _page_outcome(retail.corroborated_pages(pages, AS_OF, "stock", "own"))
+
+
+@query(_PAGE.format("CASE p_partkey % 14 WHEN 1 THEN 'no_product_of_this_url' WHEN 2 THEN 'offer_not_bound' WHEN 3 THEN 'combined_presentation' WHEN 4 THEN 'missing_or_ambiguous_quantity' WHEN 5 THEN 'expired_offer' WHEN 9 THEN 'no_product_of_this_url' WHEN 10 THEN 'no_product_of_this_url' END"), mapped=False)
+def sku_bound_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A marketplace's products: those under 7 in structured data, the others in a normalized graph, of which some are discounted or of another route."""
+    from tarifa.sources import retail
+
+    k, stock, number = KEY % 14, F.col("p_size") % 2 == 0, KEY.cast("string")
+    slug = F.concat(F.lit("s-"), KEY)
+    url = F.concat(F.lit("https://c.mx/"), slug, F.lit("/p"))
+    name, price = F.concat("p_name", F.when(k == 3, " 1 kg 2 l").when(k == 4, " pack 500 ml").otherwise(" 500 ml")), F.round("p_retailprice", 2)
+    offer = _ld_offer(k, sku=number, seller=F.struct(F.when(k == 2, "Other").otherwise("House").alias("name")), priceValidUntil=F.when(k == 5, "2001-11-01"))
+    product = F.struct(F.lit("Product").alias("@type"), F.when(k == 1, "https://c.mx/").otherwise(url).alias("@id"), number.alias("mpn"), number.alias("sku"), name.alias("name"), offer.alias("offers"))
+    ref = lambda key: F.struct(F.lit("id").alias("type"), F.lit(key).alias("id"))
+    entry = lambda key, value: F.concat(F.lit('"'), key, F.lit('":'), F.to_json(value))
+    terms = F.struct(price.alias("Price"), F.when(k == 9, price + 1).otherwise(price).alias("ListPrice"), F.when(stock, 3).otherwise(0).alias("AvailableQuantity"))
+    graph = F.concat(
+        F.lit("{"), F.concat_ws(
+            ",", entry(F.concat(F.lit("Product:"), slug), F.struct(number.alias("productId"), name.alias("productName"), slug.alias("linkText"), F.array(ref("sku")).alias("items"))),
+            entry(F.lit("sku"), F.struct(number.alias("itemId"), F.lit("un").alias("measurementUnit"), F.lit(1).alias("unitMultiplier"), F.array(ref("seller")).alias("sellers"))),
+            entry(F.lit("seller"), F.struct(F.lit("1").alias("sellerId"), F.lit("House").alias("sellerName"), ref("offer").alias("commertialOffer"))), entry(F.lit("offer"), terms),
+        ), F.lit("}"),
+    )
+    path = F.concat(F.lit("/"), F.when(k == 10, "elsewhere").otherwise(slug), F.lit("/p"))
+    runtime = F.to_json(F.struct(F.lit("house").alias("account"), F.struct(F.lit("MXN").alias("currency")).alias("culture"), F.struct(F.lit("store.product").alias("id"), path.alias("canonicalPath"), F.struct(number.alias("id")).alias("params")).alias("route")))
+    template = lambda var, body: F.concat(F.lit(f'<template data-varname="{var}"><script>'), body, F.lit("</script></template>"))
+    html = F.when(k < 7, _ld(product)).otherwise(F.concat(template("__RUNTIME__", runtime), template("__STATE__", graph)))
+    found = retail.sku_bound_pages(_part(spark, sf_dir).select(url.alias("url"), html.alias("html")), "House", "house", AS_OF)
+    return _page_outcome(found)
+
+
+@query(
+    """SELECT p_partkey AS part, CASE WHEN r IS NULL THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents, CASE WHEN r IS NULL THEN p_size % 2 = 0 END AS available, r AS reject_reason FROM (SELECT *, CASE p_partkey % 7 WHEN 1 THEN 'other_currency' WHEN 2 THEN 'expected_one_product' WHEN 3 THEN 'invalid_price' END AS r FROM part)""",
+    mapped=False,
+)
+def pages_with_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of which every other offer is stated in meta tags alone."""
+    from tarifa.sources import retail
+
+    k, url, price = KEY % 7, F.concat(F.lit("https://t.mx/p-"), KEY), F.format_string("%.2f", "p_retailprice")
+    in_tags, said = KEY % 2 == 0, F.when(F.col("p_size") % 2 == 0, "instock").otherwise("out of stock")
+    currency = F.when(k == 1, "USD").otherwise("MXN")
+    offer = F.struct(F.when(~in_tags & (k != 3), price).alias("price"), F.when(~in_tags, currency).alias("priceCurrency"), F.when(~in_tags, said).alias("availability"))
+    product = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), KEY.cast("string").alias("sku"), F.array(offer).alias("offers"))
+    tag = lambda name, value: F.concat(F.lit(f'<meta property="{name}" content="'), value, F.lit('">'))
+    tags = F.concat(tag("product:price:currency", currency), tag("product:availability", said), F.when(k != 3, tag("product:price:amount", F.concat(F.lit("$ "), price))).otherwise(""))
+    html = F.concat(F.when(k == 2, "").otherwise(_ld(product)), F.when(in_tags, tags).otherwise(""))
+    return _page_outcome(retail.pages_with_metas(_part(spark, sf_dir).select(url.alias("url"), html.alias("html")), "Electronica"))
+
+
+@query(
+    """SELECT p_partkey AS part, r AS reject_reason, CASE WHEN r IS NULL THEN CAST(round(p_retailprice * 100) AS BIGINT) END AS price_cents, r IS NULL AND p_size % 2 = 0 AND p_partkey % 3 > 0 AS staged FROM (SELECT *, CASE p_partkey % 11 WHEN 1 THEN 'missing_branch_price_field' WHEN 2 THEN 'unexpected_currency:USD'
+WHEN 3 THEN 'missing_branch_inventory_field' WHEN 4 THEN 'missing_official_product_url' WHEN 5 THEN 'missing_product_name' WHEN 6 THEN 'physical_store_id_mismatch' END AS r FROM part)""",
+    mapped=False,
+)
+def branch_product_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply for each part at one of three branches, the first of which lies outside Mexico; and which parts may be staged."""
+    from tarifa.sources import retail
+
+    k, store = KEY % 11, (KEY % 3).cast("string")
+    branches = spark.createDataFrame([(str(b), f"u{b}", f"b{b}", 19.5 if b else 51.5, -99.0) for b in range(3)], "store_number string, unique_id string, branch_external_key string, latitude double, longitude double")
+    price = F.format_string("%.2f", "p_retailprice")
+    fields = F.map_from_arrays(
+        F.array(F.when(k == 1, "x_prices.9.mxn").otherwise(F.concat(F.lit("x_prices."), store, F.lit(".mxn"))), F.when(k == 3, "inventories.u9.quantity").otherwise(F.concat(F.lit("inventories.u"), store, F.lit(".quantity"))), F.lit("partNumber")),
+        F.array(price, F.when(F.col("p_size") % 2 == 0, "3").otherwise("0"), KEY.cast("string")),
+    )
+    rest = F.struct(F.when(k != 5, F.col("p_name")).alias("name"), F.array(F.struct(F.lit("Offer").alias("usage"), F.when(k == 2, "USD").otherwise("MXN").alias("currency"))).alias("price"), F.struct(F.when(k == 4, "https://other.mx/x").otherwise(F.concat(F.lit("/p/"), KEY)).alias("href")).alias("seo"))
+    item = S.merged_json(F.to_json(fields), F.to_json(rest))
+    body = F.concat(F.lit('{"contents": ['), F.when(KEY % 2 == 0, item).otherwise(F.concat(F.lit('{"components": ['), item, F.lit("]}"))), F.lit("]}"))
+    url = F.concat(F.lit("https://www.depot.mx/api?physicalStoreId="), F.when(k == 6, "99").otherwise(store))
+    responses = _part(spark, sf_dir).select(url.alias("url"), F.lit(AS_OF).alias("observed_at"), body.alias("body"), store.alias("store_number"))
+    found = retail.branch_products(responses, branches, "www.depot.mx")
+    staged = retail.branch_records(found, F.lit("Herramientas")).select(F.col("external_reference"), F.lit(True).alias("staged"))
+    out = found.join(staged, "external_reference", "left")
+    return out.select(F.col("external_reference").cast("long").alias("part"), "reject_reason", F.when(F.col("reject_reason").isNull(), S.cents(F.col("price"))).alias("price_cents"), F.coalesce("staged", F.lit(False)).alias("staged"))
