@@ -16,7 +16,8 @@ from tarifa.plans.mapping import AS_OF, load, tables
 from tarifa.queries import query
 from tarifa.sources import feeds, official, products, web
 
-KEY = F.col("p_partkey")
+def _key() -> Column:
+    return F.col("p_partkey")
 
 
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +52,13 @@ CASE p_partkey % 6 WHEN 0 THEN 'arroz|qty=' || p_size || 'kg' WHEN 1 THEN 'arroz
 )
 def presentations_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What names state: a presentation to show, and the key of the variant."""
-    k, size = KEY % 6, F.col("p_size").cast("string")
+    k, size = _key() % 6, F.col("p_size").cast("string")
     end = F.when(k == 0, F.concat(size, F.lit(" Kilos"))).when(k == 1, F.concat(size, F.lit(",5 lt"))).when(k == 2, F.concat(size, F.lit(" pzas"))).when(k == 3, "").when(k == 4, "litro").otherwise(F.concat(size, F.lit(" gr")))
     return _part(spark, sf_dir).withColumn("n", F.trim(F.concat(F.lit("Arroz "), end))).select("p_partkey", T.infer_presentation(F.col("n")).alias("shown"), T.parse_variant(F.col("n"))["key"].alias("variant"))
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size AS DECIMAL(10,2)) + 0.25 END AS money, 'Street ' || p_size || ', Town, México' AS place, CASE WHEN p_size % 10 >= 7 THEN 'geocoded' ELSE 'review' END AS placed,
+    """SELECT p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size + 0.25 AS DECIMAL(10,2)) END AS money, 'Street ' || p_size || ', Town, México' AS place, CASE WHEN p_size % 10 >= 7 THEN 'geocoded' ELSE 'review' END AS placed,
 p_name || ' [' || lower(p_type) || ':' || md5(p_brand) || ']' AS taken_name, p_partkey || '|null|' || p_brand AS identity, CASE WHEN p_partkey % 2 = 0 THEN 'https://b.mx/' || p_partkey END AS evidence,
 sha256(p_partkey || '||' || p_brand) AS content_hash, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '2024-01-02 05:59:59' WHEN p_partkey % 3 = 1 THEN TIMESTAMP '2024-01-01 10:00:00' END AS expiry, TIMESTAMP '2024-01-01 12:00:00' AS noon,
 CASE WHEN p_size % 4 = 0 THEN 'no_data' WHEN p_size < 7 THEN 'healthy' WHEN p_size <= 21 THEN 'stale' ELSE 'old' END AS health FROM part""",
@@ -66,13 +67,13 @@ CASE WHEN p_size % 4 = 0 THEN 'no_data' WHEN p_size < 7 THEN 'healthy' WHEN p_si
 def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, none = F.col, F.lit(None).cast("string")
     money = F.concat("p_size", F.when(c("p_size") > 9, ".25").otherwise(".255"))
-    until = F.when(KEY % 3 == 0, "2024-01-01").when(KEY % 3 == 1, "2024-01-01T05:00:00-05:00").otherwise("2024-01-01T05:00:00")
+    until = F.when(_key() % 3 == 0, "2024-01-01").when(_key() % 3 == 1, "2024-01-01T05:00:00-05:00").otherwise("2024-01-01T05:00:00")
     as_of = F.lit("2024-03-01").cast("timestamp")
     seen = F.when(c("p_size") % 4 != 0, as_of - F.make_dt_interval(c("p_size")))
     return _part(spark, sf_dir).select(
         "p_partkey", S.parse_money(money).alias("money"), S.geocoding_query(F.concat(F.lit("Street "), "p_size"), F.lit(" "), none, F.lit("Town"), F.lit("México")).alias("place"), S.geocode_status((c("p_size") % 10) / 10, 0.7).alias("placed"),
-        S.collision_name(c("p_name"), F.lower("p_type"), c("p_brand")).alias("taken_name"), S.identity_key(KEY, none, c("p_brand")).alias("identity"),
-        S.evidence_url(F.lit("ftp://a.mx/"), F.when(KEY % 2 == 0, F.concat(F.lit("https://b.mx/"), KEY)), F.lit("https:///nowhere")).alias("evidence"), S.content_hash(KEY, none, c("p_brand")).alias("content_hash"),
+        S.collision_name(c("p_name"), F.lower("p_type"), c("p_brand")).alias("taken_name"), S.identity_key(_key(), none, c("p_brand")).alias("identity"),
+        S.evidence_url(F.lit("ftp://a.mx/"), F.when(_key() % 2 == 0, F.concat(F.lit("https://b.mx/"), _key())), F.lit("https:///nowhere")).alias("evidence"), S.content_hash(_key(), none, c("p_brand")).alias("content_hash"),
         S.parse_expiry(until).alias("expiry"), S.noon_utc(F.lit("2024-01-01")).alias("noon"), S.source_health(seen, as_of).alias("health"),
     )
 
@@ -83,11 +84,11 @@ CASE WHEN p_partkey % 7 = 0 THEN 'precio_ausente' WHEN p_partkey % 7 = 1 THEN 'p
     mapped=False,
 )
 def label_and_token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = F.col, KEY % 7
-    label = F.concat("p_name", F.when(KEY % 2 == 0, F.concat(F.lit(" · "), "p_brand")).otherwise(""))
+    c, k = F.col, _key() % 7
+    label = F.concat("p_name", F.when(_key() % 2 == 0, F.concat(F.lit(" · "), "p_brand")).otherwise(""))
     term = F.when(F.contains("p_name", F.lit("red")), " Pintura! ").otherwise("otra cosa")
-    inner = F.base64(F.concat(F.lit("region "), KEY).cast("binary"))
-    token = F.when(KEY % 3 == 0, F.rtrim(F.base64(F.to_json(F.struct(inner.alias("regionId"))).cast("binary")), F.lit("="))).when(KEY % 3 == 1, "not base64 of JSON")
+    inner = F.base64(F.concat(F.lit("region "), _key()).cast("binary"))
+    token = F.when(_key() % 3 == 0, F.rtrim(F.base64(F.to_json(F.struct(inner.alias("regionId"))).cast("binary")), F.lit("="))).when(_key() % 3 == 1, "not base64 of JSON")
     reason = F.when(k == 0, "missing_branch_price_field").when(k == 1, "detail_missing_name").when(k == 2, "unexpected_currency:USD").when(k == 3, "out_of_stock").when(k == 4, "whatever")
     return _part(spark, sf_dir).select("p_partkey", *official.label_parts(label), official.category_of_term(term).alias("category"), official.region_of_token(token).alias("region"), validators.bucket(reason).alias("bucket"))
 
@@ -101,23 +102,23 @@ def _json(fields: dict[str, Column]) -> Column:
 
 def _staged(k: Column) -> dict[str, Column]:
     """The fields of a staged record for each part: every third is of a branch, some have a defect."""
-    text = lambda prefix, c=KEY: F.concat(F.lit(prefix), c)
-    branch = KEY % 3 == 0
+    text = lambda prefix, c=_key(): F.concat(F.lit(prefix), c)
+    branch = _key() % 3 == 0
     local = lambda value: F.when(branch, value)
     fields = {c: F.lit(v) for c, v in {"source": "parts", "currency": "MXN", "evidence_kind": "store_api", "presentation": "1 pieza", "observed_at": "2001-11-04T10:00:00Z", "captured_at": "2001-11-04T10:00:00Z", "branch": None}.items() if v}
     fields |= {"store_brand": F.col("p_brand"), "store_slug": F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), "source_product_name": F.initcap("p_name"), "normalized_name": F.col("p_name"), "category": F.col("p_type")}
     fields |= {"price": F.round("p_retailprice", 2), "available": F.col("p_size") % 2 == 0, "source_url": text("https://parts.mx/"), "store_product_url": text("https://parts.mx/"), "external_reference": text("r"), "content_hash": text("hash-000000")}
     fields |= {"confidence_score": F.when(k == 1, 0.5).otherwise(0.9), "is_synthetic": k == 2, "review_status": F.when(k == 3, "pending").otherwise("accepted"), "price_scope": F.when(branch, "branch_local").otherwise("online")}
     fields |= {"branch_external_key": local(text("b", F.col("p_size"))), "branch_name": local(text("Branch ", F.col("p_size"))), "branch_address": local(F.lit("Street 1")), "branch_municipality": local(F.lit("Town")), "branch_state": local(F.lit("State"))}
-    fields |= {"latitude": local(F.when(k == 4, 50.0).otherwise(19.5)), "longitude": local(F.lit(-99.0)), "image_url": F.lit(None).cast("string"), "validation_errors": F.array().cast("array<string>"), "raw_payload": F.struct(KEY.alias("id"))}
+    fields |= {"latitude": local(F.when(k == 4, 50.0).otherwise(19.5)), "longitude": local(F.lit(-99.0)), "image_url": F.lit(None).cast("string"), "validation_errors": F.array().cast("array<string>"), "raw_payload": F.struct(_key().alias("id"))}
     return fields
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged lines: one for each part, the first hundred twice, and a broken line for every fortieth."""
-    once = _part(spark, sf_dir).select(KEY, _json(_staged(KEY % 11)).alias("raw"))
-    again = once.filter("p_partkey < 100").withColumn("p_partkey", KEY + 1_000_000)
-    broken = once.filter("p_partkey % 40 = 0").select((KEY + 2_000_000).alias("p_partkey"), F.lit("{").alias("raw"))
+    once = _part(spark, sf_dir).select(_key(), _json(_staged(_key() % 11)).alias("raw"))
+    again = once.filter("p_partkey < 100").withColumn("p_partkey", _key() + 1_000_000)
+    broken = once.filter("p_partkey % 40 = 0").select((_key() + 2_000_000).alias("p_partkey"), F.lit("{").alias("raw"))
     rows = once.union(again).union(broken)
     error = F.when(S.json_kind(F.col("raw")).isNull(), "invalid_json")
     return rows.select(F.lit("lines").alias("file"), F.col("p_partkey").alias("line"), "raw", error.alias("error"))
@@ -159,10 +160,10 @@ def staged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS id FROM part WHERE p_size % 5 <> 0 AND p_partkey % 4 <> 1 AND (p_partkey % 3 > 0 OR p_partkey % 9 = 0) AND p_partkey % 7 > 0", mapped=False)
 def publishable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third part of a branch, of which some lie elsewhere or name no place."""
-    branch = KEY % 3 == 0
+    branch = _key() % 3 == 0
     staged = _part(spark, sf_dir).select(
-        KEY.alias("id"), F.when(KEY % 4 == 1, "pending").otherwise("accepted").alias("review_status"), F.lit("sitemap").alias("evidence_kind"), F.when(F.col("p_size") % 5 == 0, 0.69).otherwise(0.7).alias("confidence_score"), (KEY % 7 == 0).alias("is_synthetic"),
-        F.array().cast("array<string>").alias("validation_errors"), F.when(branch, "branch_local").otherwise("online").alias("price_scope"), F.when(branch, F.when(KEY % 9 == 0, "19.43").when(KEY % 9 == 3, "north").otherwise("51.5")).alias("latitude"),
+        _key().alias("id"), F.when(_key() % 4 == 1, "pending").otherwise("accepted").alias("review_status"), F.lit("sitemap").alias("evidence_kind"), F.when(F.col("p_size") % 5 == 0, 0.69).otherwise(0.7).alias("confidence_score"), (_key() % 7 == 0).alias("is_synthetic"),
+        F.array().cast("array<string>").alias("validation_errors"), F.when(branch, "branch_local").otherwise("online").alias("price_scope"), F.when(branch, F.when(_key() % 9 == 0, "19.43").when(_key() % 9 == 3, "north").otherwise("51.5")).alias("latitude"),
         F.when(branch, "-99.1").alias("longitude"), F.when(branch, "b1").alias("branch_external_key"),
     )
     return ingest.publishable(staged).select("id")
@@ -189,7 +190,7 @@ def published_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, sf_dir)[0].products.select("normalized_name", "category")
 
 
-@query(f"SELECT DISTINCT 'b' || p_size AS external_key, 'Branch ' || p_size AS name, 19.5 AS latitude, -99.0 AS longitude, 'manual' AS geocoding_status FROM part WHERE p_partkey % 3 = 0 AND {_ACCEPTED}", mapped=False)
+@query(f"SELECT DISTINCT 'b' || p_size AS external_key, 'Branch ' || p_size AS name, CAST(19.5 AS DOUBLE) AS latitude, CAST(-99.0 AS DOUBLE) AS longitude, 'manual' AS geocoding_status FROM part WHERE p_partkey % 3 = 0 AND {_ACCEPTED}", mapped=False)
 def published_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(spark, sf_dir)[0].branches.select("external_key", "name", "latitude", "longitude", "geocoding_status")
 
@@ -233,7 +234,7 @@ def published_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _observation(k: Column) -> dict[str, Column]:
-    text = lambda prefix: F.concat(F.lit(prefix), KEY)
+    text = lambda prefix: F.concat(F.lit(prefix), _key())
     fields = {c: F.lit(v) for c, v in {"source": "parts", "price_scope": "online", "currency": "MXN", "review_status": "accepted", "presentation": "1 pieza"}.items()}
     fields |= {"store_slug": F.when(k == 1, "closed").otherwise("parts"), "product_name": F.col("p_name"), "normalized_name": F.when(k == 2, " ").otherwise(F.col("p_name")), "category": F.col("p_type"), "is_synthetic": F.lit(False)}
     fields |= {"price": F.when(k == 3, 1.005).otherwise(F.round("p_retailprice", 2)), "available": F.lit(True), "stock_status": F.when(k == 4, "out_of_stock"), "source_url": F.when(k == 5, text("https://other.mx/")).otherwise(text("https://parts.mx/"))}
@@ -249,7 +250,7 @@ WHEN 6 THEN 'not_current' WHEN 7 THEN 'branch_data' WHEN 8 THEN 'pack_count' WHE
 )
 def observation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = spark.createDataFrame([("parts", "parts", ["parts.mx"], True, "validated", "MX"), ("parts", "closed", ["parts.mx"], False, "validated", "MX")], "source string, store_slug string, hosts array<string>, publisher_enabled boolean, status string, country string")
-    rows = _part(spark, sf_dir).select(KEY, _json(_observation(KEY % 12)).alias("raw"))
+    rows = _part(spark, sf_dir).select(_key(), _json(_observation(_key() % 12)).alias("raw"))
     return validators.observation_issues(rows, sources, AS_OF).select("p_partkey", F.array_join("issues", ",").alias("issues"))
 
 
@@ -260,10 +261,10 @@ CASE WHEN p_size % 2 = 1 THEN p_size * 1000 END AS quantity FROM part""",
     mapped=False,
 )
 def offer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k, none = F.col, KEY % 9, F.lit(None).cast("string")
+    c, k, none = F.col, _key() % 9, F.lit(None).cast("string")
     price = F.format_string("%.2f", "p_retailprice")
     offers = _part(spark, sf_dir).select(
-        KEY, F.when(k == 1, "Not A Slug").otherwise("shop").alias("retailer"), KEY.cast("string").alias("external_id"), F.lit("feed").alias("source"), c("p_name").alias("name"), F.when(k == 2, "-1").otherwise(price).alias("price"),
+        _key(), F.when(k == 1, "Not A Slug").otherwise("shop").alias("retailer"), _key().cast("string").alias("external_id"), F.lit("feed").alias("source"), c("p_name").alias("name"), F.when(k == 2, "-1").otherwise(price).alias("price"),
         F.when(c("p_size") % 7 == 0, price).alias("previous_price"), F.lit("MXN").alias("currency"), F.when(k == 3, "2001-10-20T00:00:00Z").otherwise("2001-11-04T00:00:00Z").alias("captured_at"), F.when(k == 4, "http://shop.mx/").otherwise("https://shop.mx/").alias("product_url"),
         none.alias("image_url"), F.when(k == 5, "online").otherwise("store").alias("price_type"), F.lit("s1").alias("store_id"), none.alias("store_name"), none.alias("address"), F.when(k == 6, 19.0).alias("latitude"), F.lit(None).cast("double").alias("longitude"),
         F.lit(True).alias("availability"), F.when(c("p_size") % 5 == 0, 0).otherwise(4).alias("stock"), F.when(c("p_size") % 3 == 0, "123").alias("gtin"), F.lit("7501031311309").alias("ean"), none.alias("upc"),
@@ -278,9 +279,9 @@ def offer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped=False,
 )
 def online_row_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, none, at = KEY % 8, F.lit(None).cast("string"), lambda day: F.lit(f"2001-11-{day} 00:00:00").cast("timestamp")
+    k, none, at = _key() % 8, F.lit(None).cast("string"), lambda day: F.lit(f"2001-11-{day} 00:00:00").cast("timestamp")
     rows = _part(spark, sf_dir).select(
-        KEY, F.when(k == 0, "branch_local").otherwise("online").alias("price_scope"), none.alias("branch_id"), none.alias("branch_name"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), (k == 1).alias("is_synthetic"), F.lit("accepted").alias("review_status"),
+        _key(), F.when(k == 0, "branch_local").otherwise("online").alias("price_scope"), none.alias("branch_id"), none.alias("branch_name"), F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"), (k == 1).alias("is_synthetic"), F.lit("accepted").alias("review_status"),
         F.lit("s").alias("source"), F.lit("s").alias("store_slug"), F.col("p_name").alias("product_name"), F.lit("1 kg").alias("presentation"), F.when(k == 2, "").otherwise(F.col("p_type")).alias("category"), F.lit("u").alias("source_url"), F.lit("u").alias("store_product_url"),
         F.when(k == 4, at("06")).otherwise(at("04")).alias("observed_at"), F.lit("x").alias("response_sha256"), F.lit("MXN").alias("currency"), F.when(k == 3, 0.0).otherwise(F.col("p_retailprice")).alias("price"), F.when(k == 5, at("05")).otherwise(at("07")).alias("valid_until"),
     )
@@ -295,10 +296,10 @@ WHEN 4 THEN 'future' WHEN 5 THEN 'expired' WHEN 6 THEN NULL ELSE CASE WHEN p_par
 )
 def shown_offer_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why offers aren't shown where a branch is asked for, and where it isn't."""
-    k, branch, now = KEY % 8, KEY % 5 > 0, F.lit(AS_OF).cast("timestamp")
+    k, branch, now = _key() % 8, _key() % 5 > 0, F.lit(AS_OF).cast("timestamp")
     at = F.when(k == 4, now + F.make_dt_interval(mins=F.lit(6))).when(k == 5, now - F.make_dt_interval(F.lit(7))).otherwise(now)
     rows = _part(spark, sf_dir).select(
-        KEY, F.when(k == 0, " ").otherwise(F.col("p_name")).alias("product_name"), F.lit("Store").alias("store_name"), F.when(k == 1, 0.0).otherwise(F.col("p_retailprice")).alias("price"), F.when(k == 2, "USD").otherwise("MXN").alias("currency"), (k != 3).alias("available"),
+        _key(), F.when(k == 0, " ").otherwise(F.col("p_name")).alias("product_name"), F.lit("Store").alias("store_name"), F.when(k == 1, 0.0).otherwise(F.col("p_retailprice")).alias("price"), F.when(k == 2, "USD").otherwise("MXN").alias("currency"), (k != 3).alias("available"),
         at.alias("captured_at"), F.when(branch, 1).alias("branch_id"), F.when(k != 6, "Branch").alias("branch_name"), F.lit("Street").alias("branch_address"), F.lit(1.0).alias("distance_km"),
         F.when(k == 6, "https://s.mx/").alias("observation_url"), F.lit(None).cast("string").alias("store_product_url"),
     )
@@ -312,11 +313,11 @@ CASE WHEN p_partkey % 14 = 0 THEN p_type ELSE 'new' END AS category FROM part"""
 )
 def known_listing_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A refresh of the even parts, which are known, by rows of which most changed in something."""
-    k, url = KEY % 14, F.concat(F.lit("u/"), KEY)
+    k, url = _key() % 14, F.concat(F.lit("u/"), _key())
     p = _part(spark, sf_dir)
     known = p.filter("p_partkey % 2 = 0").select(url.alias("store_product_url"), F.col("p_name").alias("normalized_name"), F.col("p_name").alias("external_name"), F.lit("1 kg").alias("presentation"), F.lit("s").alias("store_slug"), F.col("p_type").alias("category"), F.lit(AS_OF).cast("timestamp").alias("latest_capture"))
     rows = p.select(
-        KEY, F.lit("parts").alias("source"), url.alias("store_product_url"), F.when(k == 2, "elsewhere").otherwise(url).alias("source_url"), F.when(k == 4, "other").otherwise(F.col("p_name")).alias("normalized_name"), F.col("p_name").alias("source_product_name"),
+        _key(), F.lit("parts").alias("source"), url.alias("store_product_url"), F.when(k == 2, "elsewhere").otherwise(url).alias("source_url"), F.when(k == 4, "other").otherwise(F.col("p_name")).alias("normalized_name"), F.col("p_name").alias("source_product_name"),
         F.when(k == 6, "2 kg").otherwise("1 kg").alias("presentation"), F.when(k == 8, "t").otherwise("s").alias("store_slug"), F.when(k == 10, "today").when(k == 12, "2001-11-04T00:00:00Z").otherwise("2001-11-05T00:00:00Z").alias("captured_at"), F.lit("new").alias("category"),
     )
     return validators.bound_to_known(rows, known, "parts").select("p_partkey", "reject_reason", "category")
@@ -328,8 +329,8 @@ WHEN 6 THEN 'evidence_not_accepted,raw_evidence_missing' ELSE '' END AS reasons,
     mapped=False,
 )
 def review_of_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, k, url = _part(spark, sf_dir), KEY % 10, F.concat(F.lit("u/"), KEY)
-    manifest = p.filter(k < 8).select(F.concat(F.lit("reviewed:"), KEY).alias("canonical_variant_key"), F.col("p_name").alias("label"), F.lit("s").alias("source"), url.alias("url"), F.col("p_name").alias("observed_name"), F.lit("1 kg").alias("observed_presentation"))
+    p, k, url = _part(spark, sf_dir), _key() % 10, F.concat(F.lit("u/"), _key())
+    manifest = p.filter(k < 8).select(F.concat(F.lit("reviewed:"), _key()).alias("canonical_variant_key"), F.col("p_name").alias("label"), F.lit("s").alias("source"), url.alias("url"), F.col("p_name").alias("observed_name"), F.lit("1 kg").alias("observed_presentation"))
     rows = p.filter(~k.isin(2, 9)).select(
         F.lit("s").alias("source"), url.alias("store_product_url"), F.when(k == 3, "other").otherwise(F.col("p_name")).alias("source_product_name"), F.when(k == 4, "2 kg").otherwise("1 kg").alias("presentation"), F.when(k == 4, "branch_local").otherwise("online").alias("price_scope"),
         F.when(k != 5, True).alias("available"), F.lit(False).alias("is_synthetic"), F.when(k == 6, "pending").otherwise("accepted").alias("review_status"), F.when(k == 6, "[]").otherwise("{}").alias("raw_payload"), F.explode(F.when(k == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
@@ -376,7 +377,7 @@ def fresh_direct_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT retailer, external_id, price FROM (SELECT 'r' AS retailer, p_name AS external_id, arg_max(p_retailprice, p_partkey) AS price, min(p_partkey) AS place FROM part WHERE p_partkey % 3 = 1 GROUP BY 2) ORDER BY place LIMIT 10", mapped=False)
 def provider_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first provider gives nothing, so the second one answers: names are identities, of which the last offer counts."""
-    offers = _part(spark, sf_dir).filter("p_partkey % 3 > 0").select(F.when(KEY % 3 == 1, "second").otherwise("third").alias("provider"), KEY.alias("position"), F.lit("r").alias("retailer"), F.col("p_name").alias("external_id"), F.lit("s").alias("store_id"), F.col("p_retailprice").alias("price"))
+    offers = _part(spark, sf_dir).filter("p_partkey % 3 > 0").select(F.when(_key() % 3 == 1, "second").otherwise("third").alias("provider"), _key().alias("position"), F.lit("r").alias("retailer"), F.col("p_name").alias("external_id"), F.lit("s").alias("store_id"), F.col("p_retailprice").alias("price"))
     return validators.provider_page(offers, ["first", "second", "third"], 10).select("retailer", "external_id", "price")
 
 
@@ -385,7 +386,7 @@ def provider_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _official(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Official replies, one for each supplier with the prices of its line items; every seventh has one that can't be, every eleventh failed."""
-    line = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").join(_part(spark, sf_dir), F.col("l_partkey") == KEY)
+    line = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").join(_part(spark, sf_dir), F.col("l_partkey") == _key())
     k = F.col("l_suppkey")
     price = F.struct(
         F.concat("p_name", F.lit(", "), "p_brand", F.lit(", 1 kg")).alias("producto"), F.lit("x").alias("tipo_producto"), F.when((k % 7 == 0) & (F.col("l_quantity") > 49), "-1").otherwise(F.col("l_quantity").cast("string")).alias("precio"),
@@ -424,7 +425,7 @@ def official_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 4 > 0 THEN 19.0 + s_suppkey / 100.0 END AS latitude, CASE WHEN s_suppkey % 4 > 0 THEN -99.0 END AS longitude, CASE s_suppkey % 4 WHEN 1 THEN 0.9 WHEN 2 THEN 0.35 WHEN 3 THEN 0.5 END AS confidence,
+    """SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN s_suppkey % 4 > 0 THEN CAST(19.0 AS DOUBLE) + s_suppkey / 100.0 END AS latitude, CASE WHEN s_suppkey % 4 > 0 THEN CAST(-99.0 AS DOUBLE) END AS longitude, CAST(CASE s_suppkey % 4 WHEN 1 THEN 0.9 WHEN 2 THEN 0.35 WHEN 3 THEN 0.5 END AS DOUBLE) AS confidence,
 CASE s_suppkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'geocoded' ELSE 'review' END AS geocoding_status, s_suppkey % 4 = 1 AS placed, 3 AS geocoding_attempts FROM supplier""",
     mapped=False,
 )
@@ -458,14 +459,14 @@ count(*) FILTER (n < 48) - CASE WHEN arg_max(n, page) < 48 THEN 1 ELSE 0 END AS
     mapped=False,
 )
 def paged_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _part(spark, sf_dir).select(F.expr("p_partkey div 48").alias("page"), (KEY % 48).alias("position"), (KEY % 1999).alias("id"), F.concat(F.lit("u/"), KEY).alias("url"))
+    pages = _part(spark, sf_dir).select(F.expr("p_partkey div 48").alias("page"), (_key() % 48).alias("position"), (_key() % 1999).alias("id"), F.concat(F.lit("u/"), _key()).alias("url"))
     known = load(spark, sf_dir, "supplier").select(F.concat(F.lit("gone/"), "s_suppkey").alias("url"))
     return official.capture_pages(pages, known, 48)
 
 
 @query("SELECT p_name AS item_id, p_brand AS seller_id, min(p_partkey) AS position, 'held' AS status FROM part GROUP BY p_name, p_brand", mapped=False)
 def front_page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = _part(spark, sf_dir).select(F.col("p_name").alias("item_id"), F.col("p_brand").alias("seller_id"), F.lit("o").alias("offer_id"), KEY.alias("position"))
+    cards = _part(spark, sf_dir).select(F.col("p_name").alias("item_id"), F.col("p_brand").alias("seller_id"), F.lit("o").alias("offer_id"), _key().alias("position"))
     return official.homepage_cards(cards).select("item_id", "seller_id", "position", "status")
 
 
@@ -479,15 +480,15 @@ CASE WHEN p_partkey % 10 = 7 THEN NULL WHEN p_partkey % 10 IN (4) THEN NULL ELSE
 )
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shop pages with structured data, most with a defect."""
-    c, k = F.col, KEY % 10
+    c, k = F.col, _key() % 10
     offer = F.struct(F.lit("Offer").alias("@type"), c("p_retailprice").alias("price"), F.when(k == 1, "USD").otherwise("MXN").alias("priceCurrency"), F.when(k == 2, "https://schema.org/OutOfStock").otherwise("https://schema.org/InStock").alias("availability"), F.when(k == 3, "2001-11-01").alias("priceValidUntil"))
     name = F.concat("p_name", F.when(k == 7, "").otherwise(F.concat(F.lit(" 6 x "), c("p_size"), F.lit(" ml"))))
-    product = F.struct(F.array(F.lit("Thing"), F.lit("Product")).alias("@type"), name.alias("name"), KEY.cast("string").alias("sku"), F.when(KEY % 2 == 0, c("p_type")).alias("category"), F.when(k == 8, F.array(offer, offer)).otherwise(F.array(offer)).alias("offers"))
+    product = F.struct(F.array(F.lit("Thing"), F.lit("Product")).alias("@type"), name.alias("name"), _key().cast("string").alias("sku"), F.when(_key() % 2 == 0, c("p_type")).alias("category"), F.when(k == 8, F.array(offer, offer)).otherwise(F.array(offer)).alias("offers"))
     script = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
     whole = script(F.to_json(product))
     sale = F.lit('<div class="summary entry-summary"><del>10</del></div><div class="woocommerce-tabs">')
     html = F.when(k == 4, F.concat(whole, whole)).when(k == 5, F.concat(whole, script(F.lit("{")))).when(k == 6, F.concat(whole, sale)).otherwise(whole)
-    pages = _part(spark, sf_dir).select(F.concat(F.lit("https://s.mx/"), KEY).alias("url"), html.alias("html"))
+    pages = _part(spark, sf_dir).select(F.concat(F.lit("https://s.mx/"), _key()).alias("url"), html.alias("html"))
     out = products.parsed_products(pages, "s.mx", AS_OF, reject_sales=True)
     return out.select(F.substring("url", 14, 20).cast("long").alias("p_partkey"), "reject_reason", "presentation", "category")
 
@@ -495,14 +496,14 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_partkey // 100 AS VARCHAR) AS name, 'https://s.mx/p?a=' || p_partkey || '&b=1' AS url, CAST(p_partkey % 100 AS INTEGER) AS position FROM part WHERE p_partkey % 2 = 0", mapped=False)
 def sitemap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locations of sitemaps of a hundred parts each, those of even parts kept."""
-    loc = F.concat(F.lit("<url><loc> https://s.mx/p?a="), KEY, F.lit("&amp;b=1 </loc></url>"))
-    maps = _part(spark, sf_dir).groupBy(F.expr("p_partkey div 100").cast("string").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(KEY, loc.alias("l")))), lambda x: x["l"]), "").alias("xml"))
+    loc = F.concat(F.lit("<url><loc> https://s.mx/p?a="), _key(), F.lit("&amp;b=1 </loc></url>"))
+    maps = _part(spark, sf_dir).groupBy(F.expr("p_partkey div 100").cast("string").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_key(), loc.alias("l")))), lambda x: x["l"]), "").alias("xml"))
     return web.sitemap_locations(maps, F.regexp_extract("url", "a=([0-9]+)", 1).cast("long") % 2 == 0)
 
 
 @query("SELECT 'https://s.mx/' || p_name || '-' || p_partkey % 50 AS url, CAST(p_partkey % 50 AS VARCHAR) AS sku, p_partkey AS position FROM part WHERE p_partkey < 50 ORDER BY p_partkey LIMIT 40", mapped=False)
 def known_product_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = _part(spark, sf_dir).select(KEY.alias("position"), F.concat(F.lit("https://s.mx/"), "p_name", F.lit("-"), KEY % 50).alias("url"))
+    urls = _part(spark, sf_dir).select(_key().alias("position"), F.concat(F.lit("https://s.mx/"), "p_name", F.lit("-"), _key() % 50).alias("url"))
     return web.known_urls(urls, 40)
 
 
@@ -532,7 +533,7 @@ def _outcome(found: DataFrame) -> DataFrame:
 @query(_FEED.format("CASE WHEN p_partkey % 7 = 0 THEN 'promotion' WHEN p_partkey % 5 = 0 THEN 'unknown_category' END"), mapped=False)
 def shared_catalog_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogs of fifty parts each behind one link."""
-    k = KEY
+    k = _key()
     product = F.struct(
         k.cast("string").alias("id"), F.concat("p_name", F.lit(" "), k).alias("name"), F.concat("p_size", F.lit(" kg")).alias("gramaje"), F.round("p_retailprice", 2).alias("price"), (F.col("p_size") % 3 != 0).alias("available"), F.when(k % 7 == 0, 1.0).alias("salePrice"),
         F.when(k % 5 == 0, "none").otherwise("c1").alias("categoryId"), F.lit("img.png").alias("image"),
@@ -546,7 +547,7 @@ def shared_catalog_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FEED.format("CASE WHEN p_partkey % 13 = 0 THEN 'ambiguous_piece' WHEN p_partkey % 11 = 0 THEN 'variant_of_another_product' WHEN p_partkey % 7 = 0 THEN 'promotion' END"), mapped=False)
 def storefront_bulk_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, price = KEY, F.format_string("%.2f", "p_retailprice")
+    k, price = _key(), F.format_string("%.2f", "p_retailprice")
     variant = F.struct(k.alias("id"), F.when(k % 11 == 0, k + 1).otherwise(k).alias("product_id"), F.lit("Pieza").alias("title"), k.cast("string").alias("sku"), price.alias("price"), F.when(k % 7 == 0, F.concat(F.lit("9"), price)).when(k % 2 == 0, "0.00").alias("compare_at_price"), (F.col("p_size") % 3 != 0).alias("available"))
     images = F.array(F.struct(k.alias("product_id"), F.concat(F.lit("https://s.mx/"), k, F.lit(".png")).alias("src")))
     product = F.struct(k.alias("id"), F.concat("p_name", F.lit(" "), "p_size", F.lit(" kg")).alias("title"), F.concat(F.lit("part-"), k).alias("handle"), F.col("p_type").alias("product_type"), F.when(k % 13 == 0, F.array(variant, variant)).otherwise(F.array(variant)).alias("variants"), images.alias("images"))
@@ -557,7 +558,7 @@ def storefront_bulk_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FEED.format("CASE WHEN p_partkey % 13 = 0 THEN 'url_conflict' WHEN p_partkey % 11 = 0 THEN 'conflicting_availability' WHEN p_partkey % 7 = 0 THEN 'promotion' END"), mapped=False)
 def storefront_product_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, cents, open_ = KEY, S.cents(F.col("p_retailprice")), F.col("p_size") % 3 != 0
+    k, cents, open_ = _key(), S.cents(F.col("p_retailprice")), F.col("p_size") % 3 != 0
     variant = F.struct(k.alias("id"), F.lit("Pieza").alias("title"), k.cast("string").alias("sku"), cents.alias("price"), F.when(k % 7 == 0, cents + 1).when(k % 2 == 0, 0).alias("compare_at_price"), open_.alias("available"))
     handle = F.concat(F.lit("part-"), k)
     product = F.struct(F.concat("p_name", F.lit(" "), "p_size", F.lit(" kg")).alias("title"), handle.alias("handle"), F.col("p_type").alias("type"), F.when(k % 11 == 0, ~open_).otherwise(open_).alias("available"), F.array(variant).alias("variants"), F.lit("//s.mx/i.png").alias("featured_image"))
@@ -575,25 +576,25 @@ def storefront_product_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def resolved_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd parts against products: by the GTIN or the key of the part before, whose pack differs where the key binds, or by the listing."""
-    p, k = _part(spark, sf_dir), KEY % 5
+    p, k = _part(spark, sf_dir), _key() % 5
     digits = lambda n: F.lpad(n.cast("string"), 7, "0")
     total = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.lit(0), lambda s, i: s + F.substring(digits(n), i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 3).otherwise(1))
     code = lambda n: F.concat(digits(n), ((10 - total(n) % 10) % 10).cast("string"))
     none = F.lit(None)
-    goods = p.select(KEY.alias("id"), F.when(KEY % 2 == 0, code(KEY + 1)).alias("gtin"), F.when(KEY % 2 == 0, F.concat(F.lit("reviewed:"), KEY)).alias("canonical_variant_key"), F.lit(1).alias("pack_count"), none.cast("double").alias("net_quantity"), none.cast("string").alias("unit"))
+    goods = p.select(_key().alias("id"), F.when(_key() % 2 == 0, code(_key() + 1)).alias("gtin"), F.when(_key() % 2 == 0, F.concat(F.lit("reviewed:"), _key())).alias("canonical_variant_key"), F.lit(1).alias("pack_count"), none.cast("double").alias("net_quantity"), none.cast("string").alias("unit"))
     odd = p.filter("p_partkey % 2 = 1")
-    listings = odd.select(KEY.alias("id"), KEY.alias("product_id"))
+    listings = odd.select(_key().alias("id"), _key().alias("product_id"))
     batch = odd.select(
-        KEY.alias("position"), F.when(k == 0, code(KEY)).alias("gtin"), F.when(k == 1, F.concat(F.lit("reviewed:"), KEY - 1)).alias("canonical_variant_key"), F.when(k <= 2, KEY).alias("store_product_id"), F.when(k == 1, 6).otherwise(1).alias("pack_count"), none.cast("double").alias("net_quantity"), none.cast("string").alias("unit"),
+        _key().alias("position"), F.when(k == 0, code(_key())).alias("gtin"), F.when(k == 1, F.concat(F.lit("reviewed:"), _key() - 1)).alias("canonical_variant_key"), F.when(k <= 2, _key()).alias("store_product_id"), F.when(k == 1, 6).otherwise(1).alias("pack_count"), none.cast("double").alias("net_quantity"), none.cast("string").alias("unit"),
     )
     return U.resolved_products(batch, listings, goods).select("position", "product_id", "rule", "conflict")
 
 
 @query("SELECT p_partkey AS store_product_id, 'https://i.mx/' || p_partkey AS image_url FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 2 = 0", mapped=False)
 def captured_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.concat(F.lit("https://i.mx/"), KEY)
-    have = _part(spark, sf_dir).filter("p_partkey % 3 = 0").select(KEY.alias("store_product_id"), url.alias("image_url"))
-    listings = _part(spark, sf_dir).select(KEY.alias("id"), F.when(KEY % 2 == 0, url).otherwise("none").alias("image_url"))
+    url = F.concat(F.lit("https://i.mx/"), _key())
+    have = _part(spark, sf_dir).filter("p_partkey % 3 = 0").select(_key().alias("store_product_id"), url.alias("image_url"))
+    listings = _part(spark, sf_dir).select(_key().alias("id"), F.when(_key() % 2 == 0, url).otherwise("none").alias("image_url"))
     return U.captured_images(listings, have)
 
 
@@ -650,12 +651,12 @@ def pending_geocoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS id FROM part WHERE p_partkey > 77 ORDER BY p_partkey LIMIT 400", mapped=False)
 def keyset_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.next_batch(_part(spark, sf_dir).select(KEY.alias("id")), "id", 77)
+    return B.next_batch(_part(spark, sf_dir).select(_key().alias("id")), "id", 77)
 
 
 @query("SELECT p_partkey AS id, p_size FROM part WHERE p_size = 7", mapped=False)
 def bounded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bounded(_part(spark, sf_dir).filter("p_size = 7").select(KEY.alias("id"), "p_size"), ["id"], 50_000)
+    return B.bounded(_part(spark, sf_dir).filter("p_size = 7").select(_key().alias("id"), "p_size"), ["id"], 50_000)
 
 
 @query("SELECT count(*) AS batches, CAST(sum(l_quantity) AS BIGINT) AS n_rows, CAST(sum(l_quantity) * 1000 AS BIGINT) AS n_bytes, CASE WHEN sum(l_quantity) * 1000 > 734003200 THEN 'archive_size' WHEN sum(l_quantity) > 50000 THEN 'archive_rows' WHEN count(*) > 100 THEN 'archive_batches' END AS over FROM lineitem WHERE l_suppkey < 3", mapped=False)
@@ -686,7 +687,7 @@ def numbered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids FROM part WHERE p_partkey % 3 > 0 OR p_partkey % 2 = 0", mapped=False)
 def removed_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts without the candidates that haven't changed: every third was a candidate, of which the even ones have another size since."""
-    table = _part(spark, sf_dir).select(KEY.alias("id"), "p_name", "p_size")
+    table = _part(spark, sf_dir).select(_key().alias("id"), "p_name", "p_size")
     prints = S.row_fingerprint("id", "p_name", "p_size")
     candidates = table.filter("id % 3 = 0").select("id", prints.alias("fingerprint"))
     now = table.withColumn("p_size", F.when(F.col("id") % 2 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
@@ -861,8 +862,8 @@ def lines_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as JSON lines; tenths of them no objects or no JSON. Lines are matched by number to what was written."""
     from tarifa.sources import ndjson
 
-    path, k = _folder(spark, "lines"), KEY % 10
-    text = F.when(k == 0, F.concat(F.lit("["), KEY, F.lit("]"))).when(k == 1, F.concat(F.lit("{"), KEY)).otherwise(F.to_json(F.struct("p_partkey", "p_name")))
+    path, k = _folder(spark, "lines"), _key() % 10
+    text = F.when(k == 0, F.concat(F.lit("["), _key(), F.lit("]"))).when(k == 1, F.concat(F.lit("{"), _key())).otherwise(F.to_json(F.struct("p_partkey", "p_name")))
     _part(spark, sf_dir).orderBy("p_partkey").select(text.alias("value")).coalesce(1).write.text(path)
     read = ndjson.read_ndjson(spark, path)
     # One file in order of the keys, so a line's number is the key and one.
@@ -874,9 +875,9 @@ def recordset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as base64 arrays of JSON, one for each last digit, read back as rows."""
     from tarifa.sources import ndjson
 
-    arrays = _part(spark, sf_dir).filter("p_partkey < 100").groupBy((KEY % 10).alias("d")).agg(F.base64(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).cast("binary")).alias("body"))
+    arrays = _part(spark, sf_dir).filter("p_partkey < 100").groupBy((_key() % 10).alias("d")).agg(F.base64(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).cast("binary")).alias("body"))
     rows = ndjson.recordset(arrays, "body", "p_partkey bigint, p_name string", base64=True)
-    return load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("d")).join(rows.withColumn("d", KEY % 10), "d").drop("d")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("d")).join(rows.withColumn("d", _key() % 10), "d").drop("d")
 
 
 @query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids, true AS within FROM part", mapped=False)
@@ -906,9 +907,9 @@ def json_and_gallon_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that don't hang on the order of keys, keys with null values, merged objects, and presentations in gallons."""
     size, name = F.col("p_size").cast("string"), F.col("p_name")
     body = F.concat(F.lit('{ "b": {"d": null, "c": "'), name, F.lit('"}, "a": '), size, F.lit("}"))
-    maybe = F.when(KEY % 2 == 0, '{"b": null}').otherwise('{"c": 1}')
+    maybe = F.when(_key() % 2 == 0, '{"b": null}').otherwise('{"c": 1}')
     merged = S.canonical_json(S.merged_json(F.lit('{"x": 1, "a": "old"}'), F.concat(F.lit('{"a": '), size, F.lit("}"))))
-    rows = _part(spark, sf_dir).withColumns({"product_name": F.lit("Paint"), "presentation": F.concat(size, F.when(KEY % 3 == 0, " galones").otherwise(" ml")), "currency": F.lit("MXN")})
+    rows = _part(spark, sf_dir).withColumns({"product_name": F.lit("Paint"), "presentation": F.concat(size, F.when(_key() % 3 == 0, " galones").otherwise(" ml")), "currency": F.lit("MXN")})
     return rows.select("p_partkey", S.canonical_hash(body).alias("hash"), S.has_key(maybe, "b").alias("has_b"), merged.alias("merged"), P.comparison_key(rows).alias("compared"))
 
 
@@ -943,7 +944,7 @@ def refreshed_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = ingest.unique_records(ingest.validated(_lines(spark, sf_dir), AS_OF)).select("raw")
     c = F.col
     known = _part(spark, sf_dir).filter("p_partkey % 2 = 0").select(
-        F.concat(F.lit("https://parts.mx/"), KEY).alias("store_product_url"), c("p_name").alias("normalized_name"), F.initcap("p_name").alias("external_name"), F.when(KEY % 4 == 0, "1 pieza").otherwise("2 piezas").alias("presentation"),
+        F.concat(F.lit("https://parts.mx/"), _key()).alias("store_product_url"), c("p_name").alias("normalized_name"), F.initcap("p_name").alias("external_name"), F.when(_key() % 4 == 0, "1 pieza").otherwise("2 piezas").alias("presentation"),
         F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("store_slug"), F.lit("kept").alias("category"), F.lit(None).cast("timestamp").alias("latest_capture"),
     )
     _, report, rejected = B.refreshed(B.empty_state(spark), records, known, "parts", AS_OF)
@@ -976,10 +977,10 @@ def _ld_offer(k: Column, **more: Column) -> Column:
 def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarifa.sources import retail
 
-    k, url = KEY % 12, F.concat(F.lit("https://m.mx/p-"), KEY)
+    k, url = _key() % 12, F.concat(F.lit("https://m.mx/p-"), _key())
     name = F.concat("p_name", F.when(k == 2, " paquete 500 Grs.").when(k == 3, " 1 kg 2 l").when(k == 7, " 6 x 355 ml").otherwise(" 2 Lts."))
     offer = _ld_offer(k, availability=F.when(k == 5, "PreOrder").when(F.col("p_size") % 2 == 0, "InStock").otherwise("https://schema.org/OutOfStock"), priceValidUntil=F.when(k == 6, "2001-11-01"))
-    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.when(k == 1, F.lit("0x")).otherwise(KEY.cast("string")).alias("sku"), url.alias("url"), offer.alias("offers"))
+    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.when(k == 1, F.lit("0x")).otherwise(_key().cast("string")).alias("sku"), url.alias("url"), offer.alias("offers"))
     step = lambda item, shown: F.struct(item.alias("item"), shown.alias("name"))
     crumbs = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(step(F.lit("https://m.mx/"), F.lit("Home")), step(F.when(k == 4, "https://m.mx/x").otherwise("https://m.mx/c/food"), F.col("p_type"))).alias("itemListElement"))
     pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _ld(crumbs)).alias("html"))
@@ -995,11 +996,11 @@ def corroborated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured data against the storefront's own product."""
     from tarifa.sources import retail
 
-    k, url, stock = KEY % 12, F.concat(F.lit("https://j.mx/p-"), KEY), F.col("p_size") % 2 == 0
+    k, url, stock = _key() % 12, F.concat(F.lit("https://j.mx/p-"), _key()), F.col("p_size") % 2 == 0
     name, price = F.concat("p_name", F.lit(" 1 kg")), F.round("p_retailprice", 2)
-    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), KEY.cast("string").alias("sku"), F.when(k == 8, "https://j.mx/other").otherwise(url).alias("url"), _ld_offer(k).alias("offers"))
+    product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), _key().cast("string").alias("sku"), F.when(k == 8, "https://j.mx/other").otherwise(url).alias("url"), _ld_offer(k).alias("offers"))
     state = F.struct(
-        F.when(k == 6, "none").otherwise(KEY.cast("string")).alias("id"), F.when(k == 1, "other").otherwise(name).alias("name"), F.when(k == 2, price + 1).otherwise(price).alias("price"), F.when(k == 3, ~stock).otherwise(stock).alias("isAvailable"), (k == 4).alias("onSale"),
+        F.when(k == 6, "none").otherwise(_key().cast("string")).alias("id"), F.when(k == 1, "other").otherwise(name).alias("name"), F.when(k == 2, price + 1).otherwise(price).alias("price"), F.when(k == 3, ~stock).otherwise(stock).alias("isAvailable"), (k == 4).alias("onSale"),
         F.array(F.struct((k != 5).alias("isPiece"))).alias("variants"),
     )
     rendered = F.struct(state.alias("own"), stock.alias("availability"), F.when(k == 7, F.when(stock, 0).otherwise(5)).when(stock, 3).otherwise(0).alias("stockLevel"))
@@ -1012,11 +1013,11 @@ def corroborated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corroborated_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarifa.sources import retail
 
-    k, url, stock = KEY % 12, F.concat(F.lit("https://r.mx/p-"), KEY), F.col("p_size") % 2 == 0
+    k, url, stock = _key() % 12, F.concat(F.lit("https://r.mx/p-"), _key()), F.col("p_size") % 2 == 0
     price = F.round("p_retailprice", 2)
-    product = F.struct(F.lit("Product").alias("@type"), F.concat("p_name", F.lit(" 1 kg")).alias("name"), KEY.cast("string").alias("sku"), _ld_offer(k).alias("offers"))
+    product = F.struct(F.lit("Product").alias("@type"), F.concat("p_name", F.lit(" 1 kg")).alias("name"), _key().cast("string").alias("sku"), _ld_offer(k).alias("offers"))
     pricing = F.struct((k != 2).alias("isTaxExempt"), F.when(k == 3, "99").otherwise("").alias("oldPrice"), F.when(k == 4, price + 1).otherwise(price).alias("price"))
-    state = F.struct(F.lit("Product").alias("__typename"), KEY.cast("string").alias("sku"), F.when((k == 5) != stock, 4).otherwise(0).alias("stock"), pricing.alias("pricing"))
+    state = F.struct(F.lit("Product").alias("__typename"), _key().cast("string").alias("sku"), F.when((k == 5) != stock, 4).otherwise(0).alias("stock"), pricing.alias("pricing"))
     data = F.struct(F.struct(F.struct(F.when(k == 1, "other").otherwise("own").alias("slug")).alias("vendor"), F.array(state, state).alias("list")).alias("props"))
     pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
     return _page_outcome(retail.corroborated_pages(pages, AS_OF, "stock", "own"))
@@ -1027,8 +1028,8 @@ def sku_bound_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marketplace's products: those under 7 in structured data, the others in a normalized graph, of which some are discounted or of another route."""
     from tarifa.sources import retail
 
-    k, stock, number = KEY % 14, F.col("p_size") % 2 == 0, KEY.cast("string")
-    slug = F.concat(F.lit("s-"), KEY)
+    k, stock, number = _key() % 14, F.col("p_size") % 2 == 0, _key().cast("string")
+    slug = F.concat(F.lit("s-"), _key())
     url = F.concat(F.lit("https://c.mx/"), slug, F.lit("/p"))
     name, price = F.concat("p_name", F.when(k == 3, " 1 kg 2 l").when(k == 4, " pack 500 ml").otherwise(" 500 ml")), F.round("p_retailprice", 2)
     offer = _ld_offer(k, sku=number, seller=F.struct(F.when(k == 2, "Other").otherwise("House").alias("name")), priceValidUntil=F.when(k == 5, "2001-11-01"))
@@ -1059,11 +1060,11 @@ def pages_with_metas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of which every other offer is stated in meta tags alone."""
     from tarifa.sources import retail
 
-    k, url, price = KEY % 7, F.concat(F.lit("https://t.mx/p-"), KEY), F.format_string("%.2f", "p_retailprice")
-    in_tags, said = KEY % 2 == 0, F.when(F.col("p_size") % 2 == 0, "instock").otherwise("out of stock")
+    k, url, price = _key() % 7, F.concat(F.lit("https://t.mx/p-"), _key()), F.format_string("%.2f", "p_retailprice")
+    in_tags, said = _key() % 2 == 0, F.when(F.col("p_size") % 2 == 0, "instock").otherwise("out of stock")
     currency = F.when(k == 1, "USD").otherwise("MXN")
     offer = F.struct(F.when(~in_tags & (k != 3), price).alias("price"), F.when(~in_tags, currency).alias("priceCurrency"), F.when(~in_tags, said).alias("availability"))
-    product = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), KEY.cast("string").alias("sku"), F.array(offer).alias("offers"))
+    product = F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), _key().cast("string").alias("sku"), F.array(offer).alias("offers"))
     tag = lambda name, value: F.concat(F.lit(f'<meta property="{name}" content="'), value, F.lit('">'))
     tags = F.concat(tag("product:price:currency", currency), tag("product:availability", said), F.when(k != 3, tag("product:price:amount", F.concat(F.lit("$ "), price))).otherwise(""))
     html = F.concat(F.when(k == 2, "").otherwise(_ld(product)), F.when(in_tags, tags).otherwise(""))
@@ -1079,16 +1080,16 @@ def branch_product_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply for each part at one of three branches, the first of which lies outside Mexico; and which parts may be staged."""
     from tarifa.sources import retail
 
-    k, store = KEY % 11, (KEY % 3).cast("string")
+    k, store = _key() % 11, (_key() % 3).cast("string")
     branches = spark.createDataFrame([(str(b), f"u{b}", f"b{b}", 19.5 if b else 51.5, -99.0) for b in range(3)], "store_number string, unique_id string, branch_external_key string, latitude double, longitude double")
     price = F.format_string("%.2f", "p_retailprice")
     fields = F.map_from_arrays(
         F.array(F.when(k == 1, "x_prices.9.mxn").otherwise(F.concat(F.lit("x_prices."), store, F.lit(".mxn"))), F.when(k == 3, "inventories.u9.quantity").otherwise(F.concat(F.lit("inventories.u"), store, F.lit(".quantity"))), F.lit("partNumber")),
-        F.array(price, F.when(F.col("p_size") % 2 == 0, "3").otherwise("0"), KEY.cast("string")),
+        F.array(price, F.when(F.col("p_size") % 2 == 0, "3").otherwise("0"), _key().cast("string")),
     )
-    rest = F.struct(F.when(k != 5, F.col("p_name")).alias("name"), F.array(F.struct(F.lit("Offer").alias("usage"), F.when(k == 2, "USD").otherwise("MXN").alias("currency"))).alias("price"), F.struct(F.when(k == 4, "https://other.mx/x").otherwise(F.concat(F.lit("/p/"), KEY)).alias("href")).alias("seo"))
+    rest = F.struct(F.when(k != 5, F.col("p_name")).alias("name"), F.array(F.struct(F.lit("Offer").alias("usage"), F.when(k == 2, "USD").otherwise("MXN").alias("currency"))).alias("price"), F.struct(F.when(k == 4, "https://other.mx/x").otherwise(F.concat(F.lit("/p/"), _key())).alias("href")).alias("seo"))
     item = S.merged_json(F.to_json(fields), F.to_json(rest))
-    body = F.concat(F.lit('{"contents": ['), F.when(KEY % 2 == 0, item).otherwise(F.concat(F.lit('{"components": ['), item, F.lit("]}"))), F.lit("]}"))
+    body = F.concat(F.lit('{"contents": ['), F.when(_key() % 2 == 0, item).otherwise(F.concat(F.lit('{"components": ['), item, F.lit("]}"))), F.lit("]}"))
     url = F.concat(F.lit("https://www.depot.mx/api?physicalStoreId="), F.when(k == 6, "99").otherwise(store))
     responses = _part(spark, sf_dir).select(url.alias("url"), F.lit(AS_OF).alias("observed_at"), body.alias("body"), store.alias("store_number"))
     found = retail.branch_products(responses, branches, "www.depot.mx")
