@@ -59,12 +59,13 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         count, bits = SELECTORS[k]
         best[reach[count][:n] <= widths.index(bits)] = k
     counts = np.array([c for c, _ in SELECTORS], np.int64)
-    following = (np.arange(n) + counts[best]).tolist()
-    begins, at = [], 0
-    while at < n:
-        begins.append(at)
-        at = following[at]
-    begins = np.array(begins, np.int64)
+    # Where words begin: the first one, and twice as many with every doubling of the step from word to word.
+    jump = np.append(np.minimum(np.arange(n) + counts[best], n), n)
+    begins = more = np.zeros(min(n, 1), np.int64)
+    while len(more):
+        more = jump[begins]
+        more = more[more < n]
+        begins, jump = np.concatenate([begins, more]), jump[jump]
     chosen = best[begins]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([np.where(wide, ESCAPED, ids), np.zeros(240, np.uint64)])
