@@ -133,11 +133,12 @@ def online_offers(t: Tables, as_of: datetime, search: str | None = None, categor
     if (found := S.matches_search(search, F.col("product_name"), F.col("normalized_name"))) is not None:
         products = products.filter(found)
     listings = _listings(t).join(products, "product_id").join(_named_stores(t), "store_id")
-    # The listing is what the latest row is chosen by, so histories of other listings needn't be ranked.
-    history = _of_listings(t.snapshots.filter("branch_id IS NULL"), listings if search or category else None)
-    latest = _current(latest_by(history, ["store_product_id"]), as_of, days).filter("price_scope = 'online'")
-    rows = latest.filter(~F.lit(only_available).cast("boolean") | F.col("available"))
-    rows = _urls(evidence(rows, as_of).join(listings, "store_product_id"))
+    # The latest row is chosen by listing, so where few listings are asked for only their histories are ranked: they are joined first.
+    narrowed = bool(search or category)
+    history = t.snapshots.filter("branch_id IS NULL")
+    latest = latest_by(history.join(listings, "store_product_id") if narrowed else history, ["store_product_id"])
+    rows = _current(latest, as_of, days).filter("price_scope = 'online'").filter(~F.lit(only_available).cast("boolean") | F.col("available"))
+    rows = _urls(evidence(rows, as_of) if narrowed else evidence(rows, as_of).join(listings, "store_product_id"))
     empty = {c: F.lit(None).cast("string") for c in ("branch_name", "branch_address", "branch_municipality")}
     return _with_image_count(
         rows.withColumns(empty | {"freshness": F.lit("fresh"), "days_old": S.days_old_elapsed(F.col("captured_at"), as_of), "distance_km": F.lit(None).cast("double")}), t
