@@ -1096,3 +1096,19 @@ def branch_product_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     staged = retail.branch_records(found, F.lit("Herramientas")).select(F.col("external_reference"), F.lit(True).alias("staged"))
     out = found.join(staged, "external_reference", "left")
     return out.select(F.col("external_reference").cast("long").alias("part"), "reject_reason", F.when(F.col("reject_reason").isNull(), S.cents(F.col("price"))).alias("price_cents"), F.coalesce("staged", F.lit(False)).alias("staged"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, date_trunc('day', ts) AS day FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 37) % 1009, event_id) AS n FROM e),
+fold AS (SELECT user_id, n, event_id, day AS seen, event_type AS last, 'insert' AS action FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.n, o.event_id, greatest(f.seen, o.day), CASE WHEN o.day > f.seen THEN o.event_type ELSE f.last END,
+    CASE WHEN o.day < f.seen THEN 'late' WHEN o.day = f.seen AND o.event_type = f.last THEN 'replay' WHEN o.day = f.seen THEN 'conflict' WHEN o.event_type = f.last THEN 'unchanged' ELSE 'insert' END
+  FROM fold f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1)
+SELECT event_id, action FROM fold""",
+    mapped=False,
+)
+def publish_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events out of order with the day as their instant, so most meet others of the same instant. The SQL folds them one by one."""
+    e = load(spark, sf_dir, "events").withColumn("at", F.date_trunc("day", "ts")).withColumn("place", F.struct(F.col("event_id") * 37 % 1009, "event_id"))
+    return U.decided(e, key="user_id", order="place", time="at", state=("event_type",)).select("event_id", "action")
