@@ -37,6 +37,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

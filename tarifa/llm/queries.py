@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import chat_windows, decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, url_reputation
+from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, url_reputation
 from tarifa.llm.common import new_path, table
 
 
@@ -103,6 +103,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -114,9 +119,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_windows": op8_chat_windows,
     "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
+    "op11_centroids": op11_centroids,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_centroids": sql.CENTROIDS,
     "op3_url_reputation": sql.URLS,
     "op7_decontamination": sql.LEAKS.replace("DOCS", "documents"),
 }

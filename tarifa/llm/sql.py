@@ -55,3 +55,28 @@ m AS (
   FROM q)
 SELECT page_id, host, path, fits.rule AS rule, coalesce(fits.said, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled FROM m
 """
+
+
+def _centroids(rounds: int = 3, k: int = 16) -> str:
+    """Each round as common table expressions: the nearest centroid of every vector, then the floor of the mean by cluster."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT"
+    steps = [
+        "v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::HUGEINT) AS x FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), x) - 1 AS k, x FROM v WHERE vec_id IS NOT NULL QUALIFY k < {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT rid, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.rid, c.k, {square} AS d FROM v, c{r} c) GROUP BY rid)")
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT k, list(s ORDER BY i) AS x FROM (SELECT a.k, i, sum(v.x[i]) AS t, count(*)::HUGEINT AS n, t // n - CASE WHEN t % n < 0 THEN 1 ELSE 0 END AS s FROM v JOIN a{r} a USING (rid), range(1, 65) g(i) GROUP BY a.k, i) GROUP BY k)"
+            )
+            steps.append(f"c{r + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (k))")
+    last = rounds
+    return (
+        "WITH " + ",\n".join(steps) + f"\nSELECT vec_id, a.k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, "
+        f"sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM v JOIN a{last} a USING (rid) JOIN c{last} c USING (k)"
+    )
+
+
+CENTROIDS = _centroids()
