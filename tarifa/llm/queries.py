@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, url_reputation
+from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, turn_repair, url_reputation
 from tarifa.llm.common import new_path, table
 
 
@@ -108,6 +108,42 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The turns with number of copies: by the checksum of conversation and turn, some are dropped, emptied, cut, repeated or given to the user."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    case = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn"))) % 20
+    rows = conversations.select("conv_id", "turn", shown("role").alias("role"), shown("text").alias("text"), case.alias("case"))
+    text = F.when(F.col("case") == 1, "").when(F.col("case") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("case") == 0, 0).when(F.col("case") == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", F.when(F.col("case") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), copies.alias("copies"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, repaired = turn_repair.repair(damaged(table(spark, sf_dir, "conversations")))
+    read = repaired.select("conv_id", "position", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "position")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hash of each repaired conversation, whose turns follow each other; nothing but the state of the hash is held."""
+        conv, state = None, None
+        for batch in batches:
+            done = []
+            for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
+                line = f"{role}:{text}".encode("utf-8", "surrogatepass")
+                if state is not None and conv == c:
+                    state.update(b"\n" + line)
+                    continue
+                if state is not None:
+                    done.append((conv, state.hexdigest()))
+                conv, state = c, hashlib.sha256(line)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.string())], ["c", "hash"])
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([state.hexdigest()])], ["c", "hash"])
+
+    hashes = read.mapInArrow(digest, "c long, hash string")
+    both = judged.join(hashes, judged["conv_id"].eqNullSafe(hashes["c"]), "left")
+    return both.select(*judged.columns, F.coalesce("hash", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -120,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simple8b": op9_simple8b,
     "op10_packing": op10_packing,
     "op11_centroids": op11_centroids,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 ORACLES: dict[str, str] = {
