@@ -81,7 +81,7 @@ class Bounds:
     def stored(cls, vectors, cluster, upper, near, lower) -> Bounds:
         self = cls.__new__(cls)
         self.vectors, self.cluster, self.upper, self.near, self.lower = vectors, cluster, upper, near, lower
-        self.b, self.looked = near.shape[1], np.zeros(len(vectors), np.int64)
+        self.b = near.shape[1]
         return self
 
     def scan(self, rows: np.ndarray, centroids: list[list[int]]) -> None:
@@ -97,6 +97,7 @@ class Bounds:
 
     def moved(self, drift: np.ndarray, centroids: list[list[int]]) -> None:
         """After each centroid has moved by its drift: bounds follow, and what they leave open is measured."""
+        self.looked = np.zeros(len(self.vectors), np.int64)
         self.upper = (self.upper + drift[self.cluster]) * (1 + SLACK)
         step = np.concatenate([drift[self.near], np.full((len(self.vectors), 1), drift.max(initial=0.0))], axis=1)
         self.lower = np.maximum(self.lower * (1 - SLACK) - step * (1 + SLACK), 0)

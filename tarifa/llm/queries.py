@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, packing, quality_rules, simhash, simple8b, sql, token_counts, turn_repair, url_reputation
+from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, ngram_join, packing, quality_rules, simhash, simple8b, sql, token_counts, turn_repair, url_reputation
 from tarifa.llm.common import new_path, table
 
 
@@ -144,6 +144,10 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(*judged.columns, F.coalesce("hash", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_lm_scores": op2_lm_scores,
@@ -157,10 +161,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_centroids": op11_centroids,
     "op12_turn_repair": op12_turn_repair,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op11_centroids": sql.CENTROIDS,
+    "op13_ngram_join": sql.NGRAMS,
     "op3_url_reputation": sql.URLS,
     "op7_decontamination": sql.LEAKS.replace("DOCS", "documents"),
 }

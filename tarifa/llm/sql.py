@@ -80,3 +80,20 @@ def _centroids(rounds: int = 3, k: int = 16) -> str:
 
 
 CENTROIDS = _centroids()
+
+NGRAMS = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+s AS (
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3]) END) AS own FROM d),
+c AS (SELECT list_sort(own) AS own, min(rid) AS class, min(doc_id) AS doc_id FROM s WHERE len(own) > 0 GROUP BY ALL),
+t AS (SELECT class, len(own) AS n, unnest(own) AS token FROM c),
+l AS (
+  SELECT a.class AS a, b.class AS b FROM t a JOIN t b ON a.token = b.token AND a.class <> b.class AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(class, reached) AS (SELECT class, class FROM c UNION SELECT r.class, l.b FROM r JOIN l ON l.a = r.reached),
+g AS (SELECT r.class, min(c.doc_id) AS component_id FROM r JOIN c ON c.class = r.reached GROUP BY r.class)
+SELECT s.doc_id, len(s.own)::BIGINT AS n_shingles, CASE WHEN len(s.own) = 0 THEN s.doc_id ELSE g.component_id END AS component_id
+FROM s LEFT JOIN c ON c.own = list_sort(s.own) LEFT JOIN g USING (class)
+"""

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tarifa.llm import centroids, turn_repair
+from tarifa.llm import centroids, ngram_join, turn_repair
 from tarifa.llm import queries as Q
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -220,3 +220,93 @@ def test_bounds_spare_most_of_the_measuring():
     state.moved(drift, moved)
     assert (state.cluster == centroids._squares(rows, moved).argmin(axis=1)).all()
     assert (state.looked < 16).mean() > 0.9
+
+
+# N-gram join
+
+
+def joined(rows, shingle=4, percent=85):
+    sets = []
+    for _, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) if w]
+        sets.append({tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    of = list(range(len(rows)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            of[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root(i)] = min(doc, least.get(root(i), doc))
+    return sorted(((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def family(seed, n, length, edits, vocabulary=3000):
+    """Copies of one text with some words changed."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, vocabulary, length)
+    out = []
+    for _ in range(n):
+        own = base.copy()
+        own[r.integers(0, length, int(r.integers(0, edits)))] = r.integers(0, vocabulary)
+        out.append(" ".join(f"w{x}" for x in own))
+    return out
+
+
+def op13(spark, rows, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1L AS rid", "'x' AS key", "2 AS `a.b`", "3L AS size").repartition(3)
+    found = ngram_join.join(docs, **options)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    return sorted((tuple(r) for r in found.collect()), key=str)
+
+
+ODD = [None, "", " \n\t", "one", "One", "one two", "ONE  two\n", "one two three", "a b c d", "A b\x0bc d", "x" * 70_000, "ünï cödé 東京 😀  nbsp", "a b c d e"]
+
+
+def test_join_equals_all_pairs(spark):
+    texts = ODD + family(1, 25, 60, 4) + family(2, 25, 9, 2) + family(3, 12, 400, 40) + family(4, 10, 7, 2) + ODD[3:6]
+    rows = [(i if i % 17 else None, t) for i, t in enumerate(texts)] + [(3, "one"), (3, "one"), (None, "nobody's text is here")]
+    expected = joined(rows)
+    assert op13(spark, rows) == expected
+    assert op13(spark, rows, rare=1, share=8, cell=7, block_chars=500, range_chars=64) == expected
+
+
+@pytest.mark.parametrize("options", [{"rare": 1}, {"rare": 3, "k": 3, "share": 16}, {"rare": 2, "cell": 3, "block_chars": 1}])
+def test_frequent_tokens_are_found_by_combinations(spark, options):
+    shared = [f"licence {i}" for i in range(40)]
+    r = np.random.default_rng(5)
+    texts = family(6, 40, 80, 9) + [" ".join([*shared, *(f"q{x}" for x in r.integers(0, 10**6, n))]) for n in (1, 2, 3, 5, 9, 12, 14, 15, 30, 60)]
+    rows = list(enumerate(texts))
+    assert op13(spark, rows, **options) == joined(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 70, 100])
+def test_other_thresholds(spark, percent):
+    texts = family(7, 20, 30, 12) + family(8, 20, 5, 3, 6) + ["a", "a b", "b a", "a a a a a", "a a a a a b"]
+    rows = list(enumerate(texts))
+    assert op13(spark, rows, percent=percent, shingle=2, rare=2) == joined(rows, 2, percent)
+
+
+def test_join_of_nothing(spark):
+    assert op13(spark, []) == []
+    assert op13(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 6, 7, 19, 20, 39, 40, 41])
+def test_exactly_at_the_threshold(n):
+    """Of all sets of n tokens and k more or others, exactly the similar ones share a key."""
+    levels = ngram_join.Levels(85, 2, 32, 1 << 40)
+    tokens = np.arange(1000, 1200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for m in range(n, n + 9):
+        for common in range(n + 1):
+            if 100 * common >= 85 * (n + m - common) and (n, m) != (common, common):
+                a, b = tokens[:n], np.concatenate([tokens[n - common : n], tokens[100 : 100 + m - common]])
+                for often in (False, True):
+                    keys = [ngram_join.index_keys(np.sort(x), np.full(len(x), often), 0, len(x), 85, 2, levels) for x in (a, b)]
+                    assert len(np.intersect1d(*keys)), (n, m, common)
