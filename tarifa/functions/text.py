@@ -152,6 +152,13 @@ def parse_presentation(text: Column) -> Column:
     return _once(_once(fold_marks(text), parts), measure)
 
 
+def without_measures(text: Column) -> Column:
+    """A name without its multipacks and measures, marks folded."""
+    measure = rf"{NUMBER}\s*(?:{_UNIT})(?![a-z0-9])"
+    pack = rf"(?<![0-9a-z.,])[0-9]{{1,5}}\s*(?:(?:pack|paquete|piezas?|pzas?)\s*)?(?:x|de)\s*{measure}"
+    return F.trim(F.regexp_replace(F.regexp_replace(fold_marks(text), pack, " "), rf"(?<![0-9a-z.,]){measure}", " "))
+
+
 def plain_number(value: Column) -> Column:
     """A decimal as text without trailing zeros or exponent."""
     text = value.cast("decimal(18,6)").cast("string")

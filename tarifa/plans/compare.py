@@ -76,15 +76,19 @@ def store_totals(offers: DataFrame, cart: DataFrame) -> DataFrame:
 
 
 def usable(offers: DataFrame) -> DataFrame:
+    """Offers to be had: available, with a finite price above zero in pesos (in any case), and of a named merchant."""
     price = F.col("price").cast("double")
-    return offers.filter(F.col("available") & ~F.isnan(price) & (price > 0) & (F.col("currency") == K.CURRENCY))
+    named = ~S.blank(F.col("store_name")) if "store_name" in offers.columns else F.lit(True)
+    return offers.filter(F.col("available") & (price > 0) & (price < float("inf")) & (F.upper("currency") == K.CURRENCY) & named & F.col("merchant").isNotNull())
 
 
 def baskets(offers: DataFrame, cart: DataFrame) -> DataFrame:
     """Baskets by merchant and branch (null: online), never across branches: each item's cheapest usable offer times its quantity, in cents.
 
-    offers: offer_id, item, merchant, branch, price, available, currency; cart: item, quantity. The fullest baskets come first, then the cheapest.
+    offers: offer_id, item, merchant, branch, price, available, currency and, if there, store_name; cart: item, quantity. Items of no quantity are left
+    out, and not expected. The fullest baskets come first, then the cheapest.
     """
+    cart = cart.filter("quantity > 0")
     chosen = first_by(usable(offers).join(cart, "item"), ["merchant", "branch", "item"], [F.col("price").asc(), F.col("offer_id").asc()])
     expected = cart.groupBy().agg(F.countDistinct("item").alias("expected"))
     lines = chosen.withColumn("line_cents", S.cents(F.col("price")) * F.col("quantity"))
@@ -149,20 +153,3 @@ def rejection_reason(as_of: datetime, require_branch: bool) -> Column:
     for test, code in reversed(tests):
         out = F.when(F.coalesce(test, F.lit(False)), F.lit(code)).otherwise(out)
     return out
-
-
-def match_offers(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of offers (offer_id, gtin, reviewed_key, brand, name, presentation) that are the same product, with the first rule that says so.
-
-    Rules: equal GTIN; equal reviewed key; equal brand, comparable name and presentation. Each is an equi-join.
-    """
-
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        p = T.parse_presentation(F.col("presentation"))
-        named = F.when(~S.blank(F.col("brand")) & p.isNotNull(), F.concat_ws("|", T.normalize_name(F.col("brand")), T.normalize_name(F.col("name")), T.presentation_key(p)))
-        keys = [F.concat(F.lit("1|"), S.canonical_gtin(F.col("gtin"))), F.concat(F.lit("2|"), F.when(F.col("reviewed_key").startswith("reviewed:"), F.col("reviewed_key"))), F.concat(F.lit("3|"), named)]
-        return df.select(F.col("offer_id").alias(side), F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key"))
-
-    pairs = keyed(left, "left_id").join(keyed(right, "right_id"), "key")
-    rule = F.element_at(F.create_map(*[F.lit(x) for x in ("1", "gtin", "2", "reviewed_key", "3", "brand_name_presentation")]), F.min(F.left("key", F.lit(1))))
-    return pairs.groupBy("left_id", "right_id").agg(rule.alias("rule"))

@@ -68,7 +68,7 @@ def _observation_tests(r: Record, hosts: Column, as_of: datetime) -> Tests:
         (~yes(F.schema_of_variant(r.value).startswith("OBJECT")), "invalid_object"),
         (hosts.isNull(), "source_not_enabled"),
         (~yes(r.text("price_scope") == "online"), "not_online"),
-        (F.size(_given(r, BRANCH_FIELDS)) > 0, "branch_data"),
+        (F.size(_given(r, ("branch_id", *BRANCH_FIELDS))) > 0, "branch_data"),
         (~yes(r.text("currency") == K.CURRENCY), "currency"),
         (~yes(is_number), "price_not_a_number"),
         (~yes((r.kind("is_synthetic") == "BOOLEAN") & ~r.get("is_synthetic", "boolean")), "synthetic"),

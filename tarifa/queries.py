@@ -12,6 +12,7 @@ from tarifa.functions import text as T
 from tarifa.operators import latest as L
 from tarifa.plans import catalog as C
 from tarifa.plans import compare as P
+from tarifa.plans import matching as M
 from tarifa.plans import publish as U
 from tarifa.plans import reconcile
 from tarifa.plans import reports as R
@@ -419,24 +420,47 @@ def discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(load(spark, sf_dir, "pages"), r'<a href="(/[^"]*)"')
 
 
-@query(
-    """WITH o AS (SELECT p_partkey AS id, p_brand, p_name, p_size, CASE WHEN p_partkey % 3 = 0 THEN lpad(CAST(p_size % 10 AS VARCHAR), 7, '0') END AS gtin, CASE WHEN p_partkey % 5 = 0 THEN p_brand || p_type END AS reviewed FROM part),
-p AS (SELECT a.id AS l, b.id AS r, 1 AS rule FROM o a JOIN o b ON a.gtin = b.gtin AND a.id < b.id WHERE a.gtin <> '0000000' UNION ALL SELECT a.id, b.id, 2 FROM o a JOIN o b ON a.reviewed = b.reviewed AND a.id < b.id
-UNION ALL SELECT a.id, b.id, 3 FROM o a JOIN o b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.id < b.id)
-SELECT rule, count(*) AS pairs, CAST(sum(l) AS BIGINT) AS lefts, CAST(sum(r) AS BIGINT) AS rights FROM (SELECT l, r, CASE min(rule) WHEN 1 THEN 'gtin' WHEN 2 THEN 'reviewed_key' ELSE 'brand_name_presentation' END AS rule FROM p GROUP BY l, r) GROUP BY 1""",
-    mapped=False,
-)
-def matched_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts by each of the rules: every third part has a GTIN of its size's last digit, every fifth a reviewed key."""
+# The rules over the stored texts: packs of a number before x or de, measures in g and ml, codes with their check digit.
+_OFFERS = r"""o AS (SELECT p_partkey AS id, 'r' || p_partkey % 3 AS retailer, CASE WHEN p_partkey % 4 > 0 THEN 'x' || p_size END AS external, p_brand AS brand,
+  CASE WHEN p_partkey % 3 = 0 THEN code ELSE NULL END AS gtin, CASE WHEN p_partkey % 7 = 0 THEN '12345678' WHEN p_partkey % 15 = 0 THEN '96385074' END AS ean, p_name || ' ' || measure AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE measure END AS presentation
+  FROM (SELECT *, p_size % 4 || '000000' || (10 - p_size % 4 * 3 % 10) % 10 AS code,
+    CASE p_partkey % 6 WHEN 0 THEN p_size % 3 + 1 || ' kg' WHEN 1 THEN (p_size % 3 + 1) * 1000 || ' g' WHEN 2 THEN p_size % 3 + 1 || 'L' WHEN 3 THEN '2 x ' || p_size % 3 + 1 || ' kg' WHEN 4 THEN p_size % 3 + 1 || '.0 kg' ELSE 'a granel' END AS measure FROM part)),
+m AS (SELECT *, coalesce(presentation, name) AS t, list_filter([gtin, ean], lambda c: c IS NOT NULL) AS codes FROM o),
+n AS (SELECT *, regexp_extract(t, '([0-9]+) x ', 1) AS packs, regexp_extract(t, '([0-9.]+) ?(kg|g|L)$', 1) AS amount, regexp_extract(t, '([0-9.]+) ?(kg|g|L)$', 2) AS unit,
+  list_distinct(list_filter(codes, lambda c: (substr(c, 1, 1)::INT * 3 + substr(c, 2, 1)::INT + substr(c, 3, 1)::INT * 3 + substr(c, 4, 1)::INT + substr(c, 5, 1)::INT * 3 + substr(c, 6, 1)::INT + substr(c, 7, 1)::INT * 3 + substr(c, 8, 1)::INT) % 10 = 0 AND c <> '00000000')) AS valid FROM m),
+s AS (SELECT id, retailer, external, brand, CASE WHEN len(valid) = 1 THEN valid[1] END AS gtin, len(valid) > 1 OR len(list_filter(codes, lambda c: NOT list_contains(valid, c))) > 0 AS fault,
+  CASE WHEN amount <> '' THEN (CASE WHEN packs = '' THEN '1' ELSE packs END) || '|' || CAST(amount AS DOUBLE) * CASE unit WHEN 'g' THEN 1 ELSE 1000 END || CASE unit WHEN 'L' THEN 'ml' ELSE 'g' END END AS pack,
+  nullif(trim(regexp_replace(name, '([0-9]+ x )?[0-9.]+ ?(kg|g|L)$', '')), '') AS variant FROM n),
+p AS (SELECT a.id AS l, b.id AS r, CASE WHEN a.gtin IS NOT NULL AND b.gtin IS NOT NULL THEN CASE WHEN a.gtin = b.gtin THEN 'gtin' END WHEN a.fault OR b.fault THEN NULL WHEN a.retailer = b.retailer AND a.external = b.external THEN 'retailer_external_id'
+  WHEN a.brand = b.brand AND a.variant = b.variant AND a.pack = b.pack THEN 'brand_variant_presentation' END AS rule FROM s a JOIN s b ON a.id <> b.id AND NOT coalesce(a.pack <> b.pack, false)
+  AND (a.gtin = b.gtin OR a.external = b.external AND a.retailer = b.retailer OR a.variant = b.variant))"""
+
+
+def _matchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as offers: some with one of four GTINs, a wrong one or a second one, of three retailers, with measures in several spellings."""
     c, key = F.col, F.col("p_partkey")
-    digits = F.lpad((c("p_size") % 10).cast("string"), 7, "0")
-    check = (10 - (c("p_size") % 10) * 3 % 10) % 10
-    p = load(spark, sf_dir, "part").select(
-        key.alias("offer_id"), F.when(key % 3 == 0, F.concat(digits, check.cast("string"))).alias("gtin"), F.when(key % 5 == 0, F.concat(F.lit("reviewed:"), "p_brand", "p_type")).alias("reviewed_key"),
-        c("p_brand").alias("brand"), c("p_name").alias("name"), F.concat(c("p_size").cast("string"), F.lit(" kg")).alias("presentation"),
+    digit, size = (c("p_size") % 4), (c("p_size") % 3 + 1)
+    code = F.concat(digit.cast("string"), F.lit("000000"), ((10 - digit * 3 % 10) % 10).cast("string"))
+    spelled = [F.concat(size, F.lit(" kg")), F.concat(size * 1000, F.lit(" g")), F.concat(size, F.lit("L")), F.concat(F.lit("2 x "), size, F.lit(" kg")), F.concat(size, F.lit(".0 kg")), F.lit("a granel")]
+    measure = F.coalesce(*[F.when(key % 6 == i, x) for i, x in enumerate(spelled)])
+    p = load(spark, sf_dir, "part").withColumn("measure", measure)
+    return p.select(
+        key.alias("offer_id"), F.concat(F.lit("r"), key % 3).alias("retailer"), F.when(key % 4 > 0, F.concat(F.lit("x"), "p_size")).alias("external_id"), F.when(key % 3 == 0, code).alias("gtin"),
+        F.when(key % 7 == 0, "12345678").when(key % 15 == 0, "96385074").alias("ean"), c("p_brand").alias("brand"), F.concat_ws(" ", "p_name", "measure").alias("name"), F.when(key % 5 > 0, c("measure")).alias("presentation"),
     )
-    pairs = P.match_offers(p, p).filter("left_id < right_id")
-    return pairs.groupBy("rule").agg(F.count("*").alias("pairs"), F.sum("left_id").alias("lefts"), F.sum("right_id").alias("rights"))
+
+
+@query(f"WITH {_OFFERS} SELECT id AS offer_id, count(*) FILTER (rule = 'gtin') AS gtin_links, count(*) FILTER (rule = 'retailer_external_id') AS external_links, count(*) FILTER (rule = 'brand_variant_presentation') AS variant_links FROM s LEFT JOIN p ON l = id GROUP BY id", mapped=False)
+def matched_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other parts each part matches by each of the rules."""
+    return M.offer_links(_matchable(spark, sf_dir))
+
+
+@query(f"WITH {_OFFERS} SELECT l AS left_id, r AS right_id, rule FROM p WHERE rule IS NOT NULL AND l % 100 = 0", mapped=False)
+def matched_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of parts, every hundredth, against all others."""
+    offers = _matchable(spark, sf_dir)
+    return M.match_offers(offers.filter("offer_id % 100 = 0"), offers).filter("left_id <> right_id")
 
 
 @query(
