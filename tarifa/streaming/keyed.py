@@ -66,7 +66,7 @@ class Publisher(StatefulProcessor):
 def narrow(observations: DataFrame, key: str, order: str, time: str, state: tuple[str, ...]) -> DataFrame:
     """What the decision needs: key, order, the instant in microseconds and a digest of the state."""
     facts = F.sha2(F.to_json(F.struct(*state), {"ignoreNullFields": "false"}), 256)
-    return observations.select(key, order, F.coalesce(F.unix_micros(time), F.lit(NEVER)).alias("at"), facts.alias("facts"))
+    return observations.select(key, order, F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(NEVER)).alias("at"), facts.alias("facts"))
 
 
 def latest_known(decided: DataFrame, key: str, retention_days: int = K.RETENTION_DAYS) -> DataFrame:
