@@ -159,6 +159,17 @@ def without_measures(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold_marks(text), pack, " "), rf"(?<![0-9a-z.,]){measure}", " "))
 
 
+def written_measures(text: Column, units: tuple[str, ...]) -> Column:
+    """The measures in a text as they are written, in order, each with the count of a pack that stands before it."""
+    count = r"[0-9]+\s*(?:x|(?:piezas?\s*)?de)\s*"
+    return F.regexp_extract_all(text, F.lit(rf"(?i)(?<![0-9a-z.,])((?:{count})?{NUMBER}\s*(?:{'|'.join(units)})(?![a-z0-9]))"), 1)
+
+
+def measure_count(text: Column) -> Column:
+    """How many measures a text states."""
+    return F.regexp_count(fold_marks(text), F.lit(rf"(?<![0-9a-z.,]){NUMBER}\s*(?:{_UNIT})(?![a-z0-9])"))
+
+
 def plain_number(value: Column) -> Column:
     """A decimal as text without trailing zeros or exponent."""
     text = value.cast("decimal(18,6)").cast("string")

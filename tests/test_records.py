@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifa.plans import api, batch, validators
-from tarifa.sources import official, retail
+from tarifa.sources import markup, official, products, retail
 
 NOW = datetime(2026, 6, 28, 12)
 
@@ -83,7 +83,31 @@ def test_guards(spark):
     assert [batch.capacity(sizes, b).first().over for b in (0, 400 << 20)] == ["archive_size", "database_size"]
 
 
-def test_graphs_with_cycles_end():
-    state = {"a": {"next": {"type": "id", "id": "b"}}, "b": {"next": {"type": "id", "id": "a"}, "x": 1}}
-    assert retail._inlined(state, state["a"])["next"]["x"] == 1
+def test_graphs_are_followed_where_asked():
+    ref = lambda key: {"type": "id", "id": key}
+    state = {"a": {"next": ref("b"), "all": [ref(k) for k in "abcde"] * 40}, "b": {"next": ref("a"), "x": 1, "y": {"z": 2}}, "loop": ref("loop"), **{k: {"all": [ref(j) for j in "abcde"]} for k in "cde"}}
+    assert markup.followed(state, state["a"], {"next": {"x": None, "next": {"next": {"x": None}}}}) == {"next": {"x": 1, "next": {"next": {"x": 1}}}}
+    assert markup.followed(state, ref("loop"), {"x": None}) is None and markup.followed(state, state["b"], {"y": None, "absent": None}) == {"y": None}
+    deep = shape = {}
+    for _ in range(200):
+        shape["next"] = {}
+        shape = shape["next"]
+    assert markup.followed(state, state["a"], deep)["next"]["next"]
+
+
+def test_markup_is_read_once():
+    page = """<meta name=a content='x &amp; y'><META property="b" content><template data-varname="__STATE__"><script>{"k": 1}</script></template>
+    <script type="application/ld+json">{"@type": "Product", "name": "<b>"}</script><script type=application/ld+json>{</script><p>1 < 2"""
+    carried = markup.Carried(page)
+    assert carried.metas == [{"name": "a", "content": "x & y"}, {"property": "b", "content": ""}]
+    assert carried.linked_data() == ([{"@type": "Product", "name": "<b>"}], True)
+    assert carried.scripts[0] == ({}, '{"k": 1}', {"data-varname": "__STATE__"})
     assert retail._page("https://s.mx/slug/p", "<script type='application/ld+json'>{</script>")["broken"]
+
+
+def test_presentations_as_written(spark):
+    cases = {"Leche 1 l": "1 l", "Agua 500 ml, 6 x 355 ml": "6 x 355 ml", "Pan 3 piezas": "3 piezas", "6 piezas de 1.5 KG": "6 piezas de 1.5 KG", "4 x 2 piezas": "2 piezas", "Carne por kg": "por kg", "Sin": None, "A10 g": None, "12de 3,5l": "12de 3,5l", "2 rollos 5 l": "2 rollos"}
+    rows = spark.createDataFrame(list(cases.items()), "name string, wanted string")
+    got = rows.select("name", products.stated_presentation(F.col("name"), F.lit("")).alias("p")).collect()
+    assert {r.name: r.p for r in got} == cases
+    assert rows.limit(1).select(products.stated_presentation(F.lit("x"), F.lit("y 2 kg")).alias("p")).first().p == "2 kg"
