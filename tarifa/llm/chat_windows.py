@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows.
 
-Turns get the running sum of their tokens within the conversation. That sum, by the room that the budget leaves beside
-the history and the system turn, says in which span a turn lies, so spans are turn-aligned and every turn has one.
-A window is a span with the conversation's system turn before it and as many of the turns just before the span as
+Turns get the running sum of their tokens within the conversation. Spans are filled in order: a turn that the room has no place for begins the
+next one. The first span has the whole budget, so a conversation that fits is one window; later ones have what
+history and system turn leave. A conversation is filled in stretches of 64 budgets of the running sum, each by itself, so a
+very long one is dealt to many tasks and at most one window in 64 ends early for it. A window is a span with the conversation's system turn before it and as many of the turns just before the span as
 fit into the history budget; what is repeated is masked, and so each assistant turn is a target once.
 
 Turns are dealt by ranges of (conversation, turn), so one long conversation lies in many tasks; its running
@@ -12,10 +13,14 @@ it shares with another. A window is bounded by its budget or its one long turn,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import WORD, written
+from tarifa.llm.tokens import encoder, tokenizer_path
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -33,18 +38,55 @@ def _order(conv: str = "conv_id") -> list[Column]:
     return [F.col(conv).asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
 
 
-def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead: int = 4, tokens: Column | None = None) -> DataFrame:
+def _counted(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """rows (text last) with n_ids: how many ids a public tokenizer gives the text."""
+    path = tokenizer_path(tokenizer)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, spaced=True).encode
+        for batch in batches:
+            n = pa.array([len(ids) for ids in encode(batch.column("text").to_pylist())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], [*batch.schema.names, "n_ids"])
+
+    return rows.mapInArrow(count, rows.withColumn("n_ids", F.lit(0).cast("long")).schema)
+
+
+def _filled(placed: DataFrame, budget: int, history: int, stretch: int = 64) -> DataFrame:
+    """placed (conv_id, number, cost, upto, system and others) with span, which rises in the conversation."""
+    rows = placed.withColumn("stretch", F.expr(f"(upto - cost) div {budget * stretch}"))
+    schema = rows.withColumn("span", F.lit(0).cast("long")).schema
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, span, used, room = None, 0, 0, 0
+        for batch in batches:
+            spans = []
+            for conv, part, number, cost, system in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "stretch", "number", "cost", "system")), strict=True):
+                if now != (conv, part):
+                    # Turns cost something, so a stretch has fewer spans than tokens.
+                    now, span, used = (conv, part), part * budget * stretch, 0
+                    room = budget if number == 1 else budget - history - system
+                elif used + cost > room:
+                    span, used, room = span + 1, 0, budget - history - system
+                used += cost
+                spans.append(span)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.int64())], [*batch.schema.names, "span"])
+
+    return rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "number").mapInArrow(fill, schema)
+
+
+def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead: int = 4, tokens: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """A row for each window of the conversations in turns (conv_id, turn, role, text).
 
     Gives conv_id, window (rises in the conversation), formatted (the template's text), n_tokens, and segments: for each turn
     in it role, turn, begin and length (of the escaped text in formatted), repeated, and target (under the loss mask: assistant turns
-    that aren't repeated). tokens is a column that counts a turn's tokens (default: its words); each turn costs ``overhead`` more.
+    that aren't repeated). tokenizer is the file of a public tokenizer whose ids count as tokens, tokens a column that counts them otherwise (default: the
+    words of a turn); each turn costs ``overhead`` more.
 
     No window has more than ``budget`` tokens but one that holds a single longer turn and nothing else. A system turn that
     opens a conversation is repeated in each later window that has room for it, unless it takes more than half
-    of what the history leaves. The room of a span is the budget less history and system turn. A turn of more than a quarter of
-    that is a span by itself; the others are dealt by where they begin in steps of three quarters of the room. History are
-    the turns just before the span, latest first, while their sum is at most ``history`` and what a long turn leaves of the budget.
+    of what the history leaves. The first span of a conversation takes turns while they fit into the budget; the others while they fit into
+    the budget less history and system turn. History are the turns just before the span, latest first, while their sum is at
+    most ``history`` and what a long turn leaves of the budget.
 
     Null texts and roles count as empty, null conversations and turns come first and are kept; equal turns are ordered by
     role and text and each kept; an empty table gives no rows; other columns are ignored.
@@ -55,7 +97,9 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead:
     row = turns.select(
         turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), F.coalesce(turns["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text")
     )
-    dealt = row.withColumn("cost", count.cast("long") + overhead).repartitionByRange(*_order()).withColumn("part", F.spark_partition_id())
+    if tokenizer:
+        row, count = _counted(row, tokenizer), F.col("n_ids")
+    dealt = row.withColumn("cost", count.cast("long") + overhead).drop("n_ids").repartitionByRange(*_order()).withColumn("part", F.spark_partition_id())
     # The bounds of ranges are drawn anew by each run, so they are settled by writing.
     dealt = written(dealt, "turns")
     own = Window.partitionBy("part", "conv_id").orderBy(*_order())
@@ -78,15 +122,8 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead:
     system_cost = F.when(2 * opening <= budget - history, opening).otherwise(0)
     placed = placed.select(
         "conv_id", "part", "turn", "role", "text", "cost", (F.col("upto") + F.coalesce("cost_before", F.lit(0))).alias("upto"), (F.col("number") + F.coalesce("n_before", F.lit(0))).alias("number"), system_cost.cast("long").alias("system"),
-        (budget - history - system_cost).cast("long").alias("room"),
-    ).withColumn("long", (F.col("cost") > F.expr("room div 4")).cast("long"))
-    # Steps and long turns so far: together they rise wherever a span begins.
-    placed = placed.withColumn("longs", F.sum("long").over(own) - F.col("long"))
-    longs = placed.groupBy("conv_id", "part").agg(F.sum("long").alias("longs")).join(before.select("c", "p"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-    longs = longs.select("c", "p", F.coalesce(F.sum("longs").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("longs_before"))
-    placed = placed.join(longs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select(
-        "conv_id", "turn", "role", "text", "cost", "upto", "number", "system", "room", F.expr("(upto - cost) div (room - room div 4) + 2 * (longs + coalesce(longs_before, 0)) + long").alias("span")
-    )
+    )
+    placed = _filled(placed.drop("part"), budget, history).drop("stretch")
     placed = written(placed, "spans")
 
     # Where each span begins: its history reaches back from there, over as many spans as it takes. Turns and

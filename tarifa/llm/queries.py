@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarifa.llm import centroids, chat_windows, decontaminate, html_density, lm_scoring, ngram_join, packing, quality_rules, simhash, simple8b, sql, token_counts, turn_repair, url_reputation
 from tarifa.llm.common import new_path, table
+from tarifa.llm.tokens import BYTE_BPE
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", both), (-1, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
     order = ["conv_id", "window", "position"]
-    read = chat_windows.read_back(chat_windows.windows(turns)).repartition("conv_id").sortWithinPartitions(*order)
+    read = chat_windows.read_back(chat_windows.windows(turns, tokenizer=BYTE_BPE)).repartition("conv_id").sortWithinPartitions(*order)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A digest has to see a conversation in order: turn by turn, holding the hash states alone."""

@@ -521,6 +521,47 @@ def test_windows_keep_their_budget_and_repeat_what_fits(spark, system, parts):
         assert [s.turn for s in w.segments if s.repeated] == [0] * with_system + fits
 
 
+def plain_spans(cost, system, budget=1024, history=256, stretch=64):
+    """The turns of each span, one turn after the other."""
+    out, total, now, part, room, used = [], 0, [], None, budget, 0
+    for k, c in enumerate(cost):
+        if total // (budget * stretch) != part or used + c > room:
+            first = not out and not now
+            if now:
+                out.append(now)
+            now, used, part, room = [], 0, total // (budget * stretch), budget if first else budget - history - system
+        now, used, total = [*now, k], used + c, total + c
+    return [*out, now]
+
+
+@pytest.mark.parametrize(("seed", "system", "most"), [(1, 0, 60), (2, 40, 60), (3, 100, 500), (4, 0, 1500)])
+def test_spans_are_filled_in_order(spark, seed, system, most):
+    r = np.random.default_rng(seed)
+    cost = [system] * (system > 0) + [int(x) for x in r.integers(5, most, 90_000 // most * 2)]
+    rows = [(1, k, "system" if system and k == 0 else "user", " ".join(["w"] * (c - 4))) for k, c in enumerate(cost)]
+    out = chat_windows.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).orderBy("window").collect()
+    assert [[s.turn for s in w.segments if not s.repeated] for w in out] == plain_spans(cost, system)
+    if most == 60:
+        inner = [w.n_tokens / 1024 for w in out[:-1]]
+        assert len(out) > 70 and sum(inner) / len(inner) > 0.9
+
+
+def test_conversations_that_fit_are_one_window(spark):
+    r = np.random.default_rng(8)
+    rows, ids = [], ids_by(BYTE_BPE, 0)
+    for conv in range(80):
+        rows += [(conv, t, ("system", "user", "assistant")[min(t, 1 + t % 2)], text(int(r.integers(1, 120)), conv * 50 + t)) for t in range(int(r.integers(1, 9)))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    made = {}
+    for w in chat_windows.windows(turns, tokenizer=BYTE_BPE).collect():
+        made.setdefault(w.conv_id, []).append(w.n_tokens)
+    sizes = {}
+    for conv, _, _, t in rows:
+        sizes[conv] = sizes.get(conv, 0) + len(ids(t)) - 1 + 4
+    assert any(n > 1024 for n in sizes.values()) and sum(n <= 1024 for n in sizes.values()) > 20
+    assert all((len(made[c]) == 1 and made[c][0] == n) if n <= 1024 else len(made[c]) > 1 for c, n in sizes.items())
+
+
 def test_digest_of_conversations(spark, tmp_path):
     from tarifa.llm.queries import op8_chat_windows
 
