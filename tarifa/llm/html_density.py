@@ -18,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +33,7 @@ BLOCK = frozenset(
 CUT_TAGS = frozenset("head script style textarea title iframe noembed noframes noscript template svg canvas object audio video map nav footer aside menu fieldset button select datalist dialog dir search".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 CUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion promoted sidebar comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation footer masthead topbar toolbar pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion promoted sidebar comment comments commentlist commentaires comentarios kommentare discussion discussions disqus reply replies respond cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations breadcrumb breadcrumbs menu menus nav navbar navigation footer masthead topbar toolbar pagination pager skip".split()
 )
 #: Words that may stand beside those in a class name or id that is cut.
 NEUTRAL = frozenset("site main page post article entry content left right top bottom upper lower primary secondary global inner outer box area list section container wrapper wrap widget block bar panel slot unit buttons button links link items item form row column col header mobile desktop".split())
@@ -84,7 +84,7 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.cut, self.within = ["#page"], [0], [False], [False]
         self.weight = [1.0]
-        self.opened: Counter = Counter()  # open elements by name
+        self.opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack of open elements, by name
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         stack, at, text_at = [0], 0, 0
         while True:
@@ -123,9 +123,9 @@ class Page:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
                 at = text_at = end.end() if end else len(html)
-            elif tag not in VOID and not (m["attrs"] or "").endswith("/"):
+            elif tag not in VOID:  # a slash before the end closes nothing else
+                self.opened[tag].append(len(stack))
                 stack.append(node)
-                self.opened[tag] += 1
 
     def _text(self, node: int, text: str) -> None:
         if text and not self.cut[node]:
@@ -133,20 +133,16 @@ class Page:
 
     def _close(self, stack: list[int], names: set[str], bounds: set[str]) -> bool:
         """Closes the innermost open element of these names, and what is open in it; none beyond a bound."""
-        if not any(self.opened[x] for x in names):
+        last = lambda of: max((self.opened[x][-1] for x in of if self.opened.get(x)), default=0)
+        k = last(names)
+        if not k or last(bounds) > k:
             return False
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in names:
-                for node in stack[k:]:
-                    self.opened[self.tags[node]] -= 1
-                    if self.tags[node] in BLOCK:
-                        self.events.append((node, None))
-                del stack[k:]
-                return True
-            if tag in bounds:
-                return False
-        return False
+        for node in stack[k:]:
+            self.opened[self.tags[node]].pop()
+            if self.tags[node] in BLOCK:
+                self.events.append((node, None))
+        del stack[k:]
+        return True
 
 
 def densities(page: Page) -> tuple[int, list[float], list[int], list[int], list[int]]:
@@ -208,11 +204,11 @@ def _content(page: Page) -> list[bool]:
         up = page.parents[i]
         if not page.cut[i] and sums[best[i]] > sums[best[up]]:
             best[up] = best[i]
+    on_path = set(path)
     if not articles:
         for i in range(n):
-            if inside[i] and not page.cut[i] and chars[i] and i not in path and dense[i] >= threshold:
+            if inside[i] and not page.cut[i] and chars[i] and i not in on_path and dense[i] >= threshold:
                 chosen[best[i] if sums[best[i]] else i] = True
-    on_path = set(path)
     for i in range(1, n):
         chosen[i] = (chosen[i] or chosen[page.parents[i]]) and not page.cut[i]
         if chosen[i] and i not in on_path and dense[i] < threshold:

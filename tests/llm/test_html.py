@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from xml.etree import ElementTree
 
 import pytest
@@ -71,3 +72,63 @@ def test_broken_markup_takes_no_time_and_loses_no_text():
     assert main_text(f"<body><div>{''.join(PARTS)}<p title=\"never closed>tail</p></div>").endswith("tail")
     for bad in ("<a '\">", '<a b="', "<a b='\">", "<!--", "<x", "< ", "<a b='", "</p"):
         main_text(bad * 20_000)
+
+
+def test_addresses_without_quotes_are_links():
+    bare = MENU.replace("'", "").replace(">Menu", "/>Menu")
+    assert "<a href=/3/>" in bare
+    assert main_text(f"<body><article>{PARTS[0]}{bare}{''.join(PARTS[1:])}</article></body>") == WANT
+    assert main_text(f"<body><article>{PARTS[0]}<div class=ad/>BUY NOW</div>{''.join(PARTS[1:])}</article></body>") == WANT
+    assert main_text(f"<body><article>{PARTS[0]}<br/>more<img src=x /> of it<p/>new</article></body>") == f"{PARTS[0][3:-4]}\nmore of it\nnew"
+
+
+def test_reader_comments_go():
+    said = "<p>A reader says a lot about this page, and more than that.</p>" * 6
+    for name in ('id="discussion"', "class='comments-area'", "class=kommentare"):
+        assert main_text(f"<body><article>{''.join(PARTS)}<section {name}>{said}</section></article></body>") == WANT
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<p><button>" + "<b>" * 60_000 + "<div></div>" * 60_000, "<div>" * 200_000 + "deep", "<ul><li>" * 60_000, "<table><tr><td>" * 40_000, "<p>" + "<i>" * 100_000 + "<p>" * 100_000, "<li>" * 250_000, "<b>" * 100_000 + "</i>" * 250_000],
+)
+def test_nesting_takes_time_in_proportion(html):
+    began = time.perf_counter()
+    main_text(f"<body>{html}")
+    assert time.perf_counter() - began < 20
+
+
+def content(e, share):
+    """Which elements of a tree without articles, names and lists of links are content, by the definition."""
+    every = list(e.iter())
+    dense = {x: plain(x, share) for x in every}
+    total = {x: sum(dense[c] for c in x) for x in every}
+    up = {c: x for x in every for c in x}
+    size = {x: len("".join("".join(x.itertext()).split())) for x in every}
+    core = max(every, key=lambda x: (total[x], size[x], -every.index(x)))
+    path = [core]
+    while path[-1] is not e:
+        path.append(up[path[-1]])
+    threshold = min(dense[x] for x in path)
+    chosen = {core}
+    for x in every:
+        if size[x] and x not in path and dense[x] >= threshold:
+            best = max(x.iter(), key=lambda y: total[y])
+            chosen.add(best if total[best] else x)
+    kept = set()
+    for x in every:
+        if (x in chosen or up.get(x) in kept) and not (x not in path and dense[x] < threshold and x.tag in ("p", "div") and len(list(x.iter("a"))) > 2 and 2 * sum(len("".join("".join(a.itertext()).split())) for a in x.iter("a")) > size[x]):
+            kept.add(x)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_content_is_what_the_definition_says(seed):
+    r = random.Random(100 + seed)
+    html = f"<body>{''.join(tree(r, 4) for _ in range(3))}</body>"
+    root = ElementTree.fromstring(html)
+    chars = len("".join("".join(root.itertext()).split()))
+    share = sum(len("".join("".join(x.itertext()).split())) for x in root.iter("a")) / chars
+    kept = content(root, share)
+    wanted = [" ".join("".join(p.itertext()).split()) for p in root.iter("p") if p in kept]
+    assert main_text(html) == "\n".join(w for w in wanted if w)
