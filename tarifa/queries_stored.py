@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.plans import ingest, online
-from tarifa.plans.mapping import AS_OF, load
+from tarifa.plans import catalog as C
+from tarifa.plans import ingest, maintenance, online, verify
+from tarifa.plans.mapping import AS_OF, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
-from tarifa.queries import ORACLES, query
+from tarifa.queries import HISTORY, ORACLES, _product_history, query
 from tarifa.queries_records import _folder, _lines
 from tarifa.sources.stored import StoredTable
 from tarifa.streaming import keyed, seen
@@ -156,3 +157,40 @@ def online_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = catalog.products.select(F.col("id").alias("product_id"), F.lit(True).alias("known"))
     rows = after.listings.join(of, after.listings["id"] == of["store_product_id"]).join(known, "product_id", "left")
     return rows.select(F.col("store_product_url").alias("url"), F.when(F.col("known"), F.col("product_id")).otherwise("new").alias("product"), "snapshots", "price_cents", "days")
+
+
+@query(
+    HISTORY
+    + """, r AS (SELECT * FROM (SELECT *, lead(true) OVER (PARTITION BY store_product_id, branch_id, price_scope ORDER BY captured_at, id) AS newer FROM h) WHERE NOT coalesce(newer AND captured_at < TIMESTAMP '2001-11-05' - INTERVAL 90 DAY, false)),
+n AS (SELECT *, lag((available, currency)) OVER w AS a, lead((available, currency)) OVER w AS b FROM r WINDOW w AS (PARTITION BY store_product_id, branch_id, price_scope ORDER BY captured_at, id))
+SELECT id, store_product_id, coalesce(branch_id, -1) AS branch_id, captured_at FROM n WHERE NOT coalesce(a IS NOT NULL AND b IS NOT NULL AND a = (available, currency) AND b = (available, currency), false)"""
+)
+def maintained_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history after a maintenance run: old rows and repetitions are archived and deleted."""
+    path = _folder(spark, "history")
+    history = StoredTable(spark, f"{path}/table", ["store_product_id", "id"], by=["store_product_id"], buckets=8)
+    history.merge(_product_history(spark, sf_dir))
+    report = maintenance.maintain(history, f"{path}/archive", AS_OF, ["available", "currency"], apply=True, batch_rows=1 << 20, max_repeats=1 << 40, max_bytes=1 << 50)
+    if report.filter("archived <> deleted").count():
+        raise RuntimeError("a row was archived and not deleted")
+    return history.read().select("id", "store_product_id", F.coalesce("branch_id", F.lit(-1)).alias("branch_id"), "captured_at")
+
+
+@query('SELECT * FROM (VALUES (\'equal\', \'cheapest\', 0, 0, 0, true), (\'equal\', \'freshest\', 0, 0, 0, true), (\'shifted\', \'cheapest\', 3, 3, 2, false), (\'shifted\', \'freshest\', 3, 3, 2, false)) t(version, "case", missing, unexpected, repeated, equal)', mapped=False)
+def verified_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of two versions of the online search, and of one whose pages overlap by a row."""
+    t = tables(spark, sf_dir)
+    keys = ["product_name", "store_slug", "price", "captured_at"]
+    cases = {"cheapest": {"sort": "price_asc"}, "freshest": {"sort": "fresh_desc"}}
+    old, same = (lambda page, f=f, **a: f(t, AS_OF, limit=20, page=page, days=5000, **a) for f in (C.online_prices, C.online_prices_v3))
+
+    def shifted(page: int, sort: str) -> DataFrame:
+        offers = C.online_offers(t, AS_OF, None, None, True, 5000)
+        lead = [F.col("price")] if sort == "price_asc" else [F.col("captured_at").desc(), F.col("price")]
+        return offers.orderBy(*lead, "product_name", "store_slug", "store_product_id").offset((page - 1) * 19).limit(20)
+
+    found = []
+    for name, new in (("equal", same), ("shifted", shifted)):
+        report = verify.summary(verify.differences(spark, old, new, cases, keys), cases)
+        found.append(report.select(F.lit(name).alias("version"), "case", *[F.col(c).cast("int").alias(c) for c in ("missing", "unexpected", "repeated")], "equal"))
+    return found[0].union(found[1])
