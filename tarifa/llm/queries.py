@@ -36,7 +36,7 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").dropna(subset=["quality"]).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     shown = F.regexp_extract(url_reputation.url_path(F.col("url")), "^/[^/]*/([0-9]{1,18})", 1).try_cast("long")
     outcomes = pages.select("url", shown.alias("doc_id")).join(labels, "doc_id").select("url", "bad")
-    return url_reputation.judge_urls(pages, outcomes, URL_RULES)
+    return url_reputation.judge_urls(pages, outcomes, URL_RULES).withColumn("bad_at_least", F.round("bad_at_least", 4))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ r(rule, rule_host, rule_path, said) AS (VALUES ('net/', 'net', '/', 'block'), ('
 m AS (
   SELECT page_id, host, path, n_labelled, total, share, (SELECT arg_max(struct_pack(rule, said), length(rule)) FROM r WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS fits
   FROM q)
-SELECT page_id, host, path, fits.rule AS rule, coalesce(fits.said, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled FROM m
+SELECT page_id, host, path, fits.rule AS rule, coalesce(fits.said, CASE WHEN share - 1.645 * sqrt(share * (1 - share) / (total + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n_labelled, round(share - 1.645 * sqrt(share * (1 - share) / (total + 1)), 4) AS bad_at_least FROM m
 """
 
 

@@ -43,14 +43,15 @@ def url_path(url: Column) -> Column:
 
 
 def url_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last label of the host, or two of them; an address in numbers is its own."""
     two = F.substring_index(_name(host), ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(_name(host), ".", -1))
+    return F.when(_is_address(host), _name(host)).when(two.isin(*suffixes), two).otherwise(F.substring_index(_name(host), ".", -1))
 
 
 def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """The suffix and the label before it."""
+    """The suffix and the label before it; an address in numbers is its own."""
     two, three = (F.substring_index(_name(host), ".", n) for n in (-2, -3))
-    return F.when(two.isin(*suffixes), three).otherwise(two)
+    return F.when(_is_address(host), _name(host)).when(two.isin(*suffixes), three).otherwise(two)
 
 
 def _name(host: Column) -> Column:
@@ -58,6 +59,10 @@ def _name(host: Column) -> Column:
     return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
 
 
+def _is_address(host: Column) -> Column:
+    return _name(host).rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+
+
 def _strength(children: DataFrame) -> float:
     """How many pages the prior counts for, from rows with n, bad and mean (the prior mean)."""
     spread = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), 2) / (F.col("mean") * (1 - F.col("mean")))
@@ -100,7 +105,7 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, suf
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], threshold: float = 0.5, z: float = 1.645) -> DataFrame:
-    """page_id, host, path, rule, verdict, n_labelled of every row of pages (page_id, url).
+    """page_id, host, path, rule, verdict, n_labelled and bad_at_least (the bound that decides without a rule) of every row of pages (page_id, url).
 
     The longest rule that fits decides (of equally long ones the first); without one, block if the host's share of bad pages is over the
     threshold by its lower bound, else allow. outcomes: url, bad. Null urls and such without :// have an empty host and
@@ -116,4 +121,4 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], thresho
         fits = ((F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")) & F.startswith(F.col("path"), F.lit(r.path))
         rule, by_rule = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(by_rule)
     by_host = F.when(F.col("bad_at_least") > threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return placed.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, by_host).alias("verdict"), "n_labelled")
+    return placed.join(reputation, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, by_host).alias("verdict"), "n_labelled", "bad_at_least")

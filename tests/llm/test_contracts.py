@@ -40,3 +40,14 @@ def test_items_are_found_as_a_sliding_comparison_finds_them(spark):
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert got <= want and len(want) > 100
     assert len(got) == len(want), sorted(want - got)
+
+
+def test_hosts_are_blocked_by_what_is_known_of_them(spark):
+    """Bad, good, little known and unseen hosts of a bad domain; addresses in numbers by themselves."""
+    outcomes = [(f"https://{h}/{k}", k < bad) for h, n, bad in [("bad.spam.com", 60, 58), ("good.spam.com", 60, 2), ("few.spam.com", 2, 2), ("fine.org", 80, 1), ("other.org", 70, 0), ("10.0.0.1", 50, 50), ("10.9.0.1", 50, 0), ("edge.net", 40, 22)] for k in range(n)]
+    hosts = ["bad.spam.com", "good.spam.com", "few.spam.com", "new.spam.com", "fine.org", "10.0.0.1", "10.9.0.1", "edge.net", "unseen.dev"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    found = {r.host: r for r in url_reputation.judge_urls(pages, spark.createDataFrame(outcomes, "url string, bad boolean"), []).collect()}
+    assert {h for h in hosts if found[h].verdict == "block"} == {"bad.spam.com", "10.0.0.1"}
+    assert all((found[h].bad_at_least > 0.5) == (found[h].verdict == "block") for h in hosts)
+    assert found["few.spam.com"].bad_at_least < 0.5 < found["bad.spam.com"].bad_at_least
