@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import checkpointed, written
-from tarifa.llm.simhash import _ODD, _buckets, _mix, components, shingle_keys
+from tarifa.llm.shingle_sets import may_link, shingle_sets, similar
+from tarifa.llm.shingle_sets import ODD, mix, shingle_keys
+from tarifa.llm.simhash import _buckets, components
 
-#: Bits of the parity bitmaps.
-BITS = 4096
 #: Bits of a token that are sent; the range adds what it stands for.
 REST = 40
 
@@ -59,12 +59,6 @@ class Levels:
         return int(np.searchsorted(self.starts, size, side="right")) - 1
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each of BITS places: whether an odd number of tokens is there. Two of them differ in no more bits than the sets in tokens."""
-    odd = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & BITS - 1, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
 def index_keys(tokens: np.ndarray, frequent: np.ndarray, unshared: int, size: int, percent: int, k: int, levels: Levels) -> np.ndarray:
     """The keys of a set under which all similar sets are found. tokens: those that other documents have, in the global order;
     frequent: which of them are; unshared: how many others the set has, all before them."""
@@ -74,10 +68,10 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, unshared: int, size: in
         groups = int(levels.groups[level])
         prefix = max(0, begin + 1 + groups * (k - 1))
         own, common = tokens[:prefix], frequent[:prefix]
-        out.append(_mix(own[~common]))
+        out.append(mix(own[~common]))
         many = own[common]
         if not groups:
-            out.append(_mix(many + np.uint64(level)) ^ np.uint64(1))
+            out.append(mix(many + np.uint64(level)) ^ np.uint64(1))
             continue
         group = (many >> np.uint64(11)) % np.uint64(groups)
         order = np.lexsort((many, group))
@@ -88,7 +82,7 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, unshared: int, size: in
                 chosen = np.array(list(itertools.combinations(range(a, b), k)), np.int64).reshape(-1, k)
                 key = np.full(len(chosen), level, np.uint64)
                 for i in range(k):
-                    key = _mix(key * _ODD[i] + many[chosen[:, i]])
+                    key = mix(key * ODD[i] + many[chosen[:, i]])
                 out.append(key)
     return np.unique(np.concatenate(out))
 
@@ -255,51 +249,6 @@ def _indexed(counted: DataFrame, percent: int, k: int, share: int, rare: int) ->
     return counted.repartition("block").sortWithinPartitions("block").mapInArrow(index, SET)
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """rid, n, shingles (the set, sorted, as bytes) and bitmap of texts (rid, text)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_keys([t.as_py()], shingle)[0]) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.binary())], ["rid", "n", "shingles", "bitmap"])
-
-    return texts.select("rid", "text").mapInArrow(cut, "rid long, n long, shingles binary, bitmap binary")
-
-
-def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m tokens that differ in at least so many can be similar: the tokens in common are at most (n + m - differ) / 2."""
-    both = (n + m - differ) // 2
-    return 100 * np.minimum(both, np.minimum(n, m)) >= percent * (n + m - np.minimum(both, np.minimum(n, m)))
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, BITS // 64)
-
-
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of pairs whose sets have 100 * common >= percent * union; bitmaps decide which sets are fetched."""
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                differ = np.bitwise_count(_words(batch.column("bits_a")) ^ _words(batch.column("bits_b"))).sum(axis=1, dtype=np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(_may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), differ, percent)))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    side = lambda c, *columns: sets.select(F.col("rid").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in columns))
-    bits, whole = (("n", "n"), ("bitmap", "bits")), (("shingles", "set"),)
-    likely = written(pairs.join(side("a", *bits), "a").join(side("b", *bits), "b").mapInArrow(prune, "a long, b long"), "likely")
-    return checkpointed(likely.join(side("a", *whole), "a").join(side("b", *whole), "b").mapInArrow(check, "a long, b long"))
-
-
 def _across(members: DataFrame, percent: int, cell: int) -> DataFrame:
     """Pairs a, b of different parts in a bucket that their bitmaps don't rule out: members (key, rid, part, n, bitmap). Buckets are split into cells,
     and each pair of cells is a group of its own."""
@@ -318,7 +267,7 @@ def _across(members: DataFrame, percent: int, cell: int) -> DataFrame:
             later = later[(100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))]
             if len(later):
                 differ = np.bitwise_count(bits[later] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                hit = rid[later[_may_link(n[later], n[i], differ, percent)]]
+                hit = rid[later[may_link(n[later], n[i], differ, percent)]]
                 if len(hit):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, rid[i])), pa.array(np.maximum(hit, rid[i]))], ["a", "b"])
 
@@ -337,7 +286,7 @@ def _across(members: DataFrame, percent: int, cell: int) -> DataFrame:
     return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, shingle: int = 4, percent: int = 85, k: int = 2, rare: int = 32, share: int = 32, cell: int = 2048, range_chars: int = 1 << 23, block_chars: int = 1 << 21) -> DataFrame:
+def join(docs: DataFrame, shingle: int = 4, percent: int = 85, k: int = 2, rare: int = 32, share: int = 32, cell: int = 1024, range_chars: int = 1 << 23, block_chars: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
     The set of a text is its distinct word n-grams (A-Z lower-cased; with fewer words, the whole sequence). Two texts are linked when 100 times the size of the
@@ -362,7 +311,7 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85, k: int = 2, rare:
     wanted = classes.select("rid", "text_hash").join(buckets.select("rid").union(buckets.select("lead")).distinct(), "rid", "left_semi")
     # A text may be repeated many times: tasks keep one of each.
     once = rows.select("text_hash", "text").join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("text").alias("text"))
-    sets = written(_sets(once.join(wanted, "text_hash"), shingle), "shingles")
+    sets = written(shingle_sets(once.join(wanted, "text_hash"), shingle), "shingles")
 
     near = similar(buckets.select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))

@@ -14,9 +14,7 @@ spanning forest of its links, not the links, so groups of near copies give about
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import checkpointed, whole_row, written
-
-SEED = 42
+from tarifa.llm.shingle_sets import ODD, SEED, mix, shingle_keys, shingle_sets, similar
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -218,38 +215,6 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3) ->
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Multipliers of the words in a shingle, and what is added for the words a short text lacks.
-_ODD = np.array([xxhash.xxh64_intdigest(f"word {k}", SEED) | 1 for k in range(64)], np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ x >> np.uint64(32)
-
-
-def shingle_keys(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of the word shingles of the texts one after the other, and how many each has. A-Z are lower-cased;
-    a text of fewer words has the whole sequence, one without words none."""
-    number: defaultdict = defaultdict()
-    number.default_factory = number.__len__
-    parts = [[number[w] for w in (t or "").encode("utf-8", "surrogatepass").lower().split()] for t in texts]
-    n = np.array([len(p) for p in parts], np.int64)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, SEED) for w in number], np.uint64)
-    words = hashes[np.fromiter(chain.from_iterable(parts), np.int64, int(n.sum()))]
-    begins = np.cumsum(n) - n
-    left = np.repeat(begins + n, n) - np.arange(len(words))  # words from here to the end of the text
-    whole = left >= shingle
-    whole[begins[n > 0]] = True
-    at, left = np.flatnonzero(whole), left[whole]
-    padded = np.concatenate([words, np.zeros(shingle, np.uint64)])
-    keys = np.zeros(len(at), np.uint64)
-    for k in range(shingle):
-        keys += np.where(left > k, padded[at + k], np.uint64(k)) * _ODD[k]
-    return _mix(keys), np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
-
-
 def _fingerprints(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The fingerprint of each text: bits set in over half of its keys."""
     has = np.flatnonzero(counts)
@@ -273,8 +238,8 @@ def _band_keys(keys: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndar
             least = np.full(len(counts), np.iinfo(np.uint64).max)
             if len(has):
                 least[has] = np.minimum.reduceat(keys * f, starts)
-            out[:, band] += _mix(least) * _ODD[k]
-        out[:, band] = _mix(out[:, band] + np.uint64(band))
+            out[:, band] += mix(least) * ODD[k]
+        out[:, band] = mix(out[:, band] + np.uint64(band))
     return out
 
 
@@ -293,7 +258,7 @@ def _sketched(rows: DataFrame, shingle: int, bands: int, per_band: int, slice_ch
                     size, end = size + len(texts[end] or ""), end + 1
                 keys, counts = shingle_keys(texts[begin:end], shingle)
                 prints = _fingerprints(keys, counts)
-                every = np.concatenate([_band_keys(keys, counts, odd), _mix(prints ^ np.uint64(1))[:, None]], axis=1).view(np.int64)
+                every = np.concatenate([_band_keys(keys, counts, odd), mix(prints ^ np.uint64(1))[:, None]], axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(end - begin + 1) * every.shape[1], pa.int32()), pa.array(every.ravel()))
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), pa.array(prints.view(np.int64)), lists], [*batch.schema.names[:-1], "fingerprint", "keys"])
                 begin = end
@@ -335,36 +300,7 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return found.join(ends, "key", "left").select("key", "rid", F.coalesce("top", "lead").alias("lead")).filter("rid <> lead")
 
 
-def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """a, b of the pairs (a, b, text, leader) whose shingle sets have a Jaccard similarity of at least ``least``."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = object(), None
-        for batch in batches:
-            kept = []
-            for text, b in zip(batch.column(2), batch.column(3), strict=True):
-                if (b := b.as_py()) != last:
-                    last, leader = b, np.unique(shingle_keys([b], shingle)[0])
-                own = np.unique(shingle_keys([text.as_py()], shingle)[0])
-                both = len(np.intersect1d(own, leader, assume_unique=True))
-                kept.append(both >= least * (len(own) + len(leader) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return pairs.select("a", "b", "text", "leader").mapInArrow(check, "a long, b long")
-
-
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """rid, n and shingles (the distinct shingles, sorted, as bytes) of texts (rid, text)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_keys([t.as_py()], shingle)[0]) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n", "shingles"])
-
-    return texts.select("rid", "text").mapInArrow(cut, "rid long, n long, shingles binary")
-
-
-def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
+def _similar_within(members: DataFrame, percent: int, cell: int) -> DataFrame:
     """Links a, b that connect all parts whose members in a common bucket are similar: members (key, rid, part, n, shingles).
 
     Members of one part are connected already. Buckets are split into cells of about ``cell`` shingles, and each
@@ -399,7 +335,7 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
                 both = np.zeros(len(parts), np.int64)
                 both[has] = np.add.reduceat(mark[at], (ends - sizes)[has]) if len(has) else 0
                 mark[own] = 0
-                for k in np.flatnonzero((both >= least * (sizes + sizes[i] - both)) & (roots != roots[i])).tolist():
+                for k in np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (roots != roots[i])).tolist():
                     if found.link(parts[i], parts[k]):
                         kept.append((parts[i], parts[k]))
                     roots[(roots == roots[i]) | (roots == roots[k])] = found.root(parts[i])
@@ -422,34 +358,33 @@ def _similar_within(members: DataFrame, least: float, cell: int) -> DataFrame:
     return grouped.repartition(*order).sortWithinPartitions(*order).mapInArrow(forest, "a long, b long")
 
 
-def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: int, least: float, cell: int) -> DataFrame:
+def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: int, percent: int, cell: int) -> DataFrame:
     """rid and root of the texts in cells (key, rid, lead) that similar texts with a common key connect.
 
     First each is compared with the lead of its bucket, and the pairs ``also`` (a, b). What that leaves in several parts is
     then compared within the buckets, all pairs but those of one part and those with the lead.
     """
     pairs = cells.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
-    texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
-    near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, least))
+    sets = written(shingle_sets(text_of, shingle), "shingles")
+    near = similar(pairs, sets, percent)
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
     parts = written(cells.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")), "parts")
     several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key"), "several")
     parts = checkpointed(parts.join(several, "key", "left_semi"))
     if parts.isEmpty():
         return linked
-    sets = checkpointed(_shingle_sets(text_of.join(parts.select("rid").distinct(), "rid", "left_semi"), shingle))
-    more = checkpointed(_similar_within(parts.join(sets, "rid"), least, cell))
+    more = checkpointed(_similar_within(parts.join(sets.drop("bitmap"), "rid"), percent, cell))
     return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
 
 
-def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 5, least: float = 0.8, bands: int = 30, per_band: int = 5, cell: int = 1 << 17) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int = 5, percent: int = 80, bands: int = 30, per_band: int = 5, cell: int = 1 << 17) -> DataFrame:
     """The rows of docs (doc_id, text and any others, all returned as they are) without near copies.
 
     Of equal texts the first by doc_id stays (null last). Texts whose fingerprints (of five-word shingles) are linked
     within ``max_distance`` bits are compared. Fingerprints can't find all that are alike: at a similarity of 0.8 they differ in
     about 10 of 64 bits. So texts whose smallest shingles are the same under each of the ``per_band`` hash functions of one of
     ``bands`` bands are candidates too, and compared, all pairs of them that nothing connects yet. A similarity of the
-    shingle sets of at least 0.8 is a link; of texts that links connect, the first stays. Two texts at similarity s miss each
+    shingle sets of at least ``percent`` per cent is a link; of texts that links connect, the first stays. Two texts at similarity s miss each
     other with a chance of (1 - s ** per_band) ** bands: 7e-6 at 0.8, 3e-8 at 0.85. Null texts count as empty: one of the texts
     without words stays. ``cell`` bounds the shingles compared at once.
     """
@@ -467,7 +402,7 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int =
     cells = written(_buckets(keyed), "candidates")
     compared = cells.select("rid").union(cells.select("lead")).union(also.select("a")).union(also.select("b")).distinct()
     text_of = written(settled.join(compared, "rid", "left_semi").select("rid", "row.text"), "simhash-texts")
-    linked = checkpointed(_connected(cells, also, text_of, shingle, least, cell).join(place.drop("fingerprint"), "rid"))
+    linked = checkpointed(_connected(cells, also, text_of, shingle, percent, cell).join(place.drop("fingerprint"), "rid"))
     firsts = linked.groupBy("root").agg(F.min("place").alias("lead"))
     gone = linked.join(firsts, "root").filter("place <> lead").select("rid")
     kept = place.select("rid").join(gone, "rid", "left_anti")
