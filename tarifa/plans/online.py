@@ -182,3 +182,47 @@ def publish_online(catalog: Catalog, records: DataFrame, sources: DataFrame, as_
     snapshots = every.join(moved, "id", "left").withColumns({"last_seen_at": F.coalesce("moved", "last_seen_at"), "raw_payload": F.coalesce("moved_raw", "raw_payload")}).select(*catalog.snapshots.columns)
     seen = listings.join(told.select("id"), "id", "left_semi")
     return Catalog(catalog.stores, products.select(*catalog.products.columns), listings, snapshots, captured_images(seen, catalog.images)), rows
+
+
+def publish_always(catalog: Catalog, records: DataFrame, sources: DataFrame, as_of: datetime, limit: int | None = LIMIT) -> tuple[Catalog, int]:
+    """The earlier way to publish: products go by name, listings by URL, and every observation becomes a snapshot unless its listing has one of that
+    instant. The catalog after the call and the number of snapshots inserted; Refused as in publish_online(), for issues and unknown stores.
+
+    A product takes name and category of its last record; a listing takes what the latest observation says, if it isn't older than the last one seen.
+    """
+    n = records.limit((limit or 1) + 1).count()
+    if not n or (limit and n > limit):
+        raise Refused(None, f"Expected 1..{limit or 'any number of'} observations")
+    c = F.col
+    rows = observation_issues(records.select("position", "raw"), sources, as_of)
+    rows = rows.select("position", "raw", F.try_element_at("issues", F.lit(1)).alias("issue"), F.from_json("raw", FIELDS).alias("r")).select("position", "raw", "issue", "r.*")
+    stores = catalog.stores.filter("country = 'MX' AND enabled").groupBy(c("slug").alias("store_slug")).agg(F.min("id").alias("store_id"))
+    rows = rows.withColumn("observed_at", S.parse_instant(c("observed_at"))).join(stores, "store_slug", "left")
+    rows = rows.withColumn("error", F.coalesce("issue", F.when(c("store_id").isNull(), "unknown_store"))).checkpoint()
+    wrong = rows.filter("error IS NOT NULL").orderBy("position").select("position", "error").first()
+    if wrong:
+        raise Refused(wrong.position, wrong.error)
+
+    goods = rows.groupBy("normalized_name").agg(_last("product_name").alias("name"), _last("category").alias("category"))
+    p = catalog.products.alias("o").join(goods.alias("n"), "normalized_name", "full_outer")
+    own = {"id": F.coalesce("o.id", _id(F.lit("product"), c("normalized_name"))), "name": F.coalesce("n.name", "o.name"), "normalized_name": c("normalized_name"), "category": F.coalesce("n.category", "o.category")}
+    products = p.select(*[own.get(f, c(f"o.{f}")).alias(f) for f in catalog.products.columns])
+
+    known = catalog.listings.filter("branch_id IS NULL")
+    urls = known.select("store_id", c("store_product_url").alias("url"), "id").union(known.select("store_id", c("external_url").alias("url"), "id")).filter("url IS NOT NULL").groupBy("store_id", "url").agg(F.min("id").alias("known"))
+    rows = rows.join(urls, (rows["store_id"] == urls["store_id"]) & (rows["store_product_url"] == urls["url"]), "left").drop(urls["store_id"], "url")
+    rows = rows.withColumn("listing", F.coalesce("known", _id(F.lit("listing"), c("store_id"), c("store_product_url"))))
+    rows = rows.join(products.groupBy("normalized_name").agg(F.min("id").alias("product")), "normalized_name")
+    fields = ("store_id", "product", "product_name", "store_product_url", "image_url", "presentation", "available", "source", "observed_at")
+    told = rows.groupBy(c("listing").alias("id")).agg(F.max_by(F.struct(*fields), F.struct("observed_at", "position")).alias("n"))
+    b = catalog.listings.alias("o").join(told, "id", "full_outer")
+    taken = c("n").isNotNull() & (c("o.last_seen_at").isNull() | (c("o.last_seen_at") <= c("n.observed_at")))
+    new = {"store_id": F.coalesce("o.store_id", "n.store_id"), "product_id": c("n.product"), "branch_id": c("o.branch_id"), "external_name": c("n.product_name"), "external_url": F.coalesce("o.external_url", "n.store_product_url"), "store_product_url": c("n.store_product_url"), "last_seen_at": c("n.observed_at"), "external_id": c("o.external_id")}
+    new |= {f: c(f"n.{f}") for f in ("image_url", "presentation", "available", "source")}
+    listings = b.select("id", *[F.when(taken, v).otherwise(c(f"o.{f}")).alias(f) for f, v in new.items()]).select(*catalog.listings.columns)
+
+    first = Window.partitionBy("listing", "observed_at").orderBy("position")
+    made = rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select(_id(F.lit("snapshot"), c("listing"), F.unix_micros("observed_at")).alias("id"), c("listing").alias("store_product_id"), c("observed_at").alias("captured_at"), "price", "available", "source", c("raw").alias("raw_payload"))
+    have = catalog.snapshots.filter("branch_id IS NULL").select("store_product_id", "captured_at")
+    made = made.join(have, ["store_product_id", "captured_at"], "left_anti").checkpoint()
+    return Catalog(catalog.stores, products, listings, catalog.snapshots.unionByName(made, allowMissingColumns=True).select(*catalog.snapshots.columns), catalog.images), made.count()

@@ -654,15 +654,16 @@ def keyset_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.next_batch(_part(spark, sf_dir).select(_key().alias("id")), "id", 77)
 
 
-@query("SELECT p_partkey AS id, p_size FROM part WHERE p_size = 7", mapped=False)
+@query("SELECT p_partkey AS id, p_size FROM part", mapped=False)
 def bounded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.bounded(_part(spark, sf_dir).filter("p_size = 7").select(_key().alias("id"), "p_size"), ["id"], 50_000)
+    """All parts, which the guard lets pass as far as they are no more than it may; it is set for the tables' scale."""
+    return B.bounded(_part(spark, sf_dir).select(_key().alias("id"), "p_size"), ["id"], 2_000_000_000)
 
 
-@query("SELECT count(*) AS batches, CAST(sum(l_quantity) AS BIGINT) AS n_rows, CAST(sum(l_quantity) * 1000 AS BIGINT) AS n_bytes, CASE WHEN sum(l_quantity) * 1000 > 734003200 THEN 'archive_size' WHEN sum(l_quantity) > 50000 THEN 'archive_rows' WHEN count(*) > 100 THEN 'archive_batches' END AS over FROM lineitem WHERE l_suppkey < 3", mapped=False)
+@query("SELECT count(*) AS batches, CAST(sum(l_quantity) AS BIGINT) AS n_rows, CAST(sum(l_quantity) * 1000 AS BIGINT) AS n_bytes, CASE WHEN sum(l_quantity) * 1000 > 734003200 THEN 'archive_size' WHEN sum(l_quantity) > 50000 THEN 'archive_rows' WHEN count(*) > 100 THEN 'archive_batches' END AS over FROM lineitem", mapped=False)
 def archive_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_quantity").cast("long")
-    return B.capacity(load(spark, sf_dir, "lineitem").filter("l_suppkey < 3").select(n.alias("n_rows"), (n * 1000).alias("n_bytes")), 0)
+    return B.capacity(load(spark, sf_dir, "lineitem").select(n.alias("n_rows"), (n * 1000).alias("n_bytes")), 0)
 
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT (p_name, p_brand)) AS n_keys, bool_and(p_type IN ('ECONOMY', 'STANDARD')) AS p_type_allowed, (SELECT string_agg(DISTINCT p_type, ',' ORDER BY p_type) FROM part WHERE p_type NOT IN ('ECONOMY', 'STANDARD')) AS p_type_other FROM part", mapped=False)
@@ -843,7 +844,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tarifa-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="tarifa-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -870,14 +874,14 @@ def lines_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select((F.col("line") - 1).alias("p_partkey"), "error").join(_part(spark, sf_dir).select("p_partkey", "p_name"), "p_partkey")
 
 
-@query("SELECT s_suppkey, p_partkey, p_name FROM supplier JOIN part ON p_partkey % 10 = s_suppkey % 10 AND p_partkey < 100", mapped=False)
+@query("SELECT s_suppkey, p_partkey, p_name FROM supplier JOIN part ON p_partkey % 1000 = s_suppkey % 1000", mapped=False)
 def recordset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as base64 arrays of JSON, one for each last digit, read back as rows."""
+    """Parts as base64 arrays of JSON, one for each three last digits, read back as rows."""
     from tarifa.sources import ndjson
 
-    arrays = _part(spark, sf_dir).filter("p_partkey < 100").groupBy((_key() % 10).alias("d")).agg(F.base64(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).cast("binary")).alias("body"))
+    arrays = _part(spark, sf_dir).groupBy((_key() % 1000).alias("d")).agg(F.base64(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).cast("binary")).alias("body"))
     rows = ndjson.recordset(arrays, "body", "p_partkey bigint, p_name string", base64=True)
-    return load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("d")).join(rows.withColumn("d", _key() % 10), "d").drop("d")
+    return load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 1000).alias("d")).join(rows.withColumn("d", _key() % 1000), "d").drop("d")
 
 
 @query("SELECT count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS ids, true AS within FROM part", mapped=False)
@@ -913,10 +917,11 @@ def json_and_gallon_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", S.canonical_hash(body).alias("hash"), S.has_key(maybe, "b").alias("has_b"), merged.alias("merged"), P.comparison_key(rows).alias("compared"))
 
 
-@query("SELECT 'u/' || s_suppkey AS store_product_url, 'c' || s_suppkey // 2 AS category, '{\"a\":1,\"reviewed_comparison\":{\"basis\":\"size\",\"canonical_variant_key\":\"reviewed:' || s_suppkey // 2 || '\",\"reviewed_at\":\"2001-11-05\"}}' AS raw_payload FROM supplier WHERE s_suppkey < 10", mapped=False)
+@query("SELECT 'u/' || s_suppkey AS store_product_url, 'c' || s_suppkey // 2 AS category, '{\"a\":1,\"reviewed_comparison\":{\"basis\":\"size\",\"canonical_variant_key\":\"reviewed:' || s_suppkey // 2 || '\",\"reviewed_at\":\"2001-11-05\"}}' AS raw_payload FROM supplier WHERE (s_suppkey // 2) * 2 + 1 <= (SELECT max(s_suppkey) FROM supplier) AND (s_suppkey // 2) * 2 >= (SELECT min(s_suppkey) FROM supplier)", mapped=False)
 def reviewed_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of suppliers as the two listings of an item, all ready."""
-    s, k = load(spark, sf_dir, "supplier").filter("s_suppkey < 10"), F.col("s_suppkey")
+    """Pairs of suppliers as the two listings of an item, all ready; a supplier without the other of its pair is none."""
+    k, every = F.col("s_suppkey"), load(spark, sf_dir, "supplier")
+    s = every.join(every.groupBy(F.expr("s_suppkey div 2").alias("pair")).count().filter("count = 2"), F.expr("s_suppkey div 2") == F.col("pair"), "left_semi")
     item, url, source = F.expr("s_suppkey div 2"), F.concat(F.lit("u/"), k), F.when(k % 2 == 0, "a").otherwise("b")
     manifest = s.select(F.concat(F.lit("reviewed:"), item).alias("canonical_variant_key"), F.lit("x").alias("label"), source.alias("source"), url.alias("url"), F.col("s_name").alias("observed_name"), F.lit("1 kg").alias("observed_presentation"), F.concat(F.lit("c"), item).alias("category"), F.lit("size").alias("match_basis"))
     rows = s.select(

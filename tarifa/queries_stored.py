@@ -159,6 +159,20 @@ def online_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("store_product_url").alias("url"), F.when(F.col("known"), F.col("product_id")).otherwise("new").alias("product"), "snapshots", "price_cents", "days")
 
 
+@query(
+    f"""WITH k AS (SELECT *, p_partkey % {_CASES} AS k FROM part)
+SELECT 'https://parts.mx/' || p_partkey AS url, CASE WHEN k IN (0, 1, 4) THEN 2 ELSE 1 END AS snapshots, CASE WHEN k IN (0, 1) THEN 1 ELSE 2 END AS days FROM k UNION ALL SELECT 'https://parts.mx/new/' || p_partkey, 1, 1 FROM k WHERE k IN (8, 9, 10)""",
+    mapped=False,
+)
+def online_always(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings after a call of the earlier publisher: their snapshots, late ones included, and days since they were last seen."""
+    catalog, records, sources = _calls(spark, sf_dir)
+    after, _ = online.publish_always(catalog, records.filter((F.col("position") % _CASES).isin(0, 1, 2, 4, 8, 9, 10)), sources, AS_OF, limit=None)
+    of = after.snapshots.groupBy("store_product_id").agg(F.count("*").alias("snapshots"))
+    rows = after.listings.join(of, after.listings["id"] == of["store_product_id"])
+    return rows.select(F.col("store_product_url").alias("url"), "snapshots", F.datediff(F.lit(AS_OF), "last_seen_at").alias("days"))
+
+
 @query(
     HISTORY
     + """, r AS (SELECT * FROM (SELECT *, lead(true) OVER (PARTITION BY store_product_id, branch_id, price_scope ORDER BY captured_at, id) AS newer FROM h) WHERE NOT coalesce(newer AND captured_at < TIMESTAMP '2001-11-05' - INTERVAL 90 DAY, false)),

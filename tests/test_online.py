@@ -123,3 +123,15 @@ def test_stored_catalog_follows_the_batch(spark, tmp_path):
     assert max(len(c.buckets) for c in few.values()) <= 2
     state = catalog.read()
     assert (state.products.count(), state.listings.count(), state.snapshots.count(), state.staging.count()) == (61, 61, 62, 62)
+
+
+def test_the_earlier_publisher_always_inserts(spark, sources):
+    rows = [record(1), record(1, observed_at="2026-06-10T11:00:00Z", presentation="2 l"), record(1), record(2, normalized_name="product 1", product_name="Renamed", observed_at="2026-06-10T09:00:00Z")]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "position int, raw string")
+    after, n = online.publish_always(empty(spark), df, sources, NOW)
+    assert n == 3 and one(after.products).name == "Renamed" and after.listings.count() == 2
+    assert one(after.listings, external_url="https://shop.mx/1").presentation == "2 l"
+    again, n = online.publish_always(after, df.filter("position = 0"), sources, NOW)
+    assert n == 0 and one(again.listings, external_url="https://shop.mx/1").presentation == "2 l"
+    with pytest.raises(online.Refused, match="record 0: currency"):
+        online.publish_always(after, spark.createDataFrame([(0, json.dumps(record(1, currency="USD")))], "position int, raw string"), sources, NOW)
