@@ -11,6 +11,7 @@ from tarifa.plans.mapping import AS_OF, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
 from tarifa.queries import HISTORY, ORACLES, _product_history, query
 from tarifa.queries_records import _folder, _lines
+from tarifa.sources import discovery
 from tarifa.sources.stored import StoredTable
 from tarifa.streaming import keyed, seen
 
@@ -173,6 +174,21 @@ def online_always(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("store_product_url").alias("url"), "snapshots", F.datediff(F.lit(AS_OF), "last_seen_at").alias("days"))
 
 
+@query("SELECT p_partkey AS page_id, n AS position, 'https://m.mx/p/' || n || '-' || p_partkey AS url, CASE WHEN n = 1 AND p_partkey % 4 = 1 THEN 'promotion' WHEN n = 1 AND p_partkey % 4 = 2 THEN 'tax_inclusion_unknown' WHEN n = 1 AND p_partkey % 4 = 3 OR n = 3 THEN 'not_in_state' END AS reason FROM part, range(1, 4) t(n)", mapped=False)
+def eligible_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part with three product links: of the first the state says this or that, of the second that it may be followed, of the third nothing."""
+    key = F.col("p_partkey").cast("string")
+    slug = lambda n: F.concat(F.lit(f"{n}-"), key)
+    item = lambda n, untaxed, before: F.struct(F.lit("Product").alias("__typename"), slug(n).alias("slug"), F.struct(untaxed.alias("isTaxExempt"), before.alias("oldPrice"), F.col("p_retailprice").alias("price")).alias("pricing"))
+    k = F.col("p_partkey") % 4
+    first = item(1, k != 2, F.when(k == 1, "9").otherwise(""))
+    state = F.to_json(F.when(k == 3, F.array(item(2, F.lit(True), F.lit("")))).otherwise(F.array(first, item(2, F.lit(True), F.lit("")))))
+    anchors = [F.concat(F.lit('<a href="/p/'), slug(n), F.lit('">x</a>')) for n in (1, 2, 3)]
+    html = F.concat(F.lit('<script id="__NEXT_DATA__">{"list":'), state, F.lit("}</script>"), *anchors, F.lit('<a href="/c/food">x</a><a href="/p/1?x">x</a>'))
+    pages = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return discovery.product_links(pages, "https://m.mx", "/p/[a-z0-9-]+")
+
+
 @query(
     HISTORY
     + """, r AS (SELECT * FROM (SELECT *, lead(true) OVER (PARTITION BY store_product_id, branch_id, price_scope ORDER BY captured_at, id) AS newer FROM h) WHERE NOT coalesce(newer AND captured_at < TIMESTAMP '2001-11-05' - INTERVAL 90 DAY, false)),

@@ -7,12 +7,13 @@ from html.parser import HTMLParser
 
 
 class Carried(HTMLParser):
-    """scripts: (attributes, body, attributes of the template around it or None); metas: the attributes of each meta tag."""
+    """scripts: (attributes, body, attributes of the template around it or None); metas: the attributes of each meta tag; links: the addresses of anchors."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.scripts: list[tuple[dict, str, dict | None]] = []
         self.metas: list[dict] = []
+        self.links: list[str] = []
         self._templates: list[dict] = []
         self._script: tuple[dict, list[str]] | None = None
         self.feed(html)
@@ -25,6 +26,8 @@ class Carried(HTMLParser):
             self._script = dict(attrs), []
         elif tag == "meta":
             self.metas.append({k: v or "" for k, v in attrs})
+        elif tag == "a":
+            self.links += [v for k, v in attrs if k == "href" and v]
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script" and self._script:
@@ -38,6 +41,11 @@ class Carried(HTMLParser):
         if self._script:
             self._script[1].append(data)
 
+    def state(self):
+        """The page's embedded state, if exactly one script has it."""
+        found = [body for attributes, body, _ in self.scripts if attributes.get("id") == "__NEXT_DATA__"]
+        return read_json(found[0]) if len(found) == 1 else None
+
     def linked_data(self) -> tuple[list, bool]:
         """The JSON-LD blocks, and whether one of them isn't JSON."""
         blocks, broken = [], False

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarifa.plans import api, batch, validators
-from tarifa.sources import markup, official, products, retail
+from tarifa.sources import discovery, markup, official, products, retail
 
 NOW = datetime(2026, 6, 28, 12)
 
@@ -111,3 +111,27 @@ def test_presentations_as_written(spark):
     got = rows.select("name", products.stated_presentation(F.col("name"), F.lit("")).alias("p")).collect()
     assert {r.name: r.p for r in got} == cases
     assert rows.limit(1).select(products.stated_presentation(F.lit("x"), F.lit("y 2 kg")).alias("p")).first().p == "2 kg"
+
+
+def test_links_are_followed_if_the_state_allows_it(spark):
+    def item(slug, **pricing):
+        return {"__typename": "Product", "slug": slug, "pricing": {"price": 1, "isTaxExempt": True} | pricing}
+
+    state = json.dumps({"a": [item("one"), item("two", oldPrice="9"), {"deep": item("three", isTaxExempt=None)}, item("one", oldPrice="9"), item("four", oldPrice="")]})
+    anchors = ["/p/one", "https://m.mx/p/two", "/p/three", "/p/one", "/p/none", "/p/four?x=1", "/p/four", "/c/one", "https://other.mx/p/one", "http://m.mx/p/one", "p/four#f", "http://["]
+    html = f"<script id='__NEXT_DATA__'>{state}</script>" + "".join(f"<a href={a}>x</a>" for a in anchors)
+    pages = spark.createDataFrame([(1, html), (2, "<a href='/p/one'>x</a>"), (3, None), (None, html)], "page_id long, html string")
+    got = {(r.page_id, r.url.split("/")[-1]): (r.position, r.reason) for r in discovery.product_links(pages, "https://m.mx", r"/p/[a-z0-9-]+").collect()}
+    own = {"one": (1, None), "two": (2, "promotion"), "three": (3, "tax_inclusion_unknown"), "none": (5, "not_in_state"), "four": (7, None)}
+    assert got == {(p, k): v for p in (1, None) for k, v in own.items()} | {(2, "one"): (1, "not_in_state")}
+
+
+def test_links_of_the_state(spark):
+    def item(n, address, sale=False, pieces=(True,), raw=True):
+        inner = {"id": n, "isAvailable": True, "price": 3, "onSale": sale, "variants": [{"isPiece": p} for p in pieces]}
+        return {"id": n, "productDetailUrl": address, "raw": inner if raw else {}}
+
+    state = json.dumps([item(1, "/product/a-1/"), item(2, "/product/b-2", sale=True), item(3, "/product/c-3", pieces=(False,)), item(4, "/product/d-4", raw=False), item(5, "/other/e"), item(6, "/product/f-6", pieces=(True, True))])
+    pages = spark.createDataFrame([(1, f'<script id="__NEXT_DATA__">{state}</script>')], "page_id long, html string")
+    found = discovery.product_links(pages, "https://j.mx", "/product/[a-z0-9-]+-[0-9]+/?", discovery.DETAIL, listed_in_state=True)
+    assert {r.url.split("/")[4]: r.reason for r in found.collect()} == {"a-1": None, "b-2": "promotion", "c-3": "weighted_or_ambiguous_unit", "d-4": "not_in_state", "f-6": "weighted_or_ambiguous_unit"}
