@@ -98,7 +98,8 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, overhead:
         turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), F.coalesce(turns["role"].cast("string"), F.lit("")).alias("role"), F.coalesce(turns["text"].cast("string"), F.lit("")).alias("text")
     )
     if tokenizer:
-        row, count = _counted(row, tokenizer), F.col("n_ids")
+        # Ranges are drawn from a sample that a job of its own takes, so what is dear is written before.
+        row, count = written(_counted(row, tokenizer), "counted"), F.col("n_ids")
     dealt = row.withColumn("cost", count.cast("long") + overhead).drop("n_ids").repartitionByRange(*_order()).withColumn("part", F.spark_partition_id())
     # The bounds of ranges are drawn anew by each run, so they are settled by writing.
     dealt = written(dealt, "turns")
