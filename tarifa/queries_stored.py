@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifa.plans import catalog as C
-from tarifa.plans import ingest, maintenance, online, verify
+from tarifa.plans import ingest, maintenance, online, trigrams, verify
 from tarifa.plans.mapping import AS_OF, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
 from tarifa.queries import HISTORY, ORACLES, _product_history, query
@@ -174,6 +176,16 @@ def online_always(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("store_product_url").alias("url"), "snapshots", F.datediff(F.lit(AS_OF), "last_seen_at").alias("days"))
 
 
+@query("SELECT t AS searched, p_partkey AS id FROM part, (VALUES ('red'), ('d w%et'), ('_een widg'), ('re'), ('#1%'), ('nothing')) s(t) WHERE p_name ILIKE '%' || t || '%' OR p_brand ILIKE '%' || t || '%'", mapped=False)
+def searched_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by texts in their name or brand, found through the gram index; a text of two letters goes over all rows."""
+    index = trigrams.TrigramIndex(spark, _folder(spark, "grams"), buckets=16)
+    parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    index.add(parts, "p_name", "p_brand")
+    found = [trigrams.search(parts, index, text, "p_name", "p_brand").select(F.lit(text).alias("searched"), "id") for text in ("red", "d w%et", "_een widg", "re", "#1%", "nothing")]
+    return reduce(DataFrame.union, found)
+
+
 @query("SELECT p_partkey AS page_id, n AS position, 'https://m.mx/p/' || n || '-' || p_partkey AS url, CASE WHEN n = 1 AND p_partkey % 4 = 1 THEN 'promotion' WHEN n = 1 AND p_partkey % 4 = 2 THEN 'tax_inclusion_unknown' WHEN n = 1 AND p_partkey % 4 = 3 OR n = 3 THEN 'not_in_state' END AS reason FROM part, range(1, 4) t(n)", mapped=False)
 def eligible_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each part with three product links: of the first the state says this or that, of the second that it may be followed, of the third nothing."""
