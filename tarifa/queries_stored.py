@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,3 +237,45 @@ def verified_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         report = verify.summary(verify.differences(spark, old, new, cases, keys), cases)
         found.append(report.select(F.lit(name).alias("version"), "case", *[F.col(c).cast("int").alias(c) for c in ("missing", "unexpected", "repeated")], "equal"))
     return found[0].union(found[1])
+
+
+# A staged record of a branch, and what is changed in it with the codes that this earns, in the order of the rules.
+_BRANCH_RECORD = {
+    "source": "parts", "store_brand": "Parts", "store_slug": "parts", "source_product_name": "Part", "normalized_name": "part", "category": "food", "presentation": "1 kg", "price": 10.5, "currency": "MXN", "available": True, "price_scope": "branch_local",
+    "store_product_url": "https://parts.mx/@", "external_reference": "r@", "source_url": "https://parts.mx/@", "evidence_kind": "store_api", "review_status": "accepted", "is_synthetic": False, "confidence_score": 0.9, "content_hash": "hash-000000@",
+    "validation_errors": [], "captured_at": "2001-11-04T10:00:00Z", "observed_at": "2001-11-04T10:00:00Z", "image_url": None, "raw_payload": {"id": "@"}, "branch_external_key": "b1", "branch_name": "Centro", "branch_address": "Street 1", "branch_municipality": "Town",
+    "branch_state": "State", "latitude": 19.5, "longitude": -99.0,
+}
+_NO_BRANCH = {f: None for f in ingest.BRANCH_FIELDS} | {"price_scope": "online"}
+_DEFECTS: list[tuple[dict, str]] = [
+    ({}, ""),
+    (_NO_BRANCH, ""),
+    *(({f: value}, f"missing_{f}") for f in ingest.REQUIRED if f not in ("currency", "review_status") for value in (None, " ")),
+    *(({"review_status": v}, "missing_review_status,review_not_accepted") for v in (None, " ")),
+    *(({"price": p}, "invalid_price") for p in (None, 0, -1, "10")),
+    ({"currency": None}, "missing_currency,non_mxn"), ({"currency": "mxn"}, "invalid_currency,non_mxn"), ({"currency": "USD"}, "non_mxn"),
+    *(({"confidence_score": c}, "invalid_confidence_score") for c in (None, 0.69, 1.01, "0.9")),
+    *(({"is_synthetic": v}, "synthetic_record") for v in (True, None, "false")),
+    *(({"review_status": v}, "review_not_accepted") for v in ("pending", "Accepted")),
+    *(({"available": v}, "invalid_available") for v in (None, "true", 1)),
+    ({"price_scope": "national"}, "invalid_price_scope"),
+    *((_NO_BRANCH | {f: _BRANCH_RECORD[f]}, "online_has_branch_data") for f in ingest.BRANCH_FIELDS),
+    *(({f: None}, f"missing_{f}") for f in ingest.BRANCH_TEXTS),
+    ({"latitude": 50}, "invalid_latitude"), ({"latitude": "19.5"}, "invalid_latitude"), ({"longitude": None}, "invalid_longitude"), ({"longitude": -130}, "invalid_longitude"),
+    ({"source_url": "ftp://x"}, "invalid_source_url"), ({"store_product_url": "parts.mx"}, "invalid_store_product_url"), ({"image_url": "x"}, "invalid_image_url"), ({"image_url": 5}, "invalid_image_url"), ({"image_url": ""}, ""),
+    ({"evidence_kind": "rumour"}, "unknown_evidence"),
+    ({"captured_at": "yesterday"}, "invalid_captured_at"), ({"captured_at": "2001-11-04T10:00:00"}, "invalid_captured_at"), ({"observed_at": "2001-11-04"}, "invalid_observed_at"), ({"observed_at": "2001-10-20T10:00:00Z"}, "observation_not_current"), ({"observed_at": "2001-11-05T01:00:00Z"}, "observation_not_current"),
+    *(({"raw_payload": v}, "invalid_raw_payload") for v in ([1], "x")),
+    ({"validation_errors": ["e"]}, "upstream_validation_errors"), ({"validation_errors": "e"}, "upstream_validation_errors"), ({"validation_errors": None}, ""),
+    ({"content_hash": "short"}, "invalid_content_hash"),
+    ({"source": "home-depot-mx", "branch_external_key": "home-depot-mx:1"}, "invalid_home_depot_store_slug"), ({"source": "home-depot-mx", "store_slug": "home-depot-mx"}, "invalid_home_depot_branch_key"),
+]
+
+
+@query("SELECT p_partkey AS line, CASE p_partkey % " + str(len(_DEFECTS)) + " " + " ".join(f"WHEN {k} THEN '{codes}'" for k, (_, codes) in enumerate(_DEFECTS)) + " END AS issues FROM part", mapped=False)
+def issues_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of parts with every defect that the staging rules know, one each."""
+    bodies = [json.dumps(_BRANCH_RECORD | change) for change, _ in _DEFECTS]
+    body = F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("p_partkey") % len(bodies)).cast("int"))
+    lines = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.replace(body, F.lit("@"), F.col("p_partkey").cast("string")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    return ingest.validated(lines, AS_OF).select("line", F.array_join("issues", ",").alias("issues"))
