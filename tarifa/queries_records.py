@@ -473,12 +473,7 @@ def front_page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages and links of shops
 
 
-@query(
-    """SELECT p_partkey, CASE p_partkey % 10 WHEN 1 THEN 'invalid_price_or_name' WHEN 2 THEN 'availability_not_confirmed' WHEN 3 THEN 'expired_offer' WHEN 4 THEN 'expected_one_product' WHEN 5 THEN 'broken_structured_data' WHEN 6 THEN 'promotion_without_known_end' WHEN 7 THEN 'missing_presentation' WHEN 8 THEN 'ambiguous_or_missing_offer' END AS reject_reason,
-CASE WHEN p_partkey % 10 = 7 THEN NULL WHEN p_partkey % 10 IN (4) THEN NULL ELSE '6 x ' || p_size || ' ml' END AS presentation, CASE WHEN p_partkey % 10 = 4 THEN 'Otros' WHEN p_partkey % 2 = 0 THEN p_type ELSE 'Otros' END AS category FROM part""",
-    mapped=False,
-)
-def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def captured_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shop pages with structured data, most with a defect."""
     c, k = F.col, _key() % 10
     offer = F.struct(F.lit("Offer").alias("@type"), c("p_retailprice").alias("price"), F.when(k == 1, "USD").otherwise("MXN").alias("priceCurrency"), F.when(k == 2, "https://schema.org/OutOfStock").otherwise("https://schema.org/InStock").alias("availability"), F.when(k == 3, "2001-11-01").alias("priceValidUntil"))
@@ -489,7 +484,16 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sale = F.lit('<div class="summary entry-summary"><del>10</del></div><div class="woocommerce-tabs">')
     html = F.when(k == 4, F.concat(whole, whole)).when(k == 5, F.concat(whole, script(F.lit("{")))).when(k == 6, F.concat(whole, sale)).otherwise(whole)
     pages = _part(spark, sf_dir).select(F.concat(F.lit("https://s.mx/"), _key()).alias("url"), html.alias("html"))
-    out = products.parsed_products(pages, "s.mx", AS_OF, reject_sales=True)
+    return products.parsed_products(pages, "s.mx", AS_OF, reject_sales=True)
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 10 WHEN 1 THEN 'invalid_price_or_name' WHEN 2 THEN 'availability_not_confirmed' WHEN 3 THEN 'expired_offer' WHEN 4 THEN 'expected_one_product' WHEN 5 THEN 'broken_structured_data' WHEN 6 THEN 'promotion_without_known_end' WHEN 7 THEN 'missing_presentation' WHEN 8 THEN 'ambiguous_or_missing_offer' END AS reject_reason,
+CASE WHEN p_partkey % 10 = 7 THEN NULL WHEN p_partkey % 10 IN (4) THEN NULL ELSE '6 x ' || p_size || ' ml' END AS presentation, CASE WHEN p_partkey % 10 = 4 THEN 'Otros' WHEN p_partkey % 2 = 0 THEN p_type ELSE 'Otros' END AS category FROM part""",
+    mapped=False,
+)
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = captured_products(spark, sf_dir)
     return out.select(F.substring("url", 14, 20).cast("long").alias("p_partkey"), "reject_reason", "presentation", "category")
 
 

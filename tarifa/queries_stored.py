@@ -8,13 +8,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarifa.functions import scalars as S
+from tarifa.functions import text as T
 from tarifa.plans import catalog as C
-from tarifa.plans import ingest, maintenance, online, trigrams, verify
+from tarifa.plans import batch, ingest, maintenance, online, reports, trigrams, verify
 from tarifa.plans.mapping import AS_OF, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
 from tarifa.queries import HISTORY, ORACLES, _product_history, query
 from tarifa.queries_records import _folder, _lines
-from tarifa.sources import discovery
+from tarifa.sources import discovery, products
 from tarifa.sources.stored import StoredTable
 from tarifa.streaming import keyed, seen
 
@@ -279,3 +281,34 @@ def issues_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("p_partkey") % len(bodies)).cast("int"))
     lines = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.replace(body, F.lit("@"), F.col("p_partkey").cast("string")).alias("raw"), F.lit(None).cast("string").alias("error"))
     return ingest.validated(lines, AS_OF).select("line", F.array_join("issues", ",").alias("issues"))
+
+
+@query(
+    r"""WITH t AS (SELECT *, CASE p_partkey % 5 WHEN 0 THEN '2001-11-04T10:00:' || lpad(CAST(p_size AS VARCHAR), 2, '0') || 'Z' WHEN 1 THEN '2001-11-04T10:00:00-06:00' WHEN 2 THEN '2001-11-04T10:00:00' WHEN 3 THEN '2001-11-04' ELSE 'noon Z' END AS said FROM part)
+SELECT p_partkey, p_name LIKE '%red%' AND p_name LIKE '%wid%' AS found, epoch_us(CASE WHEN regexp_matches(said, '(Z|[+-][0-9]{2}:[0-9]{2})$') THEN try_cast(said AS TIMESTAMPTZ) END) AS instant,
+lpad(lower(to_hex(list_reduce(list_transform(string_split(p_name, ''), lambda c: ord(c)::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT)::UBIGINT)), 16, '0') AS hash FROM t""",
+    mapped=False,
+)
+def instants_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as instants where they name an offset, all terms of a search, and FNV-1a hashes of names."""
+    k, second = F.col("p_partkey") % 5, F.lpad(F.col("p_size").cast("string"), 2, "0")
+    said = F.when(k == 0, F.concat(F.lit("2001-11-04T10:00:"), second, F.lit("Z"))).when(k == 1, "2001-11-04T10:00:00-06:00").when(k == 2, "2001-11-04T10:00:00").when(k == 3, "2001-11-04").otherwise("noon Z")
+    return load(spark, sf_dir, "part").select("p_partkey", T.demo_search(F.col("p_name"), " RÉD wid ").alias("found"), F.unix_micros(S.parse_instant(said)).alias("instant"), T.stable_hash(F.col("p_name")).alias("hash"))
+
+
+@query(f"WITH p AS ({ORACLES['product_pages']}), r AS (SELECT count(*) FILTER (reject_reason IS NULL) AS accepted, count(*) FILTER (reject_reason IS NOT NULL) AS rejected FROM p) SELECT accepted, rejected, 0 AS repeated_references, CASE WHEN rejected = 0 THEN 'ok' ELSE 'partial' END AS status, rejected = 0 AS publish FROM r", mapped=False)
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a capture of product pages, and whether it may be published."""
+    from tarifa.queries_records import captured_products
+
+    report = products.capture_report(captured_products(spark, sf_dir))
+    return report.crossJoin(F.broadcast(reports.gate(report, F.col("status") == "ok").select("publish")))  # a row each
+
+
+@query("SELECT 'r' || p_partkey AS external_reference, CAST(round(p_retailprice * 100) AS BIGINT) AS price_cents, CASE WHEN p_partkey % 3 = 0 THEN 'b' || p_size END AS branch FROM part WHERE NOT (p_partkey % 11 = 4 AND p_partkey % 3 = 0)", mapped=False)
+def saved_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured products saved without tests of evidence: all parts but those whose branch lies elsewhere."""
+    records = _lines(spark, sf_dir).filter("error IS NULL AND line < 1000000").select("raw")
+    state = batch.saved_products(batch.empty_state(spark), batch.prepared(records), AS_OF)
+    b = state.branches.select(F.col("id").alias("branch_id"), F.col("external_key").alias("branch"))
+    return state.snapshots.join(b, "branch_id", "left").select("external_reference", (F.col("price") * 100).cast("long").alias("price_cents"), "branch")
