@@ -55,11 +55,18 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, as texts and sets are wide."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     """rid, n, shingles (the set, sorted, as bytes) and bitmap of texts (rid, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = [np.unique(shingle_keys([t.as_py()], shingle)[0]) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.binary())], ["rid", "n", "shingles", "bitmap"])
 
@@ -86,7 +93,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), differ, percent)))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             kept = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
