@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarifa.llm.common import checkpointed, whole_row, written
-from tarifa.llm.shingle_sets import ODD, SEED, mix, shingle_keys, shingle_sets, similar
+from tarifa.llm.shingle_sets import ODD, SEED, mix, shingle_keys
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -300,6 +300,35 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return found.join(ends, "key", "left").select("key", "rid", F.coalesce("top", "lead").alias("lead")).filter("rid <> lead")
 
 
+def _similar(pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """a, b of the pairs (a, b, text, leader) whose shingle sets have a Jaccard similarity of at least ``percent`` per cent."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leader = object(), None
+        for batch in batches:
+            kept = []
+            for text, b in zip(batch.column(2), batch.column(3), strict=True):
+                if (b := b.as_py()) != last:
+                    last, leader = b, np.unique(shingle_keys([b], shingle)[0])
+                own = np.unique(shingle_keys([text.as_py()], shingle)[0])
+                both = len(np.intersect1d(own, leader, assume_unique=True))
+                kept.append(100 * both >= percent * (len(own) + len(leader) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.select("a", "b", "text", "leader").mapInArrow(check, "a long, b long")
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """rid, n and shingles (the distinct shingles, sorted, as bytes) of texts (rid, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_keys([t.as_py()], shingle)[0]) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rid", "n", "shingles"])
+
+    return texts.select("rid", "text").mapInArrow(cut, "rid long, n long, shingles binary")
+
+
 def _similar_within(members: DataFrame, percent: int, cell: int) -> DataFrame:
     """Links a, b that connect all parts whose members in a common bucket are similar: members (key, rid, part, n, shingles).
 
@@ -365,15 +394,16 @@ def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: i
     then compared within the buckets, all pairs but those of one part and those with the lead.
     """
     pairs = cells.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
-    sets = written(shingle_sets(text_of, shingle), "shingles")
-    near = similar(pairs, sets, percent)
+    texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
+    near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, percent))
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
     parts = written(cells.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")), "parts")
     several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key"), "several")
     parts = checkpointed(parts.join(several, "key", "left_semi"))
     if parts.isEmpty():
         return linked
-    more = checkpointed(_similar_within(parts.join(sets.drop("bitmap"), "rid"), percent, cell))
+    sets = checkpointed(_shingle_sets(text_of.join(parts.select("rid").distinct(), "rid", "left_semi"), shingle))
+    more = checkpointed(_similar_within(parts.join(sets, "rid"), percent, cell))
     return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
 
 
