@@ -53,7 +53,7 @@ def _id(*parts: Column) -> Column:
     return F.md5(F.to_json(F.array(*[p.cast("string") for p in parts]), {"ignoreNullFields": "false"})).alias("id")
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """df computed once, where the session has a folder for that."""
     found = df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
     return df.checkpoint() if found else df
@@ -84,9 +84,9 @@ def fit_to_publish(rows: DataFrame) -> DataFrame:
 
 def publish_batch(state: State, records: DataFrame, as_of: datetime) -> tuple[State, DataFrame]:
     """The state after a batch of accepted, unique records (raw: a JSON object each), and the report in one row."""
-    rows = _settled(prepared(records))
+    rows = settled(prepared(records))
     new_staging = insert_new(state.staging, rows.select(_id(F.col("source"), F.col("content_hash")), "source", "content_hash", "payload", "review_status"), ["source", "content_hash"])
-    fit = _settled(fit_to_publish(rows))
+    fit = settled(fit_to_publish(rows))
     c = F.col
 
     stores = first_by(fit.select("store_slug", "store_brand"), ["store_slug"], [c("store_brand").asc()]).select(_id(c("store_slug")), c("store_slug").alias("slug"), c("store_brand").alias("name"), F.lit(K.COUNTRY).alias("country"), F.lit(True).alias("enabled"))
@@ -96,7 +96,7 @@ def publish_batch(state: State, records: DataFrame, as_of: datetime) -> tuple[St
     products = merge_by(state.products, goods, ["normalized_name"], {"id": "old", "name": "new", "category": "coalesce"})
 
     placed = fit.join(stores.select(c("slug").alias("store_slug"), c("id").alias("store_id")), "store_slug").join(products.select("normalized_name", c("id").alias("product_id")), "normalized_name")
-    placed = _settled(placed)
+    placed = settled(placed)
     local = first_by(placed.filter("price_scope = 'branch_local'"), ["source", "branch_external_key"], [c("branch_name").asc(), c("branch_address").asc()])
     local = local.select(
         _id(c("source"), c("branch_external_key")), "source", c("branch_external_key").alias("external_key"), "store_id", c("branch_name").alias("name"), c("branch_address").alias("address"),
@@ -119,13 +119,13 @@ def publish_batch(state: State, records: DataFrame, as_of: datetime) -> tuple[St
     of_branch = branches.select("source", c("external_key").alias("branch_external_key"), c("id").alias("branch_id"))
     found = placed.join(of_listing, keys).join(of_branch, ["source", "branch_external_key"], "left").filter((c("price_scope") == "online") == c("branch_id").isNull())
     found = first_by(found, ["store_product_id", "branch_id", "captured_at"], [c("external_reference").asc(), c("content_hash").asc()])
-    candidates = _settled(
+    candidates = settled(
         found.select(
             _id(c("store_product_id"), c("branch_id"), F.unix_micros("captured_at")), "store_product_id", "branch_id", "price_scope", "price", "currency", "available", "source", "captured_at", "source_product_name",
             c("store_brand").alias("source_store_name"), c("branch_name").alias("source_branch_name"), "external_reference", c("payload").alias("raw_payload"),
         )
     )
-    inserted = _settled(insert_new(state.snapshots, candidates, ["store_product_id", "branch_id", "captured_at"]))
+    inserted = settled(insert_new(state.snapshots, candidates, ["store_product_id", "branch_id", "captured_at"]))
     after = State(state.staging.unionByName(new_staging), stores, products, branches, listings, state.snapshots.unionByName(inserted))
     return after, run_report(rows, new_staging, fit, candidates, inserted)
 
@@ -151,7 +151,7 @@ def refreshed(state: State, records: DataFrame, known: DataFrame, source: str, a
     """
     fields = ("source", "store_product_url", "source_url", "normalized_name", "source_product_name", "presentation", "store_slug", "captured_at", "category")
     rows = records.select("raw", *[S.json_text(F.col("raw"), f).alias(f) for f in fields])
-    bound = _settled(bound_to_known(rows, known, source))
+    bound = settled(bound_to_known(rows, known, source))
     kept = bound.filter("reject_reason IS NULL").select(S.merged_json(F.col("raw"), F.to_json(F.struct("category"))).alias("raw"))
     after, report = publish_batch(state, kept, as_of)
     return after, report, bound.filter("reject_reason IS NOT NULL").select("store_product_url", "reject_reason")

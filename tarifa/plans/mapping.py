@@ -11,10 +11,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarifa.plans.batch import settled
 from tarifa.plans.catalog import Tables
 
 AS_OF = datetime(2001, 11, 5)
 HERE = (19.43, -99.13)
+#: Rows of a table that a task is dealt where each of them is made into a page or record.
+DEALT_ROWS = 20_000
 
 SQL = """
 WITH stores AS (SELECT s_suppkey AS id, s_name AS name, lower(replace(s_name, '#', '-')) AS slug, 'MX' AS country, s_acctbal > -900 AS enabled, s_nationkey FROM supplier),
@@ -58,6 +61,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over as many tasks as their number asks for: a table of narrow rows is a file or two, so one task would make all the pages of it.
+
+    They are settled, as Spark moves a filter on what is made of a row below the dealing.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // DEALT_ROWS)
+    return settled(rows.repartition(tasks, key))
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     supplier, nation, part, lineitem = (load(spark, sf_dir, n) for n in ("supplier", "nation", "part", "lineitem"))
     stores = supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("slug"), F.lit("MX").alias("country"), (F.col("s_acctbal") > -900).alias("enabled"))

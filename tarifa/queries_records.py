@@ -12,7 +12,7 @@ from tarifa.plans import batch as B
 from tarifa.plans import compare as P
 from tarifa.plans import ingest, validators
 from tarifa.plans import publish as U
-from tarifa.plans.mapping import AS_OF, load, tables
+from tarifa.plans.mapping import AS_OF, dealt, load, tables
 from tarifa.queries import query
 from tarifa.sources import feeds, official, products, web
 
@@ -24,6 +24,10 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part")
 
 
+def _dealt_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(_part(spark, sf_dir), "p_partkey")
+
+
 # Texts
 
 _NAME = "'Café  Añejo ' || p_name || ', ' || p_brand || ', Caja ' || p_size || ' piezas, 1.5 Litros'"
@@ -116,7 +120,7 @@ def _staged(k: Column) -> dict[str, Column]:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged lines: one for each part, the first hundred twice, and a broken line for every fortieth."""
-    once = _part(spark, sf_dir).select(_key(), _json(_staged(_key() % 11)).alias("raw"))
+    once = _dealt_part(spark, sf_dir).select(_key(), _json(_staged(_key() % 11)).alias("raw"))
     again = once.filter("p_partkey < 100").withColumn("p_partkey", _key() + 1_000_000)
     broken = once.filter("p_partkey % 40 = 0").select((_key() + 2_000_000).alias("p_partkey"), F.lit("{").alias("raw"))
     rows = once.union(again).union(broken)
@@ -992,7 +996,7 @@ def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     product = F.struct(F.lit("Product").alias("@type"), name.alias("name"), F.when(k == 1, F.lit("0x")).otherwise(_key().cast("string")).alias("sku"), url.alias("url"), offer.alias("offers"))
     step = lambda item, shown: F.struct(item.alias("item"), shown.alias("name"))
     crumbs = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(step(F.lit("https://m.mx/"), F.lit("Home")), step(F.when(k == 4, "https://m.mx/x").otherwise("https://m.mx/c/food"), F.col("p_type"))).alias("itemListElement"))
-    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _ld(crumbs)).alias("html"))
+    pages = _dealt_part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _ld(crumbs)).alias("html"))
     return _page_outcome(retail.catalog_pages(pages, "https://m.mx", AS_OF))
 
 
@@ -1014,7 +1018,7 @@ def corroborated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rendered = F.struct(state.alias("own"), stock.alias("availability"), F.when(k == 7, F.when(stock, 0).otherwise(5)).when(stock, 3).otherwise(0).alias("stockLevel"))
     data = F.struct(F.struct(F.struct(rendered.alias("product")).alias("pageProps")).alias("props"))
-    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
+    pages = _dealt_part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
     return _page_outcome(retail.corroborated_pages(pages, AS_OF, "piece"))
 
 
@@ -1028,7 +1032,7 @@ def corroborated_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     pricing = F.struct((k != 2).alias("isTaxExempt"), F.when(k == 3, "99").otherwise("").alias("oldPrice"), F.when(k == 4, price + 1).otherwise(price).alias("price"))
     state = F.struct(F.lit("Product").alias("__typename"), _key().cast("string").alias("sku"), F.when((k == 5) != stock, 4).otherwise(0).alias("stock"), pricing.alias("pricing"))
     data = F.struct(F.struct(F.struct(F.when(k == 1, "other").otherwise("own").alias("slug")).alias("vendor"), F.array(state, state).alias("list")).alias("props"))
-    pages = _part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
+    pages = _dealt_part(spark, sf_dir).select(url.alias("url"), F.concat(_ld(product), _next(data)).alias("html"))
     return _page_outcome(retail.corroborated_pages(pages, AS_OF, "stock", "own"))
 
 
@@ -1057,7 +1061,7 @@ def sku_bound_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     runtime = F.to_json(F.struct(F.lit("house").alias("account"), F.struct(F.lit("MXN").alias("currency")).alias("culture"), F.struct(F.lit("store.product").alias("id"), path.alias("canonicalPath"), F.struct(number.alias("id")).alias("params")).alias("route")))
     template = lambda var, body: F.concat(F.lit(f'<template data-varname="{var}"><script>'), body, F.lit("</script></template>"))
     html = F.when(k < 7, _ld(product)).otherwise(F.concat(template("__RUNTIME__", runtime), template("__STATE__", graph)))
-    found = retail.sku_bound_pages(_part(spark, sf_dir).select(url.alias("url"), html.alias("html")), "House", "house", AS_OF)
+    found = retail.sku_bound_pages(_dealt_part(spark, sf_dir).select(url.alias("url"), html.alias("html")), "House", "house", AS_OF)
     return _page_outcome(found)
 
 

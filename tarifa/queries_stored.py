@@ -12,7 +12,7 @@ from tarifa.functions import scalars as S
 from tarifa.functions import text as T
 from tarifa.plans import catalog as C
 from tarifa.plans import batch, ingest, maintenance, online, reports, trigrams, verify
-from tarifa.plans.mapping import AS_OF, load, tables
+from tarifa.plans.mapping import AS_OF, dealt, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
 from tarifa.queries import HISTORY, ORACLES, _product_history, query
 from tarifa.queries_records import _folder, _lines
@@ -101,7 +101,7 @@ def _code() -> Column:
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[online.Catalog, DataFrame, DataFrame]:
     """Parts as products with a listing and a snapshot each, one record for each of them, and the sources."""
     c, k = F.col, F.col("p_partkey") % _CASES
-    part = load(spark, sf_dir, "part").withColumns({"key": c("p_partkey").cast("string"), "code": _code(), "price": F.round("p_retailprice", 2).cast("decimal(12,2)")})
+    part = dealt(load(spark, sf_dir, "part"), "p_partkey").withColumns({"key": c("p_partkey").cast("string"), "code": _code(), "price": F.round("p_retailprice", 2).cast("decimal(12,2)")})
     null = lambda kind="string": F.lit(None).cast(kind)
     url, seen_at = F.concat(F.lit("https://parts.mx/"), "key"), F.expr(f"timestamp'{AS_OF:%Y-%m-%d %H:%M:%S}' - interval 2 days")
     values = {
@@ -200,7 +200,7 @@ def eligible_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.to_json(F.when(k == 3, F.array(item(2, F.lit(True), F.lit("")))).otherwise(F.array(first, item(2, F.lit(True), F.lit("")))))
     anchors = [F.concat(F.lit('<a href="/p/'), slug(n), F.lit('">x</a>')) for n in (1, 2, 3)]
     html = F.concat(F.lit('<script id="__NEXT_DATA__">{"list":'), state, F.lit("}</script>"), *anchors, F.lit('<a href="/c/food">x</a><a href="/p/1?x">x</a>'))
-    pages = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    pages = dealt(load(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
     return discovery.product_links(pages, "https://m.mx", "/p/[a-z0-9-]+")
 
 

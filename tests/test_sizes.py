@@ -1,6 +1,7 @@
 """What holds at sizes that the other tests don't have: keys beyond the numbers that a query adds, tables of one file, large buckets."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 PART = "SELECT i AS p_partkey, 'red widget ' || i % 7 AS p_name, 'Brand#' || i % 5 AS p_brand, 'ECONOMY' AS p_type, CAST(1 + i % 50 AS INTEGER) AS p_size, CAST(900 + i % 100 AS DOUBLE) AS p_retailprice FROM range({}, {}) t(i)"
 
@@ -20,3 +21,17 @@ def test_saved_parts_with_keys_over_a_million(spark, tmp_path):
     wanted = con.execute(f"SELECT external_reference, price_cents, branch FROM ({e.oracle_sql()['saved_snapshots']})").fetchall()
     assert sorted((tuple(r) for r in found.select("external_reference", "price_cents", "branch").collect()), key=str) == sorted(wanted, key=str)
     assert len(wanted) == len({w[0] for w in wanted}) > 90
+
+
+def test_records_of_a_small_file_are_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    from tarifa import queries_records as Q
+    from tarifa.plans import ingest, mapping
+
+    monkeypatch.setattr(mapping, "DEALT_ROWS", 10)
+    parts(tmp_path, 0, 400)
+    lines = Q._lines(spark, str(tmp_path))
+    busy = lines.select(F.spark_partition_id().alias("task"), "line").filter("line < 1000000").groupBy("task").count().collect()
+    assert len(busy) > 30 and sum(r["count"] for r in busy) == 400
+    # A filter on what validation finds stays above the dealing.
+    plan = ingest.unique_records(ingest.validated(lines, mapping.AS_OF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan and "parquet" not in plan.lower()
