@@ -178,6 +178,8 @@ def publishable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _published(spark: SparkSession, sf_dir: str, times: int = 1) -> tuple[B.State, DataFrame]:
     records = ingest.unique_records(ingest.validated(_lines(spark, sf_dir), AS_OF)).select("raw")
+    if times > 1:
+        records = B.settled(records)
     state, report = B.publish_batch(B.empty_state(spark), records, AS_OF)
     for _ in range(times - 1):
         state, report = B.publish_batch(state, records, AS_OF)
