@@ -124,7 +124,8 @@ def preflight(checked: DataFrame) -> DataFrame:
 
 def rejection_histogram(checked: DataFrame) -> DataFrame:
     """How often each code was given; the most frequent first, then by code."""
-    return checked.select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code")
+    # An inner explode is preceded by filters on its array, each of which would validate the lines once more.
+    return checked.select(F.explode_outer("issues").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "code")
 
 
 def preflight_groups(checked: DataFrame) -> DataFrame:

@@ -35,3 +35,13 @@ def test_records_of_a_small_file_are_made_in_many_tasks(spark, tmp_path, monkeyp
     # A filter on what validation finds stays above the dealing.
     plan = ingest.unique_records(ingest.validated(lines, mapping.AS_OF))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan and "parquet" not in plan.lower()
+
+
+def test_lines_are_validated_once_for_the_histogram(spark):
+    from tarifa.plans import ingest
+    from tarifa.plans.mapping import AS_OF
+
+    lines = spark.createDataFrame([("f", 1, "{}", None), ("f", 2, None, "invalid_json")], "file string, line long, raw string, error string")
+    found = ingest.rejection_histogram(ingest.validated(lines, AS_OF))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert {r.code: r.n for r in found.collect()}["invalid_json"] == 1
