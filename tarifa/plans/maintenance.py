@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tarifa import constants as K
 from tarifa.operators.latest import compaction_candidates, retention_candidates
-from tarifa.plans.batch import ARCHIVE_BATCHES, ARCHIVE_BYTES, COMPACTION_ROWS
+from tarifa.plans.batch import ARCHIVE_BATCHES, ARCHIVE_BYTES, COMPACTION_ROWS, settled
 from tarifa.sources.ndjson import restore_archive, write_archive
 from tarifa.sources.stored import StoredTable
 
@@ -75,15 +75,20 @@ def maintain(
                 raise BudgetReached("archives take the space that they may")
             version, content = history._state()
             path = f"{archive}/{reason}-{uuid.uuid4().hex}"
-            n = write_archive(may_go(history._read(content, set(buckets))).select(*history._read(content).columns), path).first().n_rows
+            now = history._read(content, set(buckets))
+            going = settled(may_go(now).select(*now.columns))
+            n = write_archive(going, path).first().n_rows
             if before_delete:
                 before_delete(path)
-            version, content = history._state()
-            now = history._read(content, set(buckets))
-            archived = spark.read.schema(now.schema).json(f"{path}/rows")
-            # All columns are compared, so a row that has changed since isn't among those that may go.
-            same = may_go(now).select(*now.columns).intersect(archived)
-            deleted = history.delete(same, since=version).deleted
+            latest, content = history._state()
+            if latest == version:  # nobody has written: what was archived is as it was, and a commit on this version fails if somebody does
+                same = going.select(*history.keys)
+            else:
+                now = history._read(content, set(buckets))
+                archived = spark.read.schema(now.schema).json(f"{path}/rows")
+                # All columns are compared, so a row that has changed since isn't among those that may go.
+                same = may_go(now).select(*now.columns).intersect(archived)
+            deleted = history.delete(same, since=latest).deleted
             done.append((reason, path, n, deleted))
             if deleted != n:
                 raise RuntimeError(f"{n - deleted} of {n} rows have changed while they were archived; the archive stays for review: {path}")

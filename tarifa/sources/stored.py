@@ -119,7 +119,8 @@ class StoredTable:
         """Writes rows as the whole content of the buckets, or in addition to what they have, and makes the next version of it."""
         write = uuid.uuid4().hex
         kept = {b: w for b, w in (state["buckets"] if state else {}).items() if not whole or int(b) not in buckets}
-        dealt = self.bucketed(rows, n).repartition(min(len(buckets), 2000) or 1, "_bucket").sortWithinPartitions("_bucket", *self.keys)
+        # A bucket lies together, but is cut into several files where it is large: a common key's bucket has very many rows.
+        dealt = self.bucketed(rows, n).hint("rebalance", "_bucket").sortWithinPartitions("_bucket", *self.keys)
         dealt.write.partitionBy("_bucket").parquet(f"{self.path}/data/{write}")
         for status in self._files().listStatus(self._at("data", write)):
             name = status.getPath().getName()

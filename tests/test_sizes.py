@@ -45,3 +45,20 @@ def test_lines_are_validated_once_for_the_histogram(spark):
     found = ingest.rejection_histogram(ingest.validated(lines, AS_OF))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
     assert {r.code: r.n for r in found.collect()}["invalid_json"] == 1
+
+
+def test_a_large_bucket_is_written_in_several_files(spark, tmp_path):
+    from tarifa.sources.stored import StoredTable
+
+    t = StoredTable(spark, str(tmp_path / "t"), ["k", "n"], by=["k"], buckets=4)
+    # A bucket is cut between what the tasks before have written of it, so these must be several.
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "256k"}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        assert t.merge(spark.range(40_000, numPartitions=4).select(F.lit("common").alias("k"), F.col("id").alias("n"), F.sha2(F.col("id").cast("string"), 256).alias("v"))).inserted == 40_000
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) > 1
+    assert t.read().agg(F.count_distinct("n")).first()[0] == 40_000
