@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +50,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables that are computed inside go to Python so many rows at a time at most: texts and messages are wide, and both sides of the pipe hold a batch whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def whole_row(df: DataFrame, name: str = "row") -> Column:
     """All columns of df as one struct, whatever their names; select("row.*") gives them back."""
     return F.struct(*[df["`" + c.replace("`", "``") + "`"] for c in df.columns]).alias(name)

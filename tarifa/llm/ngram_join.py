@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import checkpointed, written
+from tarifa.llm.common import checkpointed, small_batches, written
 from tarifa.llm.shingle_sets import may_link, shingle_sets, similar
 from tarifa.llm.shingle_sets import ODD, mix, shingle_keys
 from tarifa.llm.simhash import _buckets, components
@@ -115,13 +115,13 @@ def _sent(docs: DataFrame, shingle: int, ranges: int, block_chars: int) -> DataF
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, begin = batch.column("text").to_pylist(), 0
-            while begin < len(texts):
+            chars, begin = pc.utf8_length(batch.column("text")).to_pylist(), 0
+            while begin < len(chars):
                 end, size = begin, 0
-                while end < len(texts) and (end == begin or size + len(texts[end] or "") <= block_chars):
-                    size, end = size + len(texts[end] or ""), end + 1
+                while end < len(chars) and (end == begin or size + (chars[end] or 0) <= block_chars):
+                    size, end = size + (chars[end] or 0), end + 1
                 n = end - begin
-                keys, counts = shingle_keys(texts[begin:end], shingle)
+                keys, counts = shingle_keys(batch.column("text").slice(begin, n).to_pylist(), shingle)
                 ends = np.cumsum(counts)
                 sets = [np.unique(keys[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 own = batch.slice(begin, n)
@@ -302,7 +302,8 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85, k: int = 2, rare:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("text_hash"), text.alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(4, min(64 - REST, int(chars // range_chars).bit_length()))
-    every = written(_indexed(_counted(_sent(rows, shingle, ranges, block_chars)), percent, k, share, rare), "sets")
+    with small_batches(docs.sparkSession, 4096):
+        every = written(_indexed(_counted(_sent(rows, shingle, ranges, block_chars)), percent, k, share, rare), "sets")
 
     # Of equal sets the first stands for all.
     classes = checkpointed(every.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("rid", "text_hash")).alias("first"), F.min("doc_id").alias("doc_id")).select("digest", "first.rid", "first.text_hash", "doc_id"))
@@ -311,7 +312,8 @@ def join(docs: DataFrame, shingle: int = 4, percent: int = 85, k: int = 2, rare:
     wanted = classes.select("rid", "text_hash").join(buckets.select("rid").union(buckets.select("lead")).distinct(), "rid", "left_semi")
     # A text may be repeated many times: tasks keep one of each.
     once = rows.select("text_hash", "text").join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.any_value("text").alias("text"))
-    sets = written(shingle_sets(once.join(wanted, "text_hash"), shingle), "shingles")
+    with small_batches(docs.sparkSession, 128):
+        sets = written(shingle_sets(once.join(wanted, "text_hash"), shingle), "shingles")
 
     near = similar(buckets.select(F.col("rid").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import checkpointed, written
+from tarifa.llm.common import checkpointed, small_batches, written
 
 SEED = 42
 #: Bits of the parity bitmaps.
@@ -103,5 +103,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c, *columns: sets.select(F.col("rid").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in columns))
     bits, whole = (("n", "n"), ("bitmap", "bits")), (("shingles", "set"),)
-    likely = written(pairs.join(side("a", *bits), "a").join(side("b", *bits), "b").mapInArrow(prune, "a long, b long"), "likely")
-    return checkpointed(likely.join(side("a", *whole), "a").join(side("b", *whole), "b").mapInArrow(check, "a long, b long"))
+    with small_batches(pairs.sparkSession, 2048):
+        likely = written(pairs.join(side("a", *bits), "a").join(side("b", *bits), "b").mapInArrow(prune, "a long, b long"), "likely")
+    with small_batches(pairs.sparkSession, 128):
+        return checkpointed(likely.join(side("a", *whole), "a").join(side("b", *whole), "b").mapInArrow(check, "a long, b long"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarifa.llm.common import checkpointed, whole_row, written
+from tarifa.llm.common import checkpointed, small_batches, whole_row, written
 from tarifa.llm.shingle_sets import ODD, SEED, mix, shingle_keys
 
 
@@ -395,15 +395,17 @@ def _connected(cells: DataFrame, also: DataFrame, text_of: DataFrame, shingle: i
     """
     pairs = cells.select(F.col("rid").alias("a"), F.col("lead").alias("b")).union(also).distinct()
     texts_a, texts_b = text_of.select(F.col("rid").alias("a"), "text"), text_of.select(F.col("rid").alias("b"), F.col("text").alias("leader"))
-    near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, percent))
+    with small_batches(cells.sparkSession, 256):
+        near = checkpointed(_similar(pairs.join(texts_a, "a").join(texts_b, "b"), shingle, percent))
     linked = checkpointed(components(near).withColumnRenamed("node", "rid"))
     parts = written(cells.join(linked, "rid", "left").select("key", "rid", F.coalesce("root", "rid").alias("part")), "parts")
     several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("key"), "several")
     parts = checkpointed(parts.join(several, "key", "left_semi"))
     if parts.isEmpty():
         return linked
-    sets = checkpointed(_shingle_sets(text_of.join(parts.select("rid").distinct(), "rid", "left_semi"), shingle))
-    more = checkpointed(_similar_within(parts.join(sets, "rid"), percent, cell))
+    with small_batches(cells.sparkSession, 256):
+        sets = checkpointed(_shingle_sets(text_of.join(parts.select("rid").distinct(), "rid", "left_semi"), shingle))
+        more = checkpointed(_similar_within(parts.join(sets, "rid"), percent, cell))
     return linked if more.isEmpty() else components(near.union(more)).withColumnRenamed("node", "rid")
 
 
@@ -420,7 +422,8 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = 3, shingle: int =
     """
     row = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("rid"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # rid must not change between uses, so the rows are written once.
-    settled = written(_sketched(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), shingle, bands, per_band), "simhash")
+    with small_batches(docs.sparkSession, 1024):
+        settled = written(_sketched(row.select("row", "rid", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text"), shingle, bands, per_band), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
     place = checkpointed(settled.groupBy("fingerprint", "digest").agg(F.min(order).alias("place")).select("fingerprint", F.col("place.rid").alias("rid"), "place"))
     prints = checkpointed(place.groupBy("fingerprint").agg(F.min("rid").alias("rid")))

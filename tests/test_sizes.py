@@ -1,6 +1,7 @@
 """What holds at sizes that the other tests don't have: keys beyond the numbers that a query adds, tables of one file, large buckets."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 PART = "SELECT i AS p_partkey, 'red widget ' || i % 7 AS p_name, 'Brand#' || i % 5 AS p_brand, 'ECONOMY' AS p_type, CAST(1 + i % 50 AS INTEGER) AS p_size, CAST(900 + i % 100 AS DOUBLE) AS p_retailprice FROM range({}, {}) t(i)"
@@ -62,3 +63,13 @@ def test_a_large_bucket_is_written_in_several_files(spark, tmp_path):
             spark.conf.unset(name)
     assert len(list((tmp_path / "t" / "data").rglob("*.parquet"))) > 1
     assert t.read().agg(F.count_distinct("n")).first()[0] == 40_000
+
+
+def test_python_gets_few_rows_at_a_time(spark):
+    from tarifa.llm.common import small_batches
+
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["id"]) for b in batches)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with small_batches(spark, 100):
+        found = spark.range(0, 1000, 1, 2).mapInArrow(sizes, "id long").collect()
+    assert max(r.id for r in found) <= 100 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
