@@ -112,12 +112,15 @@ def current_catalog(t: Tables, as_of: datetime, days: int = K.FRESH_DAYS) -> Dat
     return rows.select("store_product_id", *[c for c in OFFER if c != "distance_km"], "latitude", "longitude")
 
 
+# By sort, what leads the order, and in which direction.
+_LEADS = {"price_desc": ("price", Column.desc_nulls_first), "fresh_desc": ("captured_at", Column.desc_nulls_first), "name": ("product_name", Column.asc_nulls_last)}
+
+
 def _sort(sort: str | None, distance: bool) -> list[Column]:
-    lead = {"price_desc": [F.col("price").desc_nulls_first()], "fresh_desc": [F.col("captured_at").desc_nulls_first()], "name": [F.col("product_name").asc_nulls_last()]}
-    if distance:
-        lead["distance"] = [F.col("distance_km").asc_nulls_last()]
+    leads = _LEADS | ({"distance": ("distance_km", Column.asc_nulls_last)} if distance else {})
+    lead = [way(F.col(c)) for c, way in (leads[sort],)] if sort in leads else []
     tail = [F.col(c).asc_nulls_last() for c in ("price", "product_name", "store_slug", "store_product_id")]
-    return lead.get(sort or "", []) + tail + ([F.col("branch_id").asc_nulls_last()] if distance else [])
+    return lead + tail + ([F.col("branch_id").asc_nulls_last()] if distance else [])
 
 
 def _of_listings(snapshots: DataFrame, listings: DataFrame | None) -> DataFrame:
@@ -148,7 +151,24 @@ def online_offers(t: Tables, as_of: datetime, search: str | None = None, categor
 def online_prices(t: Tables, as_of: datetime, search: str | None = None, limit: int = 100, page: int = 1, category: str | None = None, only_available: bool | None = True, sort: str | None = "price_asc", days: int = K.FRESH_DAYS) -> DataFrame:
     """A page of online offers, best first in the order asked for."""
     check_paging(limit, page)
-    return paged(online_offers(t, as_of, search, category, only_available, days), _sort(sort, False), limit, page).drop("store_product_id")
+    return online_page(online_offers(t, as_of, search, category, only_available, days), limit, page, sort)
+
+
+def online_page(offers: DataFrame, limit: int = 100, page: int = 1, sort: str | None = "price_asc") -> DataFrame:
+    """A page of online_offers()."""
+    check_paging(limit, page)
+    return paged(offers, _sort(sort, False), limit, page).drop("store_product_id")
+
+
+def online_leading(offers: DataFrame, sorts: list[str], most: int) -> DataFrame:
+    """The rows of online_offers() that are among the first ``most`` in any of the orders, all found in one pass; pages up to there are the same of these."""
+    if most > 1000:
+        raise ValueError("Ranks are limited within tasks up to 1,000 rows")  # Spark's threshold; beyond it, all rows of an order would meet in one task
+    # A lead is null in the other orders' rows.
+    leads = [way(F.when(F.col("_sort") == s, F.col(c))) for s, (c, way) in _LEADS.items() if s in sorts]
+    w = Window.partitionBy("_sort").orderBy(*leads, *_sort(None, False))
+    rows = offers.withColumn("_sort", F.explode(F.array(*[F.lit(s) for s in sorts]))).withColumn("_rank", F.row_number().over(w))
+    return rows.filter(F.col("_rank") <= most).drop("_sort", "_rank").dropDuplicates(["store_product_id"])
 
 
 def online_prices_v3(t: Tables, as_of: datetime, **asked) -> DataFrame:

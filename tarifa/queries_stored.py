@@ -12,6 +12,7 @@ from tarifa.functions import scalars as S
 from tarifa.functions import text as T
 from tarifa.plans import catalog as C
 from tarifa.plans import batch, ingest, maintenance, online, reports, trigrams, verify
+from tarifa.plans.batch import settled
 from tarifa.plans.mapping import AS_OF, dealt, load, tables
 from tarifa.plans.stored_batch import StoredCatalog
 from tarifa.queries import HISTORY, ORACLES, _product_history, query
@@ -227,12 +228,15 @@ def verified_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     keys = ["product_name", "store_slug", "price", "captured_at"]
     cases = {"cheapest": {"sort": "price_asc"}, "freshest": {"sort": "fresh_desc"}}
-    old, same = (lambda page, f=f, **a: f(t, AS_OF, limit=20, page=page, days=5000, **a) for f in (C.online_prices, C.online_prices_v3))
+    # Offers of a version are ranked once; its pages are taken from the rows that lead in an order asked for.
+    offers = {"v4": C.online_offers(t, AS_OF, None, None, True, 5000), "v3": C.online_offers(t, AS_OF, None, None, True, 5000).select("store_product_id", *C.OFFER)}
+    leading = [C.online_leading(o.select("store_product_id", *keys), [c["sort"] for c in cases.values()], 60).withColumn("version", F.lit(v)) for v, o in offers.items()]
+    leading = settled(leading[0].union(leading[1]))
+    old, same = (lambda page, sort, v=v: C.online_page(leading.filter(F.col("version") == v), 20, page, sort) for v in offers)
 
     def shifted(page: int, sort: str) -> DataFrame:
-        offers = C.online_offers(t, AS_OF, None, None, True, 5000)
         lead = [F.col("price")] if sort == "price_asc" else [F.col("captured_at").desc(), F.col("price")]
-        return offers.orderBy(*lead, "product_name", "store_slug", "store_product_id").offset((page - 1) * 19).limit(20)
+        return leading.filter("version = 'v4'").orderBy(*lead, "product_name", "store_slug", "store_product_id").offset((page - 1) * 19).limit(20)
 
     found = []
     for name, new in (("equal", same), ("shifted", shifted)):

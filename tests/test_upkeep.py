@@ -86,3 +86,33 @@ def test_versions_are_compared_page_by_page(spark):
     got = {(r.case, r.page, r.n, r.finding) for r in found.collect()}
     assert got == {x for c in cases for x in ((c, 1, 3, "missing"), (c, 1, 29, "unexpected"), (c, 2, 29, "unexpected"), (c, 2, 29, "repeated"))}
     assert [(r.missing, r.unexpected, r.repeated, r.equal) for r in verify.summary(found, cases).collect()] == [(1, 2, 1, False)] * 2
+
+
+def test_offers_of_a_version_are_ranked_once_for_all_its_pages(spark, monkeypatch):
+    from tarifa import queries_stored
+    from tarifa.plans import catalog, mapping
+
+    computed, offers = spark.sparkContext.accumulator(0), catalog.online_offers
+
+    @F.udf("long")
+    def counted(listing):
+        computed.add(1)
+        return listing
+
+    monkeypatch.setattr(catalog, "online_offers", lambda *a, **b: offers(*a, **b).withColumn("store_product_id", counted("store_product_id")))
+    report = queries_stored.verified_versions(spark, "/root/testdata/sf0.001").collect()
+    n = offers(mapping.tables(spark, "/root/testdata/sf0.001"), mapping.AS_OF, None, None, True, 5000).count()
+    assert len(report) == 4 and 0 < computed.value <= 2 * n
+
+
+def test_pages_of_the_leading_offers_are_those_of_all(spark):
+    from tarifa.plans import catalog, mapping
+
+    t = mapping.tables(spark, "/root/testdata/sf0.001")
+    offers = catalog.online_offers(t, mapping.AS_OF, None, None, True, 5000)
+    leading = catalog.online_leading(offers, ["price_asc", "price_desc", "fresh_desc", "name"], 21).checkpoint()
+    assert 21 < leading.count() <= 84
+    for sort in ("price_asc", "price_desc", "fresh_desc", "name"):
+        assert catalog.online_page(leading, 7, 3, sort).collect() == catalog.online_prices(t, mapping.AS_OF, limit=7, page=3, days=5000, sort=sort).collect()
+    with pytest.raises(ValueError, match="1,000"):
+        catalog.online_leading(offers, ["name"], 1001)
