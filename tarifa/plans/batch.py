@@ -84,7 +84,12 @@ def fit_to_publish(rows: DataFrame) -> DataFrame:
 
 def publish_batch(state: State, records: DataFrame, as_of: datetime) -> tuple[State, DataFrame]:
     """The state after a batch of accepted, unique records (raw: a JSON object each), and the report in one row."""
-    rows = settled(prepared(records))
+    after, new, report = published(state, settled(prepared(records)), as_of)
+    return State(state.staging.unionByName(new["staging"]), *after, state.snapshots.unionByName(new["snapshots"])), report
+
+
+def published(state: State, rows: DataFrame, as_of: datetime) -> tuple[tuple[DataFrame, ...], dict[str, DataFrame], DataFrame]:
+    """What publish_batch() makes of settled rows of prepared(): stores, products, branches and listings after them, the rows that staging and snapshots (which only grow) get, and the report."""
     new_staging = insert_new(state.staging, rows.select(_id(F.col("source"), F.col("content_hash")), "source", "content_hash", "payload", "review_status"), ["source", "content_hash"])
     fit = settled(fit_to_publish(rows))
     c = F.col
@@ -126,8 +131,7 @@ def publish_batch(state: State, records: DataFrame, as_of: datetime) -> tuple[St
         )
     )
     inserted = settled(insert_new(state.snapshots, candidates, ["store_product_id", "branch_id", "captured_at"]))
-    after = State(state.staging.unionByName(new_staging), stores, products, branches, listings, state.snapshots.unionByName(inserted))
-    return after, run_report(rows, new_staging, fit, candidates, inserted)
+    return (stores, products, branches, listings), {"staging": new_staging, "snapshots": inserted}, run_report(rows, new_staging, fit, candidates, inserted)
 
 
 def run_report(rows: DataFrame, new_staging: DataFrame, fit: DataFrame, candidates: DataFrame, inserted: DataFrame) -> DataFrame:

@@ -22,20 +22,30 @@ MIN_HASH = r"^[A-Za-z0-9:_-]{8,128}$"
 class Record:
     """Fields of a JSON object (a variant): their kinds, texts and numbers."""
 
-    def __init__(self, value: Column):
-        self.value = value
+    def __init__(self, value: Column, read: Column | None = None, asked: set | None = None):
+        self.value, self._read, self._asked = value, read, set() if asked is None else asked
 
     @staticmethod
     def read(raw: Column, use: Callable[[Record], Column]) -> Column:
-        """What ``use`` makes of the record in a JSON text, which is parsed once however many fields it looks at."""
-        return F.get(F.transform(F.array(F.try_parse_json(raw)), lambda v: use(Record(v))), F.lit(0))
+        """What ``use`` makes of the record in a JSON text, which is parsed once, and each of its fields read once, however many rules look at it."""
+        asked: set[tuple[str, str]] = set()
+        use(Record(F.lit(None), None, asked))  # which fields it looks at
+        found = lambda v: F.struct(v.alias("value"), *[Record(v)._take(*f).alias("_".join(f)) for f in sorted(asked)])
+        fields = F.transform(F.array(F.try_parse_json(raw)), found)
+        return F.get(F.transform(fields, lambda r: use(Record(r["value"], r))), F.lit(0))
+
+    def _take(self, kind: str, name: str) -> Column:
+        if self._read is not None:
+            return self._read[f"{kind}_{name}"]
+        self._asked.add((kind, name))
+        return F.schema_of_variant(F.try_variant_get(self.value, f"$.{name}", "variant")) if kind == "kind" else F.try_variant_get(self.value, f"$.{name}", "string")
 
     def kind(self, name: str) -> Column:
         """The variant type of a field; null where it is missing."""
-        return F.schema_of_variant(F.try_variant_get(self.value, f"$.{name}", "variant"))
+        return self._take("kind", name)
 
     def get(self, name: str, kind: str = "string") -> Column:
-        return F.try_variant_get(self.value, f"$.{name}", kind)
+        return self._take("text", name) if kind == "string" else F.try_variant_get(self.value, f"$.{name}", kind)
 
     def text(self, name: str) -> Column:
         """A string field, else null."""

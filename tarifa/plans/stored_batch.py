@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarifa.plans.batch import TABLES, State, prepared, publish_batch
+from tarifa.plans.batch import TABLES, State, prepared, published, settled
 from tarifa.sources.stored import Commit, StoredTable
 
 # Keys of the tables, and the columns that say in which bucket a row is: what a batch knows of a row before it has read it.
@@ -34,9 +34,8 @@ class StoredCatalog:
     def _or_empty(self, name: str, found: DataFrame | None) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name]) if found is None else found
 
-    def touched(self, records: DataFrame) -> State:
-        """The rows that a batch of records (raw) can match or change."""
-        r = prepared(records)
+    def touched(self, r: DataFrame) -> State:
+        """The rows that a batch of prepared() records can match or change."""
         c = F.col
         find = lambda name, wanted: self._or_empty(name, self.tables[name].lookup(wanted))
         listings = find("listings", r.select(c("store_product_url").alias("external_url")))
@@ -54,9 +53,21 @@ class StoredCatalog:
         """Publishes a batch of accepted, unique records (raw) as publish_batch() does: its report, and what was written of each table.
 
         Tables are written one after the other, snapshots last, each in one commit. A batch that was stopped between them is
-        published again from the start: what it has written already stays as it is.
+        published again from the start: what it has written already stays as it is. Staging and snapshots only grow, so nothing that they have is written again
+        (but a bucket of many writes, which becomes one).
         """
         since = {name: max(t.versions(), default=-1) for name, t in self.tables.items()}
-        after, report = publish_batch(self.touched(records), records, as_of)
+        rows = settled(prepared(records))
+        after, new, report = published(self.touched(rows), rows, as_of)
         report = self.spark.createDataFrame(report.collect(), report.schema)  # one row, of the state before the tables change
-        return report, {name: t.merge(getattr(after, name), since=since[name] if since[name] >= 0 else None) for name, t in self.tables.items()}
+        base = {name: v if v >= 0 else None for name, v in since.items()}
+        commits = {"staging": self._grow("staging", new, base)}
+        for name, content in zip(("stores", "products", "branches", "listings"), after, strict=True):
+            commits[name] = self.tables[name].merge(content, since=base[name])
+        return report, commits | {"snapshots": self._grow("snapshots", new, base)}
+
+    def _grow(self, name: str, new: dict[str, DataFrame], base: dict[str, int | None]) -> Commit:
+        done = self.tables[name].append(new[name], since=base[name], checked=True)
+        if done.buckets:
+            self.tables[name].compact()
+        return done

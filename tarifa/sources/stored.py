@@ -145,6 +145,10 @@ class StoredTable:
     def _same(self, a: DataFrame, b: DataFrame) -> list:
         return [a[k].eqNullSafe(b[k]) for k in self.keys]
 
+    def _check_unique(self, rows: DataFrame) -> None:
+        if rows.groupBy(*self.keys).count().filter("count > 1").limit(1).count():
+            raise ValueError(f"rows to merge repeat a key of {self.keys}")
+
     def merge(self, rows: DataFrame, policy: dict[str, str] | None = None, since: int | None = None) -> Commit:
         """Merges rows by key, with a policy by column as of merge_by (default: the new value).
 
@@ -155,8 +159,7 @@ class StoredTable:
         n = state["n"] if state else self._buckets
 
         def work(new: DataFrame) -> Commit:
-            if new.groupBy(*self.keys).count().filter("count > 1").limit(1).count():
-                raise ValueError(f"rows to merge repeat a key of {self.keys}")
+            self._check_unique(new)
             columns = [c for c in new.columns if c != "_bucket"]
             if state is None:
                 counts = {r[0]: r[1] for r in new.groupBy("_bucket").count().collect()}
@@ -165,9 +168,8 @@ class StoredTable:
             old = self._read(state, touched)
             columns = old.columns
             kinds = {c: "new" for c in columns if c in new.columns} | (policy or {})
-            after = merge_by(old, new.drop("_bucket"), self.keys, kinds)
-            before = old.select(*[F.col(c).alias(f"_o_{c}") for c in columns], F.lit(True).alias("_old"))
-            both = after.join(before, [after[k].eqNullSafe(before[f"_o_{k}"]) for k in self.keys], "left")
+            before = old.select("*", *[F.col(c).alias(f"_o_{c}") for c in columns], F.lit(True).alias("_old"))
+            both = merge_by(before, new.drop("_bucket"), self.keys, kinds)  # what new doesn't have stays as it was
             differs = F.lit(False)
             for c in columns:
                 differs = differs | ~F.col(c).eqNullSafe(F.col(f"_o_{c}"))
@@ -180,12 +182,17 @@ class StoredTable:
 
         return self._staged(rows, n, work)
 
-    def append(self, rows: DataFrame, since: int | None = None) -> Commit:
-        """Adds rows whose keys the table doesn't have, which is for the caller to know; nothing that is there is read or written again."""
+    def append(self, rows: DataFrame, since: int | None = None, checked: bool = False) -> Commit:
+        """Adds rows whose keys the table doesn't have, which is for the caller to know; nothing that is there is read or written again.
+
+        checked: rows that repeat a key among themselves are an error.
+        """
         base, state = self._state(since)
         n = state["n"] if state else self._buckets
 
         def work(new: DataFrame) -> Commit:
+            if checked:
+                self._check_unique(new)
             counts = {r[0]: r[1] for r in new.groupBy("_bucket").count().collect()}
             if not counts:
                 return Commit(base, 0, 0, 0, [])

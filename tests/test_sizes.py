@@ -73,3 +73,41 @@ def test_python_gets_few_rows_at_a_time(spark):
     with small_batches(spark, 100):
         found = spark.range(0, 1000, 1, 2).mapInArrow(sizes, "id long").collect()
     assert max(r.id for r in found) <= 100 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_field_of_a_line_is_read_once_for_all_rules(spark):
+    from tarifa.plans import ingest
+    from tarifa.plans.mapping import AS_OF
+
+    lines = spark.createDataFrame([("f", 1, '{"currency": "USD"}', None)], "file string, line long, raw string, error string")
+    found = ingest.validated(lines, AS_OF)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("$.currency") == 2  # as a variant for its kind, and as a text
+    assert {"non_mxn", "missing_source"} <= set(found.first().issues)
+
+
+def test_a_batch_adds_to_staging_and_snapshots_without_writing_them_again(spark, tmp_path):
+    import pytest
+
+    from tarifa.plans.mapping import AS_OF
+    from tarifa.plans.stored_batch import StoredCatalog
+    from tarifa.plans import ingest
+    from tarifa.queries_records import _lines
+
+    parts(tmp_path, 0, 60)
+    records = ingest.unique_records(ingest.validated(_lines(spark, str(tmp_path)), AS_OF)).select("raw").checkpoint()
+    catalog = StoredCatalog(spark, str(tmp_path / "catalog"), buckets=1)
+    some = records.filter("raw LIKE '%parts.mx/1%'")
+    _, first = catalog.publish(records.exceptAll(some), AS_OF)
+    _, second = catalog.publish(some, AS_OF)
+    for name in ("staging", "snapshots"):
+        table = catalog.tables[name]
+        (newest,) = [w for w in table._state()[1]["buckets"]["0"] if w not in table._state(0)[1]["buckets"]["0"]]
+        written = spark.read.parquet(f"{table.path}/data/{newest}").count()
+        assert written == second[name].inserted == some.count() > 0 and table.read().count() == written + first[name].inserted
+    with pytest.raises(ValueError, match="repeat a key"):
+        StoredCatalog(spark, str(tmp_path / "other"), buckets=1).publish(some.union(some), AS_OF)
