@@ -20,6 +20,8 @@ from itertools import islice
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +32,7 @@ _SPACES = [chr(c) for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x20
 _RARE = ("\0", "  ", "\n\n", " \n", "\n ", *[c for c in _SPACES if c not in " \n"])
 _SPACE = re.escape("".join(_SPACES))
 _ANY_CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
+_HALF = re.compile("[\ud800-\udfff]")  # half of a surrogate pair, which Arrow doesn't take
 _WHITE = re.compile(f"[{_SPACE}]")
 
 
@@ -78,14 +81,23 @@ class ChunkEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _chunks(self, text: str) -> list | None:
+    def _odd(self, text: str) -> list | None:
+        """The chunks of a text that _plain() can't split (null: it is encoded whole)."""
         if any(x in text for x in self.special):
             return None
-        if not self.spaced:
-            return text.encode("utf-8", "surrogatepass").split()
-        if any(x in text for x in _RARE):
-            return _ANY_CHUNK.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return _ANY_CHUNK.findall(text) if self.spaced else text.encode("utf-8", "surrogatepass").split()
+
+    def _plain(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of other texts, and how many each has."""
+        found = pa.array(texts, pa.large_string())
+        if self.spaced:
+            found = pc.split_pattern(pc.replace_substring(pc.replace_substring(found, " ", "\0 "), "\n", "\0\n\0"), "\0")
+            return found.flatten(), np.diff(found.offsets.to_numpy())
+        found = pc.ascii_split_whitespace(found)
+        chunks = found.flatten().cast(pa.large_binary())
+        filled = pc.binary_length(chunks).to_numpy() > 0  # white space at an end leaves an empty one
+        before = np.append(0, np.cumsum(filled))[found.offsets.to_numpy()]
+        return chunks.filter(pa.array(filled)), np.diff(before)
 
     def _learn(self, new: list) -> None:
         """Ids of new chunks: encoded joined, cut apart at the marks; by themselves chunks that hold a mark, or white space but a space at the start."""
@@ -111,33 +123,51 @@ class ChunkEncoder:
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
         self.flat, self.used = np.concatenate([self.flat, flat]), np.concatenate([self.used, np.zeros(len(texts), np.int64)])
 
-    def _ids(self, group: list[list | None], texts: list[str]) -> list[np.ndarray]:
-        known, before = self.known, len(self.known)
-        places = [None if chunks is None else np.array([known[c] for c in chunks], np.int64) for chunks in group]
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of chunks, new ones included: each distinct one is looked up once, as most of the time goes into finding its place among all that are known."""
+        found = chunks.dictionary_encode()
+        return np.array([self.known[c] for c in found.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)[found.indices.to_numpy()]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        known, before, rare = self.known, len(self.known), (*self.special, *(_RARE if self.spaced else ()))
+        odd = {i: self._odd(x) for i, x in enumerate(texts) if any(r in x for r in rare) or not x.isascii() and _HALF.search(x)}
+        chunks, lens = self._plain([x for i, x in enumerate(texts) if i not in odd])
+        lens, places, every = iter(lens.tolist()), [], [self._numbers(chunks)]
+        at = len(every[0])
+        plain = 0
+        for i in range(len(texts)):
+            if i not in odd:
+                n = next(lens)
+                places.append(slice(plain, plain + n))
+                plain += n
+            elif odd[i] is None:
+                places.append(None)
+            else:
+                every.append(np.array([known[c] for c in odd[i]], np.int64))
+                places.append(slice(at, at + len(odd[i])))
+                at += len(odd[i])
+        every = np.concatenate(every)
         if len(known) > before:
             self._learn(list(islice(known, before, None)))
-        out = []
-        for at, text in zip(places, texts, strict=True):
-            out.append(self._whole(text) if at is None else self._gather(at))
-        if every := [at for at in places if at is not None]:
-            self.used += np.bincount(np.concatenate(every), minlength=len(self.used))
+        flat, ends = self._gather(every), np.append(0, np.cumsum(self.lens[every]))
+        out = [self._whole(text) if place is None else flat[ends[place.start] : ends[place.stop]] for place, text in zip(places, texts, strict=True)]
+        self.used += np.bincount(every, minlength=len(self.used))
         if len(known) > self.max_chunks:
             self._forget()
         return out
 
     def encode(self, texts: list[str | None]):
         """Yields the ids (uint32) of each text, null as empty."""
-        group, held, size = [], [], 0
+        group, size = [], 0
         for text in texts:
             text = text or ""
-            group.append(self._chunks(text))
-            held.append(text)
+            group.append(text)
             size += len(text)
             if size >= self.group_chars:
-                yield from self._ids(group, held)
-                group, held, size = [], [], 0
+                yield from self._ids(group)
+                group, size = [], 0
         if group:
-            yield from self._ids(group, held)
+            yield from self._ids(group)
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}

@@ -28,3 +28,26 @@ def test_packing_of_no_break_spaces(spark):
     texts = ["hello \xa0 world", "\xa0 one"] * 20
     out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
     assert sum(r.length for r in out) == sum(len(whole.encode(t).ids) + 1 for t in texts)
+
+
+def test_a_repeated_chunk_is_looked_up_once_and_odd_texts_keep_their_ids():
+    from collections import defaultdict
+
+    from tarifa.llm import tokens
+
+    class Counted(defaultdict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    for name, spaced in ((tokens.WORD_BPE, False), (tokens.BYTE_BPE, True)):
+        coder = tokens.ChunkEncoder(tokens.tokenizer_path(name), spaced)
+        coder.known = Counted(None)
+        coder.known.default_factory = coder.known.__len__
+        Counted.asked = 0
+        texts = ["red blue\nred blue"] * 50 + [None, "", " ", " red ", "red  blue", "\tred\x0b é", f"red {coder.special[0]} blue" if coder.special else "x", "blue\n"]
+        got = [ids.tolist() for ids in coder.encode(texts)]
+        assert Counted.asked < 40
+        assert got == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
