@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarifa.llm import decontaminate, packing, quality_rules, simhash
-from tarifa.llm.common import table, written
+from tarifa.llm.common import small_batches, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +30,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
-    pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = packing.pack(docs, max_chunks=200_000).select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    # Written here, as whole texts go to Python: fewer at a time than Spark's default.
+    with small_batches(spark, 1024):
+        return written(pieces, "packed")
 
 
 STAGES = [

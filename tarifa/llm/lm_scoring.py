@@ -74,6 +74,7 @@ class Block:
         del parts
         digest = xxhash.xxh64_intdigest
         hashes = np.array([END if w is None else digest(w, SEED) for w in number], np.uint64)
+        number.default_factory = None  # else the two refer to each other, and stay
         del number
         self.words, place = np.unique(hashes, return_inverse=True)
         self.word = place.astype(np.int32)[words]

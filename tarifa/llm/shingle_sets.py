@@ -36,6 +36,7 @@ def shingle_keys(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.
     n = np.array([len(p) for p in parts], np.int64)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(w, SEED) for w in number], np.uint64)
+    number.default_factory = None  # it refers to its owner, and such a circle stays until Python happens to look for circles
     words = hashes[np.fromiter(chain.from_iterable(parts), np.int64, int(n.sum()))]
     begins = np.cumsum(n) - n
     left = np.repeat(begins + n, n) - np.arange(len(words))  # words from here to the end of the text

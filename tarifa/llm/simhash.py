@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tarifa.llm.common import checkpointed, small_batches, whole_row, written
 from tarifa.llm.shingle_sets import ODD, SEED, mix, shingle_keys
+from tarifa.llm.tokens import release
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -243,13 +244,14 @@ def _band_keys(keys: np.ndarray, counts: np.ndarray, odd: np.ndarray) -> np.ndar
     return out
 
 
-def _sketched(rows: DataFrame, shingle: int, bands: int, per_band: int, slice_chars: int = 2_000_000) -> DataFrame:
+def _sketched(rows: DataFrame, shingle: int, bands: int, per_band: int, slice_chars: int = 500_000) -> DataFrame:
     """rows, whose last column is a text, with fingerprint and keys in its place: those of the bands, and the fingerprint as one more."""
     text = rows.columns[-1]
     odd = np.array([xxhash.xxh64_intdigest(str(k), SEED) | 1 for k in range(bands * per_band)], np.uint64).reshape(bands, per_band)
     schema = rows.drop(text).withColumns({"fingerprint": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long"))}).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts, begin = batch.column(batch.num_columns - 1).to_pylist(), 0
             while begin < len(texts):

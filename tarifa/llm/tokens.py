@@ -54,12 +54,14 @@ class ChunkEncoder:
         self.mark = "\n" if spaced else "\x01"
         self.between = "\n" if spaced else "\n\x01\n"
         (self.mark_id,) = self._whole(self.mark).tolist()
+        self.known: defaultdict = defaultdict()
         self._keep([], np.zeros(0, np.int64))
 
     def _keep(self, chunks: list, old: np.ndarray) -> None:
         """Keep these chunks, which had the numbers old."""
         lens = self.lens[old] if len(old) else np.zeros(0, np.int64)
         flat = self._gather(old) if len(old) else np.zeros(0, np.uint32)
+        self.known.default_factory = None  # it refers to its owner: such a circle of a million chunks would stay
         self.known = defaultdict(None, zip(chunks, range(len(chunks)), strict=True))
         self.known.default_factory = self.known.__len__
         self.flat, self.lens, self.starts = flat, lens, np.cumsum(lens) - lens
@@ -179,3 +181,10 @@ def encoder(path: str, spaced: bool, max_chunks: int = 1_200_000) -> ChunkEncode
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(*key)
     return _encoders[key]
+
+
+def release() -> None:
+    """Drops the worker's encoders: Spark reuses Python workers, and what follows may need the memory."""
+    while _encoders:
+        _encoders.popitem()[1].known.default_factory = None
+    pa.default_memory_pool().release_unused()

@@ -51,3 +51,30 @@ def test_a_repeated_chunk_is_looked_up_once_and_odd_texts_keep_their_ids():
         got = [ids.tolist() for ids in coder.encode(texts)]
         assert Counted.asked < 40
         assert got == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_dictionaries_of_words_and_chunks_go_at_once():
+    import gc
+    from collections import defaultdict
+
+    import pyarrow as pa
+
+    from tarifa.llm import tokens
+    from tarifa.llm.lm_scoring import Block
+    from tarifa.llm.shingle_sets import shingle_keys
+
+    large = lambda: sum(isinstance(x, defaultdict) and len(x) > 900 for x in gc.get_objects())
+    text = " ".join(f"word{i}" for i in range(1000))
+    tokens.release()
+    gc.collect()
+    before = large()
+    gc.disable()
+    try:
+        for _ in range(3):
+            shingle_keys([text], 5)
+            Block(pa.chunked_array([[text]]))
+            list(tokens.encoder(tokens.tokenizer_path(WORD_BPE), False, max_chunks=990).encode([text]))
+            tokens.release()
+        assert large() == before
+    finally:
+        gc.enable()
