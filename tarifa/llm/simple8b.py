@@ -115,7 +115,7 @@ def decode_segment(words: bytes, escapes: bytes, at_word: list[int], at_escape:
     return np.concatenate(parts)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, spaced: bool = False, end_id: int = 1, segment_ids: int = 262_144, slice_rows: int = 256) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, spaced: bool = False, end_id: int = 1, segment_ids: int = 262_144, slice_rows: int = 1024) -> None:
     """Writes the token ids of every whole text of docs (doc_id, text), each followed by end_id, under path.
 
     Documents lie in ascending doc_id order, null first, those of one doc_id in the order of their texts'
@@ -126,7 +126,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, spaced:
     file = tokenizer or tokenizer_path(WORD_BPE)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, shard = encoder(file, spaced), np.array([end_id], np.uint32), TaskContext.get().partitionId()
+        coder, end, shard = encoder(file, spaced, group_chars=3_000_000), np.array([end_id], np.uint32), TaskContext.get().partitionId()
         segment = first = size = 0
         doc_ids, parts = [], []
 

@@ -13,6 +13,7 @@ Texts that hold one of the tokenizer's special strings are encoded whole, as the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import defaultdict
@@ -35,6 +36,13 @@ _ANY_CHUNK = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 _HALF = re.compile("[\ud800-\udfff]")  # half of a surrogate pair, which Arrow doesn't take
 _WHITE = re.compile(f"[{_SPACE}]")
 
+# Chunks that plain rules cut as WORD_BPE's own do: letters that no normal form changes, single digits, runs of punctuation without
+# apostrophes (which begin endings like 's). Lower-cased first; the letters are ASCII and Latin to U+017E.
+_PLAIN = re.compile(r"[a-z\xdf-\xf6\xf8-\u017e0-9!-&(-/:-@\[-`{-~]+")
+_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\u017e]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END = "</w>"
+
 
 def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
@@ -54,9 +62,52 @@ class ChunkEncoder:
         self.mark = "\n" if spaced else "\x01"
         self.between = "\n" if spaced else "\n\x01\n"
         (self.mark_id,) = self._whole(self.mark).tolist()
+        self.pieces, self.ends = (None, None) if spaced else self._for_pieces(path)
         self.known: defaultdict = defaultdict()
         self._keep([], np.zeros(0, np.int64))
 
+    def _for_pieces(self, path: str) -> tuple:
+        """A tokenizer with the same vocabulary that only splits at white space, and which ids end a piece; nothing for files of other rules."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = json.loads(self.tokenizer.to_str())
+        normal, cut = own["normalizer"] or {}, own["pre_tokenizer"] or {}
+        steps = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in cut.get("pretokenizers", [])]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or cut["pretokenizers"][0]["pattern"] != {"Regex": _CUTS} or own["model"].get("end_of_word_suffix") != _END:
+            return None, None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = None
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = plain.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for token, i in vocab.items() if token.endswith(_END)]] = True
+        return plain, ends
+
+    def _of_pieces(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Which of the new chunks consist of plain pieces, their ids one after the other, and how many each has. Each distinct piece is encoded once."""
+        number: defaultdict = defaultdict()
+        number.default_factory = number.__len__
+        done, cut, counts = [], [], []
+        for i, x in enumerate(texts):
+            if _PLAIN.fullmatch(x := x.lower()):
+                pieces = _PIECE.findall(x)
+                done.append(i)
+                counts.append(len(pieces))
+                cut += [number[p] for p in pieces]
+        pieces = list(number)
+        number.default_factory = None
+        joined = [" ".join(pieces[a : a + self.join]) for a in range(0, len(pieces), self.join)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(got.ids, np.uint32) for got in self.pieces.encode_batch_fast(joined, add_special_tokens=False))])
+        ends = np.flatnonzero(self.ends[flat]) + 1
+        if len(ends) != len(pieces):  # a vocabulary without some bytes
+            return [], flat[:0], np.zeros(0, np.int64)
+        sizes = np.diff(ends, prepend=0)
+        at = np.array(cut, np.int64)
+        n = sizes[at]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat((ends - sizes)[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        return done, ids, np.diff(np.append(0, upto)[np.append(0, np.cumsum(counts, dtype=np.int64))])
+
     def _keep(self, chunks: list, old: np.ndarray) -> None:
         """Keep these chunks, which had the numbers old."""
         lens = self.lens[old] if len(old) else np.zeros(0, np.int64)
@@ -104,8 +155,11 @@ class ChunkEncoder:
     def _learn(self, new: list) -> None:
         """Ids of new chunks: encoded joined, cut apart at the marks; by themselves chunks that hold a mark, or white space but a space at the start."""
         texts = new if self.spaced else [x.decode("utf-8", "surrogatepass") for x in new]
-        alone = [i for i, x in enumerate(texts) if self.mark in x or not x.strip(" ") or self.spaced and _WHITE.search(x, x[0] == " ")]
-        single = set(alone)
+        done, ids, sizes = self._of_pieces(texts) if self.pieces else ([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        skip = set(done)
+        rest = enumerate(texts) if not skip else ((i, x) for i, x in enumerate(texts) if i not in skip)
+        alone = [i for i, x in rest if self.mark in x or not x.strip(" ") or self.spaced and _WHITE.search(x, x[0] == " ")]
+        single = skip.union(alone)
         most = [i for i in range(len(texts)) if i not in single]
         joined = [self.between.join([texts[i] for i in most[a : a + self.join]]) for a in range(0, len(most), self.join)]
         parts = [self._whole(texts[i]) for i in alone]
@@ -114,12 +168,13 @@ class ChunkEncoder:
         mark = np.array([self.mark_id], np.uint32)
         for got in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
             parts += [np.array(got.ids, np.uint32), mark]
-        order = np.array(alone + most, np.int64)
-        flat = np.concatenate(parts)
+        order = np.array(alone + most + done, np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *parts])
         own = int(lens[alone].sum())
         cuts = flat[own:] == self.mark_id
         lens[most] = np.diff(np.flatnonzero(cuts), prepend=-1) - 1
-        flat = np.concatenate([flat[:own], flat[own:][~cuts]])
+        lens[done] = sizes
+        flat = np.concatenate([flat[:own], flat[own:][~cuts], ids])
         starts = np.zeros(len(texts), np.int64)
         starts[order] = len(self.flat) + np.cumsum(lens[order]) - lens[order]
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
@@ -175,9 +230,9 @@ class ChunkEncoder:
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(path: str, spaced: bool, max_chunks: int = 1_200_000) -> ChunkEncoder:
+def encoder(path: str, spaced: bool, max_chunks: int = 1_200_000, group_chars: int = 1_000_000) -> ChunkEncoder:
     """The worker's encoder; Spark reuses Python workers, so what one task has learnt helps the next."""
-    key = (path, spaced, max_chunks)
+    key = (path, spaced, max_chunks, group_chars)
     if key not in _encoders:
         _encoders[key] = ChunkEncoder(*key)
     return _encoders[key]

@@ -78,3 +78,12 @@ def test_dictionaries_of_words_and_chunks_go_at_once():
         assert large() == before
     finally:
         gc.enable()
+
+
+def test_plain_chunks_are_encoded_by_pieces():
+    coder, r = ChunkEncoder(tokenizer_path(WORD_BPE), False), random.Random(3)
+    latin = [c for c in map(chr, range(0x21, 0x180)) if not c.isspace()]
+    chunks = ["Einzuch.", "###x1,y22;", "don't", "İx", "ŉ", "ª", "x×y", "ſt", "<|endof", "KÅẞ", *("".join(r.choice(latin) for _ in range(r.randrange(1, 9))) for _ in range(20_000))]
+    assert len(coder._of_pieces(["Red,", "red.", "red", "12!", "don't"])[0]) == 4
+    for chunk, ids in zip(chunks, coder.encode(chunks), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(chunk, add_special_tokens=False).ids, repr(chunk)
